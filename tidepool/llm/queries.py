@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import chat
+from tidepool.llm import chat, fingerprint
 from tidepool.llm.common import table
 
 
@@ -35,9 +35,60 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _fingerprint_sql(text: str, to: str) -> str:
+    numbers = lambda pattern, n: f"list_transform(list_filter(regexp_split_to_array({text}, '{pattern}'), lambda x: x <> ''), lambda x: [" + ", ".join(f"('0x' || substr(sha256(x), {15 * k + 1}, 15))::BIGINT" for k in range(n)) + "])"
+    return f"{numbers(r'\n+', 4)} AS {to}_p, {numbers(r'[.!?]+[ \t]+|\n+', 2)} AS {to}_s"
+
+
+def _vector_sql(of: str) -> str:
+    total = lambda x: f"(coalesce(list_sum({x}), 0)::HUGEINT & {fingerprint.M60}::HUGEINT)::BIGINT"
+    wide = ", ".join(total(f"list_transform({of}_p, lambda x: x[{k + 1}])") for k in range(4))
+    signs = ", ".join(total(f"list_transform({of}_s, lambda x: (x[{k + 1}] >> {s}) & {fingerprint.LOW})") for k in range(2) for s in range(15))
+    return f"len({of}_p) AS {of}_n, [{wide}] AS {of}_wide, len({of}_s) AS {of}_m, [{signs}] AS {of}_signs"
+
+
+def _digest_sql(of: str) -> str:
+    long = lambda xs: f"array_to_string(list_transform({xs}, lambda x: printf('%015x', x)), '')"
+    return f"printf('%08x', {of}_n) || {long(f'{of}_wide')} || printf('%08x', {of}_m) || {long(f'{of}_signs')}"
+
+
+def _lanes_sql(of: str) -> str:
+    return f"flatten(list_transform({of}_signs, lambda x: [{', '.join(f'2 * ((x >> {15 * j}) & 32767) - {of}_m' for j in range(4))}])) AS {of}_lanes"
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    square = lambda xs: f"list_sum(list_transform({xs}, lambda x: x * x))::DOUBLE"
+    apart = f"list_sum(list_transform(list_zip({a}_lanes, {b}_lanes), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::DOUBLE"
+    both = f"({square(f'{a}_lanes')} + {square(f'{b}_lanes')})"
+    return f"CASE WHEN {both} = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0 - {apart} / {both}) END"
+
+
+OP7_SQL = f"""
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+following AS (
+  SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next
+  FROM rows WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text DESC)
+), edits AS (
+  SELECT *, left(text, length(text) - length(text) // 2) || left(next, length(text) // 2) AS edited FROM following
+), parts AS (
+  SELECT *, {_fingerprint_sql("text", "a")}, {_fingerprint_sql("edited", "b")}, {_fingerprint_sql("next", "c")} FROM edits
+), vectors AS (SELECT *, {_vector_sql("a")}, {_vector_sql("b")}, {_vector_sql("c")} FROM parts),
+lanes AS (SELECT *, {_lanes_sql("a")}, {_lanes_sql("b")}, {_lanes_sql("c")} FROM vectors)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+  {_digest_sql("a")} AS fingerprint, {_digest_sql("b")} AS edited_fingerprint,
+  {_likeness_sql("a", "b")} AS near_edited, {_likeness_sql("a", "c")} AS near_next
+FROM lanes
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_fingerprints": op7_fingerprints,
     "op8_chat_formatting": op8_chat_formatting,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op7_fingerprints": OP7_SQL,
     "op8_chat_formatting": OP8_SQL,
 }
