@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import chat, fingerprint
+from tidepool.llm import bpe, chat, fingerprint, packing
 from tidepool.llm.common import table
 
 
@@ -35,6 +35,14 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -85,6 +93,8 @@ FROM lanes
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op3_bpe": op3_bpe,
     "op7_fingerprints": op7_fingerprints,
     "op8_chat_formatting": op8_chat_formatting,
 }
