@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import bpe, chat, fingerprint, packing
+from tidepool.llm import bpe, chat, fingerprint, jaccard_join, packing
 from tidepool.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -95,6 +99,7 @@ FROM lanes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_bpe": op3_bpe,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_fingerprints": op7_fingerprints,
     "op8_chat_formatting": op8_chat_formatting,
 }
