@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import bpe, chat, fingerprint, jaccard_join, packing
+from tidepool.llm import bpe, chat, fingerprint, jaccard_join, packing, secret_scan
 from tidepool.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -98,6 +102,7 @@ FROM lanes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_secret_scans": op2_secret_scans,
     "op3_bpe": op3_bpe,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_fingerprints": op7_fingerprints,
