@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, chat, fingerprint, jaccard_join, packing, quality, secret_scan
+from tidepool.llm import bpe, chat, fingerprint, jaccard_join, lm_score, packing, quality, secret_scan
 from tidepool.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _fingerprint_sql(text: str, to: str) -> str:
     numbers = lambda pattern, n: f"list_transform(list_filter(regexp_split_to_array({text}, '{pattern}'), lambda x: x <> ''), lambda x: [" + ", ".join(f"('0x' || substr(sha256(x), {15 * k + 1}, 15))::BIGINT" for k in range(n)) + "])"
     return f"{numbers(r'\n+', 4)} AS {to}_p, {numbers(r'[.!?]+[ \t]+|\n+', 2)} AS {to}_s"
@@ -116,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op7_fingerprints": op7_fingerprints,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_fingerprints": OP7_SQL,
