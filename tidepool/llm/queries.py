@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, chat, fingerprint, jaccard_join, lm_score, packing, quality, secret_scan
+from tidepool.llm import ann, bpe, chat, fingerprint, jaccard_join, lm_score, packing, quality, secret_scan
 from tidepool.llm.common import table
 
 
@@ -59,6 +59,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_fingerprints": op7_fingerprints,
     "op8_chat_formatting": op8_chat_formatting,
     "op10_lm_scoring": op10_lm_scoring,
