@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ann, bpe, chat, fingerprint, jaccard_join, lm_score, packing, quality, secret_scan
+from tidepool.llm import ann, bpe, chat, fingerprint, jaccard_join, license_scan, lm_score, packing, quality, secret_scan
 from tidepool.llm.common import table
 
 
@@ -68,6 +68,34 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(lower({text}), '{license_scan.COPYRIGHT}', '', 'g')"
+    out = f"trim(regexp_replace(regexp_replace({out}, '{license_scan.LIST_MARK}', '', 'g'), '{license_scan.OTHER}', ' ', 'g'), ' ')"
+    for a, b in license_scan.SPELLINGS:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+OP9_SQL = f"""
+WITH known(digest, licence) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in license_scan.digests())}),
+rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+marked AS (SELECT * FROM rows WHERE regexp_matches(lower(text), '{"|".join(license_scan.MARKERS)}')),
+units AS (
+  SELECT doc_id, true AS whole, text AS unit FROM marked
+  UNION ALL SELECT doc_id, false, unit FROM (SELECT doc_id, text, unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')) AS unit FROM marked) WHERE contains(unit, chr(10)) AND unit <> text
+  UNION ALL SELECT doc_id, false, unit FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS unit FROM marked) WHERE unit <> text
+), found AS (
+  SELECT doc_id, min(licence) FILTER (whole) AS whole, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) AS n_units
+  FROM (SELECT doc_id, whole, sha256({_canonical_sql("unit")}) AS digest FROM units) JOIN known USING (digest) GROUP BY doc_id
+)
+SELECT r.doc_id, f.whole, coalesce(f.licences, '') AS licences, coalesce(f.n_units, 0)::BIGINT AS n_units FROM rows r LEFT JOIN found f USING (doc_id)
+"""
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -126,9 +154,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_fingerprints": op7_fingerprints,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_license_scans": op9_license_scans,
     "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_fingerprints": OP7_SQL,
     "op8_chat_formatting": OP8_SQL,
+    "op9_license_scans": OP9_SQL,
 }
