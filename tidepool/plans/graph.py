@@ -1 +1,160 @@
-"""Queries."""
+"""Queries over the entity graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidepool.functions import scores
+from tidepool.operators import graph
+from tidepool.plans.registry import query
+from tidepool.sources import tables
+
+EDGES = "edges AS (SELECT source_id AS a, target_id AS b FROM small UNION SELECT target_id, source_id FROM small)"
+SMALL = "small AS (SELECT * FROM relations WHERE relation_type <> 'supplies')"
+
+
+def small(spark, sf):
+    return tables.relations(spark, sf).where("relation_type <> 'supplies'")
+
+
+def starts(spark):
+    return spark.createDataFrame([("s:1",), ("s:7",), ("n:3",)], "start string")
+
+
+@query("G01_neighbours", f"""
+WITH {SMALL}, {EDGES}, st AS (SELECT unnest(['s:1', 's:7', 'n:3']) AS start),
+l1 AS (SELECT DISTINCT start, b AS node FROM st JOIN edges ON a = start),
+l2 AS (SELECT DISTINCT start, b AS node FROM l1 JOIN edges ON a = node),
+every AS (SELECT start, start AS node, 0 AS d FROM st UNION ALL SELECT start, node, 1 FROM l1 UNION ALL SELECT start, node, 2 FROM l2)
+SELECT start, node, min(d)::INT AS distance FROM every GROUP BY 1, 2""")
+def neighbours(spark, sf):
+    return graph.neighbours(small(spark, sf), starts(spark), 2)
+
+
+@query("G04_components", f"""
+WITH {SMALL}, {EDGES},
+l1 AS (SELECT a AS node, least(a, min(b)) AS c FROM edges GROUP BY a), l2 AS (SELECT e.a AS node, least(min(x.c), min(y.c)) AS c FROM edges e JOIN l1 x ON x.node = e.b JOIN l1 y ON y.node = e.a GROUP BY 1),
+l3 AS (SELECT e.a AS node, least(min(x.c), min(y.c)) AS c FROM edges e JOIN l2 x ON x.node = e.b JOIN l2 y ON y.node = e.a GROUP BY 1), l4 AS (SELECT e.a AS node, least(min(x.c), min(y.c)) AS c FROM edges e JOIN l3 x ON x.node = e.b JOIN l3 y ON y.node = e.a GROUP BY 1)
+SELECT node, c AS component FROM l4""")
+def components(spark, sf):
+    return graph.components(small(spark, sf))
+
+
+@query("A26_component_sizes", f"""
+WITH {SMALL}, {EDGES},
+l1 AS (SELECT a AS node, least(a, min(b)) AS c FROM edges GROUP BY a), l2 AS (SELECT e.a AS node, least(min(x.c), min(y.c)) AS c FROM edges e JOIN l1 x ON x.node = e.b JOIN l1 y ON y.node = e.a GROUP BY 1),
+l3 AS (SELECT e.a AS node, least(min(x.c), min(y.c)) AS c FROM edges e JOIN l2 x ON x.node = e.b JOIN l2 y ON y.node = e.a GROUP BY 1), l4 AS (SELECT e.a AS node, least(min(x.c), min(y.c)) AS c FROM edges e JOIN l3 x ON x.node = e.b JOIN l3 y ON y.node = e.a GROUP BY 1)
+SELECT c AS component, count(*) AS n FROM l4 GROUP BY 1""")
+def component_sizes(spark, sf):
+    return graph.components(small(spark, sf)).groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query("G05_shortest_path", f"""
+WITH {SMALL}, {EDGES},
+p1 AS (SELECT 's:1' AS node, ['s:1'] AS path), p2 AS (SELECT b AS node, list_append(path, b) AS path FROM p1 JOIN edges ON a = node),
+p3 AS (SELECT b AS node, list_append(path, b) AS path FROM p2 JOIN edges ON a = node WHERE NOT list_contains(path, b)), p4 AS (SELECT b AS node, list_append(path, b) AS path FROM p3 JOIN edges ON a = node WHERE NOT list_contains(path, b)),
+every AS (SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)
+SELECT 's:1' AS source, node AS target, (len(path) - 1)::INT AS distance, array_to_string(path, '>') AS path FROM every WHERE node IN ('s:2', 's:3', 'r:1', 'n:5') QUALIFY row_number() OVER (PARTITION BY node ORDER BY len(path), path) = 1""")
+def shortest_path(spark, sf):
+    pairs = spark.createDataFrame([("s:1", t) for t in ("s:2", "s:3", "r:1", "n:5")], "source string, target string")
+    return graph.shortest_paths(small(spark, sf), pairs, 3).withColumn("path", F.array_join("path", ">"))
+
+
+@query("G07_traversal", """
+WITH best AS (SELECT source_id AS a, target_id AS b, weight AS w FROM relations WHERE weight >= 0.04 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, target_id, relation_type) <= 10),
+l1 AS (SELECT b AS node, max(w) AS weight FROM best WHERE a = 's:1' GROUP BY 1), l2 AS (SELECT b AS node, max(weight * w) AS weight FROM l1 JOIN best ON a = node WHERE b <> 's:1' AND b NOT IN (SELECT node FROM l1) GROUP BY 1)
+SELECT 's:1' AS start, node, round(weight, 6) AS weight, 1 AS distance FROM l1 UNION ALL SELECT 's:1', node, round(weight, 6), 2 FROM l2""")
+def traversal(spark, sf):
+    found = graph.traverse(tables.relations(spark, sf), spark.createDataFrame([("s:1",)], "start string"), 2, 0.04)
+    return found.select("start", "node", F.round("weight", 6).alias("weight"), "distance")
+
+
+@query("G10_relation_upsert", "SELECT source_id, target_id, relation_type, round(weight + CASE WHEN relation_type = 'part_of' THEN 0.1 ELSE 0 END, 6) AS weight FROM relations")
+def relation_upsert(spark, sf):
+    rows = tables.relations(spark, sf)
+    return graph.upsert_relations(rows, rows.where("relation_type = 'part_of'")).select("source_id", "target_id", "relation_type", F.round("weight", 6).alias("weight"))
+
+
+@query("G11_relations_of", "SELECT source_id, target_id, weight FROM relations WHERE source_id = 'n:3' OR target_id = 'n:3' ORDER BY weight DESC, source_id, target_id")
+def relations_of(spark, sf):
+    return tables.relations(spark, sf).where("source_id = 'n:3' OR target_id = 'n:3'").select("source_id", "target_id", "weight")
+
+
+@query("D13_relation_weight", """
+WITH p AS (SELECT source_id, count(DISTINCT target_id) AS partners FROM relations GROUP BY 1), q AS (SELECT source_id, target_id, count(*) AS pair FROM relations GROUP BY 1, 2),
+w AS (SELECT r.*, least(1.0, greatest(0.0, 0.7 * q.pair / coalesce(e.mentions, 1)::DOUBLE * ln((SELECT count(*) FROM entities) / (1.0 + p.partners)) + 0.3 * r.weight)) AS new
+  FROM relations r JOIN p USING (source_id) JOIN q USING (source_id, target_id) LEFT JOIN entities e ON e.entity_id = r.source_id)
+SELECT source_id, target_id, relation_type, round(CASE WHEN abs(new - weight) > 0.001 THEN new ELSE weight END, 6) AS weight FROM w""")
+def relation_weight(spark, sf):
+    return graph.relation_weights(tables.relations(spark, sf), tables.entities(spark, sf)).withColumn("weight", F.round("weight", 6))
+
+
+@query("D14_weight_decay", "SELECT source_id, target_id, round(weight * 0.9 ** (14 / 7.0), 6) AS weight FROM relations WHERE weight * 0.9 ** (14 / 7.0) >= 0.1")
+def weight_decay(spark, sf):
+    faded = F.col("weight") * F.pow(F.lit(0.9), F.lit(14) / 7.0)
+    return tables.relations(spark, sf).where(faded >= 0.1).select("source_id", "target_id", F.round(faded, 6).alias("weight"))
+
+
+@query("D15_entity_importance", """
+WITH d AS (SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM relations UNION ALL SELECT target_id FROM relations) GROUP BY id)
+SELECT entity_id, round(CASE WHEN entity_type = 'supplier' THEN least(1.0, 1.2 * s) ELSE s END, 6) AS importance FROM (
+  SELECT entity_id, entity_type, 0.5 * least(1.0, mentions / 100.0) + 0.3 * least(1.0, coalesce(degree, 0) / 20.0) + 0.2 * (CASE WHEN last_accessed >= TIMESTAMP '2024-02-01' - INTERVAL 7 DAY THEN 1.0 ELSE 0.5 END) AS s FROM entities LEFT JOIN d ON d.id = entity_id)""")
+def entity_importance(spark, sf):
+    ends = tables.relations(spark, sf).select(F.explode(F.array("source_id", "target_id")).alias("entity_id")).groupBy("entity_id").agg(F.count("*").alias("degree"))
+    recent = F.when(F.col("last_accessed") >= tables.now() - F.expr("interval 7 days"), 1.0).otherwise(0.5)
+    score = scores.entity_importance(F.col("mentions"), F.coalesce("degree", F.lit(0)), recent, F.col("entity_type") == "supplier")
+    return tables.entities(spark, sf).join(ends, "entity_id", "left").select("entity_id", F.round(score, 6).alias("importance"))
+
+
+@query("J03_orphan_relations", "SELECT source_id, target_id FROM relations WHERE source_id NOT IN (SELECT entity_id FROM entities WHERE mentions > 2) OR target_id NOT IN (SELECT entity_id FROM entities WHERE mentions > 2)")
+def orphan_relations(spark, sf):
+    known = tables.entities(spark, sf).where("mentions > 2").select("entity_id")
+    has = lambda end: known.select(F.col("entity_id").alias(end), F.lit(True).alias(f"has_{end}"))
+    rows = tables.relations(spark, sf).join(has("source_id"), "source_id", "left").join(has("target_id"), "target_id", "left")
+    return rows.where("has_source_id IS NULL OR has_target_id IS NULL").select("source_id", "target_id")
+
+
+@query("J04_cascade_delete", "SELECT source_id, target_id FROM relations WHERE source_id NOT IN (SELECT entity_id FROM entities WHERE mentions < 3) AND target_id NOT IN (SELECT entity_id FROM entities WHERE mentions < 3)")
+def cascade_delete(spark, sf):
+    stale = tables.entities(spark, sf).where("mentions < 3").select("entity_id")
+    rows = tables.relations(spark, sf)
+    for end in ("source_id", "target_id"):
+        rows = rows.join(stale.select(F.col("entity_id").alias(end)), end, "left_anti")
+    return rows.select("source_id", "target_id")
+
+
+@query("J13_remap_relations", "WITH m AS (SELECT 's:' || s_suppkey AS old, 's:' || (s_suppkey - s_suppkey % 2) AS new FROM supplier), r AS (SELECT coalesce(a.new, source_id) AS source_id, coalesce(b.new, target_id) AS target_id, relation_type, weight FROM relations LEFT JOIN m a ON a.old = source_id LEFT JOIN m b ON b.old = target_id) SELECT source_id, target_id, relation_type, max(weight) AS weight FROM r WHERE source_id <> target_id GROUP BY 1, 2, 3")
+def remap_relations(spark, sf):
+    key = F.col("s_suppkey")
+    mapping = tables.read(spark, sf, "supplier").select(F.concat(F.lit("s:"), key).alias("old"), F.concat(F.lit("s:"), key - key % 2).alias("new"))
+    return graph.merge_entities(tables.relations(spark, sf), mapping)
+
+
+@query("J16_merge_extractions", "WITH a AS (SELECT lower(name) AS k, entity_type FROM entities WHERE entity_type = 'nation'), b AS (SELECT lower(name) AS k, 'place' AS entity_type FROM entities WHERE entity_type IN ('nation', 'region') AND mentions > 3) SELECT k, coalesce(b.entity_type, a.entity_type) AS entity_type, CASE WHEN a.k IS NULL THEN 'second' WHEN b.k IS NULL THEN 'first' ELSE 'merged' END AS origin FROM a FULL JOIN b USING (k)")
+def merge_extractions(spark, sf):
+    rows = tables.entities(spark, sf)
+    a = rows.where("entity_type = 'nation'").select(F.lower("name").alias("k"), F.col("entity_type").alias("a"))
+    b = rows.where("entity_type IN ('nation', 'region') AND mentions > 3").select(F.lower("name").alias("k"), F.lit("place").alias("b"))
+    origin = F.when(F.col("a").isNull(), "second").when(F.col("b").isNull(), "first").otherwise("merged")
+    return a.join(b, "k", "full").select("k", F.coalesce("b", "a").alias("entity_type"), origin.alias("origin"))
+
+
+@query("J17_edge_names", "SELECT a.name AS source, b.name AS target, r.relation_type FROM relations r JOIN entities a ON a.entity_id = r.source_id JOIN entities b ON b.entity_id = r.target_id WHERE r.relation_type <> 'supplies'")
+def edge_names(spark, sf):
+    names = tables.entities(spark, sf)
+    a, b = names.select(F.col("entity_id").alias("source_id"), F.col("name").alias("source")), names.select(F.col("entity_id").alias("target_id"), F.col("name").alias("target"))
+    return small(spark, sf).join(a, "source_id").join(b, "target_id").select("source", "target", "relation_type")
+
+
+@query("U07_dead_entities", "SELECT entity_id FROM entities e WHERE mentions <= 1 AND last_accessed < TIMESTAMP '2024-02-01' - INTERVAL 20 DAY AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.source_id = e.entity_id OR r.target_id = e.entity_id)")
+def dead_entities(spark, sf):
+    ends = tables.relations(spark, sf).select(F.explode(F.array("source_id", "target_id")).alias("entity_id"))
+    old = tables.entities(spark, sf).where("mentions <= 1").where(F.col("last_accessed") < tables.now() - F.expr("interval 20 days"))
+    return old.join(ends, "entity_id", "left_anti").select("entity_id")
+
+
+@query("G08_entity_upsert", "SELECT entity_id, sum(mentions)::BIGINT AS mentions, max(last_accessed) AS last_accessed FROM (SELECT entity_id, mentions, last_accessed FROM entities UNION ALL SELECT entity_id, 1, TIMESTAMP '2024-02-01' FROM entities WHERE mentions = 4) GROUP BY 1")
+def entity_upsert(spark, sf):
+    rows = tables.entities(spark, sf).select("entity_id", "mentions", "last_accessed")
+    again = rows.where("mentions = 4").select("entity_id", F.lit(1).cast("long").alias("mentions"), tables.now().alias("last_accessed"))
+    return rows.unionByName(again).groupBy("entity_id").agg(F.sum("mentions").alias("mentions"), F.max("last_accessed").alias("last_accessed"))
