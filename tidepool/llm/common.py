@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,12 +13,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir, which all executors share.
-
-    Only where the session names no folder (tests on one machine) is one made.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share. Only where the session names none (tests on one machine) is one made."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidepool-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder; Spark removes it when it isn't needed any more."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, and read by columns. Removed with the session, or by ``discard``."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._path = path
+    atexit.register(discard, table)
+    return table
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what ``written`` wrote. Nothing that is still to be computed may need it."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc is not None and not sc._jsc.sc().isStopped():
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,7 +10,7 @@ documents link when their sets' Jaccard similarity reaches a threshold. The way:
 2. Documents with equal sets become one class, whose least doc_id stands for it.
 3. Of its ordered set a class gives a prefix. With overlap o at least needed, the
    first n - o + l tokens of two similar sets share l at least. Each class takes
-   the l from 1 to 4 that costs least, by the sketch's estimate of the candidates
+   the l from 1 to 8 that costs least, by the sketch's estimate of the candidates
    that its prefix meets; a pair is verified only when it shares as many tokens
    as the smaller l of both. Positions of shared tokens bound the overlap further.
 4. Prefix tokens are joined in two steps, so that a large group of similar
@@ -33,17 +33,22 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe import batches
-from tidepool.llm.common import cut_lineage
+from tidepool.llm.common import cut_lineage, discard, written
 from tidepool.llm.components import components
 
 #: The sketch has 2**22 counts: 16 MB while counting, 4 MB when broadcast, for any input.
 SKETCH_BITS = 22
 SLICE_BITS = 12
-LEVELS = 4
+LEVELS = 8
+#: Other documents that a rare shingle meets, in the estimate of costs.
+RARE = 0.05
+#: Bits of the filter that keeps documents out of a shuffle that no candidate pair has: 32 MB at most.
+FILTER_BITS = 28
 #: What verifying a candidate costs, in tokens read from a prefix.
 VERIFY_COST = 50
 U = np.uint64
@@ -154,7 +159,7 @@ def prefix_levels(weights: np.ndarray, n: int, num: int, den: int) -> tuple[int,
     long = n - least_overlap(n, -(-num * n // den), num, den)
     short = n - least_overlap(n, n, num, den)
     most = max(1, min(LEVELS, n - long))
-    met = np.cumsum(np.where(weights[: long + most] > 0, 2.0 ** (weights[: long + most] / 2.0), 0.0))
+    met = np.cumsum(np.where(weights[: long + most] > 0, 2.0 ** (weights[: long + most] / 2.0), RARE))
     costs = [long + l + met[min(n, long + l) - 1] * (1 + VERIFY_COST / l) for l in range(1, most + 1)]
     l = int(np.argmin(costs)) + 1
     return l, min(n, long + l), min(n, short + l)
@@ -207,8 +212,53 @@ def _candidates(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return kept.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell")).where("shared >= ell").select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
+def _passing(ids: DataFrame, id: str):
+    """A bitmap that has every id (and by chance others): a test that keeps most documents out of a shuffle. Its size is bounded, so at
+    some size of the input it lets everything pass; it never drops an id."""
+    bits = min(FILTER_BITS, max(16, int(np.ceil(np.log2(16 * ids.count() + 1)))))
+    width = 1 << max(0, bits - 12)
+
+    def mark(parts):
+        seen = np.zeros(1 << bits, bool)
+        for part in parts:
+            seen[_places(part.column(0).to_numpy(zero_copy_only=False), bits)] = True
+        slices = np.packbits(seen).reshape(-1, width // 8)
+        some = np.flatnonzero(slices.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([slices[k].tobytes() for k in some], pa.binary())], ["slice", "bits"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()]})
+
+    bitmap = np.zeros((1 << 12 if bits > 12 else 1, width // 8), np.uint8)
+    for r in ids.select(id).mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInPandas(join, "slice int, bits binary").toLocalIterator():
+        bitmap[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits, ids.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(ids.astype(np.int64).view(U)) >> U(64 - bits)).astype(np.int64)
+
+
+def _sets(rows: DataFrame, ids: DataFrame, id: str, k: int) -> DataFrame:
+    """(id, set_id) of documents whose id is in the column ``id`` of ``ids``, and maybe of others."""
+    bits, bitmap = _passing(ids, id)
+
+    def run(parts):
+        for part in parts:
+            part = part.filter(pa.compute.is_valid(part.column(0)))
+            at = _places(part.column(0).to_numpy(zero_copy_only=False), bits)
+            part, seen = part.filter(pa.array((bitmap.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))), 0
+            for texts in batches(part.column(1), 2_000_000):
+                sets = [x.tobytes() for x in shingle_sets(texts, k)]
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(seen, len(texts)), pa.array(sets, pa.binary())], [id, f"set_{id}"])
+                seen += len(texts)
+
+    return rows.mapInArrow(run, f"{id} long, set_{id} binary")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs whose whole sets are similar."""
+    both = pairs.join(_sets(rows, pairs, "b", k), "b").join(_sets(rows, pairs, "a", k), "a")
 
     def check(parts):
         for part in parts:
@@ -230,45 +280,36 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     weights = docs.sparkSession.sparkContext.broadcast(_weights(_sketch(rows, k)))
-    all_docs = cut_lineage(_describe(rows, k, num, den, weights))
+    all_docs = written(_describe(rows, k, num, den, weights))
 
-    columns = ["doc_id", "n", "ell", "short", "strange", "tokens"]
-    classes = all_docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min_by(F.struct(*columns), "doc_id").alias("c")).select("fp", "c.*")
-    classes = cut_lineage(classes)
-    posted = classes.select(F.posexplode("tokens").alias("pos", "token"), F.struct(F.col("strange"), F.col("doc_id").alias("doc"), "n", "ell", "short").alias("d")).select("token", F.col("d").withField("pos", F.col("pos")).alias("d"))
-    # the most central document of a token's is that with the fewest rare shingles
-    centres = posted.groupBy("token").agg(F.count("*").alias("docs"), F.min("d").alias("centre")).where("docs > 1")
-    shared = cut_lineage(posted.join(centres, "token").select("token", "d", "centre", "docs"))
-
-    sharing = shared.select(F.col("d.doc").alias("doc_id")).distinct()
+    own = all_docs.where("n > 0 AND doc_id IS NOT NULL")
+    meta = own.groupBy("fp").agg(F.min_by(F.struct("doc_id", "n", "ell", "short", "strange"), "doc_id").alias("c")).select(F.col("c.doc_id").alias("doc"), "c.n", "c.ell", "c.short", "c.strange")
+    posted = own.groupBy("fp").agg(F.min_by(F.struct("doc_id", "tokens"), "doc_id").alias("c")).select(F.col("c.doc_id").alias("doc"), F.posexplode("c.tokens").alias("pos", "token"))
+    repeated = posted.groupBy("token").count().where("count > 1").select("token")
+    shared = posted.join(repeated, "token").join(meta, "doc")
+    shared = written(shared.select("token", F.struct("strange", "doc", "n", "ell", "short", "pos").alias("d")))
 
-    def to_sets(parts):
-        for part in parts:
-            seen = 0
-            for texts in batches(part.column(1), 2_000_000):
-                sets = [x.tobytes() for x in shingle_sets(texts, k)]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(seen, len(texts)), pa.array(sets, pa.binary())], ["doc_id", "set"])
-                seen += len(texts)
-
-    sets = cut_lineage(rows.join(sharing, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, set binary"))
-
-    stars = shared.where("d.doc <> centre.doc").select(F.col("d").alias("l"), F.col("centre").alias("r"))
+    # the most central document of a token's is that with the fewest rare shingles
+    centres = shared.groupBy("token").agg(F.min("d").alias("centre"))
+    stars = shared.join(centres, "token").where("d.doc <> centre.doc").select(F.col("d").alias("l"), F.col("centre").alias("r"))
     tried = cut_lineage(_candidates(stars, num, den))
-    links = cut_lineage(_verified(tried, sets, num, den))
+    links = cut_lineage(_verified(tried, rows, k, num, den))
     groups = components(links)
 
     # what is left: documents of different components that share a token
-    placed = shared.where("docs > 2").join(groups.select(F.col("node").alias("node"), "component"), F.col("d.doc") == F.col("node"), "left")
-    placed = placed.select("token", "d", F.coalesce("component", "d.doc").alias("of"), F.col("centre.doc").alias("centre"))
-    of_centre = groups.select(F.col("node").alias("centre"), F.col("component").alias("of_centre"))
-    placed = placed.join(of_centre, "centre", "left").select("token", "d", "of", F.coalesce("of_centre", "centre").alias("of_centre"))
-    placed = cut_lineage(placed)
+    placed = shared.join(groups.select(F.col("node"), "component"), F.col("d.doc") == F.col("node"), "left").select("token", "d", F.coalesce("component", "d.doc").alias("of"))
+    of_centre = placed.groupBy("token").agg(F.min(F.struct("d", "of")).alias("c"), F.min("of").alias("low"), F.max("of").alias("high"))
+    of_centre = of_centre.where("low <> high").select("token", F.col("c.of").alias("of_centre"))
+    placed = written(placed.join(of_centre, "token"))
     outside = placed.where("of <> of_centre").select("token", F.col("d").alias("l"), F.col("of").alias("of_l"))
-    others = placed.join(outside.select("token").distinct(), "token", "left_semi").select("token", F.col("d").alias("r"), F.col("of").alias("of_r"), (F.col("of") == F.col("of_centre")).alias("inside"))
+    others = placed.select("token", F.col("d").alias("r"), F.col("of").alias("of_r"), (F.col("of") == F.col("of_centre")).alias("inside"))
     rest = outside.join(others, "token").where("of_l <> of_r AND (inside OR l.doc < r.doc)")
     more = cut_lineage(_candidates(rest, num, den).join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(more, sets, num, den))
+    links = cut_lineage(links.unionByName(_verified(more, rows, k, num, den)))
+    discard(shared)
+    discard(placed)
 
     groups = components(links)
-    reps = classes.select("fp", F.col("doc_id").alias("rep")).join(groups, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    reps = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = reps.join(groups, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return all_docs.join(reps, "fp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
