@@ -88,3 +88,10 @@ def any_time(text: Column) -> Column:
     """A time in one of several formats, read as UTC where no zone is named; else null."""
     formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy")
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+
+def abbreviated(text: Column, terms: tuple[tuple[str, str], ...]) -> Column:
+    """Terms replaced in their order."""
+    for long, short in terms:
+        text = F.replace(text, F.lit(long), F.lit(short))
+    return text

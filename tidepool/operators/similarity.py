@@ -81,3 +81,15 @@ def near_strings(rows: DataFrame, id: str, text: str, least: float, block: str |
     x, y = F.octet_length("x"), F.octet_length("y")
     pairs = own.join(other, ["block", "band"]).where((F.col("a") < F.col("b")) & (F.least(x, y) >= least * F.greatest(x, y)))
     return pairs.select("a", "b", scores.string_similarity(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def block_ratio(a: Column, b: Column, n: int = 500) -> Column:
+    """The share of matching blocks of two texts' first ``n`` characters in lower case; texts that are both empty have 1."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, (s or "").lower()[:n], (t or "").lower()[:n]).ratio() for s, t in zip(x, y, strict=True)])
+
+    return ratio(a, b)
