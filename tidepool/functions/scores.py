@@ -92,5 +92,10 @@ def backoff(attempt: Column, base: float = 1.0, most: float = 60.0) -> Column:
 
 
 def engagement(duration: Column, tools: Column, latency: Column) -> Column:
-    """Mean of three shares: session length to an hour, tool use to ten, latency below five seconds."""
-    return (F.least(F.lit(1.0), duration / 3600.0) + F.least(F.lit(1.0), tools / 10.0) + F.greatest(F.lit(0.0), 1 - latency / 5000.0)) / 3
+    """Mean of three shares: session seconds up to half an hour, tool use up to five, and latency from five seconds down to half a second."""
+    return (F.least(F.lit(1.0), duration / 1800.0) + F.least(F.lit(1.0), tools / 5.0) + clamp((5000.0 - latency) / 4500.0)) / 3
+
+
+def dynamic_rate(active_hours: Column, base: float = 0.002, low: float = 0.0005, high: float = 0.002) -> Column:
+    """The base rate of decay, between bounds, for how many hours of a day somebody is active."""
+    return clamp(base * (0.8 + 0.4 * F.least(F.lit(1.0), active_hours / 16.0)), low, high)

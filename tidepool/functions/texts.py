@@ -11,6 +11,17 @@ KEYS = (r"sk-[A-Za-z0-9]{20,}", r"AIza[A-Za-z0-9_-]{35}", r"ghp_[A-Za-z0-9]{36}"
 HANGUL = r"[가-힯ᄀ-ᇿ㄰-㆏]"
 
 
+#: Particles and articles that a content key leaves out, in the order in which they are tried.
+PARTICLES = ("은", "는", "이", "가", "을", "를", "의", "에", "와", "과", "로", "으로", "에서", "까지", "부터", "도", "만", "뿐", "이다", "입니다", "이에요", "예요", "임", r"임\.", "'s", "is", "the", "a", "an")
+
+
+def repeat_key(text: Column) -> Column:
+    """Texts that differ in particles (inside words too), marks and spacing alone have one key of 100 characters at most."""
+    out = F.regexp_replace(strip(F.lower(text)), "|".join(PARTICLES), "")
+    out = F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{M}\p{N}_\s]", ""), r"\s+", " ")
+    return F.substring(strip(out), 1, 100)
+
+
 def strip(text: Column) -> Column:
     """White space of every kind off both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -30,9 +30,11 @@ def compile_filter(rule: dict) -> Column:
     return reduce(Column.__and__, parts, F.lit(True))
 
 
-def promotion_reason(importance: Column, repetitions: Column) -> Column:
-    """Why a memory is kept for long, or null: its importance, or repetitions with some importance."""
-    return F.when(importance >= 0.55, F.concat(F.lit("importance:"), F.format_string("%.2f", importance))).when((repetitions >= 2) & (importance >= 0.35), F.concat(F.lit("repetitions:"), repetitions.cast("string")))
+def promotion_reason(importance: Column, repetitions: Column, force: Column | None = None) -> Column:
+    """Why a memory is kept for long, or why not: by force, its importance, or repetitions with some importance."""
+    shown = F.concat(F.lit("importance:"), F.format_string("%.2f", importance))
+    reason = F.when(importance >= 0.55, shown).when((repetitions >= 2) & (importance >= 0.35), F.concat(F.lit("repetitions:"), repetitions.cast("string"), F.lit(","), shown)).otherwise(F.concat(F.lit("low_"), shown))
+    return reason if force is None else F.when(force, F.lit("forced_promotion")).otherwise(reason)
 
 
 def long_or_code(text: Column, most: int = 2000, share: float = 0.5, fences: int = 8) -> Column:

@@ -66,7 +66,7 @@ def oversize(spark, sf):
     return tables.read(spark, sf, "documents").where(long | image).select("doc_id", F.when(long, "oversize").otherwise("image").alias("reason"))
 
 
-@query("F16_promotion", "SELECT id, CASE WHEN importance >= 0.55 THEN 'importance:' || printf('%.2f', importance) WHEN repetitions >= 2 AND importance >= 0.35 THEN 'repetitions:' || repetitions END AS reason FROM memories")
+@query("F16_promotion", "SELECT id, CASE WHEN importance >= 0.55 THEN 'importance:' || printf('%.2f', importance) WHEN repetitions >= 2 AND importance >= 0.35 THEN 'repetitions:' || repetitions || ',importance:' || printf('%.2f', importance) ELSE 'low_importance:' || printf('%.2f', importance) END AS reason FROM memories")
 def promotion(spark, sf):
     return tables.memories(spark, sf).select("id", filters.promotion_reason(F.col("importance"), F.col("repetitions")).alias("reason"))
 

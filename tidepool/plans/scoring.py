@@ -42,13 +42,19 @@ def age_hours(spark, sf):
     return tables.memories(spark, sf).select("id", F.round(scores.hours_between(F.col("created_at"), tables.now()), 6).alias("hours"))
 
 
-@query("D09_engagement", "SELECT conversation_id, round((least(1.0, (epoch(max(ts)) - epoch(min(ts))) / 3600.0) + least(1.0, avg(tool_calls) / 10.0) + greatest(0.0, 1 - avg(latency_ms) / 5000.0)) / 3, 6) AS engagement FROM interactions GROUP BY 1")
+@query("D09_engagement", "SELECT conversation_id, round((least(1.0, (epoch(max(ts)) - epoch(min(ts))) / 1800.0) + least(1.0, avg(tool_calls) / 5.0) + greatest(0.0, least(1.0, (5000 - avg(latency_ms)) / 4500.0))) / 3, 6) AS engagement FROM interactions GROUP BY 1")
 def engagement(spark, sf):
     seconds = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6
     rows = tables.interactions(spark, sf).groupBy("conversation_id").agg(seconds.alias("seconds"), F.avg("tool_calls").alias("tools"), F.avg("latency_ms").alias("latency"))
     return rows.select("conversation_id", F.round(scores.engagement(F.col("seconds"), F.col("tools"), F.col("latency")), 6).alias("engagement"))
 
 
+@query("D08_dynamic_rate", "SELECT conversation_id, round(greatest(0.0005, least(0.002, 0.002 * (0.8 + 0.4 * least(1.0, count(DISTINCT hour(ts)) / 16.0)))), 6) AS rate FROM interactions GROUP BY 1")
+def dynamic_rate(spark, sf):
+    rows = tables.interactions(spark, sf).groupBy("conversation_id").agg(F.count_distinct(F.hour("ts")).alias("hours"))
+    return rows.select("conversation_id", F.round(scores.dynamic_rate(F.col("hours")), 6).alias("rate"))
+
+
 SIMPLE = f"greatest(0.3, exp(-0.001 / (1 + 0.3 * ln(1 + m.access_count)) * {HOURS.format('m.created_at')}))"
 COSINE = "list_inner_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[])) * sqrt(list_inner_product({1}::DOUBLE[], {1}::DOUBLE[])))"
 

@@ -21,6 +21,11 @@ def truncate(spark, sf):
     return docs(spark, sf).select("doc_id", texts.truncate(F.col("text"), 300).alias("text"))
 
 
+@query("X02_content_key", rf"SELECT doc_id, left({WS.format(r"regexp_replace(regexp_replace(regexp_replace(" + WS.format("lower(text)") + ", '" + "|".join(texts.PARTICLES).replace("'", "''") + r"', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')")}, 100) AS key FROM documents".replace("{{", "{").replace("}}", "}"))
+def content_key(spark, sf):
+    return docs(spark, sf).select("doc_id", texts.repeat_key(F.col("text")).alias("key"))
+
+
 @query("X03_name_key", r"SELECT entity_id, trim(regexp_replace(translate(lower(name), '_-()', '    '), '\s+', ' ', 'g')) AS key FROM entities")
 def name_key(spark, sf):
     return tables.entities(spark, sf).select("entity_id", texts.name_key(F.col("name")).alias("key"))
