@@ -144,3 +144,35 @@ def test_near_strings_lose_no_pair(spark):
 
     assert got == {(i, j) for i, a in rows for j, b in rows if i < j and (not a and not b or 1 - distance(a, b) / max(len(a), len(b), 1) >= 0.7)}
 
+
+
+def test_korean_spacing(spark):
+    said = ["안녕.반가워", "그래...좋아", "(좋아)그래", "좋아(그래", "네:그래  요", "**굵게**다", "3.5 a.b", None]
+    got = [r.t for r in spark.createDataFrame([(s,) for s in said], "t string").select(texts.korean_spacing(F.col("t")).alias("t")).collect()]
+    assert got == ["안녕. 반가워", "그래...좋아", "(좋아) 그래", "좋아 (그래", "네: 그래 요", "**굵게** 다", "3.5 a.b", None]
+
+
+def test_korean_days(spark):
+    said = ["2023년 5월 3일에", "3월 2일", "1월 31일", "15일에", "1일", "2월 30일", "3일 전", "오늘 뭐", "어제는", "없음"]
+    now = F.lit("2024-02-10 10:00:00").cast("timestamp")
+    df = spark.createDataFrame([(s,) for s in said], "t string").select(F.coalesce(dates.korean_day(F.col("t"), now), dates.korean_relative(F.col("t"), now)).alias("d"))
+    assert [str(r.d) for r in df.collect()] == ["2023-05-03", "2023-03-02", "2024-01-31", "2024-01-15", "2024-02-01", "None", "2024-02-07", "2024-02-10", "2024-02-09", "None"]
+
+
+def test_chunks_keep_their_length_and_text(spark):
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "a. ", "\n", "\n\n", "```", "x" * 30]) for _ in range(rng.randint(0, 120)))
+        parts = texts.split_message(text, 100)
+        assert all(len(p) <= 120 for p in parts)
+        assert "".join("".join(parts).split()) == "".join(text.split())
+    df = spark.createDataFrame([("short",), ("a" * 50 + ". " + "b" * 60,), ("",), (None,)], "t string")
+    assert [r.c for r in df.select(texts.chunked(F.col("t"), 80).alias("c")).collect()] == [["short"], ["a" * 50 + ".", "b" * 60], [""], []]
+
+
+def test_keyword_query_takes_the_most_mentioned(spark):
+    e = spark.createDataFrame([("a", "Red Fox", 5), ("b", "red dog", 9), ("c", "blue cat", 1), ("d", "fox", 2), ("e", "owl", 7)], "entity_id string, name string, mentions long")
+    r = spark.createDataFrame([("a", "c", "r", 0.9), ("c", "e", "r", 0.5), ("d", "e", "r", 0.7)], "source_id string, target_id string, relation_type string, weight double")
+    found, near = graph.keyword_query(e, r, ["is", "red", "fox"], depth=1, most=3)
+    assert {x.entity_id for x in found.collect()} == {"b", "a", "c"}
+    assert [(x.source_id, x.target_id) for x in near.collect()] == [("a", "c"), ("c", "e")]

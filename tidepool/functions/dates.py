@@ -41,3 +41,20 @@ def iso_day(text: Column) -> Column:
 def any_day(text: Column, today: Column) -> Column:
     """The first rule that finds a day: a month and day, a relative day, then an ISO date."""
     return F.coalesce(month_day(text, today), relative_day(text, today), iso_day(text))
+
+
+def korean_day(text: Column, today: Column) -> Column:
+    """A month and day with or without a year (one to come is last year's), or a day alone (one to come is last month's)."""
+    full, alone = r"(?:(\d{4})년\s*)?(\d{1,2})월\s*(\d{1,2})일", r"(?<![0-9월])(\d{1,2})일(?!\s*전)"
+    year = F.coalesce(F.when(F.regexp_extract(text, full, 1) != "", F.regexp_extract(text, full, 1)).cast("int"), F.year(today))
+    named = _day(year, _int(text, full, 2), _int(text, full, 3))
+    last_year = _day(year - 1, _int(text, full, 2), _int(text, full, 3))
+    day = _int(text, alone, 1)
+    month = F.when(day > F.dayofmonth(today), F.add_months(F.trunc(today, "month"), -1)).otherwise(F.trunc(today, "month"))
+    return F.when(text.rlike(full), F.when(named > F.to_date(today), last_year).otherwise(named)).otherwise(_day(F.year(month), F.month(month), day))
+
+
+def korean_relative(text: Column, today: Column) -> Column:
+    """Today, yesterday, and "n days ago"."""
+    day = F.to_date(today)
+    return F.when(text.contains("오늘"), day).when(text.contains("어제"), F.date_sub(day, 1)).otherwise(F.date_sub(day, _int(text, r"(\d{1,5})\s*일\s*전", 1)))

@@ -106,3 +106,56 @@ def abbreviated(text: Column, terms: tuple[tuple[str, str], ...]) -> Column:
     for long, short in terms:
         text = F.replace(text, F.lit(long), F.lit(short))
     return text
+
+
+def korean_spacing(text: Column) -> Column:
+    """A blank after sentence ends (but for dots in a row), closing brackets, colons and stars before Hangul, and before brackets after it;
+    blanks in a row become one."""
+    h = HANGUL
+    gaps = rf"((?<!\.)\.(?={h})|[!?\])}}:*](?={h})|{h}(?=[\[({{]))"
+    return F.regexp_replace(F.regexp_replace(text, " {2,}", " "), gaps, "$1 ")
+
+
+def chunked(text: Column, most: int = 2000) -> Column:
+    """A message as pieces of at most ``most`` characters (a fifth more to keep fenced code whole), cut where it reads best."""
+    @F.pandas_udf("array<string>")
+    def pieces(column):
+        return column.map(lambda x: [] if x is None else split_message(x, most))
+
+    return pieces(text)
+
+
+def split_message(text: str, most: int) -> list[str]:
+    parts, rest = [], text
+    while len(rest) > most:
+        cut = _cut(rest, most)
+        if part := rest[:cut].rstrip():
+            parts.append(part)
+        rest = rest[cut:].lstrip("\n")
+    return [*parts, rest] if rest or not parts else parts
+
+
+def _cut(text: str, most: int) -> int:
+    head = text[:most]
+    if head.count("```") % 2:
+        # inside fenced code: to its end if that is near, else before it
+        begin = head.rfind("```")
+        end = text.find("```", begin + 3) + 3
+        if 3 <= end <= 1.2 * most:
+            return end
+        if begin > 0:
+            return begin
+    for mark in ("\n\n", "\n", ". ", "! ", "? ", " "):
+        at = head.rfind(mark)
+        if at > most // 2:
+            return at + len(mark)
+    return most
+
+
+def korean_age(hours: Column, day: Column) -> Column:
+    days = F.floor(hours / 24)
+    unit = lambda n, word: F.concat(n.cast("string"), F.lit(word))
+    return (
+        F.when(hours < 1, F.lit("방금")).when(hours < 24, unit(F.floor(hours), "시간 전")).when(days == 1, F.lit("어제")).when(days < 7, unit(days, "일 전"))
+        .when(days < 30, unit(F.floor(days / 7), "주 전")).when(days < 365, unit(F.floor(days / 30), "개월 전")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    )

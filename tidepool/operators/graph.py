@@ -102,3 +102,18 @@ def upsert_relations(old: DataFrame, new: DataFrame, step: float = 0.1) -> DataF
     rows = old.select("source_id", "target_id", "relation_type", "weight", F.lit(0).alias("again")).unionByName(new.select("source_id", "target_id", "relation_type", "weight", F.lit(1).alias("again")))
     keyed = rows.groupBy("source_id", "target_id", "relation_type").agg(F.min(F.struct("again", "weight"))["weight"].alias("first"), F.count("*").alias("n"))
     return keyed.select("source_id", "target_id", "relation_type", (F.col("first") + step * (F.col("n") - 1)).alias("weight"))
+
+
+def keyword_query(entities: DataFrame, relations: DataFrame, words: list[str], depth: int = 2, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) around the words of a question: two matches a word by mentions, three seeds, their neighbours, of which the
+    ``most`` mentioned stay (then by id), and ten relations of these."""
+    asked = [w.lower() for w in words if len(w) > 2]
+    hit = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(w).alias("word")) for k, w in enumerate(asked)]), lambda w: F.contains(F.lower("name"), w["word"])))
+    found = entities.select("entity_id", "mentions", hit.alias("w"))
+    rank = F.row_number().over(Window.partitionBy("w.place").orderBy(F.desc("mentions"), "entity_id"))
+    seeds = found.withColumn("k", rank).where("k <= 2").orderBy("w.place", "k").limit(3).select(F.col("entity_id").alias("start")).distinct()
+    around = neighbours(relations, seeds, depth).select(F.col("node").alias("entity_id")).distinct()
+    kept = _cut(entities.join(around, "entity_id").orderBy(F.desc("mentions"), "entity_id").limit(most))
+    ends = F.broadcast(kept.select(F.col("entity_id").alias("e")))  # ``most`` rows
+    near = relations.join(ends, (F.col("source_id") == F.col("e")) | (F.col("target_id") == F.col("e")), "left_semi")
+    return kept, near.orderBy(F.desc("weight"), "source_id", "target_id").limit(10)
