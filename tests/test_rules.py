@@ -176,3 +176,27 @@ def test_keyword_query_takes_the_most_mentioned(spark):
     found, near = graph.keyword_query(e, r, ["is", "red", "fox"], depth=1, most=3)
     assert {x.entity_id for x in found.collect()} == {"b", "a", "c"}
     assert [(x.source_id, x.target_id) for x in near.collect()] == [("a", "c"), ("c", "e")]
+
+
+def test_files(spark, tmp_path):
+    from tidepool.sources import files
+
+    (tmp_path / "a.md").write_text("---\nsource: x\nsaved_at: now\n---\nbody\n---\nmore")
+    (tmp_path / "b.log").write_text("\n".join(f"line {k}" for k in range(50)) + "\n")
+    (tmp_path / "c.bin").write_bytes(b"\0" * 10)
+    assert sorted(r.suffix for r in files.listing(spark, str(tmp_path)).collect()) == ["bin", "log", "md"]
+    rows = files.whole_texts(spark, str(tmp_path))
+    assert rows.count() == 2
+    assert [r.line for r in files.tail(rows.where("path LIKE '%.log'"), 2).orderBy("line_no").collect()] == ["line 48", "line 49"]
+    one = rows.where("path LIKE '%.md'").select(files.body(F.col("text")).alias("b"), files.front_matter(F.col("text"), "source").alias("s")).first()
+    assert (one.b, one.s) == ("body\n---\nmore", "x")
+
+
+def test_colours_summaries_and_elapsed_time(spark):
+    df = spark.createDataFrame([("#ff8000",), ("#f80",), ("rgb(1, 2, 3)",), ("red-ish",)], "t string")
+    assert [r.c for r in df.select(texts.colour(F.col("t")).alias("c")).collect()] == [[255, 128, 0], [255, 136, 0], [1, 2, 3], None]
+    long = "First sentence is here. Second one.\nshort\nAnother paragraph with words! And more."
+    row = spark.createDataFrame([(long,)], "t string").select(texts.summary(F.col("t"), F.lit("Title")).alias("s")).first()
+    assert row.s == "Title\nFirst sentence is here. Another paragraph with words!"
+    got = spark.createDataFrame([(s,) for s in (5, 100, 2000, 8000, 50_000, 200_000)], "s long").select(texts.elapsed_label(F.col("s")).alias("l")).collect()
+    assert [r.l for r in got] == ["", "pause of 1 minutes", "resumed after 33 minutes", "back after 2 hours", "new session after 13 hours", "back after 2 days"]

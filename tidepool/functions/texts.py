@@ -70,11 +70,18 @@ def urls(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"https?://[^\s<>\"')]+"), F.lit(0))
 
 
+#: What isn't spoken, and what stays of it, in this order.
+UNSPOKEN = (
+    (r"\*\*(.+?)\*\*", 1), (r"\*(.+?)\*", 1), (r"`(.+?)`", 1), (r"#{1,6}\s*", 0), (r"\[(.+?)\]\(.+?\)", 1), (r"```[\s\S]*?```", 0),
+    (r"[^\p{L}\p{N}_\s,.!?;:'\"()~\-]", 0),
+)
+
+
 def spoken(text: Column) -> Column:
-    """Without Markdown: code, images, links, marks of emphasis, headings and lists."""
-    for pattern, to in ((r"`[^`\n]*`", ""), (r"(?s)```.*?```", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"[*_~]{1,3}", ""), (r"(?m)^#+ *", ""), (r"(?m)^ *[-+] +", ""), (r"[ \t]+", " ")):
-        text = F.regexp_replace(text, pattern, to)
-    return strip(text)
+    """A text to be read aloud: without marks of emphasis, headings, links, code fences and symbols."""
+    for pattern, kept in UNSPOKEN:
+        text = F.regexp_replace(text, pattern, f"${kept}" if kept else "")
+    return strip(F.regexp_replace(text, r"\s+", " "))
 
 
 def style(text: Column, hedges: tuple[str, ...] = ("maybe", "perhaps", "might", "could")) -> tuple[Column, Column]:
@@ -159,3 +166,28 @@ def korean_age(hours: Column, day: Column) -> Column:
         F.when(hours < 1, F.lit("방금")).when(hours < 24, unit(F.floor(hours), "시간 전")).when(days == 1, F.lit("어제")).when(days < 7, unit(days, "일 전"))
         .when(days < 30, unit(F.floor(days / 7), "주 전")).when(days < 365, unit(F.floor(days / 30), "개월 전")).otherwise(F.date_format(day, "yyyy-MM-dd"))
     )
+
+
+def summary(text: Column, title: Column, paragraphs: int = 4, most: int = 500) -> Column:
+    """The title and the first sentences of the first paragraphs."""
+    parts = F.slice(F.filter(F.split(text, r"\n\s*\n|\n"), lambda p: F.char_length(F.trim(p)) > 20), 1, paragraphs)
+    firsts = F.transform(parts, lambda p: F.regexp_extract(strip(p), r"(?s)^(.*?[.!?])(?:\s|$)|^(.*)$", 0))
+    return F.substring(F.concat_ws("\n", title, F.array_join(F.transform(firsts, strip), " ")), 1, most)
+
+
+def elapsed_label(seconds: Column) -> Column:
+    """Six bands of the time since the last message."""
+    unit = lambda n, word: F.concat(F.floor(seconds / n).cast("string"), F.lit(word))
+    return (
+        F.when(seconds < 30, F.lit("")).when(seconds < 300, F.concat(F.lit("pause of "), unit(60, " minutes"))).when(seconds < 3600, F.concat(F.lit("resumed after "), unit(60, " minutes")))
+        .when(seconds < 21_600, F.concat(F.lit("back after "), unit(3600, " hours"))).when(seconds < 86_400, F.concat(F.lit("new session after "), unit(3600, " hours"))).otherwise(F.concat(F.lit("back after "), unit(86_400, " days")))
+    )
+
+
+def colour(text: Column) -> Column:
+    """Red, green and blue of "#rgb", "#rrggbb" or "rgb(r, g, b)"; null for others."""
+    hexed, short = r"^#?([0-9a-fA-F]{2})([0-9a-fA-F]{2})([0-9a-fA-F]{2})$", r"^#([0-9a-fA-F])([0-9a-fA-F])([0-9a-fA-F])$"
+    named = r"^rgb\((\d{1,3}),\s*(\d{1,3}),\s*(\d{1,3})\)$"
+    part = lambda p, k, base, twice=False: F.conv(F.repeat(F.regexp_extract(text, p, k), 2 if twice else 1), base, 10).cast("int")
+    three = lambda p, base, twice=False: F.array(*[part(p, k, base, twice) for k in (1, 2, 3)])
+    return F.when(text.rlike(hexed), three(hexed, 16)).when(text.rlike(short), three(short, 16, True)).when(text.rlike(named), three(named, 10))
