@@ -16,7 +16,8 @@ def compile_filter(rule: dict) -> Column:
     parts = []
     for key, value in rule.items():
         if key in ("$and", "$or"):
-            parts.append(reduce(lambda a, b: a & b if key == "$and" else a | b, map(compile_filter, value), F.lit(key == "$and")) if not value else reduce(Column.__and__ if key == "$and" else Column.__or__, map(compile_filter, value)))
+            join = Column.__and__ if key == "$and" else Column.__or__
+            parts.append(reduce(join, map(compile_filter, value)) if value else F.lit(key == "$and"))
         elif isinstance(value, dict):
             for op, x in value.items():
                 if op == "$in":
