@@ -12,7 +12,8 @@ documents link when their sets' Jaccard similarity reaches a threshold. The way:
    first n - o + l tokens of two similar sets share l at least. Each class takes
    the l from 1 to 8 that costs least, by the sketch's estimate of the candidates
    that its prefix meets; a pair is verified only when it shares as many tokens
-   as the smaller l of both. Positions of shared tokens bound the overlap further.
+   as the smaller l of both. Positions of shared tokens, and how many tokens before them
+   no other prefix has, bound the overlap further.
 4. Prefix tokens are joined in two steps, so that a large group of similar
    documents costs no pairs of all with all. First each token's documents meet
    only the most central one among them; verified links give components. Then
@@ -34,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe import batches
@@ -123,7 +124,7 @@ def _sketch(rows: DataFrame, k: int) -> np.ndarray:
     def count(parts):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for part in parts:
-            for texts in batches(part.column(1), 2_000_000):
+            for texts in batches(part.column(1), 500_000):
                 h = np.concatenate([*shingle_sets(texts, k), np.zeros(0, U)])
                 counts += np.bincount(h >> U(64 - SKETCH_BITS), minlength=len(counts)).astype(np.uint32)
         if counts.any():
@@ -171,7 +172,7 @@ def _describe(rows: DataFrame, k: int, num: int, den: int, weights) -> DataFrame
     def run(parts):
         for part in parts:
             ids, seen = part.column(0), 0
-            for texts in batches(part.column(1), 2_000_000):
+            for texts in batches(part.column(1), 500_000):
                 sets = shingle_sets(texts, k)
                 out = []
                 for s in sets:
@@ -204,7 +205,8 @@ def _candidates(pairs: DataFrame, num: int, den: int) -> DataFrame:
     l, r = F.col("l"), F.col("r")
     small, large = F.when(l["n"] <= r["n"], l), F.when(l["n"] <= r["n"], r)
     need = F.ceil(F.lit(num) * (l["n"] + r["n"]) / F.lit(num + den))
-    bound = F.least(l["pos"], r["pos"]) + 1 + F.least(l["n"] - l["pos"], r["n"] - r["pos"]) - 1
+    # what comes before the token in both and could be common, and what is left from it on
+    bound = F.least(l["live"], r["live"]) + F.least(l["n"] - l["pos"], r["n"] - r["pos"])
     meets = (F.least(l["n"], r["n"]) * den >= F.greatest(l["n"], r["n"]) * num) & (bound >= need)
     # the smaller of the two has the token in its shorter prefix
     meets &= ((l["n"] <= r["n"]) & (l["pos"] < l["short"])) | ((r["n"] <= l["n"]) & (r["pos"] < r["short"]))
@@ -248,7 +250,7 @@ def _sets(rows: DataFrame, ids: DataFrame, id: str, k: int) -> DataFrame:
             part = part.filter(pa.compute.is_valid(part.column(0)))
             at = _places(part.column(0).to_numpy(zero_copy_only=False), bits)
             part, seen = part.filter(pa.array((bitmap.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))), 0
-            for texts in batches(part.column(1), 2_000_000):
+            for texts in batches(part.column(1), 500_000):
                 sets = [x.tobytes() for x in shingle_sets(texts, k)]
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(seen, len(texts)), pa.array(sets, pa.binary())], [id, f"set_{id}"])
                 seen += len(texts)
@@ -287,7 +289,9 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     posted = own.groupBy("fp").agg(F.min_by(F.struct("doc_id", "tokens"), "doc_id").alias("c")).select(F.col("c.doc_id").alias("doc"), F.posexplode("c.tokens").alias("pos", "token"))
     repeated = posted.groupBy("token").count().where("count > 1").select("token")
     shared = posted.join(repeated, "token").join(meta, "doc")
-    shared = written(shared.select("token", F.struct("strange", "doc", "n", "ell", "short", "pos").alias("d")))
+    # tokens before a shared one that no other prefix has are in no document that has the shared one in its prefix
+    live = F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1
+    shared = written(shared.select("token", F.struct("strange", "doc", "n", "ell", "short", "pos", live.alias("live")).alias("d")))
 
     # the most central document of a token's is that with the fewest rare shingles
     centres = shared.groupBy("token").agg(F.min("d").alias("centre"))
