@@ -154,7 +154,7 @@ def old_sample(spark, sf):
 
 @query("L09_section_order", "SELECT id, row_number() OVER (ORDER BY id % 5, id) AS place FROM memories WHERE id < 100")
 def section_order(spark, sf):
-    return tables.memories(spark, sf).where("id < 100").select("id", F.row_number().over(Window.orderBy(F.col("id") % 5, "id")).alias("place"))
+    return tables.memories(spark, sf).where("id < 100").select("id", F.row_number().over(Window.orderBy(F.col("id") % 5, "id")).cast("long").alias("place"))
 
 
 @query("L11_recent_tasks", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
@@ -300,4 +300,4 @@ def retrieve_context(spark, sf):
     near = F.broadcast(similarity.to_query(v, similarity.vector_of(v, 5)).orderBy(F.desc("similarity"), "vec_id").limit(10))
     rows = tables.memories(spark, sf).join(near, F.col("id") == F.col("vec_id"))
     age = F.when(F.col("created_at") > tables.now() - F.expr("interval 24 hours"), "LATEST").otherwise("OLD")
-    return rows.select("id", age.alias("age"), F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).alias("place"))
+    return rows.select("id", age.alias("age"), F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("long").alias("place"))

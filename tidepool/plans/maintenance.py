@@ -154,7 +154,7 @@ def expired_sessions(spark, sf):
     return rows.select("session_id", F.coalesce("summary", F.concat(F.lit("turns: "), F.col("turns").cast("string"))).alias("summary"))
 
 
-@query("P15_interaction_report", "SELECT model, tier, count(*) AS calls, round(avg(latency_ms), 6) AS latency, count_if(refused) AS refused FROM interactions GROUP BY 1, 2")
+@query("P15_interaction_report", "SELECT model, tier, count(*) AS calls, round(avg(latency_ms), 6) AS latency, count(*) FILTER (refused) AS refused FROM interactions GROUP BY 1, 2")
 def interaction_report(spark, sf):
     return tables.interactions(spark, sf).groupBy("model", "tier").agg(F.count("*").alias("calls"), F.round(F.avg("latency_ms"), 6).alias("latency"), F.count_if("refused").alias("refused"))
 

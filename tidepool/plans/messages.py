@@ -203,7 +203,7 @@ def confidence_decay(spark, sf):
 def chronological(spark, sf):
     hits = tables.memories(spark, sf).orderBy(F.desc("importance"), "id").limit(50)
     w = Window.orderBy(F.desc(F.coalesce("created_at", F.lit("1970-01-01").cast("timestamp"))), "id")
-    return hits.select("id", F.row_number().over(w).alias("place"))
+    return hits.select("id", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("U01_bag_union", "SELECT 'memory' AS store, id FROM memories UNION ALL SELECT 'session', session_id FROM sessions")

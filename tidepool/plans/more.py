@@ -190,7 +190,7 @@ def partners(spark, sf):
     return tables.relations(spark, sf).select(ends.alias("e")).groupBy("e.id").agg(F.count_distinct("e.o").alias("partners"))
 
 
-@query("A30_hit_rate", "SELECT model, count(*) AS n, round(count_if(NOT refused) / count(*)::DOUBLE, 6) AS rate FROM interactions GROUP BY 1")
+@query("A30_hit_rate", "SELECT model, count(*) AS n, round(count(*) FILTER (NOT refused) / count(*)::DOUBLE, 6) AS rate FROM interactions GROUP BY 1")
 def hit_rate(spark, sf):
     return tables.interactions(spark, sf).groupBy("model").agg(F.count("*").alias("n"), F.round(F.count_if(~F.col("refused")) / F.count("*"), 6).alias("rate"))
 
@@ -201,7 +201,7 @@ def database_stats(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("A36_error_counts", "SELECT model, count_if(refused) AS errors, count_if(refused) >= 30 AS over FROM interactions GROUP BY 1")
+@query("A36_error_counts", "SELECT model, count(*) FILTER (refused) AS errors, count(*) FILTER (refused) >= 30 AS over FROM interactions GROUP BY 1")
 def error_counts(spark, sf):
     n = F.count_if("refused")
     return tables.interactions(spark, sf).groupBy("model").agg(n.alias("errors"), (n >= 30).alias("over"))
@@ -302,14 +302,14 @@ def seconds_between(spark, sf):
     return tables.sessions(spark, sf).select("session_id", (F.unix_timestamp("ended_at") - F.unix_timestamp("started_at")).alias("seconds"))
 
 
-@query("K18_conditional_counts", "SELECT conversation_id, count_if(refused) AS refused, sum(CASE WHEN tool_calls > 0 THEN tokens_in ELSE 0 END)::BIGINT AS tokens FROM interactions GROUP BY 1")
+@query("K18_conditional_counts", "SELECT conversation_id, count(*) FILTER (refused) AS refused, sum(CASE WHEN tool_calls > 0 THEN tokens_in ELSE 0 END)::BIGINT AS tokens FROM interactions GROUP BY 1")
 def conditional_counts(spark, sf):
     return tables.interactions(spark, sf).groupBy("conversation_id").agg(F.count_if("refused").alias("refused"), F.sum(F.when(F.col("tool_calls") > 0, F.col("tokens_in")).otherwise(0)).alias("tokens"))
 
 
 @query("K19_null_order", "SELECT session_id, row_number() OVER (ORDER BY summary DESC NULLS LAST, session_id) AS place FROM sessions")
 def null_order(spark, sf):
-    return tables.sessions(spark, sf).select("session_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("summary"), "session_id")).alias("place"))
+    return tables.sessions(spark, sf).select("session_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("summary"), "session_id")).cast("long").alias("place"))
 
 
 @query("K21_upsert", "SELECT id, CASE WHEN id % 3 = 0 THEN 1.0 ELSE importance END::DOUBLE AS importance FROM memories UNION ALL SELECT -1, 1.0")
@@ -389,7 +389,7 @@ def vector_gc(spark, sf):
     return rows.select(F.when(F.col("x") < F.col("y"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
 
 
-@query("P09_verification", "SELECT count_if(content IS NULL) AS nulls, count_if(length(content) > 5000) AS long, count(*) - count(DISTINCT id) AS repeated FROM memories")
+@query("P09_verification", "SELECT count(*) FILTER (content IS NULL) AS nulls, count(*) FILTER (length(content) > 5000) AS long, count(*) - count(DISTINCT id) AS repeated FROM memories")
 def verification(spark, sf):
     return tables.memories(spark, sf).agg(F.count_if(F.col("content").isNull()).alias("nulls"), F.count_if(F.char_length("content") > 5000).alias("long"), (F.count("*") - F.count_distinct("id")).alias("repeated"))
 

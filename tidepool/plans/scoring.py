@@ -163,4 +163,4 @@ def near_duplicate_strings(spark, sf):
 @query("W05_top_edges", "SELECT source_id, target_id, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, target_id, relation_type) AS rank FROM relations) WHERE rank <= 10")
 def top_edges(spark, sf):
     w = Window.partitionBy("source_id").orderBy(F.desc("weight"), "target_id", "relation_type")
-    return tables.relations(spark, sf).select("source_id", "target_id", "weight", F.row_number().over(w).alias("rank")).where("rank <= 10")
+    return tables.relations(spark, sf).select("source_id", "target_id", "weight", F.row_number().over(w).cast("long").alias("rank")).where("rank <= 10")

@@ -42,7 +42,7 @@ def hot_memories(spark, sf):
     return used.groupBy("memory_id").agg(F.count("*").alias("accesses"), F.count_distinct("channel_id").alias("channels")).orderBy(F.desc("accesses"), "memory_id").limit(20)
 
 
-@query("A06_distinct_objects", "SELECT tier, to_json(list_sort(list(DISTINCT {'model': model, 'calls': tool_calls}) FILTER (tool_calls > 1))) AS objects FROM interactions GROUP BY tier")
+@query("A06_distinct_objects", "SELECT tier, to_json(list_sort(list(DISTINCT {'model': model, 'calls': tool_calls}) FILTER (tool_calls > 1)))::VARCHAR AS objects FROM interactions GROUP BY tier")
 def distinct_objects(spark, sf):
     rows = tables.interactions(spark, sf).where("tool_calls > 1")
     return rows.groupBy("tier").agg(F.to_json(F.sort_array(F.collect_set(F.struct("model", F.col("tool_calls").alias("calls"))))).alias("objects"))
@@ -105,7 +105,7 @@ def topic_groups(spark, sf):
     return rows.groupBy("topic").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids")).where("n >= 2")
 
 
-@query("A17_category_counts", "SELECT count_if(regexp_matches(text, '(?i)the')) AS a, count_if(regexp_matches(text, '(?i)licen[cs]e')) AS b, count_if(regexp_matches(text, '[0-9]{6,}')) AS c FROM documents")
+@query("A17_category_counts", "SELECT count(*) FILTER (regexp_matches(text, '(?i)the')) AS a, count(*) FILTER (regexp_matches(text, '(?i)licen[cs]e')) AS b, count(*) FILTER (regexp_matches(text, '[0-9]{6,}')) AS c FROM documents")
 def category_counts(spark, sf):
     hit = lambda p: F.count_if(F.col("text").rlike(p))
     return tables.read(spark, sf, "documents").agg(hit("(?i)the").alias("a"), hit("(?i)licen[cs]e").alias("b"), hit("[0-9]{6,}").alias("c"))
@@ -135,13 +135,13 @@ def peak_hours(spark, sf):
     return day.crossJoin(limit).where("n > most").select("hour", "n")  # one row of limits
 
 
-@query("A23_histogram", "SELECT b AS bound, count_if(latency_ms <= b) AS n FROM interactions, (VALUES (1.0), (5.0), (10.0), (50.0), (100.0), (500.0)) v(b) GROUP BY b")
+@query("A23_histogram", "SELECT b::DOUBLE AS bound, count(*) FILTER (latency_ms <= b) AS n FROM interactions, (VALUES (1.0), (5.0), (10.0), (50.0), (100.0), (500.0)) v(b) GROUP BY b")
 def histogram(spark, sf):
     found = tables.interactions(spark, sf).agg(*[F.count_if(F.col("latency_ms") <= b).alias(f"b{k}") for k, b in enumerate((1.0, 5.0, 10.0, 50.0, 100.0, 500.0))])
     return found.select(F.explode(F.array(*[F.struct(F.lit(b).alias("bound"), F.col(f"b{k}").alias("n")) for k, b in enumerate((1.0, 5.0, 10.0, 50.0, 100.0, 500.0))])).alias("x")).select("x.*")
 
 
-@query("A24_tool_metrics", "SELECT model AS tool, count(*) AS calls, count_if(NOT refused) AS success, count_if(refused) AS errors, round(avg(latency_ms), 6) AS latency, max(id) FILTER (refused) AS last_error FROM interactions GROUP BY model")
+@query("A24_tool_metrics", "SELECT model AS tool, count(*) AS calls, count(*) FILTER (NOT refused) AS success, count(*) FILTER (refused) AS errors, round(avg(latency_ms), 6) AS latency, max(id) FILTER (refused) AS last_error FROM interactions GROUP BY model")
 def tool_metrics(spark, sf):
     c = F.col
     return tables.interactions(spark, sf).groupBy(c("model").alias("tool")).agg(F.count("*").alias("calls"), F.count_if(~c("refused")).alias("success"), F.count_if("refused").alias("errors"), F.round(F.avg("latency_ms"), 6).alias("latency"), F.max(F.when(c("refused"), c("id"))).alias("last_error"))
