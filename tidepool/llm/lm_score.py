@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe import batches
-from tidepool.llm.common import written
+from tidepool.llm.common import discard, written
 
 #: Words of both models beside the unknown word, and the weight of unigrams and of the uniform distribution.
 VOCABULARY, UNIGRAM, UNIFORM = 65_000, 0.3, 0.01
@@ -70,6 +70,27 @@ def _count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long")
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list[str]:
+    """The ``most`` words with the largest counts, then by word. A sorted limit would send as many from each partition to the driver;
+    here the words are sorted over all partitions, the driver gets the partitions' sizes, and then no more than the words it keeps."""
+    order = [F.desc("n"), F.asc("word")]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = written(counts.repartitionByRange(*order).sortWithinPartitions(*order).select("word", F.spark_partition_id().alias("part"), place.alias("place")))
+    sizes = sorted(map(tuple, ranked.groupBy("part").count().collect()))
+    left = most
+    for part, n in sizes:
+        if left >= n:
+            left -= n
+        else:
+            keep = (F.col("part") < part) | ((F.col("part") == part) & (F.col("place") < left))
+            break
+    else:
+        keep = F.lit(True)
+    found = ranked.where(keep).toPandas().sort_values(["part", "place"])["word"].tolist()
+    discard(ranked)
+    return found
+
+
 class Words:
     """The vocabulary, and both models' unigram counts."""
 
@@ -253,7 +274,7 @@ def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(False).alias("target"))
     wanted = target.select(F.lit(None).cast("long").alias("doc_id"), F.col(target_text).alias("text"), F.lit(True).alias("target"))
-    listed = _count_words(own).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").toPandas()["word"]
+    listed = _most_frequent(_count_words(own).groupBy("word").agg(F.sum("n").alias("n")), vocabulary)
     known = spark.sparkContext.broadcast(tuple(listed))
     size = len(listed) + FIRST
 
