@@ -38,7 +38,7 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Kinds of characters.
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Words that a worker keeps with their ids; beyond, it starts anew.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 500_000
 #: Words of more bytes are encoded one by one.
 LONG_WORD = 48
 
@@ -363,7 +363,7 @@ def encoder(path: str = VOCABULARY) -> Encoder:
     return Encoder(path)
 
 
-def batches(column, most: int = 4_000_000):
+def batches(column, most: int = 500_000):
     """Texts of an Arrow column in lists of about ``most`` characters; null is empty."""
     found, size = [], 0
     for x in column.to_pylist():

@@ -126,7 +126,8 @@ def _sketch(rows: DataFrame, k: int) -> np.ndarray:
         for part in parts:
             for texts in batches(part.column(1), 500_000):
                 h = np.concatenate([*shingle_sets(texts, k), np.zeros(0, U)])
-                counts += np.bincount(h >> U(64 - SKETCH_BITS), minlength=len(counts)).astype(np.uint32)
+                buckets, n = np.unique((h >> U(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                counts[buckets] += n.astype(np.uint32)
         if counts.any():
             slices = counts.reshape(-1, 1 << SLICE_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(slices)), pa.int32()), pa.array([x.tobytes() for x in slices], pa.binary())], ["slice", "counts"])
