@@ -131,9 +131,9 @@ def query_scan(spark, sf):
 
 @query("J24_path_pairs")
 def path_pairs(spark, sf):
-    found = graph.neighbours(tables.relations(spark, sf).where("relation_type <> 'supplies'"), spark.createDataFrame([("s:1",)], "start string"), 1).select(F.col("node").alias("n"))
+    found = graph.neighbours(tables.relations(spark, sf), spark.createDataFrame([("s:1",)], "start string"), 1).select(F.col("node").alias("n"))
     pairs = found.crossJoin(F.broadcast(found.withColumnRenamed("n", "m"))).where("n < m").orderBy("n", "m").limit(10).select(F.col("n").alias("source"), F.col("m").alias("target"))  # a handful of entities of one query
-    return graph.shortest_paths(tables.relations(spark, sf).where("relation_type <> 'supplies'"), pairs, 3).withColumn("path", F.array_join("path", ">"))
+    return graph.shortest_paths(tables.relations(spark, sf), pairs, 3).withColumn("path", F.array_join("path", ">"))
 
 
 @query("L02_hybrid_rank")
@@ -179,7 +179,7 @@ def entity_add(spark, sf):
 
 @query("G12_keyword_query")
 def keyword_query(spark, sf):
-    found, _ = graph.keyword_query(tables.entities(spark, sf), tables.relations(spark, sf).where("relation_type <> 'supplies'"), "trade of asia with nation_3 and nation_7".split())
+    found, _ = graph.keyword_query(tables.entities(spark, sf), tables.relations(spark, sf), "trade of asia with nation_3 and nation_7".split())
     return found.select("entity_id", "mentions")
 
 

@@ -38,7 +38,7 @@ def cosine_batch(spark, sf):
 
 @query("D22_text_ratio")
 def text_ratio(spark, sf):
-    docs = tables.read(spark, sf, "documents").where("doc_id < 200")
+    docs = tables.read(spark, sf, "documents")
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     return docs.join(other, "doc_id").select("doc_id", F.round(similarity.block_ratio(F.col("text"), F.col("other")), 6).alias("ratio"))
 

@@ -92,7 +92,7 @@ def merge_candidates(spark, sf):
 
 @query("X15_channel_chunks")
 def channel_chunks(spark, sf):
-    rows = tables.read(spark, sf, "documents").where("doc_id % 2 = 0")
+    rows = tables.read(spark, sf, "documents")
     short, long = (rows.select("doc_id", F.lit(name).alias("channel"), F.posexplode(texts.chunked(F.col("text"), most)).alias("place", "chunk")) for name, most in (("short", 2000), ("long", 4096)))
     return short.unionByName(long)
 
