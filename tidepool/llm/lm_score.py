@@ -1,27 +1,29 @@
 """Scores by cross-entropy difference of two word n-gram models.
 
 A target model (of texts like those wanted) and a background model (of all
-documents) are made alike: bigrams interpolated with unigrams, and both over one
-vocabulary, the most frequent words of the background with all other words as one
-unknown word. A document's score is the mean over its tokens of the loss under the
-target model less that under the background model; low scores are like the target.
+documents) are made alike: bigrams interpolated with unigrams, over all words of
+both. A word is the 64-bit hash of its letters, so no list of words is gathered and
+no word is left out, whatever the input's size. A document's score is the mean over
+its tokens of the loss under the target model less that under the background model;
+low scores are like the target.
 
 Counting and scoring gather from the whole corpus:
 
-1. Words of all documents are counted, and the vocabulary's words and counts (at
-   most ``vocabulary`` rows, so the size is bounded) go to every task.
-2. Each chunk of documents gives its distinct bigrams with counts, packed by hash
+1. Each chunk of documents gives its distinct bigrams with counts, packed by hash
    bucket; buckets add them up for background and target.
+2. Each bucket sends the counts of its words to buckets of words, which add them up
+   and send the sums back, so a bucket has all that the losses of its bigrams need.
 3. Each chunk gives its (bigram, document) counts, packed by the same buckets and
    dealt over salts, so a frequent bigram's documents lie in many tasks. Each task
-   reads a bucket's counts once, then chunk after chunk, and gives sums of loss
-   differences for the documents of each, which add up to scores.
+   reads a bucket's loss differences once, then chunk after chunk, and gives sums of
+   them for the documents of each, which add up to scores.
 
 Sums are whole numbers (loss in 2**-20 nats), so the order of tasks doesn't matter.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from functools import lru_cache
@@ -36,13 +38,15 @@ from pyspark.sql import functions as F
 from tidepool.llm.bpe import batches
 from tidepool.llm.common import discard, written
 
-#: Words of both models beside the unknown word, and the weight of unigrams and of the uniform distribution.
-VOCABULARY, UNIGRAM, UNIFORM = 65_000, 0.3, 0.01
+#: The weight of unigrams and of the uniform distribution.
+UNIGRAM, UNIFORM = 0.3, 0.01
 WORD = re.compile(r"\w+|[^\w\s]+")
-#: The unknown word and the beginning of a text; words of the vocabulary follow.
+#: The unknown word and the beginning of a text; hashes of words are larger.
 UNKNOWN, BEGIN, FIRST = 0, 1, 2
 #: Tokens of a chunk, about; salts over which a bucket's documents are dealt.
 CHUNK, SALTS, SCALE = 2_000_000, 4, 1 << 20
+#: Hashes that a worker keeps; a bigram is context * ODD + word, modulo 2**64.
+KEPT, ODD = 200_000, np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
@@ -91,18 +95,24 @@ def _most_frequent(counts: DataFrame, most: int) -> list[str]:
     return found
 
 
-class Words:
-    """The vocabulary, and both models' unigram counts."""
+class Words(dict):
+    """Hashes of words; with a list, of those in it, and all others are the unknown word."""
 
-    def __init__(self, listed: list[str]):
-        self.ids = {w: k + FIRST for k, w in enumerate(listed)}
-        self.size = len(listed) + FIRST
+    def __init__(self, listed: tuple[str, ...] | None = None):
+        self.listed = None if listed is None else frozenset(listed)
 
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bigrams as one number each, and each bigram's text."""
-        get, ids, sizes = self.ids.get, [], []
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        known = self.listed is None or word in self.listed
+        self[word] = found = max(FIRST, int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")) if known else UNKNOWN
+        return found
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bigrams as one number each, their contexts, and each bigram's text."""
+        ids, sizes = [], []
         for x in texts:
-            own = [get(w, UNKNOWN) for w in words(x)]
+            own = [self[w] for w in words(x)]
             if own:
                 ids.append(BEGIN)
                 ids += own
@@ -112,30 +122,33 @@ class Words:
         keep = np.ones(len(ids), bool)
         keep[first[sizes > 0]] = False
         at = np.flatnonzero(keep)
-        return (ids[at - 1] << np.uint64(32)) | ids[at], np.repeat(np.arange(len(texts)), sizes)
+        return ids[at - 1] * ODD + ids[at], ids[at - 1], np.repeat(np.arange(len(texts)), sizes)
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    h = keys * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+    """Ranges of keys, so that sorted keys are sorted by bucket."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers, the first of them rising, as bytes."""
-    first = np.diff(arrays[0].astype(np.uint64), prepend=np.uint64(0))
+def _pack(*arrays: np.ndarray, rising: bool = True) -> bytes:
+    """Arrays of whole numbers, the first of them ``rising`` or not, as bytes: all lowest bytes of an array first, then the next."""
+    first = arrays[0].astype(np.uint64)
     parts = []
-    for x in (first, *arrays[1:]):
+    for x in (np.diff(first, prepend=np.uint64(0)) if rising else first, *arrays[1:]):
         kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(x) or int(x.max()) <= np.iinfo(t).max)
-        parts.append(bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes())
+        size = np.dtype(kind).itemsize
+        parts.append(bytes([size]) + x.astype(kind).view(np.uint8).reshape(len(x), size).T.tobytes())
     return len(first).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _unpack(data: bytes) -> list[np.ndarray]:
+def _unpack(data: bytes, rising: bool = True) -> list[np.ndarray]:
     n, raw, at, out = int.from_bytes(data[:8], "little"), zstandard.ZstdDecompressor().decompress(data[8:]), 0, []
     while at < len(raw):
-        out.append(np.frombuffer(raw, f"u{raw[at]}", n, at + 1).astype(np.uint64))
+        planes = np.frombuffer(raw, np.uint8, n * raw[at], at + 1).reshape(raw[at], n)
+        out.append(np.ascontiguousarray(planes.T).view(f"u{raw[at]}").reshape(n).astype(np.uint64))
         at += 1 + n * raw[at]
-    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    if rising:
+        out[0] = np.cumsum(out[0], dtype=np.uint64)
     return out
 
 
@@ -154,7 +167,7 @@ def _chunks(docs: DataFrame, vocabulary, buckets: int, per_document: bool) -> Da
                 flags = np.array(part.column(2).slice(seen, len(texts)).to_pylist())
                 ids = part.column(0).slice(seen, len(texts))
                 seen += len(texts)
-                keys, doc = known.tokens(texts)
+                keys, contexts, doc = known.tokens(texts)
                 rows: list[tuple] = []
                 if per_document:
                     n = np.bincount(doc, minlength=len(texts))
@@ -167,18 +180,17 @@ def _chunks(docs: DataFrame, vocabulary, buckets: int, per_document: bool) -> Da
                     some = flags[doc] == target
                     if per_document and target or not some.any():
                         continue
-                    own, of = keys[some], doc[some]
-                    where = _bucket(own, buckets)
-                    order = np.lexsort((of, own, where)) if per_document else np.lexsort((own, where))
-                    own, of, where = own[order], of[order], where[order]
+                    own, of, context = keys[some], doc[some], contexts[some]
+                    order = np.argsort(own, kind="stable")
+                    own, of, context = own[order], of[order], context[order]
                     new = np.ones(len(own), bool)
                     new[1:] = (own[1:] != own[:-1]) | ((of[1:] != of[:-1]) & per_document)
                     at = np.flatnonzero(new)
-                    n, own, of, where = np.diff(np.append(at, len(own))), own[at], of[at], where[at]
-                    cuts = np.searchsorted(where, np.arange(buckets + 1))
+                    n, own, of, context = np.diff(np.append(at, len(own))), own[at], of[at], context[at]
+                    cuts = np.searchsorted(_bucket(own, buckets), np.arange(buckets + 1))
                     for b in np.flatnonzero(np.diff(cuts)).tolist():
                         x = slice(cuts[b], cuts[b + 1])
-                        rows.append((b, task + count, target, _pack(own[x], n[x], of[x]) if per_document else _pack(own[x], n[x])))
+                        rows.append((b, task + count, target, _pack(own[x], n[x], of[x]) if per_document else _pack(own[x], context[x], n[x])))
                 count += 1
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "chunk", "target", "bits"])
@@ -187,30 +199,32 @@ def _chunks(docs: DataFrame, vocabulary, buckets: int, per_document: bool) -> Da
 
 
 @lru_cache(1)
-def _kept_words(key: int, listed: tuple[str, ...]) -> Words:
-    return Words(list(listed))
+def _kept_words(key: int, listed: tuple[str, ...] | None) -> Words:
+    return Words(listed)
 
 
 def _words(vocabulary) -> Words:
-    value = vocabulary.value
+    value = None if vocabulary is None else vocabulary.value
     return _kept_words(id(value), value)
 
 
-def _add(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys with the sums of their counts."""
-    all_keys, which = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_inverse=True)
-    return all_keys, np.bincount(which.reshape(-1), weights=np.concatenate([*counts, np.zeros(0, np.uint64)]), minlength=len(all_keys)).astype(np.uint64)
+def _add(keys: list[np.ndarray], *columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct keys, where each is first, and the sums of their counts."""
+    every, at, which = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
+    sums = [np.bincount(which.reshape(-1), weights=np.concatenate([*c, np.zeros(0, np.uint64)]), minlength=len(every)).astype(np.uint64) for c in columns]
+    return [every, at, *sums]
 
 
 def _totals(chunks: DataFrame, partitions: int) -> DataFrame:
-    """(bucket, bits): every bigram's count in the background and in the target. A bucket's chunks are added up as they come."""
+    """(bucket, bits): every bigram, its context, and its count in the background and in the target. A bucket's chunks are added up as they come."""
 
     def run(parts):
         now, held = None, []
 
         def sums():
-            keys, background = _add([k for k, _, _ in held], [b for _, b, _ in held])
-            return keys, background, _add([k for k, _, _ in held], [t for _, _, t in held])[1]
+            keys, contexts, background, target = zip(*held, strict=True)
+            every, at, *counts = _add(keys, background, target)
+            return every, np.concatenate(contexts)[at], *counts
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_pack(*sums())], pa.binary())], ["bucket", "bits"])
@@ -221,8 +235,8 @@ def _totals(chunks: DataFrame, partitions: int) -> DataFrame:
                     yield out()
                     held = []
                 now = bucket
-                keys, n = _unpack(bits)
-                held.append((keys, n * (not target), n * target))
+                keys, contexts, n = _unpack(bits)
+                held.append((keys, contexts, n * (not target), n * target))
                 if len(held) == 16:
                     held = [sums()]
         if held:
@@ -232,59 +246,137 @@ def _totals(chunks: DataFrame, partitions: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, bits binary")
 
 
-def _unigrams(totals: DataFrame, size: int) -> np.ndarray:
-    """Counts of words and of contexts of both models, four for each word of the vocabulary: added up in tasks, then here."""
+def _ends(keys: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of bigrams, and the places in them of each bigram's word and context."""
+    found, which = np.unique(np.concatenate([keys - contexts * ODD, contexts]), return_inverse=True)
+    return found, which.reshape(-1)[: len(keys)], which.reshape(-1)[len(keys) :]
 
-    def run(parts):
-        sums = np.zeros((4, size), np.int64)
+
+def _word_sums(totals: DataFrame, partitions: int) -> DataFrame:
+    """(bucket, part, bits): for the distinct words of each bucket of bigrams, in order by part, their counts as word and as context in
+    background and target. Rows of bucket -1 have a part's numbers: of words, and of tokens in background and target."""
+
+    def ask(parts):
         for part in parts:
-            for x in part.column(0):
-                keys, background, target = _unpack(x.as_py())
-                for k, ids in enumerate((keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32))):
-                    for m, n in enumerate((background, target)):
-                        sums[2 * k + m] += np.bincount(ids.astype(np.int64), weights=n, minlength=size).astype(np.int64)
-        at = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(sums[k][at]) for k in range(4))], ["id", "w0", "w1", "c0", "c1"])
-
-    out = np.zeros((4, size))
-    added = totals.select("bits").mapInArrow(run, "id long, w0 long, w1 long, c0 long, c1 long").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("w0", "w1", "c0", "c1")))
-    for r in added.toPandas().itertuples():
-        out[:, r.id] = (r.w0, r.w1, r.c0, r.c1)
-    return out
+            rows = []
+            for bucket, bits in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                keys, contexts, *counts = _unpack(bits)
+                found, word, context = _ends(keys, contexts)
+                sums = [np.bincount(at, weights=n, minlength=len(found)).astype(np.uint64) for at in (word, context) for n in counts]
+                cuts = np.searchsorted(_bucket(found, partitions), np.arange(partitions + 1))
+                for p in np.flatnonzero(np.diff(cuts)).tolist():
+                    x = slice(cuts[p], cuts[p + 1])
+                    rows.append((bucket, p, _pack(found[x], *(c[x] for c in sums))))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "part", "bits"])
+
+    def answer(parts):
+        now, asked = None, []
+
+        def out():
+            every, held = np.zeros(0, np.uint64), []
+            for _, bits in asked:
+                held.append(_unpack(bits))
+                if len(held) == 16:
+                    held = [(lambda x: [x[0], *x[2:]])(_add(*zip(*held, strict=True)))]
+            every, _, *sums = _add(*zip(*held, strict=True))
+            own = (every >= FIRST) & (sums[0] + sums[1] > 0)
+            buckets, coded = [-1], [_pack(np.array([own.sum(), sums[0].sum(), sums[1].sum()], np.uint64), rising=False)]
+            for bucket, bits in asked:
+                at = np.searchsorted(every, _unpack(bits)[0])
+                buckets.append(bucket)
+                coded.append(_pack(*(c[at] for c in sums), rising=False))
+            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([now] * len(buckets), pa.int32()), pa.array(coded, pa.binary())], ["bucket", "part", "bits"])
+
+        for part in parts:
+            for bucket, p, bits in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                if p != now and asked:
+                    yield out()
+                    asked = []
+                now = p
+                asked.append((bucket, bits))
+        if asked:
+            yield out()
+
+    rows = totals.mapInArrow(ask, "bucket int, part int, bits binary")
+    return rows.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(answer, "bucket int, part int, bits binary")
 
 
-def differences(keys: np.ndarray, background: np.ndarray, target: np.ndarray, unigrams: np.ndarray) -> np.ndarray:
-    """Loss under the target model less that under the background model of each bigram, in 2**-20 nats."""
-    word, context = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), (keys >> np.uint64(32)).astype(np.int64)
+def differences(background: np.ndarray, target: np.ndarray, words: list[np.ndarray], contexts: list[np.ndarray], tokens: list[int], size: int) -> np.ndarray:
+    """Loss under the target model less that under the background model of each bigram, in 2**-20 nats. ``words`` and ``contexts`` are
+    the counts of each bigram's ends in background and target, ``tokens`` all of these, ``size`` the number of words of the models."""
     loss = []
     for m, n in ((0, background), (1, target)):
-        single = unigrams[m][word] / max(1.0, unigrams[m].sum())
-        seen = unigrams[2 + m][context]
-        pair = np.where(seen > 0, n / np.maximum(seen, 1.0), single)
-        loss.append(-np.log((1 - UNIGRAM - UNIFORM) * pair + UNIGRAM * single + UNIFORM / unigrams.shape[1]))
+        single = words[m] / max(1, tokens[m])
+        pair = np.where(contexts[m] > 0, n / np.maximum(contexts[m], 1), single)
+        loss.append(-np.log((1 - UNIGRAM - UNIFORM) * pair + UNIGRAM * single + UNIFORM / size))
     return np.rint((loss[1] - loss[0]) * SCALE).astype(np.int64)
 
 
-def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+def _signless(x: np.ndarray) -> np.ndarray:
+    return ((x << 1) ^ (x >> 63)).view(np.uint64)
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(1)).astype(np.int64) ^ -(x & np.uint64(1)).astype(np.int64)
+
+
+def _values(totals: DataFrame, sums: DataFrame, partitions: int, tokens: list[int], size: int) -> DataFrame:
+    """(bucket, bits): every bigram and its loss difference."""
+
+    def run(parts):
+        now, bigrams, held = None, None, []
+
+        def out():
+            keys, contexts, background, target = _unpack(bigrams)
+            found, word, context = _ends(keys, contexts)
+            counts = [np.concatenate(c) for c in zip(*held, strict=True)]
+            d = differences(background, target, [c[word] for c in counts[:2]], [c[context] for c in counts[2:]], tokens, size)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_pack(keys, _signless(d))], pa.binary())], ["bucket", "bits"])
+
+        for part in parts:
+            for bucket, p, bits in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                if p < 0:
+                    if held:
+                        yield out()
+                    now, bigrams, held = bucket, bits, []
+                else:
+                    held.append(_unpack(bits, rising=False))
+        if held:
+            yield out()
+
+    rows = totals.select("bucket", F.lit(-1).alias("part"), "bits").unionByName(sums.where("bucket >= 0"))
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "part").mapInArrow(run, "bucket int, bits binary")
+
+
+def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", vocabulary: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, score) of every row of ``docs``, scored as whole texts by models of ``target`` and of ``docs`` itself.
 
     A token is a word (lower case) or a run of marks; null texts are empty, and a text without tokens has a score of 0. Rows stay
-    rows. Without target texts, the target model is uniform.
+    rows. Without target texts, the target model is uniform. With ``vocabulary``, only so many of the most frequent words of ``docs`` are
+    told apart; without, all words of both are.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(False).alias("target"))
     wanted = target.select(F.lit(None).cast("long").alias("doc_id"), F.col(target_text).alias("text"), F.lit(True).alias("target"))
-    listed = _most_frequent(_count_words(own).groupBy("word").agg(F.sum("n").alias("n")), vocabulary)
-    known = spark.sparkContext.broadcast(tuple(listed))
-    size = len(listed) + FIRST
+    known = None
+    if vocabulary is not None:
+        known = spark.sparkContext.broadcast(tuple(_most_frequent(_count_words(own).groupBy("word").agg(F.sum("n").alias("n")), vocabulary)))
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions
     totals = written(_totals(_chunks(own.unionByName(wanted), known, buckets, False), partitions))
-    unigrams = spark.sparkContext.broadcast(_unigrams(totals, size))
-
-    # a bucket's counts come first in each of its tasks, then its chunks
-    counts = totals.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(-1).cast("long").alias("chunk"), "bits")
+    sums_of_words = written(_word_sums(totals, partitions))
+    numbers = np.zeros(3, np.int64)
+    for r in sums_of_words.where("bucket < 0").select("bits").collect():  # three numbers of each part
+        numbers += _unpack(bytes(r.bits), rising=False)[0].astype(np.int64)
+    size, *tokens = numbers.tolist()
+    values = written(_values(totals, sums_of_words, partitions, tokens, size + FIRST))
+    discard(totals)
+    discard(sums_of_words)
+
+    # a bucket's loss differences come first in each of its tasks, then its chunks
+    counts = values.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(-1).cast("long").alias("chunk"), "bits")
     per_document = _chunks(own, known, buckets, True).select("bucket", F.when(F.col("bucket") < 0, F.pmod(F.col("chunk"), F.lit(1 << 30)).cast("int")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(SALTS)).cast("int")).alias("salt"), "chunk", "bits")
     dealt = counts.unionByName(per_document).repartition(partitions, "bucket", "salt").sortWithinPartitions("bucket", "salt", "chunk")
 
@@ -297,8 +389,8 @@ def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str
                     chunks.append(chunk)
                     bits_out.append(b"\x00" + bits)
                 elif chunk < 0:
-                    keys, background, of_target = _unpack(bits)
-                    values = differences(keys, background, of_target, unigrams.value)
+                    keys, coded = _unpack(bits)
+                    values = _signed(coded)
                 else:
                     own_keys, n, doc = _unpack(bits)
                     d = values[np.searchsorted(keys, own_keys)] * n.astype(np.int64)
@@ -306,7 +398,7 @@ def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str
                     total = np.zeros(len(docs_here), np.int64)
                     np.add.at(total, which.reshape(-1), d)
                     chunks.append(chunk)
-                    bits_out.append(b"\x01" + _pack(docs_here, ((total << 1) ^ (total >> 63)).view(np.uint64)))
+                    bits_out.append(b"\x01" + _pack(docs_here, _signless(total)))
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(bits_out, pa.binary())], ["chunk", "bits"])
 
     def scores(parts):
@@ -331,7 +423,7 @@ def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str
                 at, coded = _unpack(bits[1:])
                 if len(at) and int(at[-1]) >= len(total):
                     total = np.append(total, np.zeros(int(at[-1]) + 1 - len(total), np.int64))
-                total[at.astype(np.int64)] += (coded >> np.uint64(1)).astype(np.int64) ^ -(coded & np.uint64(1)).astype(np.int64)
+                total[at.astype(np.int64)] += _signed(coded)
         if head is not None:
             yield out()
 
