@@ -8,16 +8,15 @@ subtracting its vector (``combine`` and ``remove``). The vector has
 
 * 1, modulo 2**32: the number of paragraphs;
 * four numbers of 60 bits of the paragraph's digest, modulo 2**60: these decide equality;
-* the number of its sentences, modulo 2**32, and 120 counts, packed by four into
-  30 numbers modulo 2**60: how many of its sentences have each of 120 bits of
+* the number of its sentences, modulo 2**32, and 120 counts, packed by two into
+  60 numbers modulo 2**60: how many of its sentences have each of 120 bits of
   their digests set. With the number of sentences, such a count is a sum of signs,
   whose squares estimate the size of a multiset and of the difference of two:
-  the likeness. (Counts are exact up to 32,767 sentences of a text; beyond, a
-  carry blurs the likeness, not the equality.)
+  the likeness. (Counts are exact below 2**30, more sentences than a row can have.)
 
 A null text is empty; empty texts have the sum of nothing, all zeros, and equal
 texts always have a likeness of 1. Digests are compared as text: 8 + 4 x 15 + 8 +
-30 x 15 hexadecimal digits.
+30 x 15 hexadecimal digits, the counts added up by four, 15 bits apart, modulo 2**60.
 """
 
 from __future__ import annotations
@@ -26,8 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 M32, M60 = (1 << 32) - 1, (1 << 60) - 1
-#: The lowest bit of each of four counts in one number.
+#: The lowest bit of each of four counts in one number of a digest, and of each of two in one of a vector.
 LOW = sum(1 << (15 * j) for j in range(4))
+LOW_2, M30 = 1 | 1 << 30, (1 << 30) - 1
 PARAGRAPHS, SENTENCES = r"\n+", r"[.!?]+[ \t]+|\n+"
 #: Documents that lie in one range of ids while each finds the next.
 RANGE = 2048
@@ -51,7 +51,7 @@ def with_vector(df: DataFrame, text: str, to: str) -> DataFrame:
     df = df.withColumn("_p", F.transform(_parts(F.col(text), PARAGRAPHS), numbers(4)))
     df = df.withColumn("_s", F.transform(_parts(F.col(text), SENTENCES), numbers(2)))
     wide = F.array(*[_sum(F.col("_p"), lambda x, k=k: x[k]) for k in range(4)])
-    signs = F.array(*[_sum(F.col("_s"), lambda x, k=k, s=s: F.shiftright(x[k], s).bitwiseAND(F.lit(LOW))) for k in range(2) for s in range(15)])
+    signs = F.array(*[_sum(F.col("_s"), lambda x, k=k, s=s: F.shiftright(x[k], s).bitwiseAND(F.lit(LOW_2))) for k in range(2) for s in range(30)])
     vector = F.struct(F.size("_p").cast("long").alias("paragraphs"), wide.alias("wide"), F.size("_s").cast("long").alias("sentences"), signs.alias("signs"))
     return df.withColumn(to, vector).drop("_p", "_s")
 
@@ -80,15 +80,16 @@ def digest(v: Column) -> Column:
     """The fingerprint as text."""
     hexed = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
     long = lambda xs: F.array_join(F.transform(xs, lambda x: hexed(x, 15)), "")
-    return F.concat(hexed(v["paragraphs"].bitwiseAND(F.lit(M32)), 8), long(v["wide"]), hexed(v["sentences"].bitwiseAND(F.lit(M32)), 8), long(v["signs"]))
+    signs = F.array(*[(v["signs"][30 * k + s] + F.shiftleft(v["signs"][30 * k + s + 15].bitwiseAND(F.lit(M60 >> 15)), 15)).bitwiseAND(F.lit(M60)) for k in range(2) for s in range(15)])
+    return F.concat(hexed(v["paragraphs"].bitwiseAND(F.lit(M32)), 8), long(v["wide"]), hexed(v["sentences"].bitwiseAND(F.lit(M32)), 8), long(signs))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: an estimate of 2 a.b / (a.a + b.b) of the multisets of sentences; 1 for equal vectors, texts without sentences included."""
-    lanes = lambda v: F.flatten(F.transform(v["signs"], lambda x: F.array(*[2 * F.shiftright(x, 15 * j).bitwiseAND(F.lit(32767)) - v["sentences"] for j in range(4)])))
-    square = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x * x)
+    lanes = lambda v: F.flatten(F.transform(v["signs"], lambda x: F.array(*[(2 * F.shiftright(x, 30 * j).bitwiseAND(F.lit(M30)) - v["sentences"]).cast("double") for j in range(2)])))
+    square = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x * x)
     apart, both = square(F.zip_with(lanes(a), lanes(b), lambda x, y: x - y)), square(lanes(a)) + square(lanes(b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - apart.cast("double") / both))
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - apart / both))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
