@@ -9,8 +9,14 @@ themselves end. Every layer keeps where its characters came from, so a find is
 reported as the span of the original text that carries it: exact characters
 through escapes, groups of four through base64, the whole of compressed bytes.
 
+Base64 is read at all four alignments, as other letters may stand before it, and
+compressed bytes are looked for after '/', '-' and '_' as well. Compressed streams
+go on through all their members, what they unpack to is unpacked as a stream, and
+bytes after them are streams of their own. A stream whose first 2 MiB are those of
+one around it is left, as it unpacks to itself.
+
 Null texts are empty. Decoded layers are scanned whole; what compressed bytes
-unpack to is read in windows of 2 MiB that overlap by 64 KiB, so memory stays
+unpack to is read in windows of 2 Mi characters that overlap by 64 Ki, so memory stays
 bounded, and only a secret longer than the overlap can fall between two windows.
 """
 
@@ -19,10 +25,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
-import io
+import itertools
 import lzma
 import re
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 
@@ -46,6 +54,15 @@ LEAST_BASE64 = 22
 BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_BASE64},}}={{0,2}}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:\r?\n[A-Za-z0-9+/_-]{20,}+)+(?:\r?\n[A-Za-z0-9+/_-]+)?={0,2}")
 WINDOW, OVERLAP = 2 << 20, 64 << 10
+#: Bytes without as many ASCII characters in a row hold nothing to find.
+STRETCH = re.compile(rb"[\x20-\x7e\t\r\n]{16}")
+#: How compressed bytes begin: in base64, and as escaped bytes between which others stand for themselves.
+PACKED = re.compile(rb"(?<=[+/])(?:H4sI|Qlpo|/Td6WFoA|KLUv/|e[A-P])")
+PERCENT_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~-])++")
+ESCAPED_BYTES = re.compile(r"(?:\\x1[fF]\\x8[bB]|(?:x|\\x78)\\x[0-9A-Fa-f]{2}|(?:x|\\x78)\^|BZh|\\xfd7zXZ\\x00|\(\\xb5/\\xfd)(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0'\"\\]|[\x20-\x5b\x5d-\x7e])*+")
+ESCAPED_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\(.)|(.)")
+_SHORT = dict(zip("abfnrtv0", "\a\b\f\n\r\t\v\0", strict=True))
+ESCAPES = re.compile(rf"(?:{ESCAPE.pattern})+")
 _PLAIN = bytes.maketrans(b"-_", b"+/")
 
 
@@ -107,15 +124,6 @@ class Layer:
         return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
 
 
-def _printable(data: bytes) -> str | None:
-    """The text, if the bytes are UTF-8 and nearly all of it can be printed."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) else None
-
-
 def _percent(run: str) -> str | None:
     try:
         return bytes.fromhex(run.replace("%", "")).decode("utf-8")
@@ -135,50 +143,136 @@ def _escape(x: str) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def unpacked(data: bytes) -> Iterator[bytes] | None:
-    """The windows of what compressed bytes unpack to, or None if they aren't compressed."""
+class _Zstd:
+    """A decompressor of zstandard that can keep what follows its frame."""
+
+    def __init__(self, unpack):
+        self.unpack, self.rest = unpack, b""
+        self.decompress = unpack.decompress
+
+    eof = property(lambda self: self.unpack.eof)
+    unused_data = property(lambda self: self.unpack.unused_data)
+
+
+def _unpacker(data: bytes):
+    """A decompressor for bytes that begin like this, or None if they aren't compressed."""
     if data[:2] == b"\x1f\x8b":
-        return _windows(zlib.decompressobj(31), data)
+        return zlib.decompressobj(31)
     if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-        return _windows(zlib.decompressobj(), data)
+        return zlib.decompressobj()
     if data[:3] == b"BZh":
-        return _windows(bz2.BZ2Decompressor(), data)
+        return bz2.BZ2Decompressor()
     if data[:6] == b"\xfd7zXZ\x00":
-        return _windows(lzma.LZMADecompressor(memlimit=128 << 20), data)
+        return lzma.LZMADecompressor(memlimit=128 << 20)
     if data[:4] == b"\x28\xb5\x2f\xfd":
-        return _windows(None, data)
+        return _Zstd(zstandard.ZstdDecompressor(max_window_size=128 << 20).decompressobj())
     return None
 
 
-def _windows(unpack, data: bytes) -> Iterator[bytes]:
-    kept, source = b"", zstandard.ZstdDecompressor(max_window_size=128 << 20).stream_reader(io.BytesIO(data)) if unpack is None else None
+def _gathered(parts: Iterator[bytes], least: int, data: bytes = b"") -> bytes:
+    """``data`` and the next parts, up to ``least`` bytes or more, or the end."""
+    held, size = [data], len(data)
+    while size < least and (new := next(parts, None)) is not None:
+        held.append(new)
+        size += len(new)
+    return b"".join(held)
+
+
+def _member(unpack, parts: Iterator[bytes], data: bytes) -> Iterator[bytes]:
+    """What one member or frame unpacks to, in pieces of bounded size; its end is known from ``unpack``."""
+    while data:
+        if hasattr(unpack, "unconsumed_tail"):
+            yield unpack.decompress(data, WINDOW)
+            data = unpack.unconsumed_tail
+            if not data and not unpack.eof:
+                while new := unpack.decompress(b"", WINDOW):
+                    yield new
+        elif hasattr(unpack, "needs_input"):
+            yield unpack.decompress(data, WINDOW)
+            while not unpack.eof and not unpack.needs_input:
+                yield unpack.decompress(b"", WINDOW)
+            data = b""
+        else:
+            # a block of a few bytes can stand for 128 KiB
+            for at in range(0, len(data), 256):
+                yield unpack.decompress(data[at : at + 256])
+                if unpack.eof:
+                    unpack.rest = unpack.unused_data + data[at + 256 :]
+                    return
+            data = b""
+        if unpack.eof:
+            return
+        data = data or _gathered(parts, 1)
+
+
+def _members(parts: Iterator[bytes], data: bytes, rest: list[bytes]) -> Iterator[bytes]:
+    """What all members of a compressed stream unpack to. Bytes after the last are put into ``rest``, before those left in ``parts``."""
     try:
-        while True:
-            if source is not None:
-                new = source.read(WINDOW)
-            else:
-                new = unpack.decompress(data, WINDOW)
-                data = unpack.unconsumed_tail if hasattr(unpack, "unconsumed_tail") else b""
-            over = not new or (source is None and (unpack.eof or (hasattr(unpack, "needs_input") and unpack.needs_input)))
-            kept += new
-            if over or len(kept) >= WINDOW:
-                yield kept
-                kept = kept[-OVERLAP:]
-            if over:
+        while (unpack := _unpacker(data)) is not None:
+            for new in _member(unpack, parts, data):
+                if new:
+                    yield new
+            if not unpack.eof:
                 return
+            data = _gathered(parts, 6, (unpack.rest if isinstance(unpack, _Zstd) else unpack.unused_data).lstrip(b"\0"))
+            while data[:1] == b"\0":
+                data = _gathered(parts, 6, data.lstrip(b"\0"))
+        rest.append(data)
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        if kept:
-            yield kept
+        return
 
 
-def _unpack_all(parts: Iterator[bytes], seen: set[bytes]) -> Iterator[bytes]:
-    """Windows that aren't compressed any more, through any depth; bytes seen before are left."""
-    for data in parts:
-        inner = unpacked(data)
-        if inner is None:
-            yield data
-        elif (key := hashlib.blake2b(data).digest()) not in seen:
-            yield from _unpack_all(inner, seen | {key})
+def _text_windows(parts: Iterator[bytes]) -> Iterator[str]:
+    """The windows of a text in UTF-8; bytes that aren't are escaped."""
+    decoder, kept, fresh = codecs.getincrementaldecoder("utf-8")("surrogateescape"), "", 0
+    for new in itertools.chain(parts, (None,)):
+        text = decoder.decode(new or b"", new is None)
+        kept, fresh = kept + text, fresh + len(text)
+        if fresh and (new is None or fresh >= WINDOW):
+            yield kept
+            kept, fresh = kept[-OVERLAP:], 0
+
+
+def _unpack_all(parts: Iterator[bytes], seen: set[bytes]) -> Iterator[str]:
+    """Windows of a stream of bytes that isn't compressed any more, through any depth; bytes seen before are left."""
+    data = _gathered(parts, WINDOW)
+    if _unpacker(data) is None:
+        yield from _text_windows(itertools.chain((data,), parts))
+    elif (key := hashlib.blake2b(data[:WINDOW]).digest()) not in seen:
+        rest: list[bytes] = []
+        yield from _unpack_all(_members(parts, data, rest), seen | {key})
+        if rest and rest[0]:
+            yield from _unpack_all(itertools.chain(rest, parts), seen)
+
+
+def _packed_layers(layer: Layer, data: bytes, a: int, b: int) -> Iterator[Layer]:
+    start, end = layer.at(a, b)
+    for new in _unpack_all(iter((data,)), set()):
+        if STRETCH.search(new.encode("utf-8", "surrogateescape")):
+            yield Layer(new, np.full(len(new), start), np.full(len(new), end))
+
+
+def _escaped_layers(layer: Layer) -> Iterator[Layer]:
+    """What compressed bytes unpack to that are written as escapes."""
+    text = layer.text
+    for m in PERCENT_BYTES.finditer(text) if "%" in text else ():
+        for at in {m.start(), m.start() + m[0].find("%")} if "%" in m[0] else ():
+            data = urllib.parse.unquote_to_bytes(text[at : m.end()])
+            if _unpacker(data) is not None:
+                yield from _packed_layers(layer, data, at, m.end())
+    for m in ESCAPED_BYTES.finditer(text) if "\\x" in text else ():
+        data, end, quote = bytearray(), m.end(), text[m.start() - 1 : m.start()]
+        for x in ESCAPED_BYTE.finditer(m[0]):
+            if x[3] and x[3] in (quote if quote in ("'", '"') else "'\""):
+                end = m.start() + x.start()
+                break
+            data.append(int(x[1], 16) if x[1] else ord(x[3] or _SHORT.get(x[2], x[2])))
+        if _unpacker(data := bytes(data)) is not None:
+            yield from _packed_layers(layer, data, m.start(), end)
+    for m in ESCAPES.finditer(text) if "\\" in text or "&#" in text else ():
+        codes = [_escape(x[0]) for x in ESCAPE.finditer(m[0])]
+        if None not in codes and max(codes) < "\u0100" and _unpacker(data := "".join(codes).encode("latin-1")) is not None:
+            yield from _packed_layers(layer, data, *m.span())
 
 
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
@@ -188,26 +282,28 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
     for a, b in runs:
         run = np.frombuffer(layer.text[a:b].encode("ascii"), np.uint8)
         kept = (run != 61) & (run != 10) & (run != 13)
-        if kept.sum() % 4 == 1:
-            kept[np.flatnonzero(kept)[-1]] = False
-        places, code = a + np.flatnonzero(kept), run[kept].tobytes().translate(_PLAIN)
-        try:
-            data = base64.b64decode(code + b"=" * (-len(code) % 4))
-        except binascii.Error:
-            continue
-        parts = unpacked(data)
-        if parts is not None:
-            start, end = layer.at(a, b)
-            for data in _unpack_all(parts, {hashlib.blake2b(data).digest()}):
-                if (new := _printable(data)) is not None:
-                    yield Layer(new, np.full(len(new), start), np.full(len(new), end))
-        elif (new := _printable(data)) is not None:
-            at = np.arange(len(data))
-            first, last = places[at * 4 // 3], places[np.minimum(((at + 1) * 4 + 2) // 3, len(places)) - 1]
-            if len(new) != len(data):
-                begins = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-                first, last = first[begins], last[np.append(begins[1:], len(data)) - 1]
-            yield Layer(new, first, last + 1) if layer.starts is None else Layer(new, layer.starts[first], layer.ends[last])
+        places, code = a + np.flatnonzero(kept), run[kept].tobytes()
+        plain = code.translate(_PLAIN)
+        packed = {m.start() for m in PACKED.finditer(plain.replace(b"+", b"/"))} if b"/" in plain or b"+" in plain else set()
+        for at in sorted({0, 1, 2, 3} | packed):
+            size = len(code) - at
+            size -= size % 4 == 1
+            try:
+                data = base64.b64decode(plain[at : at + size] + b"=" * (-size % 4))
+            except binascii.Error:
+                continue
+            if _unpacker(data) is not None:
+                yield from _packed_layers(layer, data, int(places[at]), b)
+            if at < 4 and STRETCH.search(data):
+                new, own = data.decode("utf-8", "surrogateescape"), places[at : at + size]
+                n = np.arange(len(data))
+                first, last = own[n * 4 // 3], own[np.minimum(((n + 1) * 4 + 2) // 3, size) - 1]
+                if len(new) != len(data):
+                    codes = np.frombuffer(new.encode("utf-32-le", "surrogatepass"), np.uint32)
+                    sizes = 1 + np.where((codes >= 0xDC80) & (codes <= 0xDCFF), 0, (codes >= 0x80).astype(int) + (codes >= 0x800) + (codes >= 0x10000))
+                    ends = np.cumsum(sizes)
+                    first, last = first[ends - sizes], last[ends - 1]
+                yield Layer(new, first, last + 1) if layer.starts is None else Layer(new, layer.starts[first], layer.ends[last])
 
 
 def layers(text: str) -> Iterator[Layer]:
@@ -222,6 +318,7 @@ def layers(text: str) -> Iterator[Layer]:
             new.append(layer.replaced(PERCENT, _percent))
         if "\\" in layer.text or "&#" in layer.text:
             new.append(layer.replaced(ESCAPE, _escape))
+        new += _escaped_layers(layer)
         new += _base64_layers(layer)
         for x in new:
             if x is not None and (key := x.key()) not in seen:
