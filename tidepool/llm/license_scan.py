@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,12 +48,36 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-4.0", "This work is licensed under CC BY 4.0."), ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+#: Names that notices give to licences, by SPDX names. A whole GNU text doesn't say whether later versions hold; it has the name without that.
+NAMES = {
+    "MIT": ("MIT", "MIT License"), "ISC": ("ISC License",), "0BSD": ("0BSD", "Zero-Clause BSD License"), "Zlib": ("zlib License",), "Unlicense": ("Unlicense",), "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0", "Apache 2.0 License"), "MPL-1.1": ("Mozilla Public License, Version 1.1", "MPL 1.1"), "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "EPL-1.0": ("Eclipse Public License 1.0", "Eclipse Public License, Version 1.0", "EPL 1.0"), "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "EPL 2.0"), "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    **{f"{k}-{v}-only": (f"{long}, version {v}", f"{long} version {v}", f"{long} v{v}", f"{long}, version {v[:-2]}" if v.endswith(".0") else f"{k} {v}", f"{long} v{v[:-2]}" if v.endswith(".0") else f"{k}-{v}", f"{k} v{v[:-2]}" if v.endswith(".0") else f"{k} v{v}")
+       for k, long, versions in (("GPL", "GNU General Public License", ("2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")), ("AGPL", "GNU Affero General Public License", ("3.0",))) for v in versions},
+    **{f"CC-{k}-{v}": (f"CC {k} {v}", f"CC-{k}-{v}", f"Creative Commons {long} {v} International License" if v == "4.0" else f"Creative Commons {long} {v} Unported License")
+       for k, long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v in ("3.0", "4.0")},
+}
+VERBS = ("Released under", "Licensed under", "Distributed under", *(f"This {x} is {y} under" for x in ("work", "project", "software", "program", "code", "file") for y in ("licensed", "released", "distributed")))
+SPDX = (*NAMES, *(f"{x}-or-later" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")), "LGPL-2.0-only", "LGPL-2.0-or-later", "GPL-1.0-only", "GPL-1.0-or-later", "Artistic-1.0-Perl", "Artistic-2.0", "GFDL-1.2-only", "GFDL-1.3-only", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
 #: Words of which every known text has one, in any case; spellings that count as one.
 MARKERS = ("licen", "permission", "redistribut")
 SPELLINGS = (
     ("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"), ("organisation", "organization"), ("authoris", "authoriz"),
     ("favour", "favor"), ("copyright owner", "copyright holder"), ("http www", "https www"), ("http mozilla", "https mozilla"), ("v 2 0", "version 2 0"), ("v3", "version 3"), ("ver 2 0", "version 2 0"),
 )
+#: The same of the whole registry, whose notices say 'released' or 'distributed' without more.
+MARKS = ("licen", "permission", "distribut", "released")
 #: Patterns that both engines' regular expressions read alike.
 COPYRIGHT = r"(?m)^[ \t#/*-]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)|©|all rights reserved)[^\n]*$"
 LIST_MARK = r"(?m)^[ \t]*([0-9]{1,2}[.)]|[*-])[ \t]+"
@@ -79,11 +105,29 @@ def canonical_text(text: str) -> str:
 def digests(known=KNOWN) -> list[tuple[str, str]]:
     """(digest, licence) of every known text."""
     for name, text in known:
-        if not any(m in text.lower() for m in MARKERS):
-            raise ValueError(f"a text of {name} has none of the words {MARKERS}")
+        if not any(m in text.lower() for m in MARKS):
+            raise ValueError(f"a text of {name} has none of the words {MARKS}")
     return sorted({(hashlib.sha256(canonical_text(text).encode()).hexdigest(), name) for name, text in known})
 
 
+@lru_cache(1)
+def registry() -> tuple[tuple[str, str], ...]:
+    """All known texts: ``KNOWN``, notices by every name, and the entire texts in the folder ``licences`` (with and without what follows their terms)."""
+    found = dict.fromkeys((*KNOWN, ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB), ("Unlicense", _UNLICENSE), *(("Unlicense", f"{_UNLICENSE}\nFor more information, please refer to {x}://unlicense.org{y}") for x in ("http", "https") for y in ("", "/"))))
+    known = {canonical_text(text) for _, text in KNOWN}
+    for name, text in [(k, f"{verb} {the}{x}.") for k, names in NAMES.items() for x in names for verb in VERBS for the in ("", "the ")] + [(k, f"SPDX-License-Identifier: {k}") for k in SPDX]:
+        if canonical_text(text) not in known:
+            found[name, text] = None
+    for path in sorted((Path(__file__).parent / "licences").iterdir()):
+        text = path.read_text()
+        found[path.name, text] = None
+        end = text.find("END OF TERMS AND CONDITIONS")
+        if end >= 0:
+            found[path.name, text[: end + 27]] = None
+            found[path.name, text[:end]] = None
+    return tuple(found)
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, whole, licences, n_units): the licence that a document is as a whole (or null), all that are in it, sorted and
     comma-joined, and how many of its units (itself, blocks of several lines, lines) are known texts.
@@ -92,16 +136,17 @@ def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id"
     have the finds of all of them.
     """
     spark: SparkSession = docs.sparkSession
-    known = known if known is not None else spark.createDataFrame(digests(), "digest string, licence string")
+    known = known if known is not None else spark.createDataFrame(digests(registry()), "digest string, licence string")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marked = lambda x: F.reduce(F.array(*[F.contains(F.lower(x), F.lit(m)) for m in MARKERS]), F.lit(False), lambda a, b: a | b)
-    found = rows.where(F.lower("text").rlike("|".join(MARKERS)))
-    blocks = F.filter(F.split("text", r"\n[ \t]*\n"), lambda x: F.contains(x, F.lit("\n")) & (x != F.col("text")))
+    marked = lambda x: F.reduce(F.array(*[F.contains(F.lower(x), F.lit(m)) for m in MARKS]), F.lit(False), lambda a, b: a | b)
+    found = rows.where(F.lower("text").rlike("|".join(MARKS)))
+    blocks = F.filter(F.split("text", r"\r?\n[ \t]*\r?\n"), lambda x: F.contains(x, F.lit("\n")) & (x != F.col("text")))
     lines = F.filter(F.split("text", r"\n"), lambda x: x != F.col("text"))
     units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(F.filter(F.concat(blocks, lines), marked), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))
     found = found.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.whole", F.sha2(canonical(F.col("u.unit")), 256).alias("digest"))
     found = found.join(known, "digest").groupBy("doc_id").agg(
         F.min(F.when(F.col("whole"), F.col("licence"))).alias("whole"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), F.count("*").alias("n_units")
     )
-    joined = rows.select("doc_id").join(found, "doc_id", "left")
+    found = found.withColumnRenamed("doc_id", "found_id")
+    joined = rows.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     return joined.select("doc_id", "whole", F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"))
