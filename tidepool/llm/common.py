@@ -3,16 +3,53 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+#: The key of hashes of words; places of a word that the key has random numbers for.
+HASH_KEY, PLACES = 5, 4096
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """Whole numbers of 64 bits, mixed one to one."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+@lru_cache(1)
+def _places() -> np.ndarray:
+    return np.random.default_rng(HASH_KEY).integers(0, 1 << 64, PLACES, dtype=np.uint64)
+
+
+def keyed_hashes(values: np.ndarray, start: np.ndarray, size: np.ndarray, whole: Callable[[int], bytes]) -> np.ndarray:
+    """A hash of each run of ``values`` (from 1 on): their sum times random numbers, one for each place, mixed with its length.
+
+    A keyed universal family: whatever the runs, two collide only under few keys, about one in 2**(64 - b) where values differ by
+    less than 2**b. A run of more than 4,096 values is hashed by BLAKE2b, from its bytes as ``whole`` gives them.
+    """
+    found = np.zeros(len(start), np.uint64)
+    short = np.flatnonzero(size <= PLACES)
+    if len(short):
+        first, n = start[short], size[short]
+        before = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(before, n)
+        found[short] = np.add.reduceat(values[place + np.repeat(first, n)] * _places()[place], before)
+    for k in np.flatnonzero(size > PLACES).tolist():
+        found[k] = int.from_bytes(hashlib.blake2b(whole(k), digest_size=8).digest(), "little")
+    return mix(found + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which all executors share. Only where the session names none (tests on one machine) is one made."""
     sc = spark.sparkContext

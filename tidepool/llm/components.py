@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Each round joins every node's links with the least node among its neighbours (a
-grouped minimum, combined before the shuffle), so a hub's links can be split over
-tasks; labels and links stay distributed. Rounds are written to the shared
+grouped minimum, combined before the shuffle). Links are dealt by node and salt, so
+a hub's lie in many tasks; labels and links stay distributed. Rounds are written to the shared
 checkpoint folder, and only two numbers of each come to the driver.
 """
 
@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import cut_lineage
 
 
+#: Parts of a hub's links.
+SALTS = 64
+
+
 def _least(edges: DataFrame) -> DataFrame:
-    """Adds to links (u, v) the least of u and its v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
+    """Adds to links (u, v) the least of u and its v. The minimum of a node goes to each of its salts, so no task has all links of a hub."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts")).select("u", F.explode("salts").alias("salt"), "m")
+    return salted.join(least, ["u", "salt"]).select("u", "v", F.least("u", "m").alias("m"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

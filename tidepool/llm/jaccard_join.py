@@ -12,8 +12,9 @@ documents link when their sets' Jaccard similarity reaches a threshold. The way:
    first n - o + l tokens of two similar sets share l at least. Each class takes
    the l from 1 to 8 that costs least, by the sketch's estimate of the candidates
    that its prefix meets; a pair is verified only when it shares as many tokens
-   as the smaller l of both. Positions of shared tokens, and how many tokens before them
-   no other prefix has, bound the overlap further.
+   as the smaller l of both, within the prefixes that this l and the sizes of both
+   ask for. Positions of shared tokens, and how many tokens before them no other
+   prefix has, bound the overlap further.
 4. Prefix tokens are joined in two steps, so that a large group of similar
    documents costs no pairs of all with all. First each token's documents meet
    only the most central one among them; verified links give components. Then
@@ -22,8 +23,11 @@ documents link when their sets' Jaccard similarity reaches a threshold. The way:
    shares enough tokens is left out, so components are those of all links.
 5. Verification compares whole sets, in integers.
 
-Where the shingles' hashes collide (2**-64 for a pair of shingles) sets differ
-from the true ones; nothing else is approximate.
+Words are hashed by sums of their bytes times random numbers, one for each place
+(a keyed universal family: two words of up to 4,096 bytes collide for at most one in
+2**56 keys, whatever the words; longer words are hashed by BLAKE2b), shingles by mixing
+their words' hashes. Where hashes of 64 bits collide sets differ from the true ones;
+nothing else is approximate.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe import batches
-from tidepool.llm.common import cut_lineage, discard, written
+from tidepool.llm.common import cut_lineage, discard, keyed_hashes, mix, written
 from tidepool.llm.components import components
 
 #: The sketch has 2**22 counts: 16 MB while counting, 4 MB when broadcast, for any input.
@@ -57,25 +61,20 @@ U = np.uint64
 
 @lru_cache(1)
 def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """(value of each byte, with A-Z as a-z; whether it is white space)."""
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
-    values = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=U)[lower]
     space = np.zeros(256, bool)
     space[[32, *range(9, 14)]] = True
-    return values, space
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
+    return lower.astype(U) + U(1), space
 
 
 def shingle_hashes(texts: list[str], k: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles in order of texts, and the text of each; a text of fewer words has its whole sequence as one."""
     values, space = _byte_tables()
     parts = [x.encode("utf-8", "surrogatepass") for x in texts]
-    data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+    joined = b" ".join([*parts, b""])
+    data = np.frombuffer(joined, np.uint8)
     if not len(data):
         return np.zeros(0, U), np.zeros(0, np.int64)
     inside = ~space[data]
@@ -83,13 +82,7 @@ def shingle_hashes(texts: list[str], k: int = 3) -> tuple[np.ndarray, np.ndarray
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.zeros(0, U), np.zeros(0, np.int64)
-    size = end - start
-    powers = np.ones(int(size.max()), U)
-    powers[1:] = U(0x9E3779B97F4A7C15)
-    np.multiply.accumulate(powers, out=powers)
-    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    place = at - np.repeat(start, size)
-    words = _mix(np.add.reduceat(values[data[at]] * powers[place], np.cumsum(size) - size) + size.astype(U) * U(0xD6E8FEB86659FD93))
+    words = keyed_hashes(values[data], start, end - start, lambda j: joined[start[j] : end[j]].lower())
     text = np.searchsorted(np.cumsum([len(x) + 1 for x in parts]), start, side="right")
     n = np.bincount(text, minlength=len(texts))
     first = np.cumsum(n) - n
@@ -97,7 +90,7 @@ def shingle_hashes(texts: list[str], k: int = 3) -> tuple[np.ndarray, np.ndarray
     def of(at: np.ndarray, m: int) -> np.ndarray:
         h = np.full(len(at), m, U)
         for j in range(m):
-            h = _mix(h * U(0x9FB21C651E98DF25) + words[at + j])
+            h = mix(h * U(0x9FB21C651E98DF25) + words[at + j])
         return h
 
     whole = np.flatnonzero(text[: len(text) - k + 1] == text[k - 1 :]) if len(text) >= k else np.zeros(0, np.int64)
@@ -156,19 +149,18 @@ def least_overlap(n, m, num: int, den: int):
     return -(-num * (n + m) // (num + den))
 
 
-def prefix_levels(weights: np.ndarray, n: int, num: int, den: int) -> tuple[int, int, int]:
-    """(l, tokens given, tokens given as the smaller of a pair) of a set whose ordered tokens have these weights."""
+def prefix_levels(weights: np.ndarray, n: int, num: int, den: int) -> tuple[int, int]:
+    """(l, tokens given) of a set whose ordered tokens have these weights; as many as the smallest partner asks for."""
     long = n - least_overlap(n, -(-num * n // den), num, den)
-    short = n - least_overlap(n, n, num, den)
     most = max(1, min(LEVELS, n - long))
     met = np.cumsum(np.where(weights[: long + most] > 0, 2.0 ** (weights[: long + most] / 2.0), RARE))
     costs = [long + l + met[min(n, long + l) - 1] * (1 + VERIFY_COST / l) for l in range(1, most + 1)]
     l = int(np.argmin(costs)) + 1
-    return l, min(n, long + l), min(n, short + l)
+    return l, min(n, long + l)
 
 
 def _describe(rows: DataFrame, k: int, num: int, den: int, weights) -> DataFrame:
-    """(doc_id, n, fp, ell, short, strange, tokens) of every row."""
+    """(doc_id, n, fp, ell, strange, tokens) of every row."""
 
     def run(parts):
         for part in parts:
@@ -179,39 +171,39 @@ def _describe(rows: DataFrame, k: int, num: int, den: int, weights) -> DataFrame
                 for s in sets:
                     n = len(s)
                     if not n:
-                        out.append((0, None, 0, 0, 0, np.zeros(0, np.int64)))
+                        out.append((0, None, 0, 0, np.zeros(0, np.int64)))
                         continue
                     w = weights.value[s >> U(64 - SKETCH_BITS)]
                     tokens = (w.astype(U) << U(58)) | (s >> U(6))
                     tokens.sort()
-                    l, long, short = prefix_levels((tokens[: n] >> U(58)).astype(np.uint8), n, num, den)
-                    out.append((n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), l, short, int(1000 * (w == 0).sum() // n), tokens[:long].astype(np.int64)))
-                n, fp, ell, short, strange, tokens = zip(*out, strict=True)
+                    l, long = prefix_levels((tokens[: n] >> U(58)).astype(np.uint8), n, num, den)
+                    out.append((n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), l, int(1000 * (w == 0).sum() // n), tokens[:long].astype(np.int64)))
+                n, fp, ell, strange, tokens = zip(*out, strict=True)
                 offsets = np.cumsum([0, *map(len, tokens)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(seen, len(texts)),
-                        *(pa.array(x, t) for x, t in ((n, pa.int32()), (fp, pa.binary()), (ell, pa.int32()), (short, pa.int32()), (strange, pa.int32()))),
+                        *(pa.array(x, t) for x, t in ((n, pa.int32()), (fp, pa.binary()), (ell, pa.int32()), (strange, pa.int32()))),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tokens), pa.int64())),
                     ],
-                    ["doc_id", "n", "fp", "ell", "short", "strange", "tokens"],
+                    ["doc_id", "n", "fp", "ell", "strange", "tokens"],
                 )
                 seen += len(texts)
 
-    return rows.mapInArrow(run, "doc_id long, n int, fp binary, ell int, short int, strange int, tokens array<long>")
+    return rows.mapInArrow(run, "doc_id long, n int, fp binary, ell int, strange int, tokens array<long>")
 
 
 def _candidates(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Of shared tokens with the two documents l and r, the pairs (a, b) with enough of them."""
     l, r = F.col("l"), F.col("r")
-    small, large = F.when(l["n"] <= r["n"], l), F.when(l["n"] <= r["n"], r)
     need = F.ceil(F.lit(num) * (l["n"] + r["n"]) / F.lit(num + den))
+    ell = F.least(l["ell"], r["ell"])
     # what comes before the token in both and could be common, and what is left from it on
     bound = F.least(l["live"], r["live"]) + F.least(l["n"] - l["pos"], r["n"] - r["pos"])
     meets = (F.least(l["n"], r["n"]) * den >= F.greatest(l["n"], r["n"]) * num) & (bound >= need)
-    # the smaller of the two has the token in its shorter prefix
-    meets &= ((l["n"] <= r["n"]) & (l["pos"] < l["short"])) | ((r["n"] <= l["n"]) & (r["pos"] < r["short"]))
-    kept = pairs.where(meets).select(F.least(l["doc"], r["doc"]).alias("a"), F.greatest(l["doc"], r["doc"]).alias("b"), F.least(l["ell"], r["ell"]).alias("ell"))
+    # both have it in the prefix within which a pair of these sizes shares ell tokens at least
+    meets &= (l["pos"] < l["n"] - need + ell) & (r["pos"] < r["n"] - need + ell)
+    kept = pairs.where(meets).select(F.least(l["doc"], r["doc"]).alias("a"), F.greatest(l["doc"], r["doc"]).alias("b"), ell.alias("ell"))
     return kept.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell")).where("shared >= ell").select("a", "b")
 
 
@@ -239,7 +231,7 @@ def _passing(ids: DataFrame, id: str):
 
 
 def _places(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (_mix(ids.astype(np.int64).view(U)) >> U(64 - bits)).astype(np.int64)
+    return (mix(ids.astype(np.int64).view(U)) >> U(64 - bits)).astype(np.int64)
 
 
 def _sets(rows: DataFrame, ids: DataFrame, id: str, k: int) -> DataFrame:
@@ -286,13 +278,13 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all_docs = written(_describe(rows, k, num, den, weights))
 
     own = all_docs.where("n > 0 AND doc_id IS NOT NULL")
-    meta = own.groupBy("fp").agg(F.min_by(F.struct("doc_id", "n", "ell", "short", "strange"), "doc_id").alias("c")).select(F.col("c.doc_id").alias("doc"), "c.n", "c.ell", "c.short", "c.strange")
+    meta = own.groupBy("fp").agg(F.min_by(F.struct("doc_id", "n", "ell", "strange"), "doc_id").alias("c")).select(F.col("c.doc_id").alias("doc"), "c.n", "c.ell", "c.strange")
     posted = own.groupBy("fp").agg(F.min_by(F.struct("doc_id", "tokens"), "doc_id").alias("c")).select(F.col("c.doc_id").alias("doc"), F.posexplode("c.tokens").alias("pos", "token"))
     repeated = posted.groupBy("token").count().where("count > 1").select("token")
     shared = posted.join(repeated, "token").join(meta, "doc")
     # tokens before a shared one that no other prefix has are in no document that has the shared one in its prefix
     live = F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1
-    shared = written(shared.select("token", F.struct("strange", "doc", "n", "ell", "short", "pos", live.alias("live")).alias("d")))
+    shared = written(shared.select("token", F.struct("strange", "doc", "n", "ell", "pos", live.alias("live")).alias("d")))
 
     # the most central document of a token's is that with the fewest rare shingles
     centres = shared.groupBy("token").agg(F.min("d").alias("centre"))
