@@ -43,6 +43,32 @@ def test_known_words_start_anew(monkeypatch, library):
         assert flat.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def thue_morse(size):
+    """Two different words that polynomial hashes modulo 2**64 take for equal."""
+    bits = [bin(k).count("1") & 1 for k in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch, library):
+    texts = [*thue_morse(1024), *thue_morse(2048), "one two three", "two one three three", "aé b é", "x" * 5000]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+    def got(coder):
+        flat, bounds = coder.encode(texts)
+        return [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    assert got(bpe.Encoder()) == want
+    coder = bpe.Encoder()
+    monkeypatch.setattr(coder, "_hashes", lambda data, at: np.zeros(len(at), np.uint64))
+    assert got(coder) == want and got(coder) == want
+
+
+def test_ids_with_nulls_are_decoded(spark):
+    ids = bpe.encoder().encode(["some text"])[0].tolist()
+    rows = spark.createDataFrame([(1, ids[:1] + [None] + ids[1:]), (2, None), (3, [])], "k long, ids array<int>")
+    assert [r.text for r in bpe.decode(rows).orderBy("k").collect()] == ["some text", "", ""]
+
+
 def test_round_trip_query(documents, library):
     rows = bpe.round_trip(documents([*ODD, None])).collect()
     for r, text in zip(sorted(rows, key=lambda r: r.doc_id), [*ODD, ""], strict=True):

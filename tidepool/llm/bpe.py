@@ -16,7 +16,7 @@ Words (as the byte-level pre-tokenizer splits) are encoded from left to right:
 each prefix of a word has one tokenization and so leads to one state, and a
 token may follow a prefix if its bytes do and its class's bit is set. All new
 words of a batch go through the tables together in numpy; words seen before are
-looked up. Decoding emits the bytes of each id's arc label.
+looked up by a hash, and their bytes are compared. Decoding emits the bytes of each id's arc label.
 """
 
 from __future__ import annotations
@@ -32,13 +32,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import keyed_hashes
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The endings that are split from a word after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Kinds of characters.
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-#: Words that a worker keeps with their ids; beyond, it starts anew.
-KNOWN_WORDS = 500_000
+#: Words and bytes of words that a worker keeps with their ids; beyond, it starts anew.
+KNOWN_WORDS, KNOWN_BYTES = 500_000, 8 << 20
 #: Words of more bytes are encoded one by one.
 LONG_WORD = 48
 
@@ -228,6 +230,15 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
+def _same(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each run of ``size`` bytes (one at least) of ``a`` is that of ``b``."""
+    if not len(size):
+        return np.zeros(0, bool)
+    before = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(before, size)
+    return np.logical_and.reduceat(a[np.repeat(a_start, size) + place] == b[np.repeat(b_start, size) + place], before)
+
+
 class Encoder:
     """Splits texts into words and encodes them, with the ids of words seen before kept."""
 
@@ -235,14 +246,13 @@ class Encoder:
         self.automaton = Automaton(path)
         self.special = self.automaton.special
         self._special_pattern = regex.compile("|".join(f"({regex.escape(x)})" for x in sorted(self.special, key=len, reverse=True))) if self.special else None
-        rng = np.random.default_rng(20)
-        self._byte_values = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
         self._forget()
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.where = np.zeros(0, np.int64)
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.bytes, self.byte_starts = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def _pieces(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
         """Texts cut at special tokens: pieces, the text of each, the id of special ones or -1."""
@@ -302,20 +312,9 @@ class Encoder:
         return data, at, word_id
 
     def _hashes(self, data: bytes, at: np.ndarray) -> np.ndarray:
-        """A hash of 64 bits of each word: its bytes' random values times powers of an odd number, summed, and mixed with its length."""
-        values = self._byte_values[np.frombuffer(data, np.uint8)]
+        """A hash of 64 bits of each word."""
         ends = np.append(at[1:], len(data))
-        size = ends - at
-        base = np.uint64(0x9E3779B97F4A7C15)
-        if not len(at):
-            return np.zeros(0, np.uint64)
-        powers = np.ones(int(size.max()), np.uint64)
-        powers[1:] = base
-        np.multiply.accumulate(powers, out=powers)
-        place = np.arange(len(data)) - np.repeat(at, size)
-        sums = np.add.reduceat(values * powers[place], at)
-        h = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + size.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(32))
+        return keyed_hashes(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), at, ends - at, lambda k: data[at[k] : ends[k]])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another as unsigned 32-bit integers, and where each text's begin (one more than texts)."""
@@ -326,28 +325,40 @@ class Encoder:
         data, at, word_id = self._word_starts(pieces, ids)
         hashes = self._hashes(data, at)
         keys, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > KNOWN_WORDS:
+        if len(self.keys) > KNOWN_WORDS or len(self.bytes) > KNOWN_BYTES:
             self._forget()
+        units, size = np.frombuffer(data, np.uint8), np.diff(np.append(at, len(data)))
+        take = lambda some: [data[a : a + b] for a, b in zip(at[some].tolist(), size[some].tolist(), strict=True)]
         slot = np.searchsorted(self.keys, keys)
         known = slot < len(self.keys)
         known[known] = self.keys[slot[known]] == keys[known]
         if not known.all():
-            ends = np.append(at[1:], len(data))
             new = np.flatnonzero(~known)
-            coded = self.automaton.encode_words([data[a:b] for a, b in zip(at[example[new]].tolist(), ends[example[new]].tolist(), strict=True)])
-            sizes = np.array([len(x) for x in coded])
+            words = take(example[new])
+            coded = self.automaton.encode_words(words)
             where = np.append(self.where, len(self.starts) - 1 + np.arange(len(new)))
-            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(x) for x in coded]))
             self.flat = np.concatenate([self.flat, *coded])
+            self.byte_starts = np.append(self.byte_starts, self.byte_starts[-1] + np.cumsum(size[example[new]]))
+            self.bytes = np.append(self.bytes, np.frombuffer(b"".join(words), np.uint8))
             merged = np.append(self.keys, keys[new])
             order = np.argsort(merged, kind="stable")
             self.keys, self.where = merged[order], where[order]
             slot = np.searchsorted(self.keys, keys)
         word = self.where[slot][which.reshape(-1)]
         begin, n = self.starts[word], self.starts[word + 1] - self.starts[word]
+        # a word whose bytes aren't those of the kept word of its hash is encoded for itself
+        flat, other = self.flat, self.byte_starts[word + 1] - self.byte_starts[word] != size
+        alike = np.flatnonzero(~other)
+        other[alike] = ~_same(units, at[alike], self.bytes, self.byte_starts[word[alike]], size[alike])
+        if (some := np.flatnonzero(other & (word_id < 0))).size:
+            coded = self.automaton.encode_words(take(some))
+            n[some] = [len(x) for x in coded]
+            begin[some] = len(flat) + np.cumsum(n[some]) - n[some]
+            flat = np.concatenate([flat, *coded])
         n = np.where(word_id >= 0, 1, n)
         ends = np.cumsum(n)
-        flat = self.flat[np.minimum(np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1])), max(0, len(self.flat) - 1))]
+        flat = flat[np.minimum(np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1])), max(0, len(flat) - 1))]
         special = word_id >= 0
         flat[(ends - n)[special]] = word_id[special]
         # the text of each word, by the piece that it lies in
@@ -414,13 +425,13 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", path: str = VOC
 
 
 def decode(docs: DataFrame, ids: str = "ids", to: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """``docs`` with the text of the array column ``ids`` (null: empty) in the column ``to``."""
+    """``docs`` with the text of the array column ``ids`` in the column ``to``; a null array is empty, and null ids in one are left out."""
 
     @F.pandas_udf("string")
     def texts(column):
         import pandas as pd
 
         automaton = encoder(path).automaton
-        return pd.Series([automaton.decode([] if x is None else list(x)).decode("utf-8", "replace") for x in column])
+        return pd.Series([automaton.decode([] if x is None else [int(k) for k in x if k is not None and k == k]).decode("utf-8", "replace") for x in column])
 
     return docs.withColumn(to, texts(F.col(ids)))
