@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Month names by their first three letters.
-MONTHS = {name: k for k, name in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
+#: Names of months; their first three letters stand for them too.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
@@ -19,18 +19,34 @@ def _int(text: Column, pattern: str, group: int) -> Column:
 
 
 def month_day(text: Column, today: Column) -> Column:
-    """"march 5th" in the current year."""
-    pattern = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+(\d{1,2})(?:st|nd|rd|th)?\b"
+    """"march 5th" or "mar 5" in the current year, also if that is to come."""
+    names = dict.fromkeys((*MONTHS, *(m[:3] for m in MONTHS)))
+    pattern = rf"({'|'.join(names)})\s+(\d{{1,2}})(?:st|nd|rd|th)?"
     low = F.lower(text)
-    table = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    return _day(F.year(today), F.try_element_at(table, F.regexp_extract(low, pattern, 1)), _int(low, pattern, 2))
+    table = F.create_map(*[x for k, m in enumerate(MONTHS, 1) for x in (F.lit(m[:3]), F.lit(k))])
+    return _day(F.year(today), F.try_element_at(table, F.substring(F.regexp_extract(low, pattern, 1), 1, 3)), _int(low, pattern, 2))
 
 
-def relative_day(text: Column, today: Column) -> Column:
-    """today, yesterday, "last week" (its first day) and "n days ago"."""
+def _span(start: Column, end: Column | None = None) -> Column:
+    return F.when(start.isNotNull(), F.struct(start.alias("start"), F.coalesce(end if end is not None else start, start).alias("end")))
+
+
+def _before(day: Column, text: Column, pattern: str) -> Column:
+    """So many days before as a number in the text says; up to five digits of it count."""
+    return F.date_sub(day, F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).cast("int"))
+
+
+def relative_span(text: Column, today: Column) -> Column:
+    """struct(start, end) of today, yesterday, "last week" (seven days up to today) and "n days ago"."""
     low, day = F.lower(text), F.to_date(today)
-    ago = _int(low, r"(\d{1,5})\s+days?\s+ago", 1)
-    return F.when(low.rlike(r"\btoday\b"), day).when(low.rlike(r"\byesterday\b"), F.date_sub(day, 1)).when(low.rlike(r"last\s+week"), F.date_sub(day, 7)).otherwise(F.date_sub(day, ago))
+    week = F.when(low.rlike(r"last\s+week"), F.date_sub(day, 7))
+    one = F.when(low.contains("today"), day).when(low.contains("yesterday"), F.date_sub(day, 1))
+    return F.coalesce(_span(one), _span(week, day), _span(_before(day, low, r"(\d{1,5})\s+days?\s+ago")))
+
+
+def relative_day(text: Column, today: Column) -> Column:
+    """The first day of ``relative_span``."""
+    return relative_span(text, today)["start"]
 
 
 def iso_day(text: Column) -> Column:
@@ -44,17 +60,33 @@ def any_day(text: Column, today: Column) -> Column:
 
 
 def korean_day(text: Column, today: Column) -> Column:
-    """A month and day with or without a year (one to come is last year's), or a day alone (one to come is last month's)."""
-    full, alone = r"(?:(\d{4})년\s*)?(\d{1,2})월\s*(\d{1,2})일", r"(?<![0-9월])(\d{1,2})일(?!\s*전)"
-    year = F.coalesce(F.when(F.regexp_extract(text, full, 1) != "", F.regexp_extract(text, full, 1)).cast("int"), F.year(today))
-    named = _day(year, _int(text, full, 2), _int(text, full, 3))
-    last_year = _day(year - 1, _int(text, full, 2), _int(text, full, 3))
-    day = _int(text, alone, 1)
-    month = F.when(day > F.dayofmonth(today), F.add_months(F.trunc(today, "month"), -1)).otherwise(F.trunc(today, "month"))
-    return F.when(text.rlike(full), F.when(named > F.to_date(today), last_year).otherwise(named)).otherwise(_day(F.year(month), F.month(month), day))
+    """A month and day with or without a year (one to come is that of the year before), or a day alone (one to come is last month's)."""
+    month, day_of_month = r"([0-9]{1,2})월\s*[0-9]{1,2}일", r"[0-9]{1,2}월\s*([0-9]{1,2})일"
+    with_year = F.regexp_extract(text, r"([0-9]{4})년\s*[0-9]{1,2}월\s*[0-9]{1,2}일", 1)
+    year = F.when(with_year != "", with_year).otherwise(F.year(today).cast("string")).cast("int")
+    named, earlier = (_day(y, _int(text, month, 1), _int(text, day_of_month, 1)) for y in (year, year - 1))
+    # a day that stands alone follows neither a digit nor a month, and isn't a number of days ago
+    day = _int(text, r"(?:^|[^0-9월])([0-9]{1,2})일(?!\s*전)", 1)
+    first = F.trunc(F.to_date(today), "month")
+    first = F.when(day > F.dayofmonth(today), F.add_months(first, -1)).otherwise(first)
+    return F.when(text.rlike(month), F.when(named > F.to_date(today), earlier).otherwise(named)).otherwise(_day(F.year(first), F.month(first), day))
+
+
+def korean_relative_span(text: Column, today: Column) -> Column:
+    """struct(start, end) of today, yesterday, the day before it, last week and the last n days (up to today), and "n days ago"."""
+    day = F.to_date(today)
+    one = F.when(text.contains("오늘"), day).when(text.contains("어제"), F.date_sub(day, 1)).when(text.rlike("그저[께게]"), F.date_sub(day, 2))
+    week = F.when(text.rlike(r"지난\s*주"), F.date_sub(day, 7))
+    return F.coalesce(_span(one), _span(week, day), _span(_before(day, text, r"지난\s*([0-9]{1,5})\s*일"), day), _span(_before(day, text, r"([0-9]{1,5})\s*일\s*전")))
 
 
 def korean_relative(text: Column, today: Column) -> Column:
-    """Today, yesterday, and "n days ago"."""
-    day = F.to_date(today)
-    return F.when(text.contains("오늘"), day).when(text.contains("어제"), F.date_sub(day, 1)).otherwise(F.date_sub(day, _int(text, r"(\d{1,5})\s*일\s*전", 1)))
+    """The first day of ``korean_relative_span``."""
+    return korean_relative_span(text, today)["start"]
+
+
+def any_span(text: Column, today: Column) -> Column:
+    """struct(start, end) by the first rule that finds a day: Korean dates, Korean relative days, a month and day, relative days, ISO dates."""
+    return F.coalesce(
+        _span(korean_day(text, today)), korean_relative_span(text, today), _span(month_day(text, today)), relative_span(text, today), _span(iso_day(text))
+    )

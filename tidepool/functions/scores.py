@@ -68,9 +68,9 @@ def cosine(a: Column, b: Column, tiny: float = 1e-10) -> Column:
 
 
 def byte_distance(a: Column, b: Column) -> Column:
-    """Edit distance over UTF-8 bytes."""
-    as_bytes = lambda x: F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")
-    return F.levenshtein(as_bytes(a), as_bytes(b))
+    """Edit distance over UTF-8 bytes. Small distances are looked for first, which takes time in proportion to them and not to both lengths."""
+    x, y = (F.decode(F.encode(x, "UTF-8"), "ISO-8859-1") for x in (a, b))
+    return F.coalesce(*[F.nullif(F.levenshtein(x, y, most), F.lit(-1)) for most in (16, 128, 1024)], F.levenshtein(x, y))
 
 
 def string_similarity(a: Column, b: Column) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidepool.functions.rules import colour  # noqa: F401
+
 #: Ranges of emoji code points; groups of relation names that count as one; patterns of secrets.
-EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}\x{2600}-\x{26FF}]+"
-KEYS = (r"sk-[A-Za-z0-9]{20,}", r"AIza[A-Za-z0-9_-]{35}", r"ghp_[A-Za-z0-9]{36}", r"xox[bp]-[A-Za-z0-9-]{10,}")
+EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FAFF}\x{2600}-\x{26FF}\x{FE00}-\x{FE0F}\x{200D}]+"
+KEYS = (r"sk-[a-zA-Z0-9-]{20,}", r"AIza[a-zA-Z0-9_-]{35}", r"ghp_[a-zA-Z0-9]{36}", r"xoxb-[a-zA-Z0-9-]+")
 HANGUL = r"[가-힯ᄀ-ᇿ㄰-㆏]"
 
 
@@ -53,6 +55,11 @@ def without_emoji(text: Column) -> Column:
     return F.regexp_replace(text, EMOJI, "")
 
 
+def only_emoji(text: Column) -> Column:
+    """Whether a text has emoji and, but for white space, nothing else."""
+    return text.rlike(EMOJI) & (strip(without_emoji(text)) == "")
+
+
 def cleaned(text: Column) -> Column:
     """Emoji, smart quotes and bracket tags off, blanks and newlines collapsed; doing it twice changes nothing."""
     out = F.regexp_replace(without_emoji(text), r"[“”]", '"')
@@ -60,7 +67,7 @@ def cleaned(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
-def redacted(text: Column, mark: str = "[REDACTED]") -> Column:
+def redacted(text: Column, mark: str = "[REDACTED_KEY]") -> Column:
     for pattern in KEYS:
         text = F.regexp_replace(text, pattern, F.lit(mark))
     return text
@@ -182,12 +189,3 @@ def elapsed_label(seconds: Column) -> Column:
         F.when(seconds < 30, F.lit("")).when(seconds < 300, F.concat(F.lit("pause of "), unit(60, " minutes"))).when(seconds < 3600, F.concat(F.lit("resumed after "), unit(60, " minutes")))
         .when(seconds < 21_600, F.concat(F.lit("back after "), unit(3600, " hours"))).when(seconds < 86_400, F.concat(F.lit("new session after "), unit(3600, " hours"))).otherwise(F.concat(F.lit("back after "), unit(86_400, " days")))
     )
-
-
-def colour(text: Column) -> Column:
-    """Red, green and blue of "#rgb", "#rrggbb" or "rgb(r, g, b)"; null for others."""
-    hexed, short = r"^#?([0-9a-fA-F]{2})([0-9a-fA-F]{2})([0-9a-fA-F]{2})$", r"^#([0-9a-fA-F])([0-9a-fA-F])([0-9a-fA-F])$"
-    named = r"^rgb\((\d{1,3}),\s*(\d{1,3}),\s*(\d{1,3})\)$"
-    part = lambda p, k, base, twice=False: F.conv(F.repeat(F.regexp_extract(text, p, k), 2 if twice else 1), base, 10).cast("int")
-    three = lambda p, base, twice=False: F.array(*[part(p, k, base, twice) for k in (1, 2, 3)])
-    return F.when(text.rlike(hexed), three(hexed, 16)).when(text.rlike(short), three(short, 16, True)).when(text.rlike(named), three(named, 10))

@@ -8,14 +8,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir; one of our own only where the session names none."""
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that ``spark.checkpoint.dir`` names, which all executors share. Without one, only a session of one machine goes on."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidepool-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidepool-"))
     return df.checkpoint()
 
 
+#: Rows of a frontier that are broadcast; more are joined by a shuffle.
+FEW = 100_000
+
+
+def _step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    few = frontier.limit(FEW + 1).count() <= FEW
+    return edges.join(F.broadcast(frontier) if few else frontier, F.col("node") == F.col("a"))
+
+
 def symmetric(relations: DataFrame) -> DataFrame:
     """(a, b) in both directions, once each, without loops."""
     ends = F.explode(F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b"))))
@@ -24,26 +36,26 @@ def symmetric(relations: DataFrame) -> DataFrame:
 
 def neighbours(relations: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, distance) of nodes within ``depth`` of each of ``starts`` (one column, start), the start itself included."""
-    edges = symmetric(relations)
+    edges = cut(symmetric(relations))
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance"))
     frontier = seen
     for level in range(1, depth + 1):
-        step = frontier.join(edges, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
-        frontier = _cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(level)))
+        step = _step(frontier, edges).select("start", F.col("b").alias("node")).distinct()
+        frontier = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen
 
 
 def shortest_paths(relations: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     """(source, target, distance, path) of the shortest path of each pair within ``depth``; of equal ones the least by its nodes."""
-    edges = symmetric(relations)
+    edges = cut(symmetric(relations))
     goals = pairs.select("source", "target").distinct()
     frontier = goals.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
     seen = frontier
     for _ in range(depth):
-        step = frontier.join(edges, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), F.array_append("path", F.col("b")).alias("path"))
+        step = _step(frontier, edges).select("source", F.col("b").alias("node"), F.array_append("path", F.col("b")).alias("path"))
         step = step.groupBy("source", "node").agg(F.min("path").alias("path"))
-        frontier = _cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
+        frontier = cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
     return goals.join(seen.select("source", F.col("node").alias("target"), "path"), ["source", "target"]).select("source", "target", (F.size("path") - 1).alias("distance"), "path")
 
@@ -51,13 +63,13 @@ def shortest_paths(relations: DataFrame, pairs: DataFrame, depth: int) -> DataFr
 def components(relations: DataFrame) -> DataFrame:
     """(node, component): the least node that can be reached. Labels spread to neighbours and then jump to their labels' labels, so
     long chains end in few rounds; each round is one join, and only a count comes to the driver."""
-    edges = _cut(symmetric(relations))
+    edges = cut(symmetric(relations))
     labels = edges.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     while True:
         around = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         new = labels.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = _cut(new.join(jump, "component").select("node", "old", F.least("component", "root").alias("component")))
+        new = cut(new.join(jump, "component").select("node", "old", F.least("component", "root").alias("component")))
         labels = new.select("node", "component")
         if new.where("old <> component").isEmpty():
             return labels
@@ -72,7 +84,7 @@ def traverse(relations: DataFrame, starts: DataFrame, depth: int = 2, least: flo
     seen = frontier.withColumn("distance", F.lit(0))
     for level in range(1, depth + 1):
         step = frontier.join(best, F.col("node") == F.col("a")).groupBy("start", F.col("b").alias("node")).agg(F.max(F.col("weight") * F.col("w")).alias("weight"))
-        frontier = _cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        frontier = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         seen = seen.unionByName(frontier.withColumn("distance", F.lit(level)))
     return seen.where("distance > 0")
 
@@ -113,7 +125,7 @@ def keyword_query(entities: DataFrame, relations: DataFrame, words: list[str], d
     rank = F.row_number().over(Window.partitionBy("w.place").orderBy(F.desc("mentions"), "entity_id"))
     seeds = found.withColumn("k", rank).where("k <= 2").orderBy("w.place", "k").limit(3).select(F.col("entity_id").alias("start")).distinct()
     around = neighbours(relations, seeds, depth).select(F.col("node").alias("entity_id")).distinct()
-    kept = _cut(entities.join(around, "entity_id").orderBy(F.desc("mentions"), "entity_id").limit(most))
+    kept = cut(entities.join(around, "entity_id").orderBy(F.desc("mentions"), "entity_id").limit(most))
     ends = F.broadcast(kept.select(F.col("entity_id").alias("e")))  # ``most`` rows
     near = relations.join(ends, (F.col("source_id") == F.col("e")) | (F.col("target_id") == F.col("e")), "left_semi")
     return kept, near.orderBy(F.desc("weight"), "source_id", "target_id").limit(10)

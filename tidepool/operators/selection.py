@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.operators.graph import cut as _cut
+
 
 def best_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return newest(df, keys, order, 1)
@@ -44,3 +46,26 @@ def greedy_budget(df: DataFrame, keys: list[str], id: str, score: str, size: str
 
     taken = rows.select(*keys, F.posexplode(F.aggregate("rows", start, step)["taken"]).alias("place", "t"))
     return taken.select(*keys, F.col("t.id").alias(id), "place")
+
+
+def moving_average(df: DataFrame, key: str, ts: str, id: str, value: str, alpha: float) -> DataFrame:
+    """(key, average): the exponential average of a key's values, each weighed by 1 - (1 - alpha) ** (hours since the last / 6); the first
+    counts whole. Later values fade a value by powers that add up to the time from it to the last, so one sum takes the fold's place."""
+    w = Window.partitionBy(key).orderBy(ts, id)
+    s = F.unix_micros(ts) / 1e6
+    rows = df.select(key, value, s.alias("s"), (s - F.lag(s).over(w)).alias("gap"), F.max(s).over(Window.partitionBy(key)).alias("last"))
+    kept = lambda seconds: F.pow(F.lit(1 - alpha), seconds / 21_600)
+    weight = F.when(F.col("gap").isNull(), F.lit(1.0)).otherwise(1 - kept(F.col("gap"))) * kept(F.col("last") - F.col("s"))
+    return rows.groupBy(key).agg(F.sum(F.col(value) * weight).alias("average"))
+
+
+def placed(df: DataFrame, order: list[Column], to: str = "place") -> DataFrame:
+    """``df`` with the place of each row (from 1) in an order over all of it: ranges of the order are ranked for themselves, and the sizes of
+    those before are added, so no task has all rows. One number of each range comes to the driver."""
+    ranged = _cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    before, total = [], 0
+    for part, n in sorted(map(tuple, ranged.groupBy("_part").count().collect())):
+        before += [F.lit(part), F.lit(total)]
+        total += n
+    start = F.element_at(F.create_map(*before), F.col("_part")) if before else F.lit(0)
+    return ranged.select(*df.columns, (F.col("_at") + start + 1).cast("long").alias(to))

@@ -24,9 +24,14 @@ def to_query(vectors: DataFrame, query: list[float]) -> DataFrame:
     return vectors.select("vec_id", scores.cosine(F.col("embedding"), F.array(*map(F.lit, query))).alias("similarity"))
 
 
+def of_memories(vectors: DataFrame, memories: DataFrame) -> DataFrame:
+    """Vectors that belong to a memory. A cut by similarity comes after this, or it would take places for vectors without one."""
+    return vectors.join(memories.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+
+
 def semantic_query(memories: DataFrame, vectors: DataFrame, vec_id: int, n: int, now: Column) -> DataFrame:
     """The n best memories for a query vector: more than n by similarity, then scored with decay and importance."""
-    near = to_query(vectors, vector_of(vectors, vec_id)).orderBy(F.desc("similarity"), "vec_id").limit(max(n + 5, int(1.5 * n)))
+    near = to_query(of_memories(vectors, memories), vector_of(vectors, vec_id)).orderBy(F.desc("similarity"), "vec_id").limit(max(n + 5, int(1.5 * n)))
     rows = memories.join(F.broadcast(near), F.col("id") == F.col("vec_id"))
     decayed = scores.simple_decay(F.lit(1.0), F.col("created_at"), F.col("access_count"), now)
     rows = rows.select("id", scores.retrieval(F.col("similarity"), F.col("importance"), decayed).alias("score"))
@@ -37,7 +42,7 @@ def near_vectors(vectors: DataFrame, least: float, blocks: int | None = None) ->
     """(a, b, similarity) of all pairs a < b of vectors whose cosine reaches ``least``; null and zero vectors pair with none.
 
     Rows are dealt into blocks, and each pair of blocks is one group, multiplied as matrices; candidates are then scored in
-    double precision. Exact, with work and shuffle that grow with rows times blocks; for large tables see the llm index.
+    double precision. Exact, with work and shuffle that grow with rows times blocks; large tables want an approximate index.
     """
     rows = vectors.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     blocks = blocks or max(1, -(-rows.count() // BLOCK))
@@ -76,15 +81,50 @@ def near_strings(rows: DataFrame, id: str, text: str, least: float, block: str |
     size = F.octet_length(F.col(text))
     step = -np.log(least)
     band = F.when(size > 0, F.floor(F.log(size.cast("double")) / step)).otherwise(F.lit(-1))
-    own = rows.select(F.col(id).alias("a"), F.col(text).alias("x"), (F.col(block) if block else F.lit(0)).alias("block"), band.alias("band"))
+    # bytes as characters, decoded once a row and not once a pair
+    letters = F.decode(F.encode(F.col(text), "UTF-8"), "ISO-8859-1")
+    own = rows.select(F.col(id).alias("a"), letters.alias("x"), (F.col(block) if block else F.lit(0)).alias("block"), band.alias("band"))
     other = own.select(F.col("a").alias("b"), F.col("x").alias("y"), "block", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    x, y = F.octet_length("x"), F.octet_length("y")
+    x, y = F.char_length("x"), F.char_length("y")
     pairs = own.join(other, ["block", "band"]).where((F.col("a") < F.col("b")) & (F.least(x, y) >= least * F.greatest(x, y)))
-    return pairs.select("a", "b", scores.string_similarity(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
+    pairs = pairs.select("a", "b", F.greatest(x, y).alias("n"), "x", "y")
+    # a distance over what the longest of a range of lengths allows ends early, and is -1
+    distance = F
+    for most in (8, 16, 32, 64, 128, 256, 1024):
+        distance = distance.when(F.col("n") <= most, F.levenshtein("x", "y", int(most * (1 - least)) + 1))
+    distance = distance.otherwise(F.levenshtein("x", "y"))
+    pairs = pairs.select("a", "b", "n", distance.alias("d")).where("d >= 0")
+    return pairs.select("a", "b", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(1.0 - F.col("d") / F.col("n")).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def block_ratio(a: Column, b: Column, n: int = 500) -> Column:
-    """The share of matching blocks of two texts' first ``n`` characters in lower case; texts that are both empty have 1."""
+def novel(rows: DataFrame, id: str, text: str, n: int = 3) -> DataFrame:
+    """Rows whose text, without case, neither holds another row's text nor lies in one.
+
+    What holds a text holds its runs of ``n`` characters, so a text looks for its rarest run only (a shorter text for itself) among the runs
+    of all others; of equal texts one is compared, and none of them is novel. A null text isn't compared and stays.
+    """
+    keyed = rows.select(F.col(id).alias("_id"), F.lower(text).alias("_t"))
+    texts = keyed.where("_t IS NOT NULL").groupBy("_t").agg(F.count("*").alias("copies"))
+    run = lambda size: F.transform(F.sequence(F.lit(1), F.char_length("_t") - size + 1), lambda k: F.substring(F.col("_t"), k, F.lit(size)))
+    runs = F.array_distinct(F.flatten(F.array(*[F.when(F.char_length("_t") >= k, run(k)).otherwise(F.array().cast("array<string>")) for k in range(1, n + 1)])))
+    held = texts.select(F.col("_t").alias("long"), F.explode(runs).alias("run"))
+    whole = F.when(F.char_length("_t") >= n, F.array_distinct(run(n))).otherwise(F.array("_t"))
+    often = held.groupBy("run").agg(F.count("*").alias("often"))
+    rarest = texts.select("_t", F.explode(whole).alias("run")).join(often, "run").groupBy("_t").agg(F.min_by("run", F.struct("often", "run")).alias("run"))
+    pairs = rarest.join(held, "run").where((F.col("_t") != F.col("long")) & F.contains(F.col("long"), F.col("_t"))).select("_t", "long")
+    alike = pairs.select(F.explode(F.array("_t", "long")).alias("_t")).unionByName(texts.where("copies > 1").select("_t")).unionByName(_all_where_empty(texts))
+    return rows.join(keyed.join(alike.distinct(), "_t", "left_semi").select(F.col("_id").alias(id)), id, "left_anti")
+
+
+def _all_where_empty(texts: DataFrame) -> DataFrame:
+    """All texts, if one is empty (which lies in all) and there are others; else none."""
+    one = texts.where("_t = ''").limit(1).select(F.lit(1).alias("empty"))
+    others = texts.where("_t <> ''").limit(1).select(F.lit(1).alias("other"))
+    return texts.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(others)).select("_t")  # one row each
+
+
+def block_ratio(a: Column, b: Column, n: int | None = 500) -> Column:
+    """The share of matching blocks of two texts' first ``n`` characters (None: of the whole) in lower case; texts that are both empty have 1."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:

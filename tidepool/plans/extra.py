@@ -44,9 +44,9 @@ def working_memory_json(spark, sf):
     return parsed.select("session_id", "m.turn_id", "m.role")
 
 
-@query("S21_graph_json", "SELECT source_id || '|' || target_id AS key, source_id AS a, target_id AS b FROM relations WHERE relation_type <> 'supplies'")
+@query("S21_graph_json", "SELECT source_id || '|' || target_id AS key, source_id AS a, target_id AS b FROM relations")
 def graph_json(spark, sf):
-    rows = tables.relations(spark, sf).where("relation_type <> 'supplies'").select(F.concat_ws("|", "source_id", "target_id").alias("key"))
+    rows = tables.relations(spark, sf).select(F.concat_ws("|", "source_id", "target_id").alias("key"))
     parts = F.split("key", r"\|")
     return rows.select("key", parts[0].alias("a"), parts[1].alias("b"))
 
@@ -72,9 +72,9 @@ def embedding_cache_key(spark, sf):
     return tables.read(spark, sf, "documents").select("doc_id", F.concat(F.substring(F.sha2(F.substring("text", 1, 500), 256), 1, 16), F.lit(":doc")).alias("key"))
 
 
-@query("K03_case_folding", "SELECT entity_id FROM entities WHERE lower(name) = 'germany'")
+@query("K03_case_folding", "SELECT entity_id FROM entities WHERE lower(name) = lower('NaTioN_3')")
 def case_folding(spark, sf):
-    return tables.entities(spark, sf).where(F.lower("name") == "germany").select("entity_id")
+    return tables.entities(spark, sf).where(F.lower("name") == "NaTioN_3".lower()).select("entity_id")
 
 
 @query("K04_escaped_pattern", r"SELECT entity_id FROM entities WHERE name ILIKE '%r\_1%' ESCAPE '\' OR name ILIKE '%an%'")
@@ -131,14 +131,15 @@ def query_scan(spark, sf):
 
 @query("J24_path_pairs")
 def path_pairs(spark, sf):
-    found = graph.neighbours(tables.relations(spark, sf), spark.createDataFrame([("s:1",)], "start string"), 1).select(F.col("node").alias("n"))
-    pairs = found.crossJoin(F.broadcast(found.withColumnRenamed("n", "m"))).where("n < m").orderBy("n", "m").limit(10).select(F.col("n").alias("source"), F.col("m").alias("target"))  # a handful of entities of one query
+    found = graph.neighbours(tables.relations(spark, sf), spark.createDataFrame([("s:1",)], "start string"), 1).select(F.col("node").alias("n")).orderBy("n").limit(11)
+    pairs = found.crossJoin(F.broadcast(found.withColumnRenamed("n", "m"))).where("n < m").orderBy("n", "m").limit(10).select(F.col("n").alias("source"), F.col("m").alias("target"))  # eleven entities
     return graph.shortest_paths(tables.relations(spark, sf), pairs, 3).withColumn("path", F.array_join("path", ">"))
 
 
 @query("L02_hybrid_rank")
 def hybrid_rank(spark, sf):
-    m, v = tables.memories(spark, sf), tables.read(spark, sf, "embeddings")
+    m = tables.memories(spark, sf)
+    v = similarity.of_memories(tables.read(spark, sf, "embeddings"), m)
     asked = m.where("id = 0").select("content").first()
     near = similarity.to_query(v, similarity.vector_of(v, 0)).orderBy(F.desc("similarity"), "vec_id").limit(20)
     rows = m.select("id", "content").join(F.broadcast(near), F.col("id") == F.col("vec_id"))
@@ -152,9 +153,11 @@ def old_sample(spark, sf):
     return old.orderBy(F.md5(F.concat_ws(":", "session_id", "turn_id"))).limit(5).select("session_id", "turn_id")
 
 
-@query("L09_section_order", "SELECT id, row_number() OVER (ORDER BY id % 5, id) AS place FROM memories WHERE id < 100")
+@query("L09_section_order", "SELECT id, row_number() OVER (ORDER BY id % 5, id) AS place FROM memories")
 def section_order(spark, sf):
-    return tables.memories(spark, sf).where("id < 100").select("id", F.row_number().over(Window.orderBy(F.col("id") % 5, "id")).cast("long").alias("place"))
+    """Sections by priority, those of one priority as they came."""
+    rows = tables.memories(spark, sf).select("id", (F.col("id") % 5).alias("priority"))
+    return selection.placed(rows, [F.asc("priority"), F.asc("id")]).select("id", "place")
 
 
 @query("L11_recent_tasks", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
@@ -162,15 +165,6 @@ def recent_tasks(spark, sf):
     return tables.read(spark, sf, "orders").where("o_orderstatus = 'O'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey")
 
 
-@query("G02_neighbours_without_start", """
-WITH e AS (SELECT source_id AS a, target_id AS b FROM relations WHERE relation_type <> 'supplies' UNION SELECT target_id, source_id FROM relations WHERE relation_type <> 'supplies'),
-l1 AS (SELECT DISTINCT b AS node FROM e WHERE a = 'n:3'), l2 AS (SELECT DISTINCT e.b AS node FROM l1 JOIN e ON e.a = l1.node)
-SELECT DISTINCT node FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) WHERE node <> 'n:3'""")
-def neighbours_without_start(spark, sf):
-    found = graph.neighbours(tables.relations(spark, sf).where("relation_type <> 'supplies'"), spark.createDataFrame([("n:3",)], "start string"), 2)
-    return found.where("node <> start").select("node")
-
-
 @query("G09_entity_add", "SELECT lower(name) AS key, min(entity_id) AS entity_id, coalesce(min(CASE WHEN entity_type <> 'region' THEN entity_type END), 'region') AS entity_type FROM entities GROUP BY 1")
 def entity_add(spark, sf):
     kind = F.coalesce(F.min(F.when(F.col("entity_type") != "region", F.col("entity_type"))), F.lit("region"))
@@ -183,43 +177,11 @@ def keyword_query(spark, sf):
     return found.select("entity_id", "mentions")
 
 
-@query("X07_korean_spacing")
-def korean_spacing(spark, sf):
-    said = F.concat(F.lit("안녕.반가워  (좋아)그래:네 **굵게**다 "), F.substring("text", 1, 20))
-    return tables.read(spark, sf, "conversations").select("conv_id", "turn", texts.korean_spacing(said).alias("text"))
-
-
-@query("X10_role_labels", "SELECT conv_id, turn, regexp_replace('User: ' || left(text, 30), 'User:\\s', 'Person: ', 'g') AS text FROM conversations")
-def role_labels(spark, sf):
-    return tables.read(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(F.concat(F.lit("User: "), F.substring("text", 1, 30)), r"User:\s", "Person: ").alias("text"))
-
-
-@query("X11_log_lines_removed", r"SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^Licensed[^\n]*$', '', 'g'), '\n{2,}', chr(10), 'g') AS text FROM documents")
-def log_lines_removed(spark, sf):
-    return tables.read(spark, sf, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", r"(?m)^Licensed[^\n]*$", ""), r"\n{2,}", "\n").alias("text"))
-
-
 @query("X14_chunks")
 def chunks(spark, sf):
     return tables.read(spark, sf, "documents").select("doc_id", F.posexplode(texts.chunked(F.col("text"), 2000)).alias("place", "chunk"))
 
 
-@query("X17_partial_tag", r"SELECT doc_id, regexp_matches(right(text, 100) || '<thi', '<[a-z_/]*$') AS partial FROM documents WHERE text IS NOT NULL")
-def partial_tag(spark, sf):
-    tail = F.concat(F.right("text", F.lit(100)), F.lit("<thi"))
-    return tables.read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", tail.rlike("<[a-z_/]*$").alias("partial"))
-
-
-@query("X20_wrapping", "SELECT doc_id, '<user>' || left(text, 40) || '</user>' AS text FROM documents")
-def wrapping(spark, sf):
-    return tables.read(spark, sf, "documents").select("doc_id", F.concat(F.lit("<user>"), F.substring("text", 1, 40), F.lit("</user>")).alias("text"))
-
-
-@query("X32_paths", "SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+\\.[0-9]+\\.[0-9]+')[1:3], ' ') AS found FROM documents")
-def paths(spark, sf):
-    return tables.read(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[0-9]+\.[0-9]+\.[0-9]+"), F.lit(0)), 1, 3), " ").alias("found"))
-
-
 @query("X33_insights", r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\d+[.)]\s*', '')), lambda x: length(x) > 10)[1:3], '|') AS insights FROM documents")
 def insights(spark, sf):
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\d+[.)]\s*", "")), lambda x: F.char_length(x) > 10)
@@ -233,18 +195,6 @@ def text_parts(spark, sf):
     return rows.where(F.size(shown) > 0).select("session_id", F.array_join(F.transform(shown, lambda p: p["content"]), " ").alias("text"))
 
 
-@query("Y02_korean_date")
-def korean_date(spark, sf):
-    said = spark.createDataFrame([("2023년 5월 3일에",), ("3월 2일",), ("12월 31일",), ("15일에",), ("2월 30일",), ("3일 전",)], "text string")
-    return said.select("text", dates.korean_day(F.col("text"), tables.now()).alias("day"))
-
-
-@query("Y03_korean_relative")
-def korean_relative(spark, sf):
-    said = spark.createDataFrame([("오늘 뭐",), ("어제는",), ("5일 전에",), ("없음",)], "text string")
-    return said.select("text", dates.korean_relative(F.col("text"), tables.now()).alias("day"))
-
-
 @query("Y07_range_records", "SELECT id, created_at::DATE AS start, (created_at::DATE + 1)::DATE AS finish FROM memories")
 def range_records(spark, sf):
     day = F.to_date("created_at")
@@ -281,11 +231,6 @@ def store(spark, sf):
     return rows.select("key", F.when(F.col("n") > 1, "merged").when(F.col("best") >= 0.55, "stored").otherwise("rejected").alias("outcome"))
 
 
-@query("P08_changed_texts", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[ \t]{2,}|[“”‘’]|\[[A-Z_]+\]|\n{3,}|^\s|\s$|\t')")
-def changed_texts(spark, sf):
-    return tables.read(spark, sf, "documents").where(texts.cleaned(F.col("text")) != F.col("text")).select("doc_id")
-
-
 @query("P12_end_of_session", "SELECT session_id, count(*) AS turns, string_agg(left(content, 20), ' / ' ORDER BY turn_id) AS summary FROM messages WHERE role = 'user' GROUP BY 1")
 def end_of_session(spark, sf):
     rows = tables.messages(spark, sf).where("role = 'user'").groupBy("session_id").agg(F.count("*").alias("turns"), F.sort_array(F.collect_list(F.struct("turn_id", F.substring("content", 1, 20).alias("x")))).alias("m"))
@@ -293,11 +238,11 @@ def end_of_session(spark, sf):
 
 
 @query("P14_retrieve_context", f"""
-WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 5), near AS (SELECT vec_id, {COSINE.format('embedding', 'v')} AS s FROM embeddings CROSS JOIN q ORDER BY s DESC, vec_id LIMIT 10)
+WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 5), near AS (SELECT vec_id, {COSINE.format('embedding', 'v')} AS s FROM embeddings CROSS JOIN q WHERE vec_id IN (SELECT id FROM memories) ORDER BY s DESC, vec_id LIMIT 10)
 SELECT m.id, CASE WHEN m.created_at > TIMESTAMP '2024-02-01' - INTERVAL 24 HOUR THEN 'LATEST' ELSE 'OLD' END AS age, row_number() OVER (ORDER BY m.created_at DESC, m.id) AS place FROM near JOIN memories m ON m.id = near.vec_id""")
 def retrieve_context(spark, sf):
     v = tables.read(spark, sf, "embeddings")
-    near = F.broadcast(similarity.to_query(v, similarity.vector_of(v, 5)).orderBy(F.desc("similarity"), "vec_id").limit(10))
+    near = F.broadcast(similarity.to_query(similarity.of_memories(v, tables.memories(spark, sf)), similarity.vector_of(v, 5)).orderBy(F.desc("similarity"), "vec_id").limit(10))
     rows = tables.memories(spark, sf).join(near, F.col("id") == F.col("vec_id"))
     age = F.when(F.col("created_at") > tables.now() - F.expr("interval 24 hours"), "LATEST").otherwise("OLD")
     return rows.select("id", age.alias("age"), F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("long").alias("place"))

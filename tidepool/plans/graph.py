@@ -4,60 +4,81 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepool.functions import scores
 from tidepool.operators import graph
 from tidepool.plans.registry import query
 from tidepool.sources import tables
 
-EDGES = "edges AS (SELECT source_id AS a, target_id AS b FROM small UNION SELECT target_id, source_id FROM small)"
-SMALL = "small AS (SELECT * FROM relations WHERE relation_type <> 'supplies')"
+EDGES = "edges AS (SELECT source_id AS a, target_id AS b FROM relations UNION SELECT target_id, source_id FROM relations)"
+STARTS = ("s:1", "s:7", "n:3")
 
 
-def small(spark, sf):
-    return tables.relations(spark, sf).where("relation_type <> 'supplies'")
+def levels(starts: str, depth: int) -> str:
+    """SQL: tables l0 to l<depth> of (start, node, path), the new nodes of each level with the least of their shortest paths."""
+    out = [f"l0 AS (SELECT start, start AS node, [start] AS path FROM ({starts}))"]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT start, node FROM l{j}" for j in range(k))
+        out.append(f"l{k} AS MATERIALIZED (SELECT start, b AS node, min(list_append(path, b)) AS path FROM l{k - 1} JOIN edges ON a = node WHERE (start, b) NOT IN ({seen}) GROUP BY 1, 2)")
+    return ", ".join(out)
+
+
+def reached(depth: int) -> str:
+    return " UNION ALL ".join(f"SELECT start, node, {k}::INT AS distance, path FROM l{k}" for k in range(depth + 1))
 
 
 def starts(spark):
-    return spark.createDataFrame([("s:1",), ("s:7",), ("n:3",)], "start string")
+    return spark.createDataFrame([(s,) for s in STARTS], "start string")
+
+
+def labels(rounds: int = 10) -> str:
+    """SQL: l<rounds> has the least node that is within so many steps of each."""
+    out = ["l1 AS (SELECT a AS node, least(a, min(b)) AS c FROM edges GROUP BY a)"]
+    out += [f"l{k} AS MATERIALIZED (SELECT x.node, least(x.c, min(y.c)) AS c FROM l{k - 1} x JOIN edges ON a = x.node JOIN l{k - 1} y ON y.node = b GROUP BY x.node, x.c)" for k in range(2, rounds + 1)]
+    return ", ".join(out)
 
 
-@query("G01_neighbours", f"""
-WITH {SMALL}, {EDGES}, st AS (SELECT unnest(['s:1', 's:7', 'n:3']) AS start),
-l1 AS (SELECT DISTINCT start, b AS node FROM st JOIN edges ON a = start),
-l2 AS (SELECT DISTINCT start, b AS node FROM l1 JOIN edges ON a = node),
-every AS (SELECT start, start AS node, 0 AS d FROM st UNION ALL SELECT start, node, 1 FROM l1 UNION ALL SELECT start, node, 2 FROM l2)
-SELECT start, node, min(d)::INT AS distance FROM every GROUP BY 1, 2""")
+_STARTS = f"SELECT unnest([{', '.join(repr(s) for s in STARTS)}]) AS start"
+
+
+@query("G01_neighbours", f"WITH {EDGES}, {levels(_STARTS, 2)} SELECT start, node, distance FROM ({reached(2)})")
 def neighbours(spark, sf):
-    return graph.neighbours(small(spark, sf), starts(spark), 2)
+    return graph.neighbours(tables.relations(spark, sf), starts(spark), 2)
+
+
+@query("G02_neighbours_without_start", f"WITH {EDGES}, {levels(chr(39).join(('SELECT ', 'n:3', ' AS start')), 2)} SELECT node FROM ({reached(2)}) WHERE node <> start")
+def neighbours_without_start(spark, sf):
+    return graph.neighbours(tables.relations(spark, sf), spark.createDataFrame([("n:3",)], "start string"), 2).where("node <> start").select("node")
 
 
-@query("G04_components", f"""
-WITH {SMALL}, {EDGES},
-l1 AS (SELECT a AS node, least(a, min(b)) AS c FROM edges GROUP BY a), l2 AS (SELECT e.a AS node, least(min(x.c), min(y.c)) AS c FROM edges e JOIN l1 x ON x.node = e.b JOIN l1 y ON y.node = e.a GROUP BY 1),
-l3 AS (SELECT e.a AS node, least(min(x.c), min(y.c)) AS c FROM edges e JOIN l2 x ON x.node = e.b JOIN l2 y ON y.node = e.a GROUP BY 1), l4 AS (SELECT e.a AS node, least(min(x.c), min(y.c)) AS c FROM edges e JOIN l3 x ON x.node = e.b JOIN l3 y ON y.node = e.a GROUP BY 1)
-SELECT node, c AS component FROM l4""")
+@query("G03_recursive_neighbours", f"WITH {EDGES}, {levels(chr(39).join(('SELECT ', 's:4', ' AS start')), 3)} SELECT node, distance FROM ({reached(3)})")
+def recursive_neighbours(spark, sf):
+    # level by level instead of recursion over paths, whose number explodes on dense graphs
+    return graph.neighbours(tables.relations(spark, sf), spark.createDataFrame([("s:4",)], "start string"), 3).select("node", "distance")
+
+
+@query("G04_components", f"WITH {EDGES}, {labels()} SELECT node, c AS component FROM l10")
 def components(spark, sf):
-    return graph.components(small(spark, sf))
+    return graph.components(tables.relations(spark, sf))
 
 
-@query("A26_component_sizes", f"""
-WITH {SMALL}, {EDGES},
-l1 AS (SELECT a AS node, least(a, min(b)) AS c FROM edges GROUP BY a), l2 AS (SELECT e.a AS node, least(min(x.c), min(y.c)) AS c FROM edges e JOIN l1 x ON x.node = e.b JOIN l1 y ON y.node = e.a GROUP BY 1),
-l3 AS (SELECT e.a AS node, least(min(x.c), min(y.c)) AS c FROM edges e JOIN l2 x ON x.node = e.b JOIN l2 y ON y.node = e.a GROUP BY 1), l4 AS (SELECT e.a AS node, least(min(x.c), min(y.c)) AS c FROM edges e JOIN l3 x ON x.node = e.b JOIN l3 y ON y.node = e.a GROUP BY 1)
-SELECT c AS component, count(*) AS n FROM l4 GROUP BY 1""")
+@query("A26_component_sizes", f"WITH {EDGES}, {labels()} SELECT c AS component, count(*) AS n FROM l10 GROUP BY 1")
 def component_sizes(spark, sf):
-    return graph.components(small(spark, sf)).groupBy("component").agg(F.count("*").alias("n"))
+    return graph.components(tables.relations(spark, sf)).groupBy("component").agg(F.count("*").alias("n"))
+
+
+_GOALS = ("s:2", "s:3", "r:1", "n:5")
+_PATHS = f"WITH {EDGES}, {levels(chr(39).join(('SELECT ', 's:1', ' AS start')), 3)} SELECT start AS source, node AS target, distance, array_to_string(path, '>') AS path FROM ({reached(3)}) WHERE node IN {_GOALS}"
 
 
-@query("G05_shortest_path", f"""
-WITH {SMALL}, {EDGES},
-p1 AS (SELECT 's:1' AS node, ['s:1'] AS path), p2 AS (SELECT b AS node, list_append(path, b) AS path FROM p1 JOIN edges ON a = node),
-p3 AS (SELECT b AS node, list_append(path, b) AS path FROM p2 JOIN edges ON a = node WHERE NOT list_contains(path, b)), p4 AS (SELECT b AS node, list_append(path, b) AS path FROM p3 JOIN edges ON a = node WHERE NOT list_contains(path, b)),
-every AS (SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)
-SELECT 's:1' AS source, node AS target, (len(path) - 1)::INT AS distance, array_to_string(path, '>') AS path FROM every WHERE node IN ('s:2', 's:3', 'r:1', 'n:5') QUALIFY row_number() OVER (PARTITION BY node ORDER BY len(path), path) = 1""")
+@query("G05_shortest_path", _PATHS)
 def shortest_path(spark, sf):
-    pairs = spark.createDataFrame([("s:1", t) for t in ("s:2", "s:3", "r:1", "n:5")], "source string, target string")
-    return graph.shortest_paths(small(spark, sf), pairs, 3).withColumn("path", F.array_join("path", ">"))
+    pairs = spark.createDataFrame([("s:1", t) for t in _GOALS], "source string, target string")
+    return graph.shortest_paths(tables.relations(spark, sf), pairs, 3).withColumn("path", F.array_join("path", ">"))
+
+
+@query("G06_path_by_levels", _PATHS.replace(str(_GOALS), "('p:3')"))
+def path_by_levels(spark, sf):
+    pairs = spark.createDataFrame([("s:1", "p:3")], "source string, target string")
+    return graph.shortest_paths(tables.relations(spark, sf), pairs, 3).withColumn("path", F.array_join("path", ">"))
 
 
 @query("G07_traversal", """
@@ -95,17 +116,6 @@ def weight_decay(spark, sf):
     return tables.relations(spark, sf).where(faded >= 0.1).select("source_id", "target_id", F.round(faded, 6).alias("weight"))
 
 
-@query("D15_entity_importance", """
-WITH d AS (SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM relations UNION ALL SELECT target_id FROM relations) GROUP BY id)
-SELECT entity_id, round(CASE WHEN entity_type = 'supplier' THEN least(1.0, 1.2 * s) ELSE s END, 6) AS importance FROM (
-  SELECT entity_id, entity_type, 0.5 * least(1.0, mentions / 100.0) + 0.3 * least(1.0, coalesce(degree, 0) / 20.0) + 0.2 * (CASE WHEN last_accessed >= TIMESTAMP '2024-02-01' - INTERVAL 7 DAY THEN 1.0 ELSE 0.5 END) AS s FROM entities LEFT JOIN d ON d.id = entity_id)""")
-def entity_importance(spark, sf):
-    ends = tables.relations(spark, sf).select(F.explode(F.array("source_id", "target_id")).alias("entity_id")).groupBy("entity_id").agg(F.count("*").alias("degree"))
-    recent = F.when(F.col("last_accessed") >= tables.now() - F.expr("interval 7 days"), 1.0).otherwise(0.5)
-    score = scores.entity_importance(F.col("mentions"), F.coalesce("degree", F.lit(0)), recent, F.col("entity_type") == "supplier")
-    return tables.entities(spark, sf).join(ends, "entity_id", "left").select("entity_id", F.round(score, 6).alias("importance"))
-
-
 @query("J03_orphan_relations", "SELECT source_id, target_id FROM relations WHERE source_id NOT IN (SELECT entity_id FROM entities WHERE mentions > 2) OR target_id NOT IN (SELECT entity_id FROM entities WHERE mentions > 2)")
 def orphan_relations(spark, sf):
     known = tables.entities(spark, sf).where("mentions > 2").select("entity_id")
@@ -139,16 +149,17 @@ def merge_extractions(spark, sf):
     return a.join(b, "k", "full").select("k", F.coalesce("b", "a").alias("entity_type"), origin.alias("origin"))
 
 
-@query("J17_edge_names", "SELECT a.name AS source, b.name AS target, r.relation_type FROM relations r JOIN entities a ON a.entity_id = r.source_id JOIN entities b ON b.entity_id = r.target_id WHERE r.relation_type <> 'supplies'")
+@query("J17_edge_names", "SELECT a.name AS source, b.name AS target, r.relation_type FROM relations r JOIN entities a ON a.entity_id = r.source_id JOIN entities b ON b.entity_id = r.target_id")
 def edge_names(spark, sf):
     names = tables.entities(spark, sf)
     a, b = names.select(F.col("entity_id").alias("source_id"), F.col("name").alias("source")), names.select(F.col("entity_id").alias("target_id"), F.col("name").alias("target"))
-    return small(spark, sf).join(a, "source_id").join(b, "target_id").select("source", "target", "relation_type")
+    return tables.relations(spark, sf).join(a, "source_id").join(b, "target_id").select("source", "target", "relation_type")
 
 
-@query("U07_dead_entities", "SELECT entity_id FROM entities e WHERE mentions <= 1 AND last_accessed < TIMESTAMP '2024-02-01' - INTERVAL 20 DAY AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.source_id = e.entity_id OR r.target_id = e.entity_id)")
+@query("U07_dead_entities", "SELECT entity_id FROM entities e WHERE mentions <= 1 AND last_accessed < TIMESTAMP '2024-02-01' - INTERVAL 20 DAY AND entity_id NOT IN (SELECT source_id FROM relations WHERE weight >= 0.3 UNION ALL SELECT target_id FROM relations WHERE weight >= 0.3)")
 def dead_entities(spark, sf):
-    ends = tables.relations(spark, sf).select(F.explode(F.array("source_id", "target_id")).alias("entity_id"))
+    # relations that have faded are gone before
+    ends = tables.relations(spark, sf).where("weight >= 0.3").select(F.explode(F.array("source_id", "target_id")).alias("entity_id"))
     old = tables.entities(spark, sf).where("mentions <= 1").where(F.col("last_accessed") < tables.now() - F.expr("interval 20 days"))
     return old.join(ends, "entity_id", "left_anti").select("entity_id")
 

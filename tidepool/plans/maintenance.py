@@ -65,10 +65,10 @@ def union_scan(spark, sf):
     return a.unionByName(b).orderBy(F.desc("ts"), "source", "id").limit(100)
 
 
-@query("S47_log_lines", "SELECT id, model AS module, latency_ms::VARCHAR AS ms FROM interactions WHERE id < 500")
+@query("S47_log_lines", "SELECT id, model AS module, floor(latency_ms)::BIGINT::VARCHAR AS ms FROM interactions")
 def log_lines(spark, sf):
-    line = F.concat(F.lit("2024-01-01 INFO [req|"), "model", F.lit("] done | ms="), F.col("latency_ms").cast("string"))
-    rows = tables.interactions(spark, sf).where("id < 500").select("id", line.alias("line"))
+    line = F.concat(F.lit("2024-01-01 INFO [req|"), "model", F.lit("] done | ms="), F.floor("latency_ms").cast("string"))
+    rows = tables.interactions(spark, sf).select("id", line.alias("line"))
     return rows.select("id", F.regexp_extract("line", r"\[[^|]*\|([^\]]*)\]", 1).alias("module"), F.str_to_map(F.regexp_extract("line", r"\| (\S+=\S+)$", 1), F.lit(" "), F.lit("="))["ms"].alias("ms"))
 
 

@@ -22,9 +22,9 @@ def projection_defaults(spark, sf):
     return tables.memories(spark, sf).select("id", F.coalesce(keep(5, "memory_type"), F.lit("insight")).alias("memory_type"), F.coalesce(keep(3, "importance"), F.lit(0.5)).alias("importance"))
 
 
-@query("F04_date_range", "SELECT session_id, turn_id FROM messages WHERE ts >= DATE '2024-01-02' AND ts < DATE '2024-01-03' + 1 ORDER BY ts, session_id, turn_id LIMIT 40")
+@query("F04_date_range", "SELECT session_id, turn_id FROM messages WHERE ts >= DATE '2024-01-01' AND ts < DATE '2024-01-01' + 1 ORDER BY ts, session_id, turn_id LIMIT 40")
 def date_range(spark, sf):
-    rows = tables.messages(spark, sf).where((F.col("ts") >= F.lit("2024-01-02").cast("date")) & (F.col("ts") < F.date_add(F.lit("2024-01-03").cast("date"), 1)))
+    rows = tables.messages(spark, sf).where((F.col("ts") >= F.lit("2024-01-01").cast("date")) & (F.col("ts") < F.date_add(F.lit("2024-01-01").cast("date"), 1)))
     return rows.orderBy("ts", "session_id", "turn_id").limit(40).select("session_id", "turn_id")
 
 
@@ -55,11 +55,6 @@ def existence(spark, sf):
     return tables.sessions(spark, sf).join(system, "session_id", "left_semi").select("session_id")
 
 
-@query("F13_noise", "SELECT session_id, turn_id FROM messages WHERE NOT regexp_matches(content, 'Traceback|ERROR|WARNING|the the')")
-def noise(spark, sf):
-    return tables.messages(spark, sf).where(~F.col("content").rlike("Traceback|ERROR|WARNING|the the")).select("session_id", "turn_id")
-
-
 @query("F14_oversize", "SELECT doc_id, CASE WHEN length(text) > 5000 THEN 'oversize' ELSE 'image' END AS reason FROM documents WHERE length(text) > 5000 OR contains(text, 'data:image') OR contains(text, 'base64,')")
 def oversize(spark, sf):
     long, image = F.char_length("text") > 5000, F.contains("text", F.lit("data:image")) | F.contains("text", F.lit("base64,"))

@@ -18,18 +18,6 @@ def circadian_bonus(spark, sf):
     return tables.interactions(spark, sf).select("id", F.array_contains(peaks, F.hour("ts")).cast("int").alias("bonus"))
 
 
-@query("D16_relevance", "SELECT doc_id, least(0.2 * len(regexp_extract_all(text, '[0-9]{4,}')), 1.0)::DOUBLE AS relevance FROM documents")
-def relevance(spark, sf):
-    n = F.size(F.regexp_extract_all("text", F.lit("[0-9]{4,}"), F.lit(0)))
-    return tables.read(spark, sf, "documents").select("doc_id", F.least(n * 0.2, F.lit(1.0)).alias("relevance"))
-
-
-@query("D18_keyword_importance", "SELECT doc_id, 0.4 + CASE WHEN regexp_matches(text, '(?i)license|password|token') THEN 0.15 ELSE 0 END::DOUBLE AS importance FROM documents")
-def keyword_importance(spark, sf):
-    hit = F.col("text").rlike("(?i)license|password|token")
-    return tables.read(spark, sf, "documents").select("doc_id", (F.lit(0.4) + F.when(hit, 0.15).otherwise(0.0)).alias("importance"))
-
-
 @query("D21_cosine_batch", f"WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 11) SELECT vec_id, round({COSINE.format('embedding', 'v')}, 6) AS similarity FROM embeddings CROSS JOIN q")
 def cosine_batch(spark, sf):
     v = tables.read(spark, sf, "embeddings")
@@ -69,12 +57,6 @@ def line_filter(spark, sf):
     return tables.read(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.contains(F.lower("line"), F.lit("license")))
 
 
-@query("F15_emoji", "SELECT doc_id, text AS clean FROM documents WHERE doc_id < 50")
-def emoji(spark, sf):
-    dirty = F.concat(F.lit("😀"), "text", F.lit("🚀"))
-    return tables.read(spark, sf, "documents").where("doc_id < 50").select("doc_id", texts.without_emoji(dirty).alias("clean"))
-
-
 @query("F19_eviction_predicate", f"SELECT id FROM memories WHERE {DECAYED} < 0.1 AND repetitions < 3 AND access_count < 3 AND created_at < TIMESTAMP '2024-02-01' - INTERVAL 168 HOUR")
 def eviction_predicate(spark, sf):
     return with_decay(tables.memories(spark, sf)).where("decayed < 0.1 AND repetitions < 3 AND access_count < 3").where(F.col("created_at") < tables.now() - F.expr("interval 168 hours")).select("id")
@@ -113,9 +95,9 @@ def visibility(spark, sf):
     return tables.interactions(spark, sf).where(~c("model").isin("view") & ~c("tier").isin("tier2") & c("reason").isNotNull()).groupBy("model").agg(F.count("*").alias("n"))
 
 
-@query("F34_recent_messages", "SELECT session_id, turn_id FROM messages WHERE ts >= TIMESTAMP '2024-01-03' ORDER BY ts DESC, session_id, turn_id LIMIT 60")
+@query("F34_recent_messages", "SELECT session_id, turn_id FROM messages WHERE ts >= TIMESTAMP '2024-01-01 10:00:00' ORDER BY ts DESC, session_id, turn_id LIMIT 60")
 def recent_messages(spark, sf):
-    return tables.messages(spark, sf).where("ts >= timestamp '2024-01-03'").orderBy(F.desc("ts"), "session_id", "turn_id").limit(60).select("session_id", "turn_id")
+    return tables.messages(spark, sf).where("ts >= timestamp '2024-01-01 10:00:00'").orderBy(F.desc("ts"), "session_id", "turn_id").limit(60).select("session_id", "turn_id")
 
 
 @query("F37_confidence_label", "SELECT id, CASE WHEN importance >= 0.85 THEN 'sure' ELSE 'likely' END AS label FROM memories WHERE importance >= 0.3")
@@ -123,13 +105,13 @@ def confidence_label(spark, sf):
     return tables.memories(spark, sf).where("importance >= 0.3").select("id", F.when(F.col("importance") >= 0.85, "sure").otherwise("likely").alias("label"))
 
 
-@query("F38_novel", "SELECT a.n_name FROM nation a WHERE NOT EXISTS (SELECT 1 FROM nation b WHERE b.n_nationkey <> a.n_nationkey AND (contains(lower(a.n_name), lower(b.n_name)) OR contains(lower(b.n_name), lower(a.n_name))))")
+@query("F38_novel", "WITH t AS (SELECT 'p' || p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 'x' || n_nationkey, 'a ' || n_name || '!' FROM nation WHERE n_nationkey % 2 = 0) SELECT id FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.id <> a.id AND (contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name))))")
 def novel(spark, sf):
-    # both sides are insights of one user, a table of fixed and small size
-    n = tables.read(spark, sf, "nation").select("n_nationkey", "n_name")
-    b = F.broadcast(n.select(F.col("n_nationkey").alias("k"), F.lower("n_name").alias("other")))
-    same = F.contains(F.lower("n_name"), F.col("other")) | F.contains(F.col("other"), F.lower("n_name"))
-    return n.join(b, (F.col("n_nationkey") != F.col("k")) & same, "left_anti").select("n_name")
+    part, nation = tables.read(spark, sf, "part"), tables.read(spark, sf, "nation")
+    rows = part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"))
+    rows = rows.unionByName(nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name")))
+    rows = rows.unionByName(nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("x"), "n_nationkey").alias("id"), F.concat(F.lit("a "), "n_name", F.lit("!")).alias("name")))
+    return similarity.novel(rows, "id", "name").select("id")
 
 
 @query("J05_traversal_attributes", "SELECT r.source_id, e.name, e.entity_type FROM relations r JOIN entities e ON e.entity_id = r.target_id WHERE r.relation_type <> 'part_of'")
@@ -217,14 +199,6 @@ def newest_in_order(spark, sf):
     return selection.newest(tables.messages(spark, sf), ["session_id"], [F.desc("turn_id")], 3).select("session_id", "turn_id")
 
 
-@query("W12_moving_average", "SELECT conversation_id, round(list_reduce(list(latency_ms ORDER BY ts, id), lambda a, x: 0.8 * a + 0.2 * x), 6) AS average FROM interactions GROUP BY 1")
-def moving_average(spark, sf):
-    values = F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "latency_ms"))), lambda x: x["latency_ms"])
-    rows = tables.interactions(spark, sf).groupBy("conversation_id").agg(values.alias("v"))
-    rest = F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(1)))
-    return rows.select("conversation_id", F.round(F.aggregate(rest, F.element_at("v", 1), lambda a, x: 0.8 * a + 0.2 * x), 6).alias("average"))
-
-
 @query("L05_eviction_cap", "SELECT id FROM memories WHERE importance < 0.2 ORDER BY id LIMIT greatest(0, least(200, (SELECT count(*) FROM memories) - 3))")
 def eviction_cap(spark, sf):
     rows = tables.memories(spark, sf)
@@ -309,7 +283,7 @@ def conditional_counts(spark, sf):
 
 @query("K19_null_order", "SELECT session_id, row_number() OVER (ORDER BY summary DESC NULLS LAST, session_id) AS place FROM sessions")
 def null_order(spark, sf):
-    return tables.sessions(spark, sf).select("session_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("summary"), "session_id")).cast("long").alias("place"))
+    return selection.placed(tables.sessions(spark, sf).select("session_id", "summary"), [F.desc_nulls_last("summary"), F.asc("session_id")]).select("session_id", "place")
 
 
 @query("K21_upsert", "SELECT id, CASE WHEN id % 3 = 0 THEN 1.0 ELSE importance END::DOUBLE AS importance FROM memories UNION ALL SELECT -1, 1.0")
@@ -355,18 +329,6 @@ def abbreviation(spark, sf):
     return tables.read(spark, sf, "documents").select("doc_id", texts.abbreviated(F.col("text"), (("General Public License", "GPL"), ("License", "Lic."))).alias("text"))
 
 
-@query("Y04_month_day", "SELECT o_orderkey AS id, make_date(2024, month(o_orderdate::DATE)::BIGINT, day(o_orderdate::DATE)::BIGINT) AS day FROM orders")
-def month_day(spark, sf):
-    text = F.concat(F.lit("what on "), F.date_format(F.to_date("o_orderdate"), "MMMM d"), F.lit("th"))
-    return tables.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), dates.month_day(text, tables.now()).alias("day"))
-
-
-@query("Y05_relative_day", "SELECT k AS id, (DATE '2024-02-01' - k::INT)::DATE AS day FROM range(1, 40) t(k)")
-def relative_day(spark, sf):
-    text = F.concat(F.lit("seen "), F.col("id").cast("string"), F.lit(" days ago"))
-    return spark.range(1, 40).select("id", dates.relative_day(text, tables.now()).alias("day"))
-
-
 @query("Y06_iso_date", "SELECT o_orderkey AS id, o_orderdate::DATE AS day FROM orders")
 def iso_date(spark, sf):
     text = F.concat(F.lit("on "), F.date_format(F.to_date("o_orderdate"), "yyyy-MM-dd"), F.lit("?"))

@@ -18,11 +18,6 @@ def append_one(spark, sf):
     return snapshots.insert_missing(rows, new, ["session_id", "turn_id"])
 
 
-@query("S25_style_sink", "SELECT session_id, turn_id, coalesce(length(content), 0)::BIGINT AS response_chars FROM messages WHERE role = 'assistant'")
-def style_sink(spark, sf):
-    return tables.messages(spark, sf).where("role = 'assistant'").select("session_id", "turn_id", F.coalesce(F.char_length("content"), F.lit(0)).cast("long").alias("response_chars"))
-
-
 @query("S26_log_with_session", "SELECT i.id, s.session_id FROM interactions i LEFT JOIN (SELECT session_id FROM sessions WHERE turns > 2) s ON s.session_id = i.conversation_id")
 def log_with_session(spark, sf):
     known = tables.sessions(spark, sf).where("turns > 2").select("session_id")
@@ -114,47 +109,12 @@ def spoken(spark, sf):
     return tables.read(spark, sf, "documents").select("doc_id", texts.spoken(said).alias("text"))
 
 
-@query("X38_tone", "SELECT conversation_id, CASE WHEN avg(latency_ms) > 60 THEN 'formal' WHEN avg(latency_ms) < 40 THEN 'casual' ELSE 'neutral' END AS tone FROM interactions GROUP BY 1")
-def tone(spark, sf):
-    x = F.avg("latency_ms")
-    return tables.interactions(spark, sf).groupBy("conversation_id").agg(F.when(x > 60, "formal").when(x < 40, "casual").otherwise("neutral").alias("tone"))
-
-
-@query("Y01_any_date", "SELECT o_orderkey AS id, o_orderdate::DATE AS day FROM orders")
-def any_date(spark, sf):
-    day = F.to_date("o_orderdate")
-    said = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "yyyy'년 'M'월 'd'일'")).otherwise(F.date_format(day, "'on 'yyyy-MM-dd"))
-    found = F.coalesce(dates.korean_day(said, tables.now()), dates.korean_relative(said, tables.now()), dates.any_day(said, tables.now()))
-    return tables.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), found.alias("day"))
-
-
 @query("Y09_elapsed", "SELECT session_id, CASE WHEN s < 86400 THEN 'new session after ' || (s // 3600) || ' hours' ELSE 'back after ' || (s // 86400) || ' days' END AS label FROM (SELECT session_id, (epoch(TIMESTAMP '2024-02-01') - epoch(ended_at))::BIGINT AS s FROM sessions)")
 def elapsed(spark, sf):
     seconds = F.unix_timestamp(tables.now()) - F.unix_timestamp("ended_at")
     return tables.sessions(spark, sf).select("session_id", texts.elapsed_label(seconds).alias("label"))
 
 
-@query("D28_colours")
-def colours(spark, sf):
-    said = spark.createDataFrame([("#ff8000",), ("#f80",), ("rgb(1, 2, 3)",), ("none",)], "text string")
-    return said.select("text", F.array_join(texts.colour(F.col("text")).cast("array<string>"), ",").alias("rgb"))
-
-
-@query("G03_recursive_neighbours", """
-WITH e AS (SELECT source_id AS a, target_id AS b FROM relations WHERE relation_type <> 'supplies' UNION SELECT target_id, source_id FROM relations WHERE relation_type <> 'supplies'),
-l1 AS (SELECT DISTINCT b AS node FROM e WHERE a = 's:4'), l2 AS (SELECT DISTINCT e.b AS node FROM l1 JOIN e ON e.a = l1.node), l3 AS (SELECT DISTINCT e.b AS node FROM l2 JOIN e ON e.a = l2.node)
-SELECT node, min(d)::INT AS distance FROM (SELECT 's:4' AS node, 0 AS d UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2 UNION ALL SELECT node, 3 FROM l3) GROUP BY 1""")
-def recursive_neighbours(spark, sf):
-    # level by level instead of recursion over paths, whose number explodes on dense graphs
-    return graph.neighbours(tables.relations(spark, sf).where("relation_type <> 'supplies'"), spark.createDataFrame([("s:4",)], "start string"), 3).select("node", "distance")
-
-
-@query("G15_extraction_gate", "SELECT doc_id, length(text) > 400 OR NOT regexp_matches(text, '[A-Z][a-z]+') AS extract FROM documents WHERE text IS NOT NULL")
-def extraction_gate(spark, sf):
-    gate = (F.char_length("text") > 400) | ~F.col("text").rlike("[A-Z][a-z]+")
-    return tables.read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", gate.alias("extract"))
-
-
 @query("G16_optimised_graph")
 def optimised_graph(spark, sf):
     """Names merged, relations remapped, dead entities' relations dropped, weights made new."""

@@ -93,10 +93,10 @@ def cosine(spark, sf):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(scores.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
-@query("D23_byte_levenshtein", "SELECT doc_id, levenshtein(left(text, 30), left(lang || source || text, 30)) AS distance FROM documents WHERE lang = 'en' AND regexp_full_match(left(text, 40), '[ -~]*')")
+@query("D23_byte_levenshtein")
 def byte_levenshtein(spark, sf):
-    docs = tables.read(spark, sf, "documents").where("lang = 'en'").where(F.substring("text", 1, 40).rlike("^[ -~]*$"))
-    return docs.select("doc_id", scores.byte_distance(F.substring("text", 1, 30), F.substring(F.concat("lang", "source", "text"), 1, 30)).cast("long").alias("distance"))
+    docs = tables.read(spark, sf, "documents")
+    return docs.select("doc_id", scores.byte_distance(F.col("text"), F.concat("lang", "source", "text")).cast("long").alias("distance"))
 
 
 @query("D24_string_similarity", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.p_name, b.p_name) / greatest(strlen(a.p_name), strlen(b.p_name))::DOUBLE, 6) AS similarity FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
@@ -113,7 +113,7 @@ def backoff(spark, sf):
 
 @query("L01_semantic_query", f"""
 WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
-near AS (SELECT vec_id, {COSINE.format('embedding', 'v')} AS similarity FROM embeddings CROSS JOIN q ORDER BY similarity DESC, vec_id LIMIT 15)
+near AS (SELECT vec_id, {COSINE.format('embedding', 'v')} AS similarity FROM embeddings CROSS JOIN q WHERE vec_id IN (SELECT id FROM memories) ORDER BY similarity DESC, vec_id LIMIT 15)
 SELECT m.id, round(n.similarity * {SIMPLE} * (0.5 + 0.5 * m.importance), 6) AS score FROM near n JOIN memories m ON m.id = n.vec_id
 ORDER BY n.similarity * {SIMPLE} * (0.5 + 0.5 * m.importance) DESC, m.id LIMIT 10""")
 def semantic_query(spark, sf):

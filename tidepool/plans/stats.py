@@ -84,13 +84,6 @@ def relation_types(spark, sf):
     return tables.relations(spark, sf).groupBy("relation_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "relation_type").limit(10)
 
 
-@query("A13_co_occurrence", "SELECT least(a.source_id, b.source_id) AS a, greatest(a.source_id, b.source_id) AS b, count(*) AS n FROM relations a JOIN relations b ON a.target_id = b.target_id AND a.relation_type = 'supplies' AND b.relation_type = 'supplies' AND a.source_id < b.source_id GROUP BY 1, 2")
-def co_occurrence(spark, sf):
-    sold = tables.relations(spark, sf).where("relation_type = 'supplies'")
-    a, b = sold.select(F.col("source_id").alias("a"), "target_id"), sold.select(F.col("source_id").alias("b"), "target_id")
-    return a.join(b, "target_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-
-
 @query("A15_exact_duplicates", "SELECT id, hash, rank > 1 AS dropped FROM (SELECT id, sha256(left(lower(trim(content)), 500)) AS hash, row_number() OVER (PARTITION BY sha256(left(lower(trim(content)), 500)) ORDER BY importance DESC, id) AS rank FROM memories WHERE content IS NOT NULL)")
 def exact_duplicates(spark, sf):
     key = F.sha2(F.substring(F.lower(F.trim("content")), 1, 500), 256)
@@ -99,16 +92,11 @@ def exact_duplicates(spark, sf):
     return rows.select("id", "hash", (rank > 1).alias("dropped"))
 
 
-@query("A16_topic_groups", "SELECT topic, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM memories WHERE memory_type <> 'insight' AND created_at <= TIMESTAMP '2024-02-01' - INTERVAL 5 DAY AND repetitions >= 2 GROUP BY topic HAVING count(*) >= 2")
+@query("A16_topic_groups", "SELECT topic, id, count(*) OVER (PARTITION BY topic) AS n FROM memories WHERE memory_type <> 'insight' AND created_at <= TIMESTAMP '2024-02-01' - INTERVAL 5 DAY AND repetitions >= 2 QUALIFY count(*) OVER (PARTITION BY topic) >= 2")
 def topic_groups(spark, sf):
-    rows = tables.memories(spark, sf).where("memory_type <> 'insight' AND repetitions >= 2").where(F.col("created_at") <= tables.now() - F.expr("interval 5 days"))
-    return rows.groupBy("topic").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids")).where("n >= 2")
-
-
-@query("A17_category_counts", "SELECT count(*) FILTER (regexp_matches(text, '(?i)the')) AS a, count(*) FILTER (regexp_matches(text, '(?i)licen[cs]e')) AS b, count(*) FILTER (regexp_matches(text, '[0-9]{6,}')) AS c FROM documents")
-def category_counts(spark, sf):
-    hit = lambda p: F.count_if(F.col("text").rlike(p))
-    return tables.read(spark, sf, "documents").agg(hit("(?i)the").alias("a"), hit("(?i)licen[cs]e").alias("b"), hit("[0-9]{6,}").alias("c"))
+    """A row for each memory of a group, so a group of any size is no single row."""
+    rows = tables.memories(spark, sf).where("memory_type <> 'insight' AND repetitions >= 2").where(F.col("created_at") <= tables.now() - F.expr("interval 5 days")).select("topic", "id")
+    return rows.join(rows.groupBy("topic").agg(F.count("*").alias("n")).where("n >= 2"), "topic").select("topic", "id", "n")
 
 
 @query("A18_behaviour", "SELECT conversation_id, round(avg(latency_ms), 6) AS latency, round(10 * avg((tool_calls > 0)::INT), 6) AS tool_use FROM interactions WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY GROUP BY 1")
@@ -192,10 +180,19 @@ def counters_and_gauges(spark, sf):
     return tables.interactions(spark, sf).groupBy("model").agg(F.sum("tokens_in").alias("counter"), F.max_by("latency_ms", F.struct("ts", "id")).alias("gauge"))
 
 
-@query("A27_migration_report", "WITH r AS (SELECT id, CASE WHEN importance >= 0.55 THEN 'importance' WHEN repetitions >= 2 AND importance >= 0.35 THEN 'repetitions' ELSE 'rejected' END AS reason FROM memories) SELECT reason, count(*) AS n, array_to_string(list_sort(list(id))[1:5], ',') AS samples FROM r GROUP BY reason")
+ORACLE_A27 = "WITH r AS (SELECT id, CASE WHEN importance >= 0.55 THEN 'importance' WHEN repetitions >= 2 AND importance >= 0.35 THEN 'repetitions' ELSE 'rejected' END AS reason FROM memories) SELECT reason, count(*) AS n, array_to_string(list_sort(list(id))[1:5], ',') AS samples FROM r GROUP BY reason"
+
+
+@query("A27_migration_report", ORACLE_A27)
 def migration_report(spark, sf):
     reason = F.when(F.col("importance") >= 0.55, "importance").when((F.col("repetitions") >= 2) & (F.col("importance") >= 0.35), "repetitions").otherwise("rejected")
     rows = tables.memories(spark, sf).select("id", reason.alias("reason"))
     counts = rows.groupBy("reason").agg(F.count("*").alias("n"))
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("reason").orderBy("id"))).where("k <= 5").groupBy("reason").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("samples"))
     return counts.join(first, "reason")
+
+
+@query("S45_promotion_report", ORACLE_A27)
+def promotion_report(spark, sf):
+    """What moving an older store over would keep, and why: by document, counted by reason, with five of each."""
+    return migration_report(spark, sf)

@@ -42,11 +42,6 @@ def relation_names(spark, sf):
     return tables.relations(spark, sf).select("source_id", "target_id", F.coalesce(F.try_element_at(table, F.col("relation_type")), "relation_type").alias("relation_type"))
 
 
-@query("X06_hangul", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[가-힯ᄀ-ᇿ㄰-㆏]')")
-def hangul(spark, sf):
-    return docs(spark, sf).where(F.col("text").rlike(texts.HANGUL)).select("doc_id")
-
-
 @query("X12_content_hash", rf"SELECT doc_id, sha256(left(lower({WS.format('text')}), 500)) AS hash FROM documents")
 def content_hash(spark, sf):
     return docs(spark, sf).select("doc_id", texts.content_key(F.col("text")).alias("hash"))
@@ -57,34 +52,11 @@ def short_hash(spark, sf):
     return docs(spark, sf).select("doc_id", texts.short_key(F.col("text")).alias("hash"))
 
 
-@query("X16_control_tags", r"SELECT conv_id, turn, regexp_replace(regexp_replace('<think>a' || turn || '</think> **' || role || '** ' || left(text, 20), '(?is)<think>.*?</think>', '', 'g'), '\*\*', '', 'g') AS text FROM conversations")
-def control_tags(spark, sf):
-    text = F.concat(F.lit("<think>a"), F.col("turn").cast("string"), F.lit("</think> **"), F.col("role"), F.lit("** "), F.substring("text", 1, 20))
-    return tables.read(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"\*\*", "").alias("text"))
-
-
-@query("X18_sanitise", r"SELECT doc_id, regexp_replace(text, '(?i)ignore (all )?previous|the the', '[FILTERED]', 'g') AS text FROM documents")
-def sanitise(spark, sf):
-    return docs(spark, sf).select("doc_id", F.regexp_replace("text", "(?i)ignore (all )?previous|the the", "[FILTERED]").alias("text"))
-
-
-@query("X19_redaction", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9]{20,}', '[REDACTED]', 'g'), 'AIza[A-Za-z0-9_-]{35}', '[REDACTED]', 'g'), 'ghp_[A-Za-z0-9]{36}', '[REDACTED]', 'g'), 'xox[bp]-[A-Za-z0-9-]{10,}', '[REDACTED]', 'g') AS text FROM documents")
-def redaction(spark, sf):
-    return docs(spark, sf).select("doc_id", texts.redacted(F.col("text")).alias("text"))
-
-
 @query("X21_urls", """SELECT page_id, array_to_string(regexp_extract_all(html, 'https?://[^\\s<>"'')]+'), ' ') AS urls FROM pages""")
 def urls(spark, sf):
     return tables.read(spark, sf, "pages").select("page_id", F.array_join(texts.urls(F.col("html")), " ").alias("urls"))
 
 
-@query("X22_intent", "SELECT conv_id, turn, CASE WHEN starts_with(text, '/') THEN 'command' WHEN contains(text, 'und') THEN 'question' WHEN contains(text, 'the') THEN 'statement' ELSE 'chat' END AS intent FROM conversations WHERE text IS NOT NULL")
-def intent(spark, sf):
-    t = F.col("text")
-    kind = F.when(t.startswith("/"), "command").when(t.contains("und"), "question").when(t.contains("the"), "statement").otherwise("chat")
-    return tables.read(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", kind.alias("intent"))
-
-
 @query("X25_bullets", "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10))[1:10], lambda x: '- ' || left(x, 200)), chr(10)) || CASE WHEN len(string_split(text, chr(10))) > 10 THEN chr(10) || '... ' || (len(string_split(text, chr(10))) - 10) || ' more' ELSE '' END AS bullets FROM documents")
 def bullets(spark, sf):
     lines = F.split("text", "\n")
@@ -112,14 +84,14 @@ def roles(spark, sf):
     return tables.read(spark, sf, "conversations").select("conv_id", "turn", F.when(low.isin("user", "human"), "user").when(low.isin("assistant", "model", "ai"), "assistant").otherwise(low).alias("role"))
 
 
-@query("X35_error_class", "SELECT doc_id, CASE WHEN contains(text, 'timeout') THEN 'timeout' WHEN contains(text, 'License') THEN 'licence' WHEN contains(text, 'password') THEN 'auth' ELSE 'other' END AS kind FROM documents WHERE text IS NOT NULL")
-def error_class(spark, sf):
-    t = F.col("text")
-    return docs(spark, sf).where(t.isNotNull()).select("doc_id", F.when(t.contains("timeout"), "timeout").when(t.contains("License"), "licence").when(t.contains("password"), "auth").otherwise("other").alias("kind"))
-
-
 @query("X40_html_text")
 def html_text(spark, sf):
+    """Pages without what isn't content."""
+    return html.clean(tables.read(spark, sf, "pages"), "page_id", "html")
+
+
+@query("X41_markdown")
+def html_markdown(spark, sf):
     return html.to_markdown(tables.read(spark, sf, "pages"), "page_id", "url", "html")
 
 

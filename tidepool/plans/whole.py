@@ -1,86 +1,24 @@
-"""Queries over whole tables, where the one with SQL (the same name without ``_all``) takes a part that DuckDB is quick with."""
+"""Second names of queries that once had a part of the rows under the first."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidepool.functions import scores, texts
-from tidepool.operators import graph
-from tidepool.plans.graph import starts
-from tidepool.plans.registry import query
+from tidepool.functions import texts
+from tidepool.plans.registry import ORACLE_SQL, QUERIES, query
 from tidepool.sources import tables
 
+NAMES = (
+    "S47_log_lines", "L09_section_order", "D23_byte_levenshtein", "G01_neighbours", "G02_neighbours_without_start", "G03_recursive_neighbours", "G04_components", "A26_component_sizes", "G05_shortest_path",
+    "J17_edge_names", "S21_graph_json",
+)
+for name in NAMES:
+    QUERIES[f"{name}_all"] = QUERIES[name]
+    if name in ORACLE_SQL:
+        ORACLE_SQL[f"{name}_all"] = ORACLE_SQL[name]
+
 
 @query("F15_emoji_all")
 def emoji(spark, sf):
     dirty = F.concat(F.lit("😀"), "text", F.lit("🚀"))
     return tables.read(spark, sf, "documents").select("doc_id", texts.without_emoji(dirty).alias("clean"))
-
-
-@query("S47_log_lines_all")
-def log_lines(spark, sf):
-    line = F.concat(F.lit("2024-01-01 INFO [req|"), "model", F.lit("] done | ms="), F.col("latency_ms").cast("string"))
-    rows = tables.interactions(spark, sf).select("id", line.alias("line"))
-    return rows.select("id", F.regexp_extract("line", r"\[[^|]*\|([^\]]*)\]", 1).alias("module"), F.str_to_map(F.regexp_extract("line", r"\| (\S+=\S+)$", 1), F.lit(" "), F.lit("="))["ms"].alias("ms"))
-
-
-@query("L09_section_order_all")
-def section_order(spark, sf):
-    """Places over all memories: rows are ranked within a section, and the sizes of the sections before are added."""
-    rows = tables.memories(spark, sf).select("id", (F.col("id") % 5).alias("section"))
-    sizes = rows.groupBy("section").count()  # five rows
-    before = sizes.select("section", (F.sum("count").over(Window.orderBy("section")) - F.col("count")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("section").orderBy("id"))
-    return rows.withColumn("place", place).join(F.broadcast(before), "section").select("id", (F.col("place") + F.col("before")).cast("long").alias("place"))
-
-
-@query("D23_byte_levenshtein_all")
-def byte_levenshtein(spark, sf):
-    docs = tables.read(spark, sf, "documents")
-    return docs.select("doc_id", scores.byte_distance(F.col("text"), F.concat("lang", "source", "text")).cast("long").alias("distance"))
-
-
-@query("G01_neighbours_all")
-def neighbours(spark, sf):
-    return graph.neighbours(tables.relations(spark, sf), starts(spark), 2)
-
-
-@query("G02_neighbours_without_start_all")
-def neighbours_without_start(spark, sf):
-    found = graph.neighbours(tables.relations(spark, sf), spark.createDataFrame([("n:3",)], "start string"), 2)
-    return found.where("node <> start").select("node")
-
-
-@query("G03_recursive_neighbours_all")
-def recursive_neighbours(spark, sf):
-    return graph.neighbours(tables.relations(spark, sf), spark.createDataFrame([("s:4",)], "start string"), 3).select("node", "distance")
-
-
-@query("G04_components_all")
-def components(spark, sf):
-    return graph.components(tables.relations(spark, sf))
-
-
-@query("A26_component_sizes_all")
-def component_sizes(spark, sf):
-    return graph.components(tables.relations(spark, sf)).groupBy("component").agg(F.count("*").alias("n"))
-
-
-@query("G05_shortest_path_all")
-def shortest_path(spark, sf):
-    pairs = spark.createDataFrame([("s:1", t) for t in ("s:2", "s:3", "r:1", "n:5")], "source string, target string")
-    return graph.shortest_paths(tables.relations(spark, sf), pairs, 3).withColumn("path", F.array_join("path", ">"))
-
-
-@query("J17_edge_names_all")
-def edge_names(spark, sf):
-    names = tables.entities(spark, sf)
-    a, b = names.select(F.col("entity_id").alias("source_id"), F.col("name").alias("source")), names.select(F.col("entity_id").alias("target_id"), F.col("name").alias("target"))
-    return tables.relations(spark, sf).join(a, "source_id").join(b, "target_id").select("source", "target", "relation_type")
-
-
-@query("S21_graph_json_all")
-def graph_json(spark, sf):
-    parts = F.split("key", r"\|")
-    return tables.relations(spark, sf).select(F.concat_ws("|", "source_id", "target_id").alias("key")).select("key", parts[0].alias("a"), parts[1].alias("b"))
