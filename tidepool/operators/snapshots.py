@@ -34,3 +34,15 @@ def numbered(df: DataFrame, new: DataFrame, group: str, number: str, order: list
     last = df.groupBy(group).agg(F.max(number).alias("_last"))
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return new.join(last, group, "left").withColumn(number, (F.coalesce("_last", F.lit(-1)) + place).cast("long")).drop("_last")
+
+
+def next_batch(rows: DataFrame, done: DataFrame, id: str, n: int) -> DataFrame:
+    """The next ``n`` rows by ``id`` after what ``done`` (one row, last_id, null at the beginning) says; a scan that stopped goes on from there."""
+    last = F.broadcast(done.select("last_id"))  # one row
+    return rows.crossJoin(last).where(F.col("last_id").isNull() | (F.col(id) > F.col("last_id"))).drop("last_id").orderBy(id).limit(n)
+
+
+def checkpoint(batch: DataFrame, done: DataFrame, id: str) -> DataFrame:
+    """(last_id, processed) after a batch: one row, that of ``done`` if the batch is empty."""
+    new = batch.agg(F.max(id).alias("_last"), F.count("*").alias("_n"))
+    return done.crossJoin(new).select(F.coalesce("_last", "last_id").alias("last_id"), (F.col("processed") + F.col("_n")).alias("processed"))

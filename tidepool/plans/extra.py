@@ -224,19 +224,6 @@ def session_router(spark, sf):
     return tables.accesses(spark, sf).groupBy("user_id", "channel_id").agg(F.count("*").alias("events"), F.max("ts").alias("last_seen"))
 
 
-@query("P01_store", "SELECT key, CASE WHEN n > 1 THEN 'merged' WHEN best >= 0.55 THEN 'stored' ELSE 'rejected' END AS outcome FROM (SELECT sha256(left(lower(trim(content)), 500)) AS key, count(*) AS n, max(importance) AS best FROM memories WHERE content IS NOT NULL GROUP BY 1)")
-def store(spark, sf):
-    key = F.sha2(F.substring(F.lower(F.trim("content")), 1, 500), 256)
-    rows = tables.memories(spark, sf).where("content IS NOT NULL").groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.max("importance").alias("best"))
-    return rows.select("key", F.when(F.col("n") > 1, "merged").when(F.col("best") >= 0.55, "stored").otherwise("rejected").alias("outcome"))
-
-
-@query("P12_end_of_session", "SELECT session_id, count(*) AS turns, string_agg(left(content, 20), ' / ' ORDER BY turn_id) AS summary FROM messages WHERE role = 'user' GROUP BY 1")
-def end_of_session(spark, sf):
-    rows = tables.messages(spark, sf).where("role = 'user'").groupBy("session_id").agg(F.count("*").alias("turns"), F.sort_array(F.collect_list(F.struct("turn_id", F.substring("content", 1, 20).alias("x")))).alias("m"))
-    return rows.select("session_id", "turns", F.array_join("m.x", " / ").alias("summary"))
-
-
 @query("P14_retrieve_context", f"""
 WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 5), near AS (SELECT vec_id, {COSINE.format('embedding', 'v')} AS s FROM embeddings CROSS JOIN q WHERE vec_id IN (SELECT id FROM memories) ORDER BY s DESC, vec_id LIMIT 10)
 SELECT m.id, CASE WHEN m.created_at > TIMESTAMP '2024-02-01' - INTERVAL 24 HOUR THEN 'LATEST' ELSE 'OLD' END AS age, row_number() OVER (ORDER BY m.created_at DESC, m.id) AS place FROM near JOIN memories m ON m.id = near.vec_id""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidepool.functions import dates, scores, texts
+from tidepool.functions import texts
 from tidepool.operators import graph, selection, similarity, snapshots
 from tidepool.plans.registry import query
 from tidepool.sources import files, tables
@@ -56,9 +56,16 @@ def json_log(spark, sf):
     return tables.interactions(spark, sf).select("id", line.alias("line")).select("id", parsed.alias("r")).select("id", "r.logger", "r.extra.failed")
 
 
-@query("S50_resumable_scan", "SELECT id FROM memories WHERE id > 120 ORDER BY id LIMIT 50")
+@query("S50_resumable_scan", "SELECT 1 AS batch, id FROM (SELECT id FROM memories ORDER BY id LIMIT 50) UNION ALL SELECT 2, id FROM (SELECT id FROM memories ORDER BY id LIMIT 50 OFFSET 50) UNION ALL SELECT 3, count(*) FROM (SELECT id FROM memories LIMIT 100)")
 def resumable_scan(spark, sf):
-    return tables.memories(spark, sf).where("id > 120").orderBy("id").limit(50).select("id")
+    """Two batches of a scan, the second going on from the first one's checkpoint, and how many rows the last checkpoint counts."""
+    rows = tables.memories(spark, sf).select("id")
+    done, found = spark.createDataFrame([(None, 0)], "last_id long, processed long"), []
+    for k in (1, 2):
+        batch = snapshots.next_batch(rows, done, "id", 50)
+        done = snapshots.checkpoint(batch, done, "id")
+        found.append(batch.select(F.lit(k).alias("batch"), "id"))
+    return found[0].unionByName(found[1]).unionByName(done.select(F.lit(3).alias("batch"), F.col("processed").alias("id")))
 
 
 @query("S55_research_rows", "SELECT page_id, '| ' || url || ' | ' || length(html) || ' |' AS row FROM pages")
@@ -136,22 +143,7 @@ def files_per_folder(spark, sf):
     return rows.groupBy("folder").agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("name")), 1, 10), ",").alias("first"))
 
 
-@query("P11_budgeted_context")
-def budgeted_context(spark, sf):
-    """Sections of one context by priority, each cut to its budget of characters."""
-    recent = tables.messages(spark, sf).orderBy(F.desc("ts"), "session_id", "turn_id").limit(20)
-    recent = recent.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "session_id", "turn_id", F.concat("role", F.lit(": "), "content").alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-    known = tables.memories(spark, sf).orderBy(F.desc("importance"), "id").limit(10).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", F.substring("content", 1, 200).alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-    section = lambda df, k, name, most: df.select(F.lit(k).alias("priority"), F.lit(name).alias("section"), texts.truncate(F.col("text"), most).alias("text"))
-    return section(recent, 1, "messages", 5000).unionByName(section(known, 2, "memories", 1000)).withColumn("tokens", scores.tokens(F.col("text"))).orderBy("priority")
-
-
 @query("W11_recent_within_budget", "WITH r AS (SELECT session_id, turn_id, sum(length(content)) OVER (PARTITION BY session_id ORDER BY turn_id DESC) AS total FROM messages) SELECT session_id, turn_id FROM r WHERE total <= 850")
 def recent_within_budget(spark, sf):
     w = Window.partitionBy("session_id").orderBy(F.desc("turn_id")).rowsBetween(Window.unboundedPreceding, 0)
     return tables.messages(spark, sf).withColumn("total", F.sum(F.char_length("content")).over(w)).where("total <= 0.85 * 1000").select("session_id", "turn_id")
-
-
-@query("P16_recent_summaries", "SELECT session_id, summary FROM sessions WHERE summary IS NOT NULL ORDER BY ended_at DESC, session_id LIMIT 5")
-def recent_summaries(spark, sf):
-    return tables.sessions(spark, sf).where("summary IS NOT NULL").orderBy(F.desc("ended_at"), "session_id").limit(5).select("session_id", "summary")

@@ -23,7 +23,15 @@ def session_gap(spark, sf):
 
 @query("T05_error_window")
 def error_window(spark, sf):
-    return states.error_alerts(timed(spark, sf), window=3600.0, cooldown=7200.0, threshold=5)
+    kinds = F.array(*map(F.lit, ("503", "429", "timeout", "odd")))
+    rows = timed(spark, sf).withColumn("kind", F.element_at(kinds, (F.col("id") % 4 + 1).cast("int")))
+    return states.error_alerts(rows, window=36_000.0, cooldown=72_000.0)
+
+
+@query("T06_access_flush")
+def access_flush(spark, sf):
+    rows = tables.accesses(spark, sf).select("id", "channel_id", (F.unix_micros("ts") / 1e6).alias("s"), F.element_at("memory_ids", 1).alias("memory_id"))
+    return states.access_flushes(rows, "channel_id", most=50, wait=86_400.0)
 
 
 @query("T07_repetitions", "SELECT sha256(left(lower(trim(content)), 100)) AS key, count(*) AS n FROM messages GROUP BY 1")
