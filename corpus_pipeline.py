@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import jaccard_join, packing, quality, secret_scan
-from tidepool.llm.common import table, written
+from tidepool.llm.common import discard, table, written
 
 #: Dropped ids up to this number (16 bytes each) are broadcast; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs, read = written(stage(spark, docs, sf_dir)), before
+        before = docs
+        if read is not None:
+            discard(read)
     return STAGES[-1][1](spark, docs, sf_dir)
