@@ -3,7 +3,8 @@
 A text is the first layer. Each layer is scanned for the three kinds of secrets,
 and unwrapped: percent-encoded bytes and Unicode escapes are decoded in place over
 the whole layer, runs of base64 become layers of their own, and compressed bytes
-are unpacked. New layers go on the worklist until there are none; a layer whose
+are unpacked. Layers are made as the worklist comes to them, the newest first, so no
+more than one of each depth is held, until there are none; a layer whose
 content was seen before (at the same place) is left, so texts that unpack to
 themselves end. Every layer keeps where its characters came from, so a find is
 reported as the span of the original text that carries it: exact characters
@@ -15,9 +16,13 @@ go on through all their members, what they unpack to is unpacked as a stream, an
 bytes after them are streams of their own. A stream whose first 2 MiB are those of
 one around it is left, as it unpacks to itself.
 
-Null texts are empty. Decoded layers are scanned whole; what compressed bytes
-unpack to is read in windows of 2 Mi characters that overlap by 64 Ki, so memory stays
-bounded, and only a secret longer than the overlap can fall between two windows.
+Null texts are empty, repeated rows stay rows. Decoded layers are scanned whole; what
+compressed bytes unpack to is read in windows of 2 Mi characters that overlap by 64 Ki,
+and a window goes on to 4 Mi where it would end within a longer run without white
+space. So memory stays bounded. A window that ends within such a run all the same, and
+a stream that asks for more than 128 MiB to be unpacked, are counted in ``n_cut``: where
+that is 0, nothing was left out but secrets of more than 64 Ki characters inside
+compressed bytes.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import small_batches
+
 #: The kinds in their order, and what they look like.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -53,7 +60,9 @@ ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\
 LEAST_BASE64 = 22
 BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_BASE64},}}={{0,2}}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:\r?\n[A-Za-z0-9+/_-]{20,}+)+(?:\r?\n[A-Za-z0-9+/_-]+)?={0,2}")
-WINDOW, OVERLAP = 2 << 20, 64 << 10
+RUN = re.compile(r"[A-Za-z0-9+/_=.%\\&#;{}-]*")
+WINDOW, LONGEST, OVERLAP = 2 << 20, 4 << 20, 64 << 10
+MOST_MEMORY = 128 << 20
 #: Bytes without as many ASCII characters in a row hold nothing to find.
 STRETCH = re.compile(rb"[\x20-\x7e\t\r\n]{16}")
 #: How compressed bytes begin: in base64, and as escaped bytes between which others stand for themselves.
@@ -86,13 +95,15 @@ def find(text: str, data: bytes) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and where each of its characters came from in the original text: ``starts`` and ``ends``, or None for itself."""
+    """A text and where its characters came from in the original text: each ``starts`` and ``ends``, or all from one ``span``, or itself."""
 
-    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, span: tuple[int, int] | None = None):
+        self.text, self.starts, self.ends, self.span = text, starts, ends, span
         self.data = text.encode("utf-8", "surrogatepass")
 
     def at(self, start: int, end: int) -> tuple[int, int]:
+        if self.span is not None:
+            return self.span
         return (start, end) if self.starts is None else (int(self.starts[start:end].min()), int(self.ends[start:end].max()))
 
     def key(self) -> tuple[bytes, tuple[int, int]]:
@@ -111,16 +122,18 @@ class Layer:
         if not parts:
             return None
         parts.append(self.text[at:])
+        if self.span is not None:
+            return Layer("".join(parts), span=self.span)
         spans.append((at, len(self.text), len(self.text) - at))
         starts, ends = [], []
         for a, b, n in spans:
             if n >= 0:
-                starts.append(np.arange(a, b) if self.starts is None else self.starts[a:b])
-                ends.append(np.arange(a, b) + 1 if self.ends is None else self.ends[a:b])
+                starts.append(np.arange(a, b, dtype=np.int32) if self.starts is None else self.starts[a:b])
+                ends.append(np.arange(a + 1, b + 1, dtype=np.int32) if self.ends is None else self.ends[a:b])
             else:
                 a, b = self.at(a, b)
-                starts.append(np.full(-n, a))
-                ends.append(np.full(-n, b))
+                starts.append(np.full(-n, a, np.int32))
+                ends.append(np.full(-n, b, np.int32))
         return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
 
 
@@ -154,18 +167,33 @@ class _Zstd:
     unused_data = property(lambda self: self.unpack.unused_data)
 
 
-def _unpacker(data: bytes):
-    """A decompressor for bytes that begin like this, or None if they aren't compressed."""
+def _decompressor(data: bytes):
     if data[:2] == b"\x1f\x8b":
         return zlib.decompressobj(31)
-    if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
+    if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0 and not data[1] & 32:
         return zlib.decompressobj()
     if data[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if data[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor(memlimit=128 << 20)
+        return lzma.LZMADecompressor(memlimit=MOST_MEMORY)
     if data[:4] == b"\x28\xb5\x2f\xfd":
-        return _Zstd(zstandard.ZstdDecompressor(max_window_size=128 << 20).decompressobj())
+        return _Zstd(zstandard.ZstdDecompressor(max_window_size=MOST_MEMORY).decompressobj())
+    return None
+
+
+#: What can go wrong with bytes that aren't what they look like.
+BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
+
+
+def _unpacker(data: bytes):
+    """A decompressor for bytes that begin like this, or None if they aren't compressed."""
+    if (trial := _decompressor(data)) is not None:
+        try:
+            trial.decompress(data[:64])
+        except BROKEN as e:
+            if "memory" not in str(e).lower():
+                return None
+        return _decompressor(data)
     return None
 
 
@@ -205,7 +233,7 @@ def _member(unpack, parts: Iterator[bytes], data: bytes) -> Iterator[bytes]:
         data = data or _gathered(parts, 1)
 
 
-def _members(parts: Iterator[bytes], data: bytes, rest: list[bytes]) -> Iterator[bytes]:
+def _members(parts: Iterator[bytes], data: bytes, rest: list[bytes], cuts: list) -> Iterator[bytes]:
     """What all members of a compressed stream unpack to. Bytes after the last are put into ``rest``, before those left in ``parts``."""
     try:
         while (unpack := _unpacker(data)) is not None:
@@ -218,48 +246,55 @@ def _members(parts: Iterator[bytes], data: bytes, rest: list[bytes]) -> Iterator
             while data[:1] == b"\0":
                 data = _gathered(parts, 6, data.lstrip(b"\0"))
         rest.append(data)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        return
+    except BROKEN as e:
+        if "memory" in str(e).lower():
+            cuts.append(e)
 
 
-def _text_windows(parts: Iterator[bytes]) -> Iterator[str]:
+def _text_windows(parts: Iterator[bytes], cuts: list) -> Iterator[str]:
     """The windows of a text in UTF-8; bytes that aren't are escaped."""
     decoder, kept, fresh = codecs.getincrementaldecoder("utf-8")("surrogateescape"), "", 0
     for new in itertools.chain(parts, (None,)):
         text = decoder.decode(new or b"", new is None)
         kept, fresh = kept + text, fresh + len(text)
-        if fresh and (new is None or fresh >= WINDOW):
-            yield kept
-            kept, fresh = kept[-OVERLAP:], 0
+        if not fresh or (new is not None and fresh < WINDOW):
+            continue
+        if new is not None and len(kept) >= OVERLAP and RUN.fullmatch(kept, len(kept) - OVERLAP):
+            if len(kept) < LONGEST:
+                continue
+            cuts.append(len(kept))
+        yield kept
+        kept, fresh = kept[-OVERLAP:], 0
 
 
-def _unpack_all(parts: Iterator[bytes], seen: set[bytes]) -> Iterator[str]:
+def _unpack_all(parts: Iterator[bytes], seen: set[bytes], cuts: list | None = None) -> Iterator[str]:
     """Windows of a stream of bytes that isn't compressed any more, through any depth; bytes seen before are left."""
+    cuts = [] if cuts is None else cuts
     data = _gathered(parts, WINDOW)
     if _unpacker(data) is None:
-        yield from _text_windows(itertools.chain((data,), parts))
+        yield from _text_windows(itertools.chain((data,), parts), cuts)
     elif (key := hashlib.blake2b(data[:WINDOW]).digest()) not in seen:
         rest: list[bytes] = []
-        yield from _unpack_all(_members(parts, data, rest), seen | {key})
+        yield from _unpack_all(_members(parts, data, rest, cuts), seen | {key}, cuts)
         if rest and rest[0]:
-            yield from _unpack_all(itertools.chain(rest, parts), seen)
+            yield from _unpack_all(itertools.chain(rest, parts), seen, cuts)
 
 
-def _packed_layers(layer: Layer, data: bytes, a: int, b: int) -> Iterator[Layer]:
-    start, end = layer.at(a, b)
-    for new in _unpack_all(iter((data,)), set()):
+def _packed_layers(layer: Layer, data: bytes, a: int, b: int, cuts: list) -> Iterator[Layer]:
+    span = layer.at(a, b)
+    for new in _unpack_all(iter((data,)), set(), cuts):
         if STRETCH.search(new.encode("utf-8", "surrogateescape")):
-            yield Layer(new, np.full(len(new), start), np.full(len(new), end))
+            yield Layer(new, span=span)
 
 
-def _escaped_layers(layer: Layer) -> Iterator[Layer]:
+def _escaped_layers(layer: Layer, cuts: list) -> Iterator[Layer]:
     """What compressed bytes unpack to that are written as escapes."""
     text = layer.text
     for m in PERCENT_BYTES.finditer(text) if "%" in text else ():
         for at in {m.start(), m.start() + m[0].find("%")} if "%" in m[0] else ():
             data = urllib.parse.unquote_to_bytes(text[at : m.end()])
             if _unpacker(data) is not None:
-                yield from _packed_layers(layer, data, at, m.end())
+                yield from _packed_layers(layer, data, at, m.end(), cuts)
     for m in ESCAPED_BYTES.finditer(text) if "\\x" in text else ():
         data, end, quote = bytearray(), m.end(), text[m.start() - 1 : m.start()]
         for x in ESCAPED_BYTE.finditer(m[0]):
@@ -268,24 +303,27 @@ def _escaped_layers(layer: Layer) -> Iterator[Layer]:
                 break
             data.append(int(x[1], 16) if x[1] else ord(x[3] or _SHORT.get(x[2], x[2])))
         if _unpacker(data := bytes(data)) is not None:
-            yield from _packed_layers(layer, data, m.start(), end)
+            yield from _packed_layers(layer, data, m.start(), end, cuts)
     for m in ESCAPES.finditer(text) if "\\" in text or "&#" in text else ():
         codes = [_escape(x[0]) for x in ESCAPE.finditer(m[0])]
         if None not in codes and max(codes) < "\u0100" and _unpacker(data := "".join(codes).encode("latin-1")) is not None:
-            yield from _packed_layers(layer, data, *m.span())
+            yield from _packed_layers(layer, data, *m.span(), cuts)
 
 
-def _base64_layers(layer: Layer) -> Iterator[Layer]:
+def _base64_layers(layer: Layer, cuts: list) -> Iterator[Layer]:
     if b"\x01" * (LEAST_BASE64 - 2) not in layer.data.translate(_BASE64_RUN):
         return
     runs = [(m.start(), m.end()) for m in BASE64.finditer(layer.text)] + [(m.start(), m.end()) for m in WRAPPED.finditer(layer.text)]
     for a, b in runs:
         run = np.frombuffer(layer.text[a:b].encode("ascii"), np.uint8)
         kept = (run != 61) & (run != 10) & (run != 13)
-        places, code = a + np.flatnonzero(kept), run[kept].tobytes()
+        places, code = (a + np.flatnonzero(kept)).astype(np.int32), run[kept].tobytes()
+        del run, kept
         plain = code.translate(_PLAIN)
         packed = {m.start() for m in PACKED.finditer(plain.replace(b"+", b"/"))} if b"/" in plain or b"+" in plain else set()
         for at in sorted({0, 1, 2, 3} | packed):
+            if at > 3 and _unpacker(base64.b64decode(plain[at : at + 88] + b"=" * (-len(plain[at : at + 88]) % 4))) is None:
+                continue
             size = len(code) - at
             size -= size % 4 == 1
             try:
@@ -293,44 +331,51 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
             except binascii.Error:
                 continue
             if _unpacker(data) is not None:
-                yield from _packed_layers(layer, data, int(places[at]), b)
-            if at < 4 and STRETCH.search(data):
+                yield from _packed_layers(layer, data, int(places[at]), b, cuts)
+            if at < 4 and STRETCH.search(data) and layer.span is not None:
+                yield Layer(data.decode("utf-8", "surrogateescape"), span=layer.span)
+            elif at < 4 and STRETCH.search(data):
                 new, own = data.decode("utf-8", "surrogateescape"), places[at : at + size]
-                n = np.arange(len(data))
+                n = np.arange(len(data), dtype=np.int32)
                 first, last = own[n * 4 // 3], own[np.minimum(((n + 1) * 4 + 2) // 3, size) - 1]
                 if len(new) != len(data):
                     codes = np.frombuffer(new.encode("utf-32-le", "surrogatepass"), np.uint32)
                     sizes = 1 + np.where((codes >= 0xDC80) & (codes <= 0xDCFF), 0, (codes >= 0x80).astype(int) + (codes >= 0x800) + (codes >= 0x10000))
-                    ends = np.cumsum(sizes)
+                    ends = np.cumsum(sizes, dtype=np.int32)
                     first, last = first[ends - sizes], last[ends - 1]
                 yield Layer(new, first, last + 1) if layer.starts is None else Layer(new, layer.starts[first], layer.ends[last])
 
 
-def layers(text: str) -> Iterator[Layer]:
-    """The text's layers, itself first."""
-    work = [Layer(text)]
-    seen = {work[0].key()} if "%" in text or "\\" in text or "&#" in text else set()
+def _unwrapped(layer: Layer, cuts: list) -> Iterator[Layer]:
+    """The layers right under one."""
+    for mark, pattern, decode in (("%", PERCENT, _percent), ("\\&", ESCAPE, _escape)):
+        if any(x in layer.text for x in mark) and (new := layer.replaced(pattern, decode)) is not None:
+            yield new
+    yield from _escaped_layers(layer, cuts)
+    yield from _base64_layers(layer, cuts)
+
+
+def layers(text: str, cuts: list | None = None) -> Iterator[Layer]:
+    """The text's layers, itself first. What ends before its end is added to ``cuts``."""
+    cuts = [] if cuts is None else cuts
+    first = Layer(text)
+    yield first
+    seen = {first.key()} if "%" in text or "\\" in text or "&#" in text else set()
+    work = [_unwrapped(first, cuts)]
     while work:
-        layer = work.pop()
-        yield layer
-        new: list[Layer | None] = []
-        if "%" in layer.text:
-            new.append(layer.replaced(PERCENT, _percent))
-        if "\\" in layer.text or "&#" in layer.text:
-            new.append(layer.replaced(ESCAPE, _escape))
-        new += _escaped_layers(layer)
-        new += _base64_layers(layer)
-        for x in new:
-            if x is not None and (key := x.key()) not in seen:
-                seen.add(key)
-                work.append(x)
-
-
-def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+        elif (key := layer.key()) not in seen:
+            seen.add(key)
+            yield layer
+            work.append(_unwrapped(layer, cuts))
+
+
+def scan_text(text: str, cuts: list | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(those of the text itself, all spans), each (start, kind's number, end) in order."""
     base: list[tuple[int, int, int]] = []
     every: set[tuple[int, int, int]] = set()
-    for depth, layer in enumerate(layers(text)):
+    for depth, layer in enumerate(layers(text, cuts)):
         for kind, a, b in find(layer.text, layer.data):
             a, b = layer.at(a, b)
             every.add((a, kind, b))
@@ -354,25 +399,27 @@ def redact_text(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECR
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_nested) of every whole text, in the input's own partitions.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_nested, n_cut) of every whole text, in the input's own partitions.
 
     The counts and the digest are of secrets that stand in the text itself; ``spans`` has those of decoded layers too, and
-    ``n_nested`` is how many there are of them.
+    ``n_nested`` is how many there are of them, ``n_cut`` what of them was not read to its end.
     """
 
     def run(parts):
         for part in parts:
             rows = []
             for x in part.column(1):
-                base, every = scan_text(x.as_py() or "")
+                cuts: list = []
+                base, every = scan_text(x.as_py() or "", cuts)
                 counts = [sum(kind == k for _, kind, _ in base) for k in range(3)]
-                rows.append((*counts, hashlib.sha256(as_text(base).encode()).hexdigest(), as_text(every), len(every) - len(set(base))))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_nested"])
+                rows.append((*counts, hashlib.sha256(as_text(base).encode()).hexdigest(), as_text(every), len(every) - len(set(base)), len(cuts)))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_nested", "n_cut"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_nested long")
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_nested long, n_cut long")
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -382,4 +429,5 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     def clean(column):
         return column.map(lambda x: x if x is None else redact_text(x, scan_text(x)[1], mark))
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(text, clean(F.col(text)))
