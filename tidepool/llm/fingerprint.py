@@ -21,6 +21,8 @@ texts always have a likeness of 1. Digests are compared as text: 8 + 4 x 15 + 8
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ M32, M60 = (1 << 32) - 1, (1 << 60) - 1
 LOW = sum(1 << (15 * j) for j in range(4))
 LOW_2, M30 = 1 | 1 << 30, (1 << 30) - 1
 PARAGRAPHS, SENTENCES = r"\n+", r"[.!?]+[ \t]+|\n+"
-#: Documents that lie in one range of ids while each finds the next.
-RANGE = 2048
+#: Documents that lie in one range of ids while each finds the next, about, and ranges at most.
+RANGE, RANGES = 2048, 16_384
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -98,25 +100,38 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.select("doc_id", digest(F.col("v")).alias("fingerprint"))
 
 
+def _range_of(id: Column, ends: list[int]) -> Column:
+    """How many of the sorted ``ends`` are less than an id, -1 for a null id: looked for among every so many first, then between two of these."""
+    step = max(1, math.isqrt(len(ends)))
+    groups = [ends[k : k + step] for k in range(0, len(ends), step)]
+    tops = F.from_json(F.lit(str([g[-1] for g in groups])), "array<bigint>")
+    some = F.try_element_at(F.from_json(F.lit(str(groups)), "array<array<bigint>>"), F.size(F.filter(tops, lambda e: e < id)) + 1)
+    place = F.size(F.filter(tops, lambda e: e < id)) * step + F.coalesce(F.size(F.filter(some, lambda e: e < id)), F.lit(0))
+    return F.when(id.isNull(), -1).otherwise(place).cast("int")
+
+
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document's fingerprint beside that of its edited text, whose second half is replaced by the beginning of the next document.
 
-    Next is by descending doc_id, then text (null ids last); after the last comes the first. Documents are dealt by ranges of ids,
-    sized for about 2,048 documents each, so one shuffle of the texts serves the search for the next; only the first document
-    of each range is read again, for the last of the range above it. Repeated rows are documents of their own.
+    Next is by descending doc_id, then text (null ids last); after the last comes the first. Documents are dealt by ranges of ids that
+    end at quantiles, so about as many lie in each however ids are spread, and one shuffle of the texts serves the search for the next; only
+    the first document of each range is read again, for the last of the range above it. Repeated rows are documents of their own, but those
+    of one id lie in one range, as do those without an id.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, -(-(high - low + 1) * RANGE // n)) if n else 1
-    rows = rows.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
-
-    heads = rows.groupBy("range").agg(F.max(F.struct("doc_id", "text")).alias("head")).select("range", F.col("head.text").alias("text"))
-    below = rows.select("range").distinct()
-    below = below.select(
-        F.col("range").alias("at"),
-        F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("range"),
-    )
-    after = with_vector(below.join(heads, "range").select(F.col("at").alias("range"), F.col("text").alias("head")), "head", "head_v")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    n, nulls = rows.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    count = min(RANGES, -(-n // RANGE))
+    # each quantile is an id, that of the first document of its range; the last is the largest
+    ends = sorted(set(rows.agg(F.percentile_approx("doc_id", [(k + 1) / count for k in range(count)], 10 * count)).first()[0])) if count else []
+    rows = rows.withColumn("range", _range_of(F.col("doc_id"), ends))
+
+    at = rows.sparkSession.createDataFrame(list(enumerate(ends)), "range int, doc_id long")  # a number of each range
+    heads = rows.drop("range").join(F.broadcast(at), "doc_id").groupBy("range").agg(F.max("text").alias("text"))
+    if nulls:
+        heads = heads.unionByName(rows.where("doc_id IS NULL").agg(F.max("text").alias("text")).select(F.lit(-1).alias("range"), "text"))
+    every = [-1] * (nulls > 0) + list(range(len(ends)))
+    below = rows.sparkSession.createDataFrame([(x, every[k - 1]) for k, x in enumerate(every)], "at int, range int")
+    after = with_vector(heads.join(F.broadcast(below), "range").select(F.col("at").alias("range"), F.col("text").alias("head")), "head", "head_v")
 
     order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     own = with_vector(rows.repartition("range"), "text", "v")
