@@ -19,3 +19,25 @@ def test_entire_texts_notices_and_null_ids(documents, spark):
 def test_no_text_has_two_licences():
     found = [d for d, _ in license_scan.digests(license_scan.registry())]
     assert len(found) == len(set(found))
+
+
+def test_runs_of_blocks_before_code(documents, spark):
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + license_scan._MIT.replace("\n", "\n\n")
+    wrapped = mit.replace(", ", ",\n")
+    gpl = (license_scan.Path(license_scan.__file__).with_name("licences") / "GPL-3.0").read_text()
+    part = mit[: len(mit) // 2]
+    texts = [mit + "\n\nint main() {}\n\nreturn 0", "# head\n\n" + wrapped + "\n\ncode", "a\n\n" + gpl + "\n\nb", "x\n\n" + part + "\n\ncode\n\nmore", mit + "\n\n" + mit + "\n\nend"]
+    rows = license_scan.scan(documents(texts)).orderBy("doc_id").collect()
+    assert [(r.whole, r.licences) for r in rows] == [(None, "MIT"), (None, "MIT"), (None, "GPL-3.0,GPL-3.0-or-later"), (None, ""), (None, "MIT")]
+
+
+def test_other_registries_repeated_rows_and_ties(documents, spark):
+    digest = license_scan.hashlib.sha256(license_scan.canonical_text("Do as you like.").encode()).hexdigest()
+    known = spark.createDataFrame([(digest, "B"), (digest, "A")], "digest string, licence string")
+    rows = license_scan.scan(documents(["Do as you  LIKE", "do as you like\n", "x\ndo as you like", "no"], [1, 1, 2, 3]), known).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.whole, r.licences, r.n_units) for r in rows] == [(1, "A", "A,B", 6), (1, "A", "A,B", 6), (2, None, "A,B", 2), (3, None, "", 0)]
+
+
+def test_a_very_long_text(documents):
+    long = "word " * 300_000 + "\nReleased under the MIT License.\n" + "more\n\n" * 20_000
+    assert license_scan.scan(documents([long])).first().licences == "MIT"

@@ -4,8 +4,9 @@ A text is brought to a canonical form: lower case, without copyright lines and l
 marks, with equivalent spellings made one, and with every run of other characters
 than letters and digits as one blank. The digest of a whole document, of each of its
 blocks between blank lines and of each of its lines is joined with the digests of
-known licence texts and notices; only entire texts match, so a licence that is
-quoted in part doesn't. The known texts are few and bring their number with them;
+known licence texts and notices, and so are runs of blocks: where a block is the first of
+a known text of several, as many blocks as that text has are digested together. Only
+entire texts match, so a licence that is quoted in part doesn't. The known texts are few and bring their number with them;
 they are hash-joined whatever their size.
 
 A word that every known text has one of (``MARKERS``) is looked for first, so other
@@ -110,6 +111,21 @@ def digests(known=KNOWN) -> list[tuple[str, str]]:
     return sorted({(hashlib.sha256(canonical_text(text).encode()).hexdigest(), name) for name, text in known})
 
 
+BLANK = r"\r?\n[ \t]*\r?\n"
+
+
+def runs(known=KNOWN) -> list[tuple[str, str, str, int]]:
+    """(digest, licence, digest of the first block, number of blocks) of every known text of several blocks: between blank lines, or its lines."""
+    found = set()
+    for name, text in known:
+        parts = re.split(BLANK, text)
+        blocks = [c for c in map(canonical_text, parts if len(parts) > 1 else text.split("\n")) if c]
+        if len(blocks) > 1:
+            digest, first = (hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(blocks), blocks[0]))
+            found.add((digest, name, first, len(blocks)))
+    return sorted(found)
+
+
 @lru_cache(1)
 def registry() -> tuple[tuple[str, str], ...]:
     """All known texts: ``KNOWN``, notices by every name, and the entire texts in the folder ``licences`` (with and without what follows their terms)."""
@@ -128,25 +144,43 @@ def registry() -> tuple[tuple[str, str], ...]:
     return tuple(found)
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: First blocks of known texts that are looked for in place; of more of them all blocks are joined.
+FIRSTS = 10_000
+
+
+def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", known_runs: DataFrame | None = None) -> DataFrame:
     """(doc_id, whole, licences, n_units): the licence that a document is as a whole (or null), all that are in it, sorted and
-    comma-joined, and how many of its units (itself, blocks of several lines, lines) are known texts.
+    comma-joined, and how many of its units (itself, blocks of several lines, lines, runs of some of its blocks) are known texts.
 
-    ``known`` has the columns digest and licence. Null texts are empty and match nothing. Rows stay rows; rows that share a doc_id
-    have the finds of all of them.
+    ``known`` has the columns digest and licence, ``known_runs`` also first and blocks (as ``runs`` gives them; only the built-in ones by
+    default, and none with another ``known``). Of several licences of one digest all are found, and the least is the ``whole``. Null texts are
+    empty and match nothing. Rows stay rows; rows that share a doc_id have the finds of all of them, counted for each row.
     """
     spark: SparkSession = docs.sparkSession
+    schema = "digest string, licence string, first string, blocks int"
+    if known_runs is None:
+        known_runs = spark.createDataFrame(runs(registry()) if known is None else [], schema)
+    marks = MARKS if known is None else None  # another registry may have texts without these words
     known = known if known is not None else spark.createDataFrame(digests(registry()), "digest string, licence string")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marked = lambda x: F.reduce(F.array(*[F.contains(F.lower(x), F.lit(m)) for m in MARKS]), F.lit(False), lambda a, b: a | b)
-    found = rows.where(F.lower("text").rlike("|".join(MARKS)))
-    blocks = F.filter(F.split("text", r"\r?\n[ \t]*\r?\n"), lambda x: F.contains(x, F.lit("\n")) & (x != F.col("text")))
-    lines = F.filter(F.split("text", r"\n"), lambda x: x != F.col("text"))
-    units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(F.filter(F.concat(blocks, lines), marked), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))
-    found = found.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.whole", F.sha2(canonical(F.col("u.unit")), 256).alias("digest"))
-    found = found.join(known, "digest").groupBy("doc_id").agg(
-        F.min(F.when(F.col("whole"), F.col("licence"))).alias("whole"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), F.count("*").alias("n_units")
-    )
+    marked = (lambda x: F.lower(x).rlike("|".join(marks))) if marks else (lambda x: F.lit(True))
+    kept = rows.where(marked(F.col("text")))
+    blocks = F.filter(F.split("text", BLANK), lambda x: F.contains(x, F.lit("\n")) & (x != F.col("text")))
+    parts = F.filter(F.split("text", r"\n"), lambda x: x != F.col("text"))
+    units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(F.filter(F.concat(blocks, parts), marked), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))
+    found = kept.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.whole", F.sha2(canonical(F.col("u.unit")), 256).alias("digest"))
+    found = found.join(known.select("digest", "licence"), "digest").select("doc_id", "whole", "licence")
+
+    # runs of blocks begin where a block is the first of a known text
+    firsts = [r[0] for r in known_runs.select("first").distinct().limit(FIRSTS + 1).collect()]
+    own = kept.select("doc_id", F.filter(F.transform(F.split("text", BLANK), canonical), lambda x: x != "").alias("b")).where(F.size("b") > 2)
+    hashed = F.transform("b", lambda x, k: F.struct(k.alias("at"), F.sha2(x, 256).alias("first")))
+    begins = hashed if len(firsts) > FIRSTS else F.filter(hashed, lambda x: F.array_contains(F.array(*map(F.lit, firsts)).cast("array<string>"), x["first"]))
+    own = own.select("doc_id", "b", F.explode(begins).alias("x")).join(known_runs, F.col("x.first") == F.col("first"))
+    own = own.where((F.col("blocks") < F.size("b")) & (F.sha2(F.array_join(F.slice("b", F.col("x.at") + 1, F.col("blocks")), " "), 256) == F.col("digest")))
+    found = found.unionByName(own.select("doc_id", F.lit(False).alias("whole"), "licence"))
+
+    found = found.groupBy("doc_id").agg(F.min(F.when(F.col("whole"), F.col("licence"))).alias("whole"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), F.count("*").alias("n_units"))
     found = found.withColumnRenamed("doc_id", "found_id")
     joined = rows.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     return joined.select("doc_id", "whole", F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"))

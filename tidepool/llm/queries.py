@@ -88,9 +88,14 @@ units AS (
   SELECT doc_id, true AS whole, text AS unit FROM marked
   UNION ALL SELECT doc_id, false, unit FROM (SELECT doc_id, text, unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')) AS unit FROM marked) WHERE contains(unit, chr(10)) AND unit <> text
   UNION ALL SELECT doc_id, false, unit FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS unit FROM marked) WHERE unit <> text
+), known_runs(digest, licence, first, blocks) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', {n})" for a, b, c, n in license_scan.runs())}),
+cut AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n[ \\t]*\\r?\\n'), lambda x: {_canonical_sql("x")}), lambda x: x <> '') AS b FROM marked),
+runs AS (
+  SELECT c.doc_id, false AS whole, k.licence FROM (SELECT doc_id, b, unnest(generate_series(1, len(b))) AS i FROM cut WHERE len(b) > 2) c JOIN known_runs k ON sha256(c.b[c.i]) = k.first
+  WHERE k.blocks < len(c.b) AND sha256(array_to_string(c.b[c.i : c.i + k.blocks - 1], ' ')) = k.digest
 ), found AS (
   SELECT doc_id, min(licence) FILTER (whole) AS whole, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) AS n_units
-  FROM (SELECT doc_id, whole, sha256({_canonical_sql("unit")}) AS digest FROM units) JOIN known USING (digest) GROUP BY doc_id
+  FROM (SELECT doc_id, whole, licence FROM (SELECT doc_id, whole, sha256({_canonical_sql("unit")}) AS digest FROM units) JOIN known USING (digest) UNION ALL SELECT * FROM runs) GROUP BY doc_id
 )
 SELECT r.doc_id, f.whole, coalesce(f.licences, '') AS licences, coalesce(f.n_units, 0)::BIGINT AS n_units FROM rows r LEFT JOIN found f USING (doc_id)
 """
