@@ -10,8 +10,13 @@ bounds it. A candidate is scored exactly if its upper bound reaches what the 20t
 the best exact scores so far has; others can't be among the nearest but by an error
 beyond the bound.
 
-All rows are candidates, dealt into parts of bounded size; queries go to every part
-in blocks, and the best of each part meet in one sort per query.
+An index keeps queries from reading all codes: vectors belong to the cell of the nearest
+of some directions, which k-means learns from a bounded sample (``SAMPLE`` rows, the
+least by a hash). Each query reads the cells whose mean vectors have the largest inner
+products with it; how many, a part of the sample tells, so that ``recall`` of its true
+neighbours lie in them: few where vectors have clusters, more than half where they have
+none. All rows are in the index; cells of many rows are cut into parts of bounded size,
+and the best of each part meet in one sort per query.
 """
 
 from __future__ import annotations
@@ -23,8 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates of a part at most, about; of a part at least, where there are partitions for more parts.
-MOST, LEAST = 65_536, 2_048
+from tidepool.llm.common import mix
+
+#: Numbers (rows times dimensions) and rows of a part at most; rows of a cell, about; cells at most.
+NUMBERS, MOST, CELL, CELLS = 1 << 23, 65_536, 1_024, 512
+#: Rows that the cells are learned from, and queries that tell how many of them to read; the share of neighbours to be in these.
+SAMPLE, TRIALS, RECALL = 20_000, 300, 0.97
 #: Errors of an estimate that its bound allows for; bits of a query's components; queries at once.
 BOUND, QUERY_BITS, BLOCK = 1.9, 4, 64
 U = np.uint64
@@ -80,6 +89,8 @@ class Codes:
         """(query's number, candidate's number, score) of the k best of this part, ties to the smaller id."""
         estimate, error = self.estimates(queries)
         own = self.ids[None, :] == ids[:, None]
+        for q, c in zip(*np.nonzero(own), strict=True):
+            own[q, c] = own[q, :c].sum() == 0 and bool((self.vectors[c] == queries[q]).all())
         estimate[own] = -np.inf
         error[own] = 0
         n = min(k, len(self.ids))
@@ -98,11 +109,68 @@ class Codes:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest rows of ``vectors``, but for rows with its own id.
+class Cells:
+    """Directions that cells are around, their mean vectors, and how many of them a query reads."""
+
+    def __init__(self, sample: np.ndarray, n: int, k: int, recall: float):
+        rng = np.random.default_rng(len(sample))
+        directions = sample / np.sqrt((sample * sample).sum(1))[:, None]
+        cells = int(max(1, min(CELLS, n // CELL, len(sample) // 16)))
+        self.centres = directions[rng.choice(len(sample), cells, replace=False)]
+        for _ in range(12):
+            own = self.of(sample)
+            sums = np.zeros_like(self.centres)
+            np.add.at(sums, own, directions)
+            size = np.sqrt((sums * sums).sum(1))
+            self.centres = np.where(size[:, None] > 1e-9, sums / np.maximum(size, 1e-9)[:, None], self.centres)
+        own = self.of(sample)
+        counts = np.bincount(own, minlength=cells)
+        self.means = np.zeros_like(self.centres)
+        np.add.at(self.means, own, sample)
+        self.means /= np.maximum(counts, 1)[:, None]
+        trials = rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)
+        scores = sample[trials] @ sample.T
+        scores[np.arange(len(trials)), trials] = -np.inf
+        best = np.argpartition(-scores, min(k, len(sample) - 1) - 1, axis=1)[:, :k] if len(sample) > 1 else np.zeros((len(trials), 1), np.int64)
+        order = self.order(sample[trials])
+        place = np.empty_like(order)
+        place[np.arange(len(trials))[:, None], order] = np.arange(cells)
+        depth = np.sort(place[np.arange(len(trials))[:, None], own[best]].reshape(-1))
+        self.probes = int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) + 1
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        return (vectors @ self.centres.T).argmax(1)
+
+    def order(self, queries: np.ndarray) -> np.ndarray:
+        """The cells of each query, those with the largest inner product of their mean first."""
+        return np.argsort(-(queries @ self.means.T), axis=1, kind="stable")
+
+
+def fit(rows: DataFrame, n: int, k: int = 20, recall: float = RECALL) -> dict[int, Cells]:
+    """Cells of each number of dimensions that the sample has, from ``rows`` (id, v) of which there are ``n``."""
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
+    sizes = sample.map(len)
+    found = {}
+    for d in sorted(set(sizes)):
+        x = np.stack(sample[sizes == d].to_list()).astype(float)
+        found[int(d)] = Cells(x, max(1, n * len(x) // len(sample)), k, recall)
+    return found
+
+
+def _by_size(column) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimensions, places, vectors) of an Arrow column of lists without nulls."""
+    size, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy()
+    at = column.offsets.to_numpy()[:-1] - column.offsets.to_numpy()[0]
+    return [(int(d), x, flat[at[x][:, None] + np.arange(d)]) for d in np.unique(size) for x in [np.flatnonzero(size == d)]]
 
-    Null vectors, zero vectors and such with null or non-finite components take no part; vectors meet those of as many dimensions.
-    Ties go to the smaller id. Repeated rows are candidates of their own.
+
+def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, recall: float = RECALL) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query row's k nearest of those rows of ``vectors`` that it reads, but for its own row (of rows
+    with its id and its vector, one).
+
+    Null vectors, zero vectors and such with null or non-finite components take no part, nor do rows without an id; vectors meet
+    those of as many dimensions. Ties go to the smaller id. Repeated rows are candidates of their own, and repeated query rows
+    have results of their own. With ``recall`` 1 all codes are read.
     """
     spark = vectors.sparkSession
 
@@ -111,36 +179,79 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embed
         finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return df.where(finite & F.exists("v", lambda x: x != 0))
 
-    rows, asked = good(vectors), good(queries)
-    n = vectors.count()
-    parts = max(1, -(-n // MOST), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST)))
-    candidates = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "v")
-    blocks = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "id", "v")
-    dealt = candidates.unionByName(blocks).repartition(parts, "part").sortWithinPartitions("part", "kind", "id")
+    rows, asked = good(vectors), good(queries).withColumn("q", F.monotonically_increasing_id())
+    n, widest = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    most = max(1, min(MOST, NUMBERS // (widest or 1)))
+    cells = spark.sparkContext.broadcast(fit(rows, n, k, recall) if n else {})  # 512 times the dimensions at most, and as many means
+
+    def own_cell(parts):
+        for part in parts:
+            cell = np.zeros(part.num_rows, np.int32)
+            size = np.zeros(part.num_rows, np.int32)
+            for d, x, v in _by_size(part.column(1)):
+                size[x] = d
+                if d in cells.value:
+                    cell[x] = cells.value[d].of(v)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(cell)], ["id", "v", "d", "cell"])
+
+    placed = rows.mapInArrow(own_cell, "id long, v array<double>, d int, cell int")
+    counts = placed.groupBy("d", "cell").count().collect()  # one number of each cell
+    parts, first = 0, {}
+    for d, cell, size in sorted(map(tuple, counts)):
+        first[d, cell] = (parts, -(-size // most))
+        parts += first[d, cell][1]
+    table = spark.sparkContext.broadcast(first)
+
+    def part_of(batches):
+        for part in batches:
+            ids, d, cell = (part.column(i).to_numpy() for i in (0, 2, 3))
+            mixed = mix(ids.astype(np.int64).view(U))
+            begin, size = np.array([table.value[x] for x in zip(d.tolist(), cell.tolist(), strict=True)], np.int64).reshape(-1, 2).T
+            place = begin + (mixed % size.astype(U)).astype(np.int64)
+            zero = np.zeros(part.num_rows, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(zero), part.column(0), part.column(1), pa.array(zero)], ["part", "kind", "id", "v", "q"])
+
+    def read(batches):
+        for part in batches:
+            row, place = [], []
+            for d, x, v in _by_size(part.column(1)):
+                known = cells.value.get(d)
+                order = known.order(v)[:, : known.probes if recall < 1 else None] if known else np.zeros((len(x), 1), np.int64)
+                for i, own in zip(x.tolist(), order.tolist(), strict=True):
+                    for begin, size in (table.value[d, c] for c in own if (d, c) in table.value):
+                        row += [i] * size
+                        place += range(begin, begin + size)
+            for a in range(0, len(row), 10_000):
+                some = pa.array(row[a : a + 10_000], pa.int64())
+                one = pa.array(np.ones(len(some), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(place[a : a + 10_000], pa.int64()), one, part.column(0).take(some), part.column(1).take(some), part.column(2).take(some)], ["part", "kind", "id", "v", "q"])
+
+    schema = "part long, kind long, id long, v array<double>, q long"
+    dealt = placed.mapInArrow(part_of, schema).unionByName(asked.select("id", "v", "q").mapInArrow(read, schema))
+    dealt = dealt.repartition(max(1, min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))), "part").sortWithinPartitions("part", "kind", "id")
 
     def run(batches):
         now, held, codes = None, [], None
         for batch in batches:
             part, kind, ids = (batch.column(i).to_numpy() for i in range(3))
-            lists = batch.column(3)
-            size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-            at = np.cumsum(size) - size
+            asked_as = batch.column(4).to_numpy()
             cuts = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])))
             for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
                 if part[a] != now:
                     now, held, codes = part[a], [], None
-                groups = [(int(d), a + np.flatnonzero(size[a:b] == d)) for d in np.unique(size[a:b])]
+                groups = _by_size(batch.column(3).slice(a, b - a))
                 if kind[a] == 0:
-                    held += [(d, ids[x], flat[at[x][:, None] + np.arange(d)]) for d, x in groups]
+                    held += [(d, ids[a + x], v) for d, x, v in groups]
                     continue
                 if codes is None:
                     codes = {d: Codes(np.concatenate([i for e, i, _ in held if e == d]), np.concatenate([v for e, _, v in held if e == d])) for d in {d for d, _, _ in held}}
                     held = []
-                for d, x in groups:
-                    for y in np.array_split(x, -(-len(x) // BLOCK)) if d in codes else []:
-                        q, c, score = codes[d].nearest(ids[y], flat[at[y][:, None] + np.arange(d)], k)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[y][q]), pa.array(codes[d].ids[c]), pa.array(score)], ["query_id", "vec_id", "score"])
+                for d, x, v in groups:
+                    for y in np.array_split(np.arange(len(x)), -(-len(x) // BLOCK)) if d in codes else []:
+                        own = ids[a + x[y]]
+                        q, c, score = codes[d].nearest(own, v[y], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(asked_as[a + x[y]][q]), pa.array(own[q]), pa.array(codes[d].ids[c]), pa.array(score)], ["q", "query_id", "vec_id", "score"])
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = dealt.mapInArrow(run, "q long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
