@@ -28,11 +28,12 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import keyed_hashes
+from tidepool.llm.common import keyed_hashes, small_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The endings that are split from a word after an apostrophe.
@@ -72,8 +73,8 @@ class Automaton:
         self._trie([k for k in ids.values() if k not in set(self.special.values())])
 
     def _compile(self, merges: list[tuple[int, int, int]], single: list[int]) -> None:
-        states = classes = len(merges) + 2  # at most; pages that aren't written take no memory
-        table = np.zeros((states, -(-classes // 8)), np.uint8)
+        states = classes = len(merges) + 2  # at most; the table grows as they come
+        table = np.zeros((1024, 64), np.uint8)
         state_of, class_of = np.full(self.size, -1, np.int32), np.full(self.size, -1, np.int32)
         state_of[single] = class_of[single] = 0
         table[0, 0] = 1
@@ -83,6 +84,9 @@ class Automaton:
             after_b = state_of[b]
             if not table[state_of[a], class_of[b] >> 3] >> (class_of[b] & 7) & 1:
                 continue  # nothing has "a b" any more
+            more = [len(table) * (n_states + 1 >= len(table)), table.shape[1] * ((n_classes >> 3) + 1 >= table.shape[1])]
+            if any(more):
+                table = np.pad(table, [(0, k) for k in more])
             if users[s := state_of[a]] > 1 or a == b:
                 users[s] -= 1
                 users[n_states] += 1
@@ -375,16 +379,13 @@ def encoder(path: str = VOCABULARY) -> Encoder:
 
 
 def batches(column, most: int = 500_000):
-    """Texts of an Arrow column in lists of about ``most`` characters; null is empty."""
-    found, size = [], 0
-    for x in column.to_pylist():
-        found.append(x or "")
-        size += len(found[-1])
-        if size >= most:
-            yield found
-            found, size = [], 0
-    if found:
-        yield found
+    """Texts of an Arrow column in lists of about ``most`` bytes; null is empty. No more than a list is in Python's memory at once."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1
+        yield [x or "" for x in column.slice(at, full - at).to_pylist()]
+        at = full
 
 
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -407,6 +408,7 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
                     decoded.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

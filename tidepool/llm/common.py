@@ -20,6 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch of whole texts at most: some megabytes, as texts go.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's number of rows of an Arrow batch (10,000 by default) to ``BATCH_ROWS``: a batch of whole texts is in the memory of
+    Spark and of Python at once, several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Whole numbers of 64 bits, mixed one to one."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -51,15 +64,18 @@ def keyed_hashes(values: np.ndarray, start: np.ndarray, size: np.ndarray, whole:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, which all executors share. Only where the session names none (tests on one machine) is one made."""
+    """The checkpoint folder that ``spark.checkpoint.dir`` names, which all executors share. Only a session of one machine goes on without."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidepool-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidepool-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder; Spark removes it when it isn't needed any more."""
+    """``df`` checkpointed in the shared folder; Spark removes it later if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     _shared_folder(df.sparkSession)
     return df.checkpoint()
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe import batches
-from tidepool.llm.common import cut_lineage, discard, keyed_hashes, mix, written
+from tidepool.llm.common import cut_lineage, discard, keyed_hashes, mix, small_batches, written
 from tidepool.llm.components import components
 
 #: The sketch has 2**22 counts: 16 MB while counting, 4 MB when broadcast, for any input.
@@ -244,27 +244,21 @@ def _sets(rows: DataFrame, ids: DataFrame, id: str, k: int) -> DataFrame:
             at = _places(part.column(0).to_numpy(zero_copy_only=False), bits)
             part, seen = part.filter(pa.array((bitmap.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))), 0
             for texts in batches(part.column(1), 500_000):
-                sets = [x.tobytes() for x in shingle_sets(texts, k)]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(seen, len(texts)), pa.array(sets, pa.binary())], [id, f"set_{id}"])
+                sets = shingle_sets(texts, k)
+                offsets = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(seen, len(texts)), lists], [id, f"set_{id}"])
                 seen += len(texts)
 
-    return rows.mapInArrow(run, f"{id} long, set_{id} binary")
+    return rows.mapInArrow(run, f"{id} long, set_{id} array<long>")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs whose whole sets are similar."""
     both = pairs.join(_sets(rows, pairs, "b", k), "b").join(_sets(rows, pairs, "a", k), "a")
-
-    def check(parts):
-        for part in parts:
-            keep = []
-            for x, y in zip(part.column(2), part.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    both = both.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("n"), common.alias("common"))
+    return both.where(F.lit(den) * F.col("common") >= F.lit(num) * (F.col("n") - F.col("common"))).select("a", "b")
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -273,6 +267,7 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A component's id is the least doc_id reachable by links. Null and empty texts have empty sets and link with nothing; a null
     doc_id has no component. Rows stay rows; texts that share a doc_id count as one document with the links of each.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     weights = docs.sparkSession.sparkContext.broadcast(_weights(_sketch(rows, k)))
     all_docs = written(_describe(rows, k, num, den, weights))
