@@ -93,9 +93,10 @@ def relation_weights(relations: DataFrame, entities: DataFrame, least_change: fl
     """(source_id, target_id, relation_type, weight) by how particular a relation is for its source: the share of the source's mentions
     that its pair has, times the logarithm of how few partners it has, and a part of the old weight."""
     n = entities.agg(F.count("*").alias("n"))
-    partners = relations.groupBy("source_id").agg(F.count_distinct("target_id").alias("partners"))
-    pairs = relations.groupBy("source_id", "target_id").agg(F.count("*").alias("pair"))
-    rows = relations.join(partners, "source_id").join(pairs, ["source_id", "target_id"]).join(entities.select(F.col("entity_id").alias("source_id"), "mentions"), "source_id", "left").crossJoin(F.broadcast(n))
+    pairs = relations.groupBy("source_id", "target_id").agg(F.count("*").alias("pair"), F.collect_list(F.struct("relation_type", "weight")).alias("r"))  # the relations of two entities
+    pairs = pairs.withColumn("partners", F.count("*").over(Window.partitionBy("source_id")))
+    rows = pairs.join(entities.select(F.col("entity_id").alias("source_id"), "mentions"), "source_id", "left").crossJoin(F.broadcast(n))
+    rows = rows.select("*", F.explode("r").alias("one")).select("source_id", "target_id", "one.relation_type", "one.weight", "pair", "partners", "mentions", "n")
     rare = F.col("pair") / F.coalesce("mentions", F.lit(1)) * F.log(F.col("n") / (1.0 + F.col("partners")))
     new = F.least(F.greatest(0.7 * rare + 0.3 * F.col("weight"), F.lit(0.0)), F.lit(1.0))
     return rows.select("source_id", "target_id", "relation_type", F.when(F.abs(new - F.col("weight")) > least_change, new).otherwise(F.col("weight")).alias("weight"))

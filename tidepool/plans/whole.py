@@ -9,7 +9,7 @@ from tidepool.plans.registry import ORACLE_SQL, QUERIES, query
 from tidepool.sources import tables
 
 NAMES = (
-    "S47_log_lines", "L09_section_order", "D23_byte_levenshtein", "G01_neighbours", "G02_neighbours_without_start", "G03_recursive_neighbours", "G04_components", "A26_component_sizes", "G05_shortest_path",
+    "L09_section_order", "D23_byte_levenshtein", "G01_neighbours", "G02_neighbours_without_start", "G03_recursive_neighbours", "G04_components", "A26_component_sizes", "G05_shortest_path",
     "J17_edge_names", "S21_graph_json",
 )
 for name in NAMES:
@@ -22,3 +22,10 @@ for name in NAMES:
 def emoji(spark, sf):
     dirty = F.concat(F.lit("😀"), "text", F.lit("🚀"))
     return tables.read(spark, sf, "documents").select("doc_id", texts.without_emoji(dirty).alias("clean"))
+
+
+@query("S47_log_lines_all")
+def log_lines(spark, sf):
+    line = F.concat(F.lit("2024-01-01 INFO [req|"), "model", F.lit("] done | ms="), F.col("latency_ms").cast("string"))
+    rows = tables.interactions(spark, sf).select("id", line.alias("line"))
+    return rows.select("id", F.regexp_extract("line", r"\[[^|]*\|([^\]]*)\]", 1).alias("module"), F.str_to_map(F.regexp_extract("line", r"\| (\S+=\S+)$", 1), F.lit(" "), F.lit("="))["ms"].alias("ms"))
