@@ -19,7 +19,13 @@ SALTS = 64
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Adds to links (u, v) the least of u and its v. The minimum of a node goes to each of its salts, so no task has all links of a hub."""
+    """Adds to links (u, v) the least of u and its v."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
+
+
+def _least_of_hubs(edges: DataFrame) -> DataFrame:
+    """The same; the minimum of a node goes to each of its salts, so no task has all links of a hub."""
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
     least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts")).select("u", F.explode("salts").alias("salt"), "m")
@@ -32,9 +38,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _least_of_hubs(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _least(down)
+        small = _least(down)  # links go down to the least node here, which has its hub's links from the other side
         edges = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut_lineage(edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

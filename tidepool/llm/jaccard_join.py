@@ -297,7 +297,8 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     others = placed.select("token", F.col("d").alias("r"), F.col("of").alias("of_r"), (F.col("of") == F.col("of_centre")).alias("inside"))
     rest = outside.join(others, "token").where("of_l <> of_r AND (inside OR l.doc < r.doc)")
     more = cut_lineage(_candidates(rest, num, den).join(tried, ["a", "b"], "left_anti"))
-    links = cut_lineage(links.unionByName(_verified(more, rows, k, num, den)))
+    # the components so far are links already, which need no more steps among themselves
+    links = cut_lineage(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(_verified(more, rows, k, num, den)))
     discard(shared)
     discard(placed)
 

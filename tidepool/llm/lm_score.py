@@ -116,8 +116,22 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of the texts, as ``words`` finds them, and its text."""
+def word_hashes(texts: list[str], most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of the texts, as ``words`` finds them, and its text; about ``most`` characters are in work at once."""
+    hashes, owners, first = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while first < len(texts):
+        end, size = first, 0
+        while end < len(texts) and size < most:
+            size += len(texts[end])
+            end += 1
+        h, of = _hashes_of(texts[first:end])
+        hashes.append(h)
+        owners.append(of + first)
+        first = end
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
+def _hashes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lowered = [x.lower() for x in texts]
     joined = " ".join([*lowered, ""])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
