@@ -15,8 +15,9 @@ of some directions, which k-means learns from a bounded sample (``SAMPLE`` rows,
 least by a hash). Each query reads the cells whose mean vectors have the largest inner
 products with it; how many, a part of the sample tells, so that ``recall`` of its true
 neighbours lie in them: few where vectors have clusters, more than half where they have
-none. All rows are in the index; cells of many rows are cut into parts of bounded size,
-and the best of each part meet in one sort per query.
+none. All rows are in the index. Neighbouring cells lie in one part of bounded size, and
+cells of more rows in several; a query goes once to each part that has cells for it, reads
+those cells there, and the best of each part meet in one sort per query.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import mix
 
-#: Numbers (rows times dimensions) and rows of a part at most; rows of a cell, about; cells at most.
-NUMBERS, MOST, CELL, CELLS = 1 << 23, 65_536, 1_024, 512
+#: Numbers (rows times dimensions) and rows of a part at most, rows of a part where there are partitions for more; rows of a cell, about; cells at most.
+NUMBERS, MOST, LEAST, CELL, CELLS = 1 << 23, 65_536, 8_192, 1_024, 512
 #: Rows that the cells are learned from, and queries that tell how many of them to read; the share of neighbours to be in these.
 SAMPLE, TRIALS, RECALL = 20_000, 300, 0.97
 #: Errors of an estimate that its bound allows for; bits of a query's components; queries at once.
@@ -141,6 +142,16 @@ class Cells:
     def of(self, vectors: np.ndarray) -> np.ndarray:
         return (vectors @ self.centres.T).argmax(1)
 
+    def chain(self) -> list[int]:
+        """The cells, each followed by the nearest that isn't in the chain yet."""
+        near, out = self.centres @ self.centres.T, [0]
+        free = np.ones(len(near), bool)
+        free[0] = False
+        while free.any():
+            out.append(int(np.where(free, near[out[-1]], -np.inf).argmax()))
+            free[out[-1]] = False
+        return out
+
     def order(self, queries: np.ndarray) -> np.ndarray:
         """The cells of each query, those with the largest inner product of their mean first."""
         return np.argsort(-(queries @ self.means.T), axis=1, kind="stable")
@@ -157,6 +168,25 @@ def fit(rows: DataFrame, n: int, k: int = 20, recall: float = RECALL) -> dict[in
     return found
 
 
+def packed(counts: dict[tuple[int, int], int], cells: dict[int, Cells], most: int) -> tuple[dict[tuple[int, int], tuple[int, int]], int]:
+    """({(dimensions, cell): (first part, number of parts)}, parts) so that a part has ``most`` rows, about: several cells of few rows, or a
+    share of one of many. ``counts`` are the cells' rows."""
+    found, part, held = {}, 0, 0
+    for d in sorted({d for d, _ in counts}):
+        known = cells[d].chain() if d in cells else [0]
+        for cell in known:
+            n = counts.get((d, cell), 0)
+            if held and held + n > most:
+                part, held = part + 1, 0
+            if n > most:
+                found[d, cell] = (part, -(-n // most))
+                part += found[d, cell][1]
+            elif n:
+                found[d, cell] = (part, 1)
+                held += n
+    return found, part + (held > 0)
+
+
 def _by_size(column) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(dimensions, places, vectors) of an Arrow column of lists without nulls."""
     size, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy()
@@ -195,11 +225,9 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embed
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(cell)], ["id", "v", "d", "cell"])
 
     placed = rows.mapInArrow(own_cell, "id long, v array<double>, d int, cell int")
-    counts = placed.groupBy("d", "cell").count().collect()  # one number of each cell
-    parts, first = 0, {}
-    for d, cell, size in sorted(map(tuple, counts)):
-        first[d, cell] = (parts, -(-size // most))
-        parts += first[d, cell][1]
+    counts = {(r.d, r.cell): r["count"] for r in placed.groupBy("d", "cell").count().collect()}  # one number of each cell
+    wanted = max(1, -(-n // most), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST)))
+    first, parts = packed(counts, cells.value, -(-n // wanted) if n else 1)
     table = spark.sparkContext.broadcast(first)
 
     def part_of(batches):
@@ -209,24 +237,31 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embed
             begin, size = np.array([table.value[x] for x in zip(d.tolist(), cell.tolist(), strict=True)], np.int64).reshape(-1, 2).T
             place = begin + (mixed % size.astype(U)).astype(np.int64)
             zero = np.zeros(part.num_rows, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(zero), part.column(0), part.column(1), pa.array(zero)], ["part", "kind", "id", "v", "q"])
+            own = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32)), part.column(3))
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(zero), part.column(0), part.column(1), pa.array(zero), own], ["part", "kind", "id", "v", "q", "cells"])
 
     def read(batches):
         for part in batches:
-            row, place = [], []
+            row, place, lists = [], [], []
             for d, x, v in _by_size(part.column(1)):
                 known = cells.value.get(d)
                 order = known.order(v)[:, : known.probes if recall < 1 else None] if known else np.zeros((len(x), 1), np.int64)
                 for i, own in zip(x.tolist(), order.tolist(), strict=True):
-                    for begin, size in (table.value[d, c] for c in own if (d, c) in table.value):
-                        row += [i] * size
-                        place += range(begin, begin + size)
+                    here: dict[int, list[int]] = {}
+                    for c in own:
+                        begin, size = table.value.get((d, c), (0, 0))
+                        for k in range(begin, begin + size):
+                            here.setdefault(k, []).append(c)
+                    row += [i] * len(here)
+                    place += here
+                    lists += here.values()
             for a in range(0, len(row), 10_000):
                 some = pa.array(row[a : a + 10_000], pa.int64())
                 one = pa.array(np.ones(len(some), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(place[a : a + 10_000], pa.int64()), one, part.column(0).take(some), part.column(1).take(some), part.column(2).take(some)], ["part", "kind", "id", "v", "q"])
+                columns = [pa.array(place[a : a + 10_000], pa.int64()), one, *(part.column(k).take(some) for k in range(3)), pa.array(lists[a : a + 10_000], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "kind", "id", "v", "q", "cells"])
 
-    schema = "part long, kind long, id long, v array<double>, q long"
+    schema = "part long, kind long, id long, v array<double>, q long, cells array<int>"
     dealt = placed.mapInArrow(part_of, schema).unionByName(asked.select("id", "v", "q").mapInArrow(read, schema))
     dealt = dealt.repartition(max(1, min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))), "part").sortWithinPartitions("part", "kind", "id")
 
@@ -239,18 +274,32 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embed
             for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
                 if part[a] != now:
                     now, held, codes = part[a], [], None
-                groups = _by_size(batch.column(3).slice(a, b - a))
+                groups, own_cells = _by_size(batch.column(3).slice(a, b - a)), batch.column(5).slice(a, b - a)
                 if kind[a] == 0:
-                    held += [(d, ids[a + x], v) for d, x, v in groups]
+                    cell = own_cells.flatten().to_numpy()
+                    held += [(d, ids[a + x], v, cell[x]) for d, x, v in groups]
                     continue
                 if codes is None:
-                    codes = {d: Codes(np.concatenate([i for e, i, _ in held if e == d]), np.concatenate([v for e, _, v in held if e == d])) for d in {d for d, _, _ in held}}
+                    codes = {}
+                    for d in {h[0] for h in held}:
+                        own, v, cell = (np.concatenate([h[k] for h in held if h[0] == d]) for k in (1, 2, 3))
+                        codes |= {(d, int(c)): Codes(own[cell == c], v[cell == c]) for c in np.unique(cell)}
                     held = []
+                lists = own_cells.to_pylist()
                 for d, x, v in groups:
-                    for y in np.array_split(np.arange(len(x)), -(-len(x) // BLOCK)) if d in codes else []:
-                        own = ids[a + x[y]]
-                        q, c, score = codes[d].nearest(own, v[y], k)
-                        yield pa.RecordBatch.from_arrays([pa.array(asked_as[a + x[y]][q]), pa.array(own[q]), pa.array(codes[d].ids[c]), pa.array(score)], ["q", "query_id", "vec_id", "score"])
+                    for y in np.array_split(np.arange(len(x)), -(-len(x) // BLOCK)):
+                        own, best = ids[a + x[y]], []
+                        for c in sorted({c for j in y.tolist() for c in lists[x[j]]}):
+                            if (d, c) in codes:
+                                some = np.flatnonzero([c in lists[x[j]] for j in y.tolist()])
+                                q, at, score = codes[d, c].nearest(own[some], v[y][some], k)
+                                best.append((some[q], codes[d, c].ids[at], score))
+                        if best:
+                            q, vec, score = (np.concatenate(z) for z in zip(*best, strict=True))
+                            order = np.lexsort((vec, -score, q))
+                            q, vec, score = q[order], vec[order], score[order]
+                            kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+                            yield pa.RecordBatch.from_arrays([pa.array(z[kept]) for z in (asked_as[a + x[y]][q], own[q], vec, score)], ["q", "query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(run, "q long, query_id long, vec_id long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
