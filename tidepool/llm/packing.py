@@ -9,7 +9,9 @@ counts over the partially filled levels, and a filled window is written.
 When a partition ends, its open windows are drained: the least filled one is cut
 up into the gaps of the most filled ones, until at most one partial window is
 left, which is cut into sequences of powers of two; these need no padding.
-Only open windows are held: pieces without their ids, that is a few numbers each.
+Only open windows are held, with the ids of their pieces (4 bytes each): some megabytes,
+as few windows of one fill are open at a time. Of levels that are as good the lowest is
+taken, so equal inputs are packed alike.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ FIELDS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_
 
 
 class Packer:
-    """Online packing of one partition. A piece is (doc, start, length, ids); ids are bytes, kept only until the piece's place is final."""
+    """Online packing of one partition. A piece is (doc, start, length, ids); ids are bytes, kept until the piece's window is written."""
 
     def __init__(self, window: int = WINDOW):
         self.window = window
