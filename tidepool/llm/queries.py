@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ann, bpe, chat, fingerprint, jaccard_join, license_scan, lm_score, packing, quality, secret_scan
+from tidepool.llm import ann, bpe, chat, filter_audit, fingerprint, hard_negatives, jaccard_join, license_scan, lm_score, packing, quality, secret_scan, token_counts
 from tidepool.llm.common import table
 
 
@@ -150,6 +150,67 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
 FROM lanes
 """
 
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), hard_negatives.quantised(F.col("embedding")).alias("v"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = filter_audit.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(flags, marks={"good_lost": "good", "toxic_lost": "toxic"})
+
+
+OP12_SQL = r"""
+WITH letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a JOIN letters b ON b.l <> a.l JOIN letters c ON c.l NOT IN (a.l, b.l)
+  JOIN letters d ON d.l NOT IN (a.l, b.l, c.l) JOIN letters e ON e.l NOT IN (a.l, b.l, c.l, d.l)
+), docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+marks AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+words AS (SELECT *, list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM docs),
+failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS f
+  FROM words LEFT JOIN marks USING (doc_id)
+), replay AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, 6), lambda i: contains(f, substr(filter_order, i, 1)))), 6) AS first FROM failing CROSS JOIN orders
+), steps AS (SELECT *, unnest(range(1, 6))::INT AS step FROM replay),
+counts AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS filter, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed,
+    count(*) FILTER (first < step AND contains(f, substr(filter_order, step, 1))) AS redundant, count(*) FILTER (f = substr(filter_order, step, 1)) AS unique_fails,
+    count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost
+  FROM steps GROUP BY ALL
+)
+SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counts
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secret_scans": op2_secret_scans,
@@ -161,9 +222,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_license_scans": op9_license_scans,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_fingerprints": OP7_SQL,
     "op8_chat_formatting": OP8_SQL,
     "op9_license_scans": OP9_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
