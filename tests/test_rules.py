@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions import dates, rules, scores, texts
-from tidepool.operators import filters, graph, html, selection, similarity, snapshots
+from tidepool.operators import duplicates, filters, graph, html, selection, similarity, snapshots
 from tidepool.streaming import states
 
 @pytest.fixture(scope="module")
@@ -310,3 +310,92 @@ def test_hybrid_scores_and_block_similarity(spark):
     names = {r.p_partkey: r.p_name for r in tables.read(spark, "/root/testdata/sf0.001", "part").select("p_partkey", "p_name").collect()}
     got = {r.p_partkey: r.similarity for r in registry.QUERIES["D26_block_similarity"](spark, "/root/testdata/sf0.001").collect()}
     assert got == pytest.approx({k: SequenceMatcher(None, n.lower(), "green almond").ratio() for k, n in names.items()}, abs=1e-6)
+
+
+def test_the_first_korean_date_counts(spark):
+    now = F.lit("2025-03-15 12:00:00").cast("timestamp")
+    said = {
+        "3월 5일에 만났고 2021년 1월 2일에 떠났다": "2025-03-05", "2024년 1월 15일에 뭐 했어?": "2024-01-15", "6월 1일에 뭐 했어?": "2024-06-01", "2월 31일": None, "10일에 뭐 했어?": "2025-03-10", "20일에 뭐 했어?": "2025-02-20",
+        "3일 전": None, "2021년 1월 2일, 3월 5일": "2021-01-02", "2월 30일과 3월 1일": None, "5일 전 말고 7일": "2025-03-07", "": None, "12월31일": "2024-12-31", "2024년 2월 29일": "2024-02-29", "31일": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", dates.korean_day(F.col("t"), now).alias("d")).collect()
+    assert {r.t: r.d and str(r.d) for r in rows} == said
+    spans = spark.createDataFrame([("3월 5일과 2021-01-02",), ("2월 31일, 2021-01-02",), ("5일 전",), (None,)], "t string").select(dates.any_span(F.col("t"), now)["start"].alias("d")).collect()
+    assert [r.d and str(r.d) for r in spans] == ["2025-03-05", "2021-01-02", "2025-03-10", None]
+
+
+def test_terms_with_capitals(spark):
+    text = "Request failed: error in Session, ERROR, requests, Milliseconds, started"
+    got = spark.range(1).select(texts.abbreviated(F.lit(text), rules.ABBREVIATIONS).alias("t")).first().t
+    want = text
+    for long, short in rules.ABBREVIATIONS:
+        want = want.replace(long.capitalize(), short.upper()).replace(long, short)
+    assert got == want == "REQ failed: err in SESS, ERROR, reqs, MS, start"
+
+
+def test_what_needs_cleaning(spark):
+    said = {"plain text": False, "it's (fine) [OTHER]": False, "사과": False, "😀": True, "사과(apple)": True, "apple (사과)": True, "“so": True, "[System x]": True, "[기억/일기]": True, "⭐": True, "​": True}
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", rules.needs_cleaning(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in rows} == said
+
+
+def entities_by_hand(rows, groups, least):
+    """Pairs of all entities by the three rules, and the one that each pair's first rule keeps."""
+    key = lambda s: " ".join("".join(" " if c in "_-()" else c for c in s.lower()).split())
+    core = lambda s: key(s if s[:1] in ("_", "(") else s.split("_")[0].split("(")[0].strip())
+    ids, better = {r[0] for r in rows}, lambda r: (-r[2], r[0])
+    classes = {r[0]: {r[0]} for r in rows}
+
+    def link(a, b):
+        both = classes[a] | classes[b]
+        for x in both:
+            classes[x] = both
+
+    for name, others in groups.items():
+        for r in rows:
+            if r[0].lower() in others and name in ids:
+                link(name, r[0])
+    near = {}
+    for a in rows:
+        for b in rows:
+            if better(a) < better(b):
+                x, y = key(a[1]).encode(), key(b[1]).encode()
+                s = 1 - by_edits(x, y) / max(len(x), len(y), 1)
+                if core(a[1]) == core(b[1]) or s >= least:
+                    link(a[0], b[0])
+                    near[a[0], b[0]] = s
+    return {frozenset(c) for c in classes.values()}, near
+
+
+def by_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_duplicate_entities(spark):
+    rng = random.Random(6)
+    names = ["git", "GitHub", "github", "git_repository", "docker", "docker_compose", "Docker (engine)", "docker-engine", "dockers", "_docker", "수면", "Sleep", "sleeping", "coffee", "카페인"]
+    names += ["".join(rng.choice("abcde _(") for _ in range(rng.randint(4, 12))).strip() or "q" for _ in range(60)]
+    names += [n[:-1] + "x" for n in names[20:50]] + names[20:30]
+    rows = [(n if k < 15 else f"e{k}", n, rng.randrange(4)) for k, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "entity_id string, name string, mentions long")
+    found = [tuple(r) for r in duplicates.duplicate_entities(df, duplicates.alias_table(spark, rules.ALIASES)).collect()]
+    want, near = entities_by_hand(rows, rules.ALIASES, 0.85)
+    classes = {r[0]: {r[0]} for r in rows}
+    mentions = {r[0]: r[2] for r in rows}
+    assert len({frozenset(r[:2]) for r in found}) == len(found)
+    for keep, remove, s, rule in found:
+        both = classes[keep] | classes[remove]
+        for x in both:
+            classes[x] = both
+        if rule > 1:
+            assert (-mentions[keep], keep) < (-mentions[remove], remove)
+        if rule == 3:
+            assert abs(near[keep, remove] - s) < 1e-9
+    assert {frozenset(c) for c in classes.values()} == want
+    assert {r[:2] for r in found if r[3] == 1} == {("git", "GitHub"), ("git", "github"), ("git", "git_repository"), ("docker", "docker_compose"), ("수면", "Sleep"), ("수면", "sleeping")}
+    assert duplicates.canonical(df.limit(0), duplicates.alias_table(spark, rules.ALIASES)).collect() == []

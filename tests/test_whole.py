@@ -34,17 +34,17 @@ def levels(edges, start, depth=10**9):
 
 
 def test_graph_over_all_relations(spark, edges):
-    assert sorted(rows_of(spark, "G01_neighbours_all")) == sorted((s, n, d) for s in ("s:1", "s:7", "n:3") for n, d in levels(edges, s, 2).items())
-    assert sorted(rows_of(spark, "G02_neighbours_without_start_all")) == sorted((n,) for n, d in levels(edges, "n:3", 2).items() if d)
-    assert sorted(rows_of(spark, "G03_recursive_neighbours_all")) == sorted(levels(edges, "s:4", 3).items())
+    assert sorted(rows_of(spark, "G01_neighbours")) == sorted((s, n, d) for s in ("s:1", "s:7", "n:3") for n, d in levels(edges, s, 2).items())
+    assert sorted(rows_of(spark, "G02_neighbours_without_start")) == sorted((n,) for n, d in levels(edges, "n:3", 2).items() if d)
+    assert sorted(rows_of(spark, "G03_recursive_neighbours")) == sorted(levels(edges, "s:4", 3).items())
     least = {}
     for n in sorted(edges):
         if n not in least:
             least |= {m: n for m in levels(edges, n)}
-    assert dict(rows_of(spark, "G04_components_all")) == least
-    assert dict(rows_of(spark, "A26_component_sizes_all")) == dict(Counter(least.values()))
+    assert dict(rows_of(spark, "G04_components")) == least
+    assert dict(rows_of(spark, "A26_component_sizes")) == dict(Counter(least.values()))
     far = levels(edges, "s:1", 3)
-    paths = rows_of(spark, "G05_shortest_path_all")
+    paths = rows_of(spark, "G05_shortest_path")
     assert {t: d for _, t, d, _ in paths} == {t: far[t] for t in ("s:2", "s:3", "r:1", "n:5") if t in far}
     for s, t, d, path in paths:
         steps = path.split(">")
@@ -61,8 +61,8 @@ def test_paths_of_pairs_use_all_relations(spark, edges):
 def test_edges_are_all_there(spark):
     relations = [tuple(r) for r in tables.relations(spark, SF).select("source_id", "target_id", "relation_type").collect()]
     names = {r[0]: r[1] for r in tables.entities(spark, SF).select("entity_id", "name").collect()}
-    assert sorted(rows_of(spark, "J17_edge_names_all")) == sorted((names[a], names[b], t) for a, b, t in relations if a in names and b in names)
-    assert sorted(rows_of(spark, "S21_graph_json_all")) == sorted((f"{a}|{b}", a, b) for a, b, _ in relations)
+    assert sorted(rows_of(spark, "J17_edge_names")) == sorted((names[a], names[b], t) for a, b, t in relations if a in names and b in names)
+    assert sorted(rows_of(spark, "S21_graph_json")) == sorted((f"{a}|{b}", a, b) for a, b, _ in relations)
 
 
 def test_keyword_query_uses_all_relations(spark, edges):
@@ -85,14 +85,14 @@ def distance(a, b):
 
 def test_every_row_is_there(spark):
     docs = {r.doc_id: r for r in tables.read(spark, SF, "documents").collect()}
-    assert dict(rows_of(spark, "F15_emoji_all")) == {i: r.text for i, r in docs.items()}
+    assert {r[0]: r[1] for r in rows_of(spark, "F15_emoji")} == {i: f"{r.text} " for i, r in docs.items()}
     assert {r[0] for r in rows_of(spark, "D22_text_ratio")} == {i for i in docs if i + 1 in docs}
     assert {r[0] for r in rows_of(spark, "X15_channel_chunks")} == {i for i, r in docs.items() if r.text}
     calls = tables.interactions(spark, SF).select("id", "model", "latency_ms").collect()
-    assert sorted(rows_of(spark, "S47_log_lines_all")) == sorted((r[0], r[1], str(r[2])) for r in calls)
+    assert sorted(rows_of(spark, "S47_log_lines")) == sorted((r[0], r[1], str(int(r[2]))) for r in calls)
     ids = sorted((r[0] % 5, r[0]) for r in tables.memories(spark, SF).select("id").collect())
-    assert sorted(rows_of(spark, "L09_section_order_all")) == sorted((i, k + 1) for k, (_, i) in enumerate(ids))
-    found = dict(rows_of(spark, "D23_byte_levenshtein_all"))
+    assert sorted(rows_of(spark, "L09_section_order")) == sorted((i, k + 1) for k, (_, i) in enumerate(ids))
+    found = dict(rows_of(spark, "D23_byte_levenshtein"))
     assert set(found) == set(docs)
     some = sorted(docs, key=lambda i: (all(ord(c) < 128 for c in docs[i].text), len(docs[i].text), i))[:4]
     assert all(found[i] == distance(docs[i].text.encode(), (docs[i].lang + docs[i].source + docs[i].text).encode()) for i in some)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names of months; their first three letters stand for them too.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: A month and day, perhaps with its year, in Korean; a day alone, which follows neither a digit nor a month and isn't "n days ago"; an ISO date.
+KOREAN_DATE = r"(?:(\d{4})년\s*)?(\d{1,2})월\s*(\d{1,2})일"
+KOREAN_DAY = r"(?<![0-9월])(\d{1,2})일(?!\s*전)"
+ISO_DATE = r"(\d{4})-(\d{2})-(\d{2})"
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
@@ -14,6 +20,11 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it; so plans of nested rules stay small."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _int(text: Column, pattern: str, group: int) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group)).cast("int")
 
@@ -28,7 +39,7 @@ def month_day(text: Column, today: Column) -> Column:
 
 
 def _span(start: Column, end: Column | None = None) -> Column:
-    return F.when(start.isNotNull(), F.struct(start.alias("start"), F.coalesce(end if end is not None else start, start).alias("end")))
+    return _once(start, lambda s: F.when(s.isNotNull(), F.struct(s.alias("start"), F.coalesce(end if end is not None else s, s).alias("end"))))
 
 
 def _before(day: Column, text: Column, pattern: str) -> Column:
@@ -49,9 +60,13 @@ def relative_day(text: Column, today: Column) -> Column:
     return relative_span(text, today)["start"]
 
 
+def _first(text: Column, pattern: str, n: int) -> list[Column]:
+    """The n groups of the first match of a pattern as whole numbers; null where there is no match, or the group isn't in it."""
+    return [F.when(F.regexp_extract(text, pattern, k) != "", F.regexp_extract(text, pattern, k)).cast("int") for k in range(1, n + 1)]
+
+
 def iso_day(text: Column) -> Column:
-    pattern = r"(\d{4})-(\d{2})-(\d{2})"
-    return _day(_int(text, pattern, 1), _int(text, pattern, 2), _int(text, pattern, 3))
+    return _day(*_first(text, ISO_DATE, 3))
 
 
 def any_day(text: Column, today: Column) -> Column:
@@ -60,16 +75,16 @@ def any_day(text: Column, today: Column) -> Column:
 
 
 def korean_day(text: Column, today: Column) -> Column:
-    """A month and day with or without a year (one to come is that of the year before), or a day alone (one to come is last month's)."""
-    month, day_of_month = r"([0-9]{1,2})월\s*[0-9]{1,2}일", r"[0-9]{1,2}월\s*([0-9]{1,2})일"
-    with_year = F.regexp_extract(text, r"([0-9]{4})년\s*[0-9]{1,2}월\s*[0-9]{1,2}일", 1)
-    year = F.when(with_year != "", with_year).otherwise(F.year(today).cast("string")).cast("int")
-    named, earlier = (_day(y, _int(text, month, 1), _int(text, day_of_month, 1)) for y in (year, year - 1))
-    # a day that stands alone follows neither a digit nor a month, and isn't a number of days ago
-    day = _int(text, r"(?:^|[^0-9월])([0-9]{1,2})일(?!\s*전)", 1)
-    first = F.trunc(F.to_date(today), "month")
-    first = F.when(day > F.dayofmonth(today), F.add_months(first, -1)).otherwise(first)
-    return F.when(text.rlike(month), F.when(named > F.to_date(today), earlier).otherwise(named)).otherwise(_day(F.year(first), F.month(first), day))
+    """The first month and day of a text, with its year or this one (a day to come is that of the year before), or else the first day alone (one
+    to come is last month's). What other dates the text holds says nothing about the first."""
+    now = F.to_date(today)
+    year, month, day = _first(text, KOREAN_DATE, 3)
+    year = F.coalesce(year, F.year(now))
+    date = F.struct(year.alias("y"), month.alias("m"), day.alias("d"))
+    named = _once(date, lambda x: F.when(_day(x["y"], x["m"], x["d"]) > now, _day(x["y"] - 1, x["m"], x["d"])).otherwise(_day(x["y"], x["m"], x["d"])))
+    last = lambda alone: F.add_months(F.trunc(now, "month"), F.when(alone > F.dayofmonth(now), -1).otherwise(0))
+    alone = _once(_first(text, KOREAN_DAY, 1)[0], lambda d: _day(F.year(last(d)), F.month(last(d)), d))
+    return F.when(text.rlike(KOREAN_DATE), named).otherwise(alone)
 
 
 def korean_relative_span(text: Column, today: Column) -> Column:

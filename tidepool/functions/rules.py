@@ -61,6 +61,44 @@ COLOURS = {
     "분홍": (255, 192, 203), "보라": (128, 0, 128), "주황": (255, 165, 0), "하양": (255, 255, 255), "흰색": (255, 255, 255),
 }
 
+#: Words that name no concept.
+STOP_WORDS = (
+    "the", "a", "an", "this", "that", "it", "is", "was", "are", "were",
+    "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "must", "shall",
+    "not", "no", "yes", "and", "or", "but", "if", "then", "else",
+    "he", "she", "they", "we", "i", "you", "me", "us", "him", "her",
+    "그", "이", "저", "것", "그것", "이것",
+)
+#: Terms of logs and what is written for them, in this order.
+ABBREVIATIONS = (
+    ("request", "req"), ("response", "res"), ("message", "msg"), ("error", "err"), ("config", "cfg"), ("connection", "conn"), ("timeout", "tout"), ("memory", "mem"), ("context", "ctx"), ("tokens", "tok"),
+    ("function", "fn"), ("parameter", "param"), ("execution", "exec"), ("initialization", "init"), ("milliseconds", "ms"), ("seconds", "sec"), ("count", "cnt"), ("length", "len"), ("session", "sess"),
+    ("entity", "ent"), ("device", "dev"), ("assistant", "asst"), ("received", "recv"), ("sent", "sent"), ("success", "ok"), ("failure", "fail"), ("building", "build"), ("processing", "proc"),
+    ("completed", "done"), ("started", "start"), ("finished", "fin"), ("database", "db"), ("query", "qry"), ("result", "res"), ("input", "in"), ("output", "out"), ("latency", "lat"), ("duration", "dur"),
+    ("provider", "prov"), ("model", "mdl"),
+)
+#: What a text that needs cleaning has: emoji and such, a word with its translation in brackets, curved quotes, marks of a system.
+UNCLEAN = (
+    r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{24FF}\x{1F170}-\x{1F251}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{1FA70}-\x{1FAFF}"
+    r"\x{2600}-\x{26FF}\x{2B00}-\x{2BFF}\x{3030}\x{303D}\x{3297}\x{3299}\x{FE00}-\x{FE0F}\x{200D}\x{200B}-\x{200F}\x{2028}-\x{2029}]",
+    r"[가-힣]+\s*\([a-zA-Z][a-zA-Z\s]*\)",
+    r"[a-zA-Z]+\s*\([가-힣]+\)",
+    r"[\x{2018}\x{2019}\x{201C}\x{201D}]",
+    r"\[(?:System[^]]*|SYSTEM[^]]*|Semantic[^]]*|기억/[^]]*)\]",
+)
+#: Names of entities and other names for them. Groups that name persons and products are left to the caller.
+ALIASES = {
+    "수면": ("sleep", "수면_(sleep)", "sleep_duration", "sleeping"),
+    "건강": ("health", "건강_(health)"),
+    "운동": ("exercise", "workout", "운동_(exercise)"),
+    "공부": ("study", "studying", "학습"),
+    "커피": ("coffee", "카페인", "caffeine"),
+    "vs_code": ("vs_code_extension", "vscode", "visual_studio_code"),
+    "chromadb": ("chroma_db", "chroma"),
+    "docker": ("docker_container", "docker_compose"),
+    "git": ("github", "git_repository"),
+}
 
 def any_of(words: tuple[str, ...]) -> str:
     """A pattern of literal words."""
@@ -105,6 +143,15 @@ def error_class(text: Column) -> Column:
     return found.otherwise(F.lit("unknown"))
 
 
+def needs_cleaning(text: Column) -> Column:
+    return text.rlike("|".join(UNCLEAN))
+
+
+def names_nothing(name: Column, kind: Column) -> Column:
+    """Whether a concept's name is a word that names none."""
+    return (kind == "concept") & F.lower(F.trim(name)).isin(*STOP_WORDS)
+
+
 def worth(text: Column) -> Column:
     """0.4, and 0.15 more where a text says that it is worth keeping."""
     return F.lit(0.4) + F.when(F.lower(text).rlike(any_of(WORTHY)), F.lit(0.15)).otherwise(F.lit(0.0))

@@ -40,7 +40,8 @@ def name_key(name: Column) -> Column:
 
 
 def core_name(name: Column) -> Column:
-    return F.trim(F.regexp_extract(name, r"^([^_(]+)", 1))
+    """What comes before the first joiner or bracket; a name that begins with one is its own core."""
+    return F.when(name.rlike(r"^[_(]"), name).otherwise(F.trim(F.regexp_extract(name, r"^([^_(]+)", 1)))
 
 
 def content_key(text: Column, n: int = 500) -> Column:
@@ -116,9 +117,9 @@ def any_time(text: Column) -> Column:
 
 
 def abbreviated(text: Column, terms: tuple[tuple[str, str], ...]) -> Column:
-    """Terms replaced in their order."""
+    """Terms replaced in their order, wherever they stand; one that begins with a capital is replaced by capitals."""
     for long, short in terms:
-        text = F.replace(text, F.lit(long), F.lit(short))
+        text = F.replace(F.replace(text, F.lit(long.capitalize()), F.lit(short.upper())), F.lit(long), F.lit(short))
     return text
 
 

@@ -72,29 +72,84 @@ def near_vectors(vectors: DataFrame, least: float, blocks: int | None = None) ->
     return rows.groupBy("i", "j").applyInPandas(multiply, "a long, b long, similarity double")
 
 
-def near_strings(rows: DataFrame, id: str, text: str, least: float, block: str | None = None) -> DataFrame:
-    """(a, b, similarity) of pairs a < b whose byte edit distance leaves ``least`` or more, inside ``block`` if one is named.
+#: Strings of more bytes are looked up by parts alone, without their places.
+PLACED = 128
+
+
+def string_candidates(texts: DataFrame, least: float) -> DataFrame:
+    """(block, x, y, m, n) of pairs of different strings that may be similar: ``texts`` has a block, a string x of one character a byte, and
+    its size m; y is the longer one of a pair (of equal sizes the greater), of size n. A pair comes once for each part it shares.
 
-    Similar strings have similar lengths, so rows meet by length bands: a band reaches the lengths that the threshold allows, and an
-    equi-join on (block, band) replaces the comparison of all with all.
+    A pair's distance is at most t = (1 - least) * n. Cut the longer string into t + 1 parts: edits can't touch all of them, so one part
+    lies in the shorter string as it is, and it can be chosen so that part i has i edits before it (and t - i at most behind it), which
+    bounds how far it has moved. So strings meet by (size, part's number, part) where the part's place allows it; strings that share no
+    part never meet. Long strings are cut into parts of one width and meet by these alone, so that what is looked up grows with their size
+    and not with its cube.
     """
-    size = F.octet_length(F.col(text))
-    step = -np.log(least)
-    band = F.when(size > 0, F.floor(F.log(size.cast("double")) / step)).otherwise(F.lit(-1))
-    # bytes as characters, decoded once a row and not once a pair
-    letters = F.decode(F.encode(F.col(text), "UTF-8"), "ISO-8859-1")
-    own = rows.select(F.col(id).alias("a"), letters.alias("x"), (F.col(block) if block else F.lit(0)).alias("block"), band.alias("band"))
-    other = own.select(F.col("a").alias("b"), F.col("x").alias("y"), "block", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    x, y = F.char_length("x"), F.char_length("y")
-    pairs = own.join(other, ["block", "band"]).where((F.col("a") < F.col("b")) & (F.least(x, y) >= least * F.greatest(x, y)))
-    pairs = pairs.select("a", "b", F.greatest(x, y).alias("n"), "x", "y")
-    # a distance over what the longest of a range of lengths allows ends early, and is -1
+    edits = lambda n: F.floor((1 - least) * n + 1e-9).cast("int")
+    begin = lambda k: F.floor(k * F.col("n") / (F.col("t") + 1)).cast("int")
+    width = lambda n: F.greatest(F.lit(1), F.floor(n / (edits(n) + 1))).cast("int")
+    cut = texts.where("m > 0").select("block", F.col("x").alias("y"), F.col("m").alias("n")).withColumn("t", edits(F.col("n")))
+    short = cut.where(F.col("n") <= PLACED).withColumn("i", F.explode(F.sequence(F.lit(0), "t")))
+    short = short.select("block", "y", "n", F.col("n").alias("kind"), "i", F.substring("y", begin(F.col("i")) + 1, begin(F.col("i") + 1) - begin(F.col("i"))).alias("part"))
+    long = cut.where(F.col("n") > PLACED).withColumn("w", width(F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), "t")))
+    long = long.select("block", "y", "n", (-F.col("w")).alias("kind"), F.lit(0).alias("i"), F.substring("y", F.col("i") * F.col("w") + 1, F.col("w")).alias("part")).distinct()
+
+    reach = F.floor(F.col("m") / least + 1e-9).cast("int")
+    sizes = F.sequence("m", F.least(reach, F.greatest(F.lit(PLACED), F.col("m"))))
+    asked = texts.where((F.col("m") > 0) & (F.col("m") <= PLACED)).withColumn("n", F.explode(sizes)).where(F.col("n") <= PLACED).withColumn("t", edits(F.col("n"))).where("m >= n - t")
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), "t"))).withColumn("p", begin(F.col("i"))).withColumn("w", begin(F.col("i") + 1) - F.col("p"))
+    first = F.greatest(F.lit(0), F.col("p") - F.col("i"), F.col("p") + F.col("m") - F.col("n") - (F.col("t") - F.col("i")))
+    last = F.least(F.col("m") - F.col("w"), F.col("p") + F.col("i"), F.col("p") + F.col("m") - F.col("n") + (F.col("t") - F.col("i")))
+    asked = asked.withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("q", F.explode(F.sequence("first", "last")))
+    asked = asked.select("block", "x", "m", F.col("n").alias("kind"), "i", F.substring("x", F.col("q") + 1, F.col("w")).alias("part"))
+    widths = F.array_distinct(F.transform(F.sequence(F.greatest(F.lit(PLACED + 1), F.col("m")), reach), width))
+    whole = texts.where(reach > PLACED).withColumn("w", F.explode(widths)).where("w <= m")
+    whole = whole.withColumn("q", F.explode(F.sequence(F.lit(1), F.col("m") - F.col("w") + 1))).select("block", "x", "m", (-F.col("w")).alias("kind"), F.lit(0).alias("i"), F.substring("x", F.col("q"), F.col("w")).alias("part"))
+
+    pairs = asked.unionByName(whole).distinct().join(short.unionByName(long), ["block", "kind", "i", "part"])
+    apart = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("y")))
+    return pairs.where(apart & (F.col("m") >= F.col("n") - edits(F.col("n")))).select("block", "x", "y", "m", "n")
+
+
+def similar_strings(texts: DataFrame, least: float) -> DataFrame:
+    """(block, x, y, similarity) of pairs of different strings (``string_candidates``) whose edit distance leaves ``least`` or more."""
+    pairs = string_candidates(texts, least).distinct()
     distance = F
-    for most in (8, 16, 32, 64, 128, 256, 1024):
+    for most in (8, 16, 32, 64, 128, 256, 1024):  # a distance over what the longest of a range of lengths allows ends early, and is -1
         distance = distance.when(F.col("n") <= most, F.levenshtein("x", "y", int(most * (1 - least)) + 1))
     distance = distance.otherwise(F.levenshtein("x", "y"))
-    pairs = pairs.select("a", "b", "n", distance.alias("d")).where("d >= 0")
-    return pairs.select("a", "b", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(1.0 - F.col("d") / F.col("n")).alias("similarity")).where(F.col("similarity") >= least)
+    pairs = pairs.select("block", "x", "y", "n", distance.alias("d")).where("d >= 0")
+    return pairs.select("block", "x", "y", (1.0 - F.col("d") / F.col("n")).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def letters(text: Column) -> Column:
+    """Bytes as characters, decoded once a row and not once a pair."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
+def letters_of(rows: DataFrame, text: str, block: str | None = None) -> DataFrame:
+    """(block, x, m) of the different texts: what ``similar_strings`` takes."""
+    found = rows.where(F.col(text).isNotNull()).select((F.col(block) if block else F.lit(0)).alias("block"), letters(F.col(text)).alias("x")).distinct()
+    return found.withColumn("m", F.char_length("x"))
+
+
+def near_strings(rows: DataFrame, id: str, text: str, least: float, block: str | None = None) -> DataFrame:
+    """(a, b, similarity) of pairs a < b whose byte edit distance leaves ``least`` (more than 0, 1 at most) or more, inside ``block`` if one is named.
+
+    Each string of a block is compared once, however many rows have it; then its rows are paired, as many as there are pairs to return. Null
+    texts pair with none, empty ones with each other.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least lies above 0 and is 1 at most")
+    own = rows.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), letters(F.col(text)).alias("x"), (F.col(block) if block else F.lit(0)).alias("block"))
+    copied = own.groupBy("block", "x").count().where("count > 1").select("block", "x")
+    near = similar_strings(letters_of(rows, text, block), least)
+    a, b = own.select("block", "x", F.col("id").alias("a")), own.select("block", F.col("x").alias("y"), F.col("id").alias("b"))
+    apart = near.join(a, ["block", "x"]).join(b, ["block", "y"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    again = own.join(copied, ["block", "x"], "left_semi")
+    same = again.select("block", "x", F.col("id").alias("a")).join(again.select("block", "x", F.col("id").alias("b")), ["block", "x"]).where("a < b")
+    return apart.where("a < b").unionByName(same.select("a", "b", F.lit(1.0).alias("similarity")))
 
 
 def novel(rows: DataFrame, id: str, text: str, n: int = 3) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidepool.functions import dates, scores, texts
-from tidepool.operators import graph, selection, similarity, snapshots
+from tidepool.functions import dates, rules, scores, texts
+from tidepool.operators import graph, selection, similarity, snapshots, web
 from tidepool.plans.registry import query
+from tidepool.plans.rules import quoted
 from tidepool.plans.scoring import COSINE, DECAYED, with_decay
 from tidepool.sources import tables
 
@@ -62,9 +63,15 @@ def artifact_names(spark, sf):
     return tables.read(spark, sf, "pages").select("page_id", F.concat(host, F.lit("_"), F.substring(F.md5("url"), 1, 8)).alias("name"))
 
 
-@query("S42_page_memories", "SELECT url, min(left(html, 100)) AS prefix FROM pages GROUP BY url")
+@query("S42_page_memories", f"""
+WITH p AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'ftp://' || url WHEN 1 THEN NULL ELSE url END AS url, repeat(html, 40) AS html FROM pages)
+SELECT page_id, '[URL: ' || url || ']' || chr(10) || left(html, 2000) AS content, 'reference' AS memory_type, length(left(html, 50000)) AS chars,
+CASE WHEN regexp_matches(lower(html), {quoted(rules.any_of(rules.WORTHY))}) THEN 0.55 ELSE 0.4 END::DOUBLE AS importance FROM p WHERE starts_with(url, 'http://') OR starts_with(url, 'https://')""")
 def page_memories(spark, sf):
-    return tables.read(spark, sf, "pages").groupBy("url").agg(F.min(F.substring("html", 1, 100)).alias("prefix"))
+    """Pages of the web, some of them long, some by addresses that aren't read."""
+    k = F.col("page_id") % 7
+    rows = tables.read(spark, sf, "pages").select("page_id", F.when(k == 0, F.concat(F.lit("ftp://"), "url")).when(k != 1, F.col("url")).alias("url"), F.repeat("html", F.lit(40)).alias("html"))
+    return web.page_memories(rows, "page_id", "url", "html", context=F.col("html"))
 
 
 @query("S43_embedding_cache_key", "SELECT doc_id, left(sha256(left(text, 500)), 16) || ':doc' AS key FROM documents")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidepool.functions import dates, scores, texts
-from tidepool.operators import selection, similarity, snapshots
+from tidepool.functions import dates, rules, scores, texts
+from tidepool.operators import duplicates, selection, similarity, snapshots
 from tidepool.plans.registry import query
+from tidepool.plans.rules import listed, pick, picked, quoted
 from tidepool.plans.scoring import COSINE, DECAYED, with_decay
 from tidepool.sources import tables
 
@@ -68,9 +69,14 @@ def protected(spark, sf):
     return tables.messages(spark, sf).withColumn("last", last).where("turn_id <= last - 4").where(~F.contains("content", F.lit("!"))).select("session_id", "turn_id")
 
 
-@query("F28_needs_cleaning", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[“”‘’]|\\[[A-Z_]+\\]|###')")
+#: One of each kind of what is cleaned, and some that only look so.
+SPOTS = ("", "😀", "사과 (apple pie)", "apple (사과)", "“so”", "[System note]", "[SYSTEM]", "[Semantic x]", "[기억/일기]", "[OTHER]", "plain (text)", "\u200b", "⭐", "사과", "사과(1)", "ⓐ", "🄰", "〰", "it's")
+
+
+@query("F28_needs_cleaning", f"SELECT doc_id FROM documents WHERE regexp_matches(text || ' ' || {picked(SPOTS, 'doc_id')}, {quoted('|'.join(rules.UNCLEAN).replace('[^]]', '[^\\]]'))})")
 def needs_cleaning(spark, sf):
-    return tables.read(spark, sf, "documents").where(F.col("text").rlike(r"[“”‘’]|\[[A-Z_]+\]|###")).select("doc_id")
+    said = F.concat("text", F.lit(" "), pick(SPOTS, F.col("doc_id")))
+    return tables.read(spark, sf, "documents").where(rules.needs_cleaning(said)).select("doc_id")
 
 
 @query("F29_threshold", "SELECT entity_id, mentions / 9.0 >= 0.6 AS kept FROM entities")
@@ -78,9 +84,19 @@ def threshold(spark, sf):
     return tables.entities(spark, sf).select("entity_id", (F.col("mentions") / 9.0 >= 0.6).alias("kept"))
 
 
-@query("F30_stop_words", "SELECT entity_id FROM entities WHERE NOT (entity_type = 'region' AND lower(name) IN ('asia', 'africa'))")
+KINDS = ("concept", "concept", "person")
+
+
+@query("F30_stop_words", f"""
+WITH w AS (SELECT doc_id, {picked(KINDS, 'doc_id')} AS kind, list_distinct(string_split(lower(text), ' ') || [{picked(rules.STOP_WORDS, 'doc_id // 3')}, upper({picked(rules.STOP_WORDS, 'doc_id // 3')}) || ' ']) AS names FROM documents),
+n AS (SELECT kind, unnest(names) AS name FROM w)
+SELECT kind, name, count(*) AS n FROM n WHERE NOT (kind = 'concept' AND lower(trim(name)) IN ({', '.join(map(quoted, rules.STOP_WORDS))})) GROUP BY ALL""")
 def stop_words(spark, sf):
-    return tables.entities(spark, sf).where(~((F.col("entity_type") == "region") & F.lower("name").isin("asia", "africa"))).select("entity_id")
+    """The words of each document as concepts or persons, with one of the stop words each, once more in capitals."""
+    word = pick(rules.STOP_WORDS, F.floor(F.col("doc_id") / 3))
+    names = F.array_distinct(F.concat(F.split(F.lower("text"), " "), F.array(word, F.concat(F.upper(word), F.lit(" ")))))
+    rows = tables.read(spark, sf, "documents").select(pick(KINDS, F.col("doc_id")).alias("kind"), F.explode(names).alias("name"))
+    return rows.where(~rules.names_nothing(F.col("name"), F.col("kind"))).groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
 @query("F31_domain", "SELECT entity_id FROM entities WHERE starts_with(entity_id, 's:') AND EXISTS (SELECT 1 FROM relations WHERE source_id = entity_id)")
@@ -148,10 +164,48 @@ def word_matches(spark, sf):
     return selection.newest(rows, ["word"], [F.desc("mentions"), F.asc("entity_id")], 2).select("word", "entity_id")
 
 
-@query("J15_aliases", "SELECT entity_id, coalesce(a.canonical, lower(name)) AS canonical FROM entities LEFT JOIN (VALUES ('united states', 'usa'), ('united kingdom', 'uk')) a(alias, canonical) ON a.alias = lower(name)")
+ALIAS_VALUES = ", ".join(f"({quoted(name)}, {quoted(other)})" for name, others in rules.ALIASES.items() for other in others)
+#: Ids and names of entities of the known groups; the given tables have none.
+NAMED = [x for k, (name, others) in enumerate(rules.ALIASES.items()) for x in (*([name] if k != 1 else []), *others, others[0].upper())] + ["Docker (engine)", "docker-compose", "_docker", "dockers"]
+NAMED_SQL = f"SELECT n AS entity_id, n AS name, (length(n) % 9 + 1)::BIGINT AS mentions FROM (SELECT unnest({listed(NAMED)}) AS n)"
+
+
+def with_named(spark, sf):
+    named = spark.createDataFrame([(n, n, len(n) % 9 + 1) for n in NAMED], "entity_id string, name string, mentions long")
+    return tables.entities(spark, sf).select("entity_id", "name", "mentions").unionByName(named)
+
+
+@query("J15_aliases", f"""
+WITH a(canonical, alias) AS (VALUES {ALIAS_VALUES}), e AS (SELECT entity_id FROM entities UNION ALL SELECT entity_id FROM ({NAMED_SQL}))
+SELECT e.entity_id, a.canonical AS canonical_id FROM e JOIN a ON a.alias = lower(e.entity_id) WHERE a.canonical IN (SELECT entity_id FROM e)""")
 def aliases(spark, sf):
-    table = F.broadcast(spark.createDataFrame([("united states", "usa"), ("united kingdom", "uk")], "alias string, canonical string"))
-    return tables.entities(spark, sf).join(table, F.lower("name") == F.col("alias"), "left").select("entity_id", F.coalesce("canonical", F.lower("name")).alias("canonical"))
+    return duplicates.canonical(with_named(spark, sf), duplicates.alias_table(spark, rules.ALIASES))
+
+
+#: SQL: a name with the marks that a key leaves out.
+_KEY = "trim(regexp_replace(translate(lower({}), '_-()', '    '), '\\s+', ' ', 'g'))"
+_CORE = "CASE WHEN regexp_matches(name, '^[_(]') THEN name ELSE trim(regexp_extract(name, '^([^_(]+)', 1)) END"
+
+
+@query("J25_merge_candidates", f"""
+WITH a(canonical, alias) AS (VALUES {ALIAS_VALUES}), e AS (SELECT entity_id, name, mentions FROM entities UNION ALL {NAMED_SQL}),
+k AS (SELECT entity_id, mentions, {_KEY.format('(' + _CORE + ')')} AS core, {_KEY.format('name')} AS key FROM e),
+known AS (SELECT a.canonical AS keep, e.entity_id AS remove, 1.0::DOUBLE AS similarity, 1 AS rule FROM e JOIN a ON a.alias = lower(e.entity_id) WHERE a.canonical IN (SELECT entity_id FROM e)),
+cores AS (SELECT core, first(entity_id ORDER BY mentions DESC, entity_id) AS keep FROM k GROUP BY core),
+keys AS (SELECT key, first(entity_id ORDER BY mentions DESC, entity_id) AS keep, max(mentions) AS mentions FROM k GROUP BY key),
+near AS (
+  SELECT CASE WHEN y.mentions > x.mentions OR y.mentions = x.mentions AND y.keep < x.keep THEN y.keep ELSE x.keep END AS keep, CASE WHEN y.mentions > x.mentions OR y.mentions = x.mentions AND y.keep < x.keep THEN x.keep ELSE y.keep END AS remove,
+    1 - levenshtein(x.key, y.key) / greatest(strlen(x.key), strlen(y.key))::DOUBLE AS similarity, 3 AS rule
+  FROM keys x JOIN keys y ON x.key < y.key AND abs(strlen(x.key) - strlen(y.key)) <= 0.2 * greatest(strlen(x.key), strlen(y.key))
+), pairs AS (
+  SELECT * FROM known UNION ALL SELECT keep, entity_id, 0.95, 2 FROM k JOIN cores USING (core) WHERE entity_id <> keep
+  UNION ALL SELECT keep, entity_id, 1.0, 3 FROM k JOIN keys USING (key) WHERE entity_id <> keep UNION ALL SELECT * FROM near WHERE similarity >= 0.85
+)
+SELECT keep, remove, round(similarity, 6) AS similarity, rule FROM pairs QUALIFY row_number() OVER (PARTITION BY least(keep, remove), greatest(keep, remove) ORDER BY rule, keep) = 1""")
+def merge_candidates(spark, sf):
+    """All entities, and some with names of the known groups, with joiners and with brackets."""
+    found = duplicates.duplicate_entities(with_named(spark, sf), duplicates.alias_table(spark, rules.ALIASES))
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("J20_connection_counts", "SELECT e.entity_id, coalesce(d.n, 0) AS connections FROM entities e LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM relations UNION ALL SELECT target_id FROM relations) GROUP BY id) d ON d.id = e.entity_id")
@@ -324,9 +378,19 @@ def labels(spark, sf):
     return tables.interactions(spark, sf).select("id", F.when(F.col("model").isin("click", "view", "purchase"), F.col("model")).otherwise("neutral").alias("label"))
 
 
-@query("X42_abbreviation", "SELECT doc_id, replace(replace(text, 'General Public License', 'GPL'), 'License', 'Lic.') AS text FROM documents")
+def _abbreviated_sql(text: str) -> str:
+    for long, short in rules.ABBREVIATIONS:
+        text = f"replace(replace({text}, {quoted(long.capitalize())}, {quoted(short.upper())}), {quoted(long)}, {quoted(short)})"
+    return text
+
+
+TERMS = [x for long, _ in rules.ABBREVIATIONS for x in (long, long.capitalize(), long.upper())]
+
+
+@query("X42_abbreviation", f"SELECT doc_id, {_abbreviated_sql('text || chr(32) || ' + picked(TERMS, 'doc_id'))} AS text FROM documents")
 def abbreviation(spark, sf):
-    return tables.read(spark, sf, "documents").select("doc_id", texts.abbreviated(F.col("text"), (("General Public License", "GPL"), ("License", "Lic."))).alias("text"))
+    said = F.concat("text", F.lit(" "), pick(TERMS, F.col("doc_id")))
+    return tables.read(spark, sf, "documents").select("doc_id", texts.abbreviated(said, rules.ABBREVIATIONS).alias("text"))
 
 
 @query("Y06_iso_date", "SELECT o_orderkey AS id, o_orderdate::DATE AS day FROM orders")

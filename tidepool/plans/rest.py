@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import texts
-from tidepool.operators import graph, selection, similarity, snapshots
+from tidepool.operators import graph, selection, snapshots
 from tidepool.plans.registry import query
 from tidepool.sources import files, tables
 
@@ -80,18 +80,6 @@ def feedback(spark, sf):
     return rows.join(best, "id", "left").select("id", (F.col("connection_count") + F.coalesce("more", F.lit(0))).alias("connection_count"))
 
 
-@query("J25_merge_candidates")
-def merge_candidates(spark, sf):
-    """Pairs of entities whose core names are equal, or whose names are similar enough; the first rule that finds a pair names it."""
-    rows = tables.entities(spark, sf).where("entity_type IN ('part', 'nation')").select("entity_id", "name", texts.core_name(F.lower("name")).alias("core"), "entity_type")
-    # of names that occur often, one row for each name is compared, so no group is multiplied out
-    one = rows.groupBy("entity_type", "core", "name").agg(F.min("entity_id").alias("entity_id"))
-    core = one.groupBy("entity_type", "core").agg(F.min("entity_id").alias("a"))
-    same = one.join(core, ["entity_type", "core"]).where("entity_id <> a").select("a", F.col("entity_id").alias("b"), F.lit(1).alias("rule"))
-    near = similarity.near_strings(one.select("entity_id", "name", "entity_type"), "entity_id", "name", 0.85, block="entity_type").select("a", "b", F.lit(2).alias("rule"))
-    return same.unionByName(near).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("rule").alias("rule"))
-
-
 @query("X15_channel_chunks")
 def channel_chunks(spark, sf):
     rows = tables.read(spark, sf, "documents")

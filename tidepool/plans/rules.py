@@ -193,9 +193,13 @@ def tone(spark, sf):
     return tables.accesses(spark, sf).select("id", rules.tone(pick(ROOMS, F.col("user_id"))).alias("hint"))
 
 
-@query("X43_bytes", "SELECT doc_id, text FROM documents")
+@query("X43_bytes", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '안녕' || regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') ELSE 'ÿé' || regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') END AS text FROM documents")
 def from_bytes(spark, sf):
-    return docs(spark, sf).select("doc_id", rules.decoded(F.encode("text", "UTF-8")).alias("text"))
+    """Bytes of UTF-8, of a Korean code page, and such that are neither."""
+    plain = F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", ""), "US-ASCII")
+    k = F.col("doc_id") % 3
+    data = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("BEC8B3E7")), plain)).otherwise(F.concat(F.unhex(F.lit("FFE9")), plain))
+    return docs(spark, sf).select("doc_id", rules.decoded(data).alias("text"))
 
 
 @query("X07_korean_spacing")
@@ -295,6 +299,8 @@ ELSE CASE WHEN day(d) > 1 THEN try_cast('2024-01-' || strftime(d, '%d') AS DATE)
 def korean_date(spark, sf):
     day, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 3
     said = F.when(k == 0, F.date_format(day, "yyyy'년 'M'월 'd'일에'")).when(k == 1, F.date_format(day, "'그 'M'월 'd'일'")).otherwise(F.date_format(day, "'지난번 'd'일에'"))
+    # a second date, with a year, says nothing about the first
+    said = F.concat(said, F.when(F.col("o_orderkey") % 2 == 0, F.when(k == 2, " 3일 전").otherwise(" 만났고 2021년 1월 2일에 떠났다")).otherwise(""))
     return tables.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), dates.korean_day(said, tables.now()).alias("day"))
 
 
