@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from tidepool.operators import similarity
+from tidepool.operators import similarity, vectors
 
 
 def distance(a, b):
@@ -70,3 +71,56 @@ def test_candidates_grow_with_the_strings(spark):
 
     few, many = candidates(2000), candidates(8000)
     assert few >= 2000 and many < 4.5 * few
+
+
+def some_vectors(seed, n, d=12, clusters=40, apart=0.05):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, d))
+    return [[float(x) for x in centres[k % clusters] + apart * rng.normal(size=d)] for k in range(n)]
+
+
+def cosines(rows, others, least, alone):
+    out = []
+    for i, v in rows:
+        for j, w in others:
+            if v and w and len(v) == len(w) and None not in v and None not in w and any(v) and any(w) and (i < j or not alone):
+                s = float(np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w)))
+                if s >= least:
+                    out.append((i, j, round(s, 9)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least, most, spare", [(0.9, 64, 32), (0.3, 50, 1000), (0.99, 16_384, 1024), (-1.0, 100, 100)])
+def test_near_vectors_by_hand(spark, monkeypatch, least, most, spare):
+    monkeypatch.setattr(vectors, "MOST", most)
+    monkeypatch.setattr(vectors, "LEAST", spare)
+    rows = list(enumerate(some_vectors(1, 300) + some_vectors(2, 40, d=3)))
+    rows += [(900, [1.0] * 12)] * 3 + [(901 + k, [1.0] * 12) for k in range(90)] + [(995, None), (996, []), (997, [0.0] * 12), (998, [1.0, None, 2.0]), (999, [-1.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    shown = lambda found: sorted((r.a, r.b, round(r.similarity, 9)) for r in found.collect())
+    assert shown(vectors.near_vectors(df, least)) == cosines(rows, rows, least, True)
+    some = rows[::7] + [(900, [1.0] * 12), (None, [1.0] * 12)]
+    asked = spark.createDataFrame(some, df.schema)
+    assert shown(vectors.near_vectors(df, least, queries=asked)) == cosines([r for r in some if r[0] is not None], rows, least, False)
+
+
+def test_near_vectors_of_nothing(spark):
+    empty = spark.createDataFrame([], "vec_id string, embedding array<float>")
+    assert vectors.near_vectors(empty, 0.5).collect() == []
+    one = spark.createDataFrame([("x", [1.0, 2.0]), ("y", [2.0, 4.1])], empty.schema)
+    assert [(r.a, r.b) for r in vectors.near_vectors(one, 0.5).collect()] == [("x", "y")]
+    assert vectors.near_vectors(empty, 0.5, queries=one).collect() == []
+
+
+def test_vectors_with_clusters_visit_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST", 64)
+    monkeypatch.setattr(vectors, "LEAST", 64)
+
+    def visitors(n):
+        df = spark.createDataFrame(list(enumerate(some_vectors(3, n, clusters=n // 50))), "vec_id long, embedding array<double>")
+        found = vectors.visits(df, 0.95).cache()
+        return found.where("kind = 1").count(), found.select("block").distinct().count()
+
+    few, many = visitors(1000), visitors(4000)
+    assert few[0] < 0.2 * 1000 * few[1] / 2 and many[0] < 0.1 * 4000 * many[1] / 2
+    assert many[0] < 6 * few[0]  # all pairs of blocks would be 16 times as many

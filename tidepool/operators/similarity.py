@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions import scores
 
-#: Rows of a block of a similarity join.
-BLOCK = 4096
-
-
 def vector_of(vectors: DataFrame, vec_id: int) -> list[float]:
     """One query vector, as a literal of the plan."""
     found = vectors.where(F.col("vec_id") == vec_id).select("embedding").first()
@@ -38,40 +33,6 @@ def semantic_query(memories: DataFrame, vectors: DataFrame, vec_id: int, n: int,
     return rows.orderBy(F.desc("score"), "id").limit(n).select("id", F.round("score", 6).alias("score"))
 
 
-def near_vectors(vectors: DataFrame, least: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, similarity) of all pairs a < b of vectors whose cosine reaches ``least``; null and zero vectors pair with none.
-
-    Rows are dealt into blocks, and each pair of blocks is one group, multiplied as matrices; candidates are then scored in
-    double precision. Exact, with work and shuffle that grow with rows times blocks; large tables want an approximate index.
-    """
-    rows = vectors.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    blocks = blocks or max(1, -(-rows.count() // BLOCK))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    pair = F.sequence(F.lit(0), F.lit(blocks - 1))
-    rows = rows.select("vec_id", "v", block.alias("own"), F.explode(pair).alias("other"))
-    rows = rows.select("vec_id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, same in pdf.groupby(pdf["v"].map(len)):
-            ids, own = same["vec_id"].to_numpy(), same["own"].to_numpy()
-            v = np.array(same["v"].tolist(), float)
-            norm = np.sqrt((v * v).sum(1))
-            i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-            left, right = np.flatnonzero((own == i) & (norm >= 1e-10)), np.flatnonzero((own == j) & (norm >= 1e-10))
-            close = (v[left] / norm[left][:, None]) @ (v[right] / norm[right][:, None]).T >= least - 1e-9
-            a, b = np.nonzero(close)
-            a, b = left[a], right[b]
-            keep = ids[a] < ids[b] if i == j else np.ones(len(a), bool)
-            a, b = a[keep], b[keep]
-            similarity = np.einsum("ij,ij->i", v[a], v[b]) / (norm[a] * norm[b])
-            ok = similarity >= least
-            out.append(pd.DataFrame({"a": np.minimum(ids[a], ids[b])[ok], "b": np.maximum(ids[a], ids[b])[ok], "similarity": similarity[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64"})
-
-    return rows.groupBy("i", "j").applyInPandas(multiply, "a long, b long, similarity double")
-
-
 #: Strings of more bytes are looked up by parts alone, without their places.
 PLACED = 128
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import rules, scores, texts
-from tidepool.operators import graph, selection, similarity
+from tidepool.operators import graph, selection, similarity, vectors
 from tidepool.plans.registry import query
 from tidepool.plans.rules import quoted
 from tidepool.plans.scoring import COSINE
@@ -146,9 +146,9 @@ def store(spark, sf):
     m = tables.memories(spark, sf).where("content IS NOT NULL").select("id", "importance", key.alias("key"))
     old = m.where("id % 5 <> 0")
     fresh = m.where("id % 5 = 0").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("times"), F.max("importance").alias("best"))
-    vectors = similarity.of_memories(tables.read(spark, sf, "embeddings"), m)
-    pairs = similarity.near_vectors(vectors, 0.45).where("(a % 5 = 0) <> (b % 5 = 0)")
-    near = pairs.select(F.when(F.col("a") % 5 == 0, F.col("a")).otherwise(F.col("b")).alias("id")).distinct().withColumn("near", F.lit(True))
+    stored = tables.read(spark, sf, "embeddings")
+    pairs = vectors.near_vectors(similarity.of_memories(stored, old), 0.45, queries=similarity.of_memories(stored, m.where("id % 5 = 0")))
+    near = pairs.select(F.col("a").alias("id")).distinct().withColumn("near", F.lit(True))
     rows = fresh.join(old.select("key").distinct().withColumn("known", F.lit(True)), "key", "left").join(near, "id", "left")
     promoted = (F.col("best") >= 0.55) | ((F.col("times") >= 2) & (F.col("best") >= 0.35))
     return rows.select("id", "times", F.when(~promoted, "rejected").when(F.col("known"), "repeated").when(F.col("near"), "merged").otherwise("stored").alias("outcome"))

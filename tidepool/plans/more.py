@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import dates, rules, scores, texts
-from tidepool.operators import duplicates, selection, similarity, snapshots
+from tidepool.operators import duplicates, selection, similarity, snapshots, vectors
 from tidepool.plans.registry import query
 from tidepool.plans.rules import listed, pick, picked, quoted
 from tidepool.plans.scoring import COSINE, DECAYED, with_decay
@@ -409,7 +409,7 @@ def semantic_groups(spark, sf):
 SELECT DISTINCT CASE WHEN x.importance < y.importance OR (x.importance = y.importance AND x.id < y.id) THEN x.id ELSE y.id END AS id
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id JOIN memories x ON x.id = a.vec_id JOIN memories y ON y.id = b.vec_id WHERE {COSINE.format('a.embedding', 'b.embedding')} >= 0.35""".replace("x.importance = y.importance AND x.id < y.id", "x.importance = y.importance AND x.id > y.id"))
 def vector_gc(spark, sf):
-    pairs = similarity.near_vectors(tables.read(spark, sf, "embeddings"), 0.35)
+    pairs = vectors.near_vectors(tables.read(spark, sf, "embeddings"), 0.35)
     value = tables.memories(spark, sf).select("id", "importance")
     rows = pairs.join(value.select(F.col("id").alias("a"), F.col("importance").alias("x")), "a").join(value.select(F.col("id").alias("b"), F.col("importance").alias("y")), "b")
     return rows.select(F.when(F.col("x") < F.col("y"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import scores
-from tidepool.operators import similarity
+from tidepool.operators import similarity, vectors
 from tidepool.plans.registry import query
 from tidepool.sources import tables
 
@@ -148,7 +148,7 @@ def hot_memory_bonus(spark, sf):
 
 @query("J11_near_duplicate_vectors", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COSINE.format('a.embedding', 'b.embedding')}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COSINE.format('a.embedding', 'b.embedding')} >= 0.35")
 def near_duplicate_vectors(spark, sf):
-    return similarity.near_vectors(tables.read(spark, sf, "embeddings"), 0.35).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return vectors.near_vectors(tables.read(spark, sf, "embeddings"), 0.35).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("J12_near_duplicate_strings", """
