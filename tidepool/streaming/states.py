@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.streaming import stateful
+
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """(key, started_at, ended_at, events): a session ends after ``gap`` without an event. ``late`` sets a watermark for streams."""
@@ -54,37 +56,21 @@ def _fold(events: DataFrame, key: str, step, start, schema: str, columns: list[s
 THRESHOLDS, OTHER_THRESHOLD = {"503": 3, "429": 5, "timeout": 5}, 10
 
 
-def error_alerts(events: DataFrame, key: str = "kind", window: float = 300.0, cooldown: float = 600.0, threshold: int | dict[str, int] | None = None) -> DataFrame:
-    """(kind, ts, n): a window begins with the first error and is reset by the first after it expires; reaching the type's threshold in it
-    alerts, once in a cooldown. ``events`` has the key, seconds ``s`` and an id for ties; ``threshold`` is one number for all types, or
-    those of some types (others: 10), by default the usual ones."""
+def error_alerts(events: DataFrame, key: str = "kind", window: float = 300.0, cooldown: float = 600.0, threshold: int | dict[str, int] | None = None, ts: str | None = None, late: str = "1 minute") -> DataFrame:
+    """(kind, s, n): a window begins with the first error and is reset by the first after it expires; reaching the type's threshold in it
+    alerts, once in a cooldown. ``events``, a table or a stream (``ts``: its event time, ``late``: how late a row may be), has the key, seconds
+    ``s`` and an id for ties; ``threshold`` is one number for all types, or those of some types (others: 10), by default the usual ones. A
+    stream's state of a type goes when its window and its cooldown are over."""
     own = THRESHOLDS if threshold is None else threshold
+    return stateful.applied(events, key, stateful.ErrorWindow(window, cooldown, lambda k: own if isinstance(own, int) else own.get(k, OTHER_THRESHOLD)), ts, late)
 
-    def step(state, row):
-        begin, n, alerted = state
-        s = row[1]
-        begin, n = (s, 1) if begin is None or s - begin > window else (begin, n + 1)
-        if n >= (own if isinstance(own, int) else own.get(row[0], OTHER_THRESHOLD)) and (alerted is None or s - alerted >= cooldown):
-            return (begin, n, s), (row[0], s, n)
-        return (begin, n, alerted), None
-
-    return _fold(events, key, step, lambda: (None, 0, None), f"{key} string, s double, n long", ["s", "id"])
 
-
-def access_flushes(accesses: DataFrame, key: str, most: int = 50, wait: float = 300.0) -> DataFrame:
+def access_flushes(accesses: DataFrame, key: str, most: int = 50, wait: float = 300.0, idle: float | None = None, ts: str | None = None, late: str = "1 minute") -> DataFrame:
     """(key, id, s, n): which accesses write the ids gathered so far, and how many different ones. They are written when ``most`` wait, or when
-    ``wait`` seconds have passed since the last time (at first: since the first access). ``accesses`` has seconds ``s``, an ``id`` for
-    ties and the ``memory_id``; no more than ``most`` ids wait at a time, so the state is bounded."""
-
-    def step(state, row):
-        last, waiting = state
-        last = row[1] if last is None else last
-        waiting.add(row[3])
-        if len(waiting) >= most or row[1] - last >= wait:
-            return (row[1], set()), (row[0], row[2], row[1], len(waiting))
-        return (last, waiting), None
-
-    return _fold(accesses, key, step, lambda: (None, set()), f"{key} long, id long, s double, n long", ["s", "id", "memory_id"])
+    ``wait`` seconds have passed since the last time (at first: since the first access). ``accesses``, a table or a stream, has seconds ``s``, an
+    ``id`` for ties and the ``memory_id``; no more than ``most`` ids wait at a time, so the state is bounded. With ``idle``, ids that wait are
+    written that long after a key's last access too, with a null id, and a stream's state of the key goes."""
+    return stateful.applied(accesses, key, stateful.Flushes(most, wait, idle), ts, late)
 
 
 def token_bucket(events: DataFrame, key: str, rate: float = 1.0, burst: float = 10.0) -> DataFrame:
