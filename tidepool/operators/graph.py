@@ -13,7 +13,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidepool-"))
     return df.checkpoint()
@@ -30,14 +30,26 @@ def _step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
 
 def symmetric(relations: DataFrame) -> DataFrame:
     """(a, b) in both directions, once each, without loops."""
+    return _both(relations).distinct()
+
+
+def _both(relations: DataFrame) -> DataFrame:
+    """(a, b) in both directions, as they come from the table, without loops."""
     ends = F.explode(F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b"))))
-    return relations.select(ends.alias("e")).select("e.*").where("a <> b").distinct()
+    return relations.where("source_id <> target_id").select(ends.alias("e")).select("e.*")
+
+
+def _one_way(relations: DataFrame) -> DataFrame:
+    """The relations' ends, computed once for many passes over them: neither copied nor sorted, only kept."""
+    return cut(relations.select("source_id", "target_id").where("source_id <> target_id"))
 
 
 def neighbours(relations: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, node, distance) of nodes within ``depth`` of each of ``starts`` (one column, start), the start itself included."""
-    edges = cut(symmetric(relations))
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance"))
+    """(start, node, distance) of nodes within ``depth`` of each of ``starts`` (one column, start), the start itself included.
+
+    Each level is one pass over the relations, whose both ends meet the frontier; no copy of them is sorted or written for one or two levels."""
+    edges = _both(relations if depth <= 2 else _one_way(relations))
+    seen = starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("distance"))
     frontier = seen
     for level in range(1, depth + 1):
         step = _step(frontier, edges).select("start", F.col("b").alias("node")).distinct()
@@ -46,33 +58,87 @@ def neighbours(relations: DataFrame, starts: DataFrame, depth: int) -> DataFrame
     return seen
 
 
+def _grown(edges: DataFrame, frontier: DataFrame, seen: DataFrame, key: str, level: int) -> DataFrame:
+    """(key, node, d, next) of the nodes a step further, with the least of the neighbours that they were reached from."""
+    step = _step(frontier.select(key, "node"), edges).groupBy(key, F.col("b").alias("node")).agg(F.min("node").alias("next"))
+    return cut(step.join(seen.select(key, "node"), [key, "node"], "left_anti").select(key, "node", F.lit(level).alias("d"), "next"))
+
+
 def shortest_paths(relations: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
-    """(source, target, distance, path) of the shortest path of each pair within ``depth``; of equal ones the least by its nodes."""
-    edges = cut(symmetric(relations))
-    goals = pairs.select("source", "target").distinct()
-    frontier = goals.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
-    seen = frontier
-    for _ in range(depth):
-        step = _step(frontier, edges).select("source", F.col("b").alias("node"), F.array_append("path", F.col("b")).alias("path"))
-        step = step.groupBy("source", "node").agg(F.min("path").alias("path"))
-        frontier = cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
-        seen = seen.unionByName(frontier)
-    return goals.join(seen.select("source", F.col("node").alias("target"), "path"), ["source", "target"]).select("source", "target", (F.size("path") - 1).alias("distance"), "path")
+    """(source, target, distance, path) of the shortest path of each pair within ``depth``; of equal ones the least by its nodes.
+
+    Both ends search by turns until they meet, so frontiers are those of half the distance. A reached node is one row with one link: behind
+    the meeting, its least neighbour that is nearer to the target; before it, nodes that lead to the meeting are found from there backwards, and
+    get the same link. Only what is returned has a path: each pair follows its links from the source."""
+    edges = _both(_one_way(relations))
+    goals = cut(pairs.select("source", "target").distinct())
+    ends = lambda key: goals.select(key).distinct().select(key, F.col(key).alias("node"), F.lit(0).alias("d"), F.lit(None).cast(dict(goals.dtypes)[key]).alias("next"))
+    ahead, behind = ends("source"), ends("target")
+    frontier, back, k, j, met = ahead, behind, 0, 0, None
+    left = goals
+    while True:
+        here = left.join(ahead.where(F.col("d") == k).select("source", "node"), "source").join(behind.where(F.col("d") == j).select("target", "node"), ["target", "node"])
+        found = cut(here.select("source", "target", "node", F.lit(k).alias("d")))
+        met = found if met is None else met.unionByName(found)
+        left = cut(left.join(found.select("source", "target").distinct(), ["source", "target"], "left_anti"))
+        if k + j == depth or left.isEmpty():
+            break
+        if k <= j:
+            k += 1
+            frontier = _grown(edges, frontier.join(left.select("source").distinct(), "source", "left_semi"), ahead, "source", k)
+            ahead = ahead.unionByName(frontier)
+        else:
+            j += 1
+            back = _grown(edges, back.join(left.select("target").distinct(), "target", "left_semi"), behind, "target", j)
+            behind = behind.unionByName(back)
+    on = met.withColumn("next", F.lit(None).cast(dict(goals.dtypes)["target"]))
+    for level in range(k - 1, -1, -1):
+        step = _step(on.where(F.col("d") == level + 1).select("source", "target", "node"), edges).groupBy("source", "target", F.col("b").alias("x")).agg(F.min("node").alias("next"))
+        step = step.join(ahead.where(F.col("d") == level).select("source", F.col("node").alias("x")), ["source", "x"])
+        on = on.unionByName(cut(step.select("source", "target", F.col("x").alias("node"), F.lit(level).alias("d"), "next")))
+    links = on.where("next IS NOT NULL").select("source", "target", "node", F.col("next").alias("there"))
+    onward = behind.where("next IS NOT NULL").select("target", "node", F.col("next").alias("onward"))
+    way = met.select("source", "target").distinct().select("source", "target", F.col("source").alias("node"), F.array("source").alias("path"))
+    for _ in range(k + j):
+        step = way.join(links, ["source", "target", "node"], "left").join(onward, ["target", "node"], "left")
+        step = step.withColumn("to", F.when(F.col("node") != F.col("target"), F.coalesce("there", "onward")))
+        way = step.select("source", "target", F.coalesce("to", "node").alias("node"), F.when(F.col("to").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("to"))).alias("path"))
+    return way.select("source", "target", (F.size("path") - 1).alias("distance"), "path")
+
+
+#: Nodes of more edges are hubs: their least neighbours are broadcast, if there are no more of them than FEW.
+HUB = 10_000
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): edges with the least v of all edges of u. A hub's edges don't meet in one task: what they have in common is broadcast, and how many
+    hubs there may be follows from the number of edges."""
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    hubs = least.where(F.col("n") > HUB).select("u", "m")
+    if not 0 < hubs.limit(FEW + 1).count() <= FEW:
+        return edges.join(least.select("u", "m"), "u")
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    rest = marked.where("m IS NULL").drop("m").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+    return marked.where("m IS NOT NULL").unionByName(rest)
 
 
 def components(relations: DataFrame) -> DataFrame:
-    """(node, component): the least node that can be reached. Labels spread to neighbours and then jump to their labels' labels, so
-    long chains end in few rounds; each round is one join, and only a count comes to the driver."""
-    edges = cut(symmetric(relations))
-    labels = edges.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    while True:
-        around = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = cut(new.join(jump, "component").select("node", "old", F.least("component", "root").alias("component")))
-        labels = new.select("node", "component")
-        if new.where("old <> component").isEmpty():
-            return labels
+    """(node, component): the least node that can be reached.
+
+    Edges are turned into stars: by turns, each node hands its least neighbour to its greater neighbours, and to its smaller ones, until every
+    edge leads to the least node of its component. Long chains end in few rounds, no join is on the label of a component (a hub's least
+    neighbour is broadcast), and only counts come to the driver."""
+    edges = cut(relations.where("source_id <> target_id").select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")).distinct())
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = None
+    while before != (now := state(edges)):
+        before = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = _with_least(cut(large))
+        pairs = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        edges = cut(small.select(pairs.alias("e")).select("e.*").where("u <> v").distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def traverse(relations: DataFrame, starts: DataFrame, depth: int = 2, least: float = 0.1, per_node: int = 10) -> DataFrame:
