@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that ``spark.checkpoint.dir`` names, which all executors share. Without one, only a session of one machine goes on."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share. Without one, only a session of one machine goes on."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir", None)
         if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidepool-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder; Spark removes it later if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from tidepool.plans import contexts, extra, graph, maintenance, messages, more, rest, rules, scoring, stats, streams, texts  # noqa: E402, F401
+from tidepool.plans import contexts, extra, graph, maintenance, messages, more, rest, rules, scoring, stats, stores, streams, texts  # noqa: E402, F401

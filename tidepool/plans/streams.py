@@ -21,17 +21,24 @@ def session_gap(spark, sf):
     return states.sessions(tables.interactions(spark, sf), "conversation_id", "ts")
 
 
+def errors_of(calls):
+    """Calls as errors of four kinds, of a table or a stream."""
+    kinds = F.array(*map(F.lit, ("503", "429", "timeout", "odd")))
+    return calls.select("id", "ts", F.element_at(kinds, (F.col("id") % 4 + 1).cast("int")).alias("kind"), (F.unix_micros("ts") / 1e6).alias("s"))
+
+
+def accesses_of(accesses):
+    return accesses.select("id", "ts", "channel_id", (F.unix_micros("ts") / 1e6).alias("s"), F.element_at("memory_ids", 1).alias("memory_id"))
+
+
 @query("T05_error_window")
 def error_window(spark, sf):
-    kinds = F.array(*map(F.lit, ("503", "429", "timeout", "odd")))
-    rows = timed(spark, sf).withColumn("kind", F.element_at(kinds, (F.col("id") % 4 + 1).cast("int")))
-    return states.error_alerts(rows, window=36_000.0, cooldown=72_000.0)
+    return states.error_alerts(errors_of(tables.interactions(spark, sf)), window=36_000.0, cooldown=72_000.0)
 
 
 @query("T06_access_flush")
 def access_flush(spark, sf):
-    rows = tables.accesses(spark, sf).select("id", "channel_id", (F.unix_micros("ts") / 1e6).alias("s"), F.element_at("memory_ids", 1).alias("memory_id"))
-    return states.access_flushes(rows, "channel_id", most=50, wait=86_400.0)
+    return states.access_flushes(accesses_of(tables.accesses(spark, sf)), "channel_id", most=50, wait=86_400.0)
 
 
 @query("T07_repetitions", "SELECT sha256(left(lower(trim(content)), 100)) AS key, count(*) AS n FROM messages GROUP BY 1")

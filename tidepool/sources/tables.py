@@ -53,8 +53,13 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions_of(read(spark, sf_dir, "events"))
+
+
+def interactions_of(events: DataFrame) -> DataFrame:
+    """Calls of models, of a table or a stream of events."""
     e, u = F.col("event_id"), F.col("user_id")
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         e.alias("id"), F.col("ts").cast("timestamp").alias("ts"), u.alias("conversation_id"), F.col("event_type").alias("model"), F.concat(F.lit("tier"), u % 3).alias("tier"), F.concat(F.lit("reason"), u % 20).alias("reason"),
         F.col("value").alias("latency_ms"), (e % 997).alias("tokens_in"), (e % 499).alias("tokens_out"), (e % 50 == 0).alias("refused"), (e % 4).alias("tool_calls"),
     )
@@ -62,8 +67,12 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access patterns with the ids of the memories that matched as an array."""
+    return accesses_of(read(spark, sf_dir, "events"))
+
+
+def accesses_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.array(k, k + 1).alias("memory_ids"), (F.col("user_id") % 5).alias("channel_id"), F.col("user_id"))
+    return events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.array(k, k + 1).alias("memory_ids"), (F.col("user_id") % 5).alias("channel_id"), F.col("user_id"))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
