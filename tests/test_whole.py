@@ -62,7 +62,7 @@ def test_edges_are_all_there(spark):
     relations = [tuple(r) for r in tables.relations(spark, SF).select("source_id", "target_id", "relation_type").collect()]
     names = {r[0]: r[1] for r in tables.entities(spark, SF).select("entity_id", "name").collect()}
     assert sorted(rows_of(spark, "J17_edge_names")) == sorted((names[a], names[b], t) for a, b, t in relations if a in names and b in names)
-    assert sorted(rows_of(spark, "S21_graph_json")) == sorted((f"{a}|{b}", a, b) for a, b, _ in relations)
+    assert sorted(rows_of(spark, "S21_graph_json")) == sorted((f'["{a}|x","{b}"]', f"{a}|x", b) for a, b, _ in relations)
 
 
 def test_keyword_query_uses_all_relations(spark, edges):

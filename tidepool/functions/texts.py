@@ -92,13 +92,20 @@ def spoken(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"\s+", " "))
 
 
-def style(text: Column, hedges: tuple[str, ...] = ("maybe", "perhaps", "might", "could")) -> tuple[Column, Column]:
-    """(share of sentences with a hedge, mean words of a sentence)."""
-    sentences = F.filter(F.transform(F.split(text, r"[.!?。]"), strip), lambda x: x != "")
-    hedged = F.size(F.filter(sentences, lambda s: F.exists(F.array(*map(F.lit, hedges)), lambda h: F.contains(F.lower(s), h))))
-    words = F.aggregate(sentences, F.lit(0), lambda n, s: n + F.size(F.split(s, r"\s+")))
-    n = F.size(sentences)
-    return F.when(n > 0, F.round(hedged / n, 3)).otherwise(F.lit(0.0)), F.when(n > 0, F.round(words / n, 1)).otherwise(F.lit(0.0))
+def style(text: Column, hedges: tuple[str, ...] = ("maybe", "perhaps", "might", "could")) -> Column:
+    """struct(hedges, words): the share of sentences with a hedge, and the mean words of a sentence. The text is split once, and its sentences are
+    counted in one pass over them."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("hedged"))
+
+    def add(acc: Column, sentence: Column) -> Column:
+        hedged = F.exists(F.array(*map(F.lit, hedges)), lambda h: F.contains(sentence, h))
+        return F.struct((acc["n"] + 1).alias("n"), (acc["hedged"] + hedged.cast("int")).alias("hedged"))
+
+    sentences = F.aggregate(F.split(F.lower(text), r"[.!?。]"), start, lambda acc, s: F.when(s.rlike(r"\S"), add(acc, s)).otherwise(acc))
+    # what ends a sentence ends a word too
+    counted = F.array(F.struct(sentences.alias("s"), F.regexp_count(text, F.lit(r"[^\s.!?。]+")).alias("words")))
+    share = lambda x, of: F.when(x["s"]["n"] > 0, of / x["s"]["n"]).otherwise(F.lit(0.0))
+    return F.element_at(F.transform(counted, lambda x: F.struct(F.round(share(x, x["s"]["hedged"]), 3).alias("hedges"), F.round(share(x, x["words"]), 1).alias("words"))), 1)
 
 
 def age_label(hours: Column) -> Column:

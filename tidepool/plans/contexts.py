@@ -113,7 +113,7 @@ _NAMED = "SELECT d.doc_id, 'n:' || n.n_nationkey AS entity_id FROM documents d J
 def named(spark, sf) -> DataFrame:
     """(doc_id, entity_id): the nations that good documents name; each document is given two of them."""
     good = tables.read(spark, sf, "labels").where("quality = 1").select("doc_id")
-    nations = [(r[0], r[1].lower()) for r in tables.read(spark, sf, "nation").select("n_nationkey", "n_name").limit(1000).collect()]  # a table of fixed and small size
+    nations = [(r[0], r[1].lower()) for r in tables.few(tables.read(spark, sf, "nation").select("n_nationkey", "n_name"))]
     known = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(n).alias("name")) for k, n in nations])
     low = F.lower("text")
     found = F.filter(known, lambda x: (x["k"] == F.col("doc_id") % 25) | (x["k"] == F.col("doc_id") * 7 % 25) | F.contains(low, x["name"]))

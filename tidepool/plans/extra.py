@@ -38,18 +38,22 @@ def replace_text(spark, sf):
     return snapshots.update(rows, rows.where("id % 7 = 0").select("id", F.concat(F.lit("new "), F.col("id").cast("string")).alias("content")), "id", ["content"])
 
 
-@query("S20_working_memory_json", "SELECT session_id, turn_id, role FROM messages")
+@query("S20_working_memory_json", "SELECT session_id, started_at, turn_id, role, content FROM messages JOIN sessions USING (session_id)")
 def working_memory_json(spark, sf):
-    rows = tables.messages(spark, sf).groupBy("session_id").agg(F.to_json(F.struct(F.collect_list(F.struct("turn_id", "role")).alias("messages"))).alias("j"))
-    parsed = rows.select("session_id", F.explode(F.from_json("j", "messages array<struct<turn_id:long,role:string>>")["messages"]).alias("m"))
-    return parsed.select("session_id", "m.turn_id", "m.role")
+    """A session as lines of JSON, its header first and then a line for each message, so that no session has to fit into one value; read back from the lines."""
+    header = tables.sessions(spark, sf).select("session_id", F.to_json(F.struct("session_id", "started_at")).alias("line"))
+    message = tables.messages(spark, sf).select("session_id", F.to_json(F.struct("session_id", "turn_id", "role", "content")).alias("line"))
+    lines = header.unionByName(message).select(F.from_json("line", "session_id long, started_at timestamp, turn_id long, role string, content string").alias("m")).select("m.*")
+    begun = lines.where("started_at IS NOT NULL").select("session_id", "started_at")
+    return lines.where("started_at IS NULL").drop("started_at").join(begun, "session_id").select("session_id", "started_at", "turn_id", "role", "content")
 
 
-@query("S21_graph_json", "SELECT source_id || '|' || target_id AS key, source_id AS a, target_id AS b FROM relations")
+@query("S21_graph_json", "SELECT '[\"' || source_id || '|x\",\"' || target_id || '\"]' AS key, source_id || '|x' AS a, target_id AS b FROM relations")
 def graph_json(spark, sf):
-    rows = tables.relations(spark, sf).select(F.concat_ws("|", "source_id", "target_id").alias("key"))
-    parts = F.split("key", r"\|")
-    return rows.select("key", parts[0].alias("a"), parts[1].alias("b"))
+    """Relations by a key of both ends, as a list in JSON: ids may hold any character."""
+    rows = tables.relations(spark, sf).select(F.to_json(F.array(F.concat("source_id", F.lit("|x")), "target_id")).alias("key"))
+    ends = F.from_json("key", "array<string>")
+    return rows.select("key", ends[0].alias("a"), ends[1].alias("b"))
 
 
 @query("S27_access_sink", "SELECT id, left('query ' || id, 200) AS query, len(memory_ids) AS n FROM accesses")
@@ -195,11 +199,16 @@ def insights(spark, sf):
     return tables.read(spark, sf, "documents").select("doc_id", F.array_join(F.slice(lines, 1, 3), "|").alias("insights"))
 
 
-@query("X44_text_parts", "SELECT session_id, string_agg(content, ' ' ORDER BY turn_id) AS text FROM messages WHERE role <> 'system' GROUP BY 1")
+@query("X44_text_parts", "SELECT session_id, turn_id, content || ' ' || role AS text, (turn_id % 3)::INT AS images FROM messages")
 def text_parts(spark, sf):
-    rows = tables.messages(spark, sf).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("turn_id", "role", "content"))).alias("parts"))
-    shown = F.filter("parts", lambda p: p["role"] != "system")
-    return rows.where(F.size(shown) > 0).select("session_id", F.array_join(F.transform(shown, lambda p: p["content"]), " ").alias("text"))
+    """Messages whose content is a list of texts and images in JSON: the texts, and how many images."""
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    images = F.transform(F.sequence(F.lit(0), F.col("turn_id") % 3), lambda k: part("image", F.concat(F.lit("data:image/"), k.cast("string"))))
+    content = F.concat(F.array(part("text", F.col("content"))), F.slice(images, F.lit(1), (F.col("turn_id") % 3).cast("int")), F.array(part("text", F.col("role"))))
+    rows = tables.messages(spark, sf).select("session_id", "turn_id", F.to_json(content).alias("content"))
+    parts = F.from_json("content", "array<struct<type:string,value:string>>")
+    kind = lambda name: F.filter("parts", lambda p: p["type"] == name)
+    return rows.select("session_id", "turn_id", parts.alias("parts")).select("session_id", "turn_id", F.array_join(F.transform(kind("text"), lambda p: p["value"]), " ").alias("text"), F.size(kind("image")).alias("images"))
 
 
 @query("Y07_range_records", "SELECT id, created_at::DATE AS start, (created_at::DATE + 1)::DATE AS finish FROM memories")

@@ -120,10 +120,12 @@ def orphan_turns(spark, sf):
     return rows.where(~F.coalesce(paired, F.lit(False))).select("session_id", "turn_id")
 
 
-@query("J18_session_with_messages", "SELECT s.session_id, s.turns, string_agg(m.role, ',' ORDER BY m.turn_id) AS roles FROM sessions s JOIN messages m USING (session_id) GROUP BY 1, 2")
+@query("J18_session_with_messages", "SELECT s.session_id, s.turns, s.summary, row_number() OVER (PARTITION BY session_id ORDER BY m.turn_id) AS place, m.role FROM sessions s JOIN messages m USING (session_id)")
 def session_with_messages(spark, sf):
-    rows = tables.messages(spark, sf).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("turn_id", "role"))).alias("m"))
-    return tables.sessions(spark, sf).join(rows, "session_id").select("session_id", "turns", F.array_join("m.role", ",").alias("roles"))
+    """A session's header beside each of its messages, with their places: rows, not an array, so a session may be of any size."""
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("turn_id")).cast("long")
+    rows = tables.messages(spark, sf).select("session_id", "role", place.alias("place"))
+    return tables.sessions(spark, sf).select("session_id", "turns", "summary").join(rows, "session_id")
 
 
 @query("J19_channel_mentions", "WITH used AS (SELECT unnest(memory_ids) AS id, channel_id FROM accesses), c AS (SELECT id, count(DISTINCT channel_id) AS n FROM used GROUP BY id) SELECT m.id, coalesce(c.n, 0) AS channels FROM memories m LEFT JOIN c USING (id)")
@@ -160,12 +162,12 @@ def running_cutoff(spark, sf):
     return selection.within_budget(tables.messages(spark, sf), ["session_id"], ["turn_id"], F.char_length("content"), 600).select("session_id", "turn_id", "total")
 
 
-@query("W08_progressive_context", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC) AS k FROM messages) SELECT session_id, string_agg(role || ': ' || CASE WHEN k <= 4 THEN content WHEN role = 'user' THEN left(content, 50) ELSE left(content, 30) END, chr(10) ORDER BY turn_id) AS context FROM r GROUP BY session_id")
+@query("W08_progressive_context", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC) AS k FROM messages) SELECT session_id, turn_id, role || ': ' || CASE WHEN k <= 4 THEN content WHEN role = 'user' THEN left(content, 50) ELSE left(content, 30) END AS line FROM r")
 def progressive_context(spark, sf):
+    """The lines of each session's context: the last four messages whole, older ones cut; a line is a row."""
     k = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn_id")))
     text = F.when(F.col("k") <= 4, F.col("content")).when(F.col("role") == "user", F.substring("content", 1, 50)).otherwise(F.substring("content", 1, 30))
-    rows = tables.messages(spark, sf).withColumn("k", k).select("session_id", "turn_id", F.concat("role", F.lit(": "), text).alias("line"))
-    return rows.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn_id", "line"))), lambda x: x["line"]), "\n").alias("context"))
+    return tables.messages(spark, sf).withColumn("k", k).select("session_id", "turn_id", F.concat("role", F.lit(": "), text).alias("line"))
 
 
 @query("W09_most_recent", "SELECT model, id FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts DESC, id DESC) AS k FROM interactions) WHERE k <= 5")

@@ -242,7 +242,7 @@ def entity_importance(spark, sf):
 @query("D16_relevance", "SELECT c.conv_id, c.turn, least(0.2 * (SELECT count(*) FROM nation WHERE contains(lower(c.text || ' china ' || CASE WHEN c.turn % 2 = 0 THEN 'NATION_1 nation_2' ELSE '' END), lower(n_name))), 1.0)::DOUBLE AS relevance FROM conversations c WHERE c.text IS NOT NULL")
 def relevance(spark, sf):
     """0.2 for each known entity that a message names, 1 at most. Nations are a table of fixed and small size."""
-    names = F.array(*[F.lit(r[0].lower()) for r in tables.read(spark, sf, "nation").select("n_name").limit(1000).collect()])
+    names = F.array(*[F.lit(r[0].lower()) for r in tables.few(tables.read(spark, sf, "nation").select("n_name"))])
     said = F.lower(F.concat("text", F.lit(" china "), F.when(F.col("turn") % 2 == 0, "NATION_1 nation_2").otherwise("")))
     n = F.size(F.filter(names, lambda x: F.contains(said, x)))
     return tables.read(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.least(n * 0.2, F.lit(1.0)).alias("relevance"))
@@ -289,9 +289,9 @@ def extraction_gate(spark, sf):
 SELECT session_id, turn_id, coalesce(length(content), 0)::BIGINT AS response_chars, 'tier' || (session_id % 3) AS tier, CASE WHEN len(s) > 0 THEN round(len(list_filter(s, lambda x: contains(lower(x), 'the'))) / len(s)::DOUBLE, 3) ELSE 0 END AS hedge_ratio,
 CASE WHEN len(s) > 0 THEN round(list_sum(list_transform(s, lambda x: len(regexp_split_to_array(x, '\s+')))) / len(s)::DOUBLE, 1) ELSE 0 END AS sentence_words FROM s""")
 def style_sink(spark, sf):
-    hedges, words = texts.style(F.col("content"), ("the",))
     rows = tables.messages(spark, sf).where("role = 'assistant'")
-    return rows.select("session_id", "turn_id", F.coalesce(F.char_length("content"), F.lit(0)).cast("long").alias("response_chars"), F.concat(F.lit("tier"), (F.col("session_id") % 3).cast("string")).alias("tier"), hedges.alias("hedge_ratio"), words.alias("sentence_words"))
+    rows = rows.select("session_id", "turn_id", F.coalesce(F.char_length("content"), F.lit(0)).cast("long").alias("response_chars"), F.concat(F.lit("tier"), (F.col("session_id") % 3).cast("string")).alias("tier"), texts.style(F.col("content"), ("the",)).alias("s"))
+    return rows.select("session_id", "turn_id", "response_chars", "tier", F.col("s.hedges").alias("hedge_ratio"), F.col("s.words").alias("sentence_words"))
 
 
 @query("Y02_korean_date", """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN d WHEN 1 THEN CASE WHEN try_cast('2024-' || strftime(d, '%m-%d') AS DATE) > DATE '2024-02-01' THEN try_cast('2023-' || strftime(d, '%m-%d') AS DATE) ELSE try_cast('2024-' || strftime(d, '%m-%d') AS DATE) END

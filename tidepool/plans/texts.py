@@ -74,8 +74,7 @@ def context_line(spark, sf):
 @query("X30_style", r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?。]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)
 SELECT doc_id, CASE WHEN len(s) > 0 THEN round(len(list_filter(s, lambda x: contains(lower(x), 'the'))) / len(s)::DOUBLE, 3) ELSE 0 END AS hedges, CASE WHEN len(s) > 0 THEN round(list_sum(list_transform(s, lambda x: len(regexp_split_to_array(x, '\s+')))) / len(s)::DOUBLE, 1) ELSE 0 END AS words FROM s""")
 def style(spark, sf):
-    hedges, words = texts.style(F.col("text"), ("the",))
-    return docs(spark, sf).select("doc_id", hedges.alias("hedges"), words.alias("words"))
+    return docs(spark, sf).select("doc_id", texts.style(F.col("text"), ("the",)).alias("s")).select("doc_id", "s.hedges", "s.words")
 
 
 @query("X31_roles", "SELECT conv_id, turn, CASE WHEN lower(role) IN ('user', 'human') THEN 'user' WHEN lower(role) IN ('assistant', 'model', 'ai') THEN 'assistant' ELSE lower(role) END AS role FROM conversations")

@@ -19,6 +19,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few(rows: DataFrame, most: int = 1000) -> list:
+    """The rows of a list that becomes part of a plan; one of more than ``most`` is an error, since it wants a join."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows for a list in a plan")
+    return found
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations")
     ts = F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(conv_id as int), cast(turn as int), 0)")

@@ -27,10 +27,15 @@ def access_statistics(accesses: DataFrame) -> DataFrame:
     return used.groupBy("memory_id").agg(F.count("*").alias("accesses"), F.sort_array(F.collect_set("channel_id")).alias("channels"))
 
 
+#: Moves that are broadcast; more of them are joined by a shuffle.
+MOVES = 10_000
+
+
 def illegal_moves(states: DataFrame, key: str, order: list[str], state: str, allowed: DataFrame) -> DataFrame:
     """Rows whose state may not follow the one before; ``allowed`` has (before, after)."""
     rows = states.withColumn("before", F.lag(state).over(Window.partitionBy(key).orderBy(*order))).where("before IS NOT NULL")
-    return rows.join(F.broadcast(allowed), (rows["before"] == allowed["before"]) & (rows[state] == allowed["after"]), "left_anti")
+    few = allowed.limit(MOVES + 1).count() <= MOVES
+    return rows.join(F.broadcast(allowed) if few else allowed, (rows["before"] == allowed["before"]) & (rows[state] == allowed["after"]), "left_anti")
 
 
 def _fold(events: DataFrame, key: str, step, start, schema: str, columns: list[str]) -> DataFrame:
