@@ -69,7 +69,7 @@ def test_base_spans_are_those_of_the_patterns(documents):
 
 def test_bytes_that_unpack_to_themselves_end():
     data = gzip.compress(b"x")
-    assert list(secret_scan._unpack_all(iter([data]), {hashlib.blake2b(data).digest()})) == []
+    assert list(secret_scan._unpack_all(iter([data]), ((hashlib.blake2b(data).digest(), True),))) == []
 
 
 def test_large_unpacked_bytes_are_read_in_windows():

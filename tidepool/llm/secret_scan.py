@@ -13,8 +13,10 @@ through escapes, groups of four through base64, the whole of compressed bytes.
 Base64 is read at all four alignments, as other letters may stand before it, and
 compressed bytes are looked for after '/', '-' and '_' as well. Compressed streams
 go on through all their members, what they unpack to is unpacked as a stream, and
-bytes after them are streams of their own. A stream whose first 2 MiB are those of
-one around it is left, as it unpacks to itself.
+bytes after them are streams of their own. A stream whose bytes are those of one around
+it is left, as it unpacks to itself. Base64 may be folded: into lines, indented ones,
+quoted ones, and such whose ends are escapes. Backslashes before backslashes and quotes
+go, so escapes inside strings inside strings are reached, and so do the zero bytes of UTF-16.
 
 Null texts are empty, repeated rows stay rows. Decoded layers are scanned whole; what
 compressed bytes unpack to is read in windows of 2 Mi characters that overlap by 64 Ki,
@@ -59,12 +61,21 @@ ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\
 #: A secret has 16 characters at least, which are 22 in base64.
 LEAST_BASE64 = 22
 BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_BASE64},}}={{0,2}}")
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:\r?\n[A-Za-z0-9+/_-]{20,}+)+(?:\r?\n[A-Za-z0-9+/_-]+)?={0,2}")
+#: Between the lines of folded base64: a line's end, as it is or as an escape, with white space, quotes, a comma or a plus sign around it.
+FOLD = r"""(?:["']?+[ \t]*+[,+]?+[ \t]*+(?:\\r\\n|\\n|\\?\r?\n)[ \t]*+["']?+|["'][ \t]*+[,+][ \t]*+["'])"""
+FOLDS = re.compile(FOLD)
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{20,}}+(?:{FOLD}[A-Za-z0-9+/_-]{{20,}}+)++(?:{FOLD}[A-Za-z0-9+/_-]++)?={{0,2}}")
+#: What stands behind a backslash for itself, in strings inside of strings.
+QUOTED = re.compile(r"""\\([\\"'/])""")
+#: Characters of UTF-16 with their zero bytes, in both orders.
+WIDE = (re.compile("(?:[\x20-\x7e\t\r\n]\x00){16,}"), re.compile("(?:\x00[\x20-\x7e\t\r\n]){16,}"))
 RUN = re.compile(r"[A-Za-z0-9+/_=.%\\&#;{}-]*")
 WINDOW, LONGEST, OVERLAP = 2 << 20, 4 << 20, 64 << 10
 MOST_MEMORY = 128 << 20
-#: Bytes without as many ASCII characters in a row hold nothing to find.
-STRETCH = re.compile(rb"[\x20-\x7e\t\r\n]{16}")
+#: Long streams that begin alike and are unpacked inside each other; what is inside of that many is counted as cut.
+ALIKE = 8
+#: Bytes without as many ASCII characters in a row, each perhaps with a zero byte as in UTF-16, hold nothing to find.
+STRETCH = 16
 #: How compressed bytes begin: in base64, and as escaped bytes between which others stand for themselves.
 PACKED = re.compile(rb"(?<=[+/])(?:H4sI|Qlpo|/Td6WFoA|KLUv/|e[A-P])")
 PERCENT_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~-])++")
@@ -80,6 +91,16 @@ def _run_table(members: str) -> bytes:
 
 
 _HEX_RUN, _BASE64_RUN = _run_table("0123456789abcdef"), _run_table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_TEXT_RUN = bytes(2 if c == 0 else 1 if 32 <= c < 127 or c in (9, 10, 13) else 0 for c in range(256))
+
+
+def _wide(runs: bytes) -> bool:
+    return b"\x02" in runs and (b"\x01\x02" * STRETCH in runs or b"\x02\x01" * STRETCH in runs)
+
+
+def _readable(data: bytes) -> bool:
+    runs = data.translate(_TEXT_RUN)
+    return b"\x01" * STRETCH in runs or _wide(runs)
 
 
 def find(text: str, data: bytes) -> list[tuple[int, int, int]]:
@@ -136,6 +157,21 @@ class Layer:
                 ends.append(np.full(-n, b, np.int32))
         return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
 
+    def unquoted(self) -> Layer | None:
+        """This layer without backslashes before what stands behind them for itself, or None if there are none."""
+        at = np.array([m.start() for m in QUOTED.finditer(self.text)], np.int64)
+        if not len(at):
+            return None
+        text = QUOTED.sub(r"\1", self.text)
+        if self.span is not None:
+            return Layer(text, span=self.span)
+        kept = np.ones(len(self.text), bool)
+        kept[at] = False
+        starts = np.arange(len(self.text), dtype=np.int32) if self.starts is None else self.starts.copy()
+        ends = starts + 1 if self.ends is None else self.ends
+        starts[at + 1] = np.minimum(starts[at], starts[at + 1])
+        return Layer(text, starts[kept], ends[kept])
+
 
 def _percent(run: str) -> str | None:
     try:
@@ -267,23 +303,29 @@ def _text_windows(parts: Iterator[bytes], cuts: list) -> Iterator[str]:
         kept, fresh = kept[-OVERLAP:], 0
 
 
-def _unpack_all(parts: Iterator[bytes], seen: set[bytes], cuts: list | None = None) -> Iterator[str]:
-    """Windows of a stream of bytes that isn't compressed any more, through any depth; bytes seen before are left."""
+def _unpack_all(parts: Iterator[bytes], seen: tuple[tuple[bytes, bool], ...] = (), cuts: list | None = None) -> Iterator[str]:
+    """Windows of a stream of bytes that isn't compressed any more, through any depth. One whose bytes, all of them, are those of one around it unpacks to
+    itself and is left; of longer ones (over 2 MiB, of which not all is at hand) that begin alike, a few are unpacked inside each other."""
     cuts = [] if cuts is None else cuts
     data = _gathered(parts, WINDOW)
     if _unpacker(data) is None:
         yield from _text_windows(itertools.chain((data,), parts), cuts)
-    elif (key := hashlib.blake2b(data[:WINDOW]).digest()) not in seen:
+        return
+    key = hashlib.blake2b(data[:WINDOW]).digest(), len(data) < WINDOW
+    if seen.count(key) >= (1 if key[1] else ALIKE):
+        if not key[1]:
+            cuts.append(len(data))
+    else:
         rest: list[bytes] = []
-        yield from _unpack_all(_members(parts, data, rest, cuts), seen | {key}, cuts)
+        yield from _unpack_all(_members(parts, data, rest, cuts), (*seen, key), cuts)
         if rest and rest[0]:
             yield from _unpack_all(itertools.chain(rest, parts), seen, cuts)
 
 
 def _packed_layers(layer: Layer, data: bytes, a: int, b: int, cuts: list) -> Iterator[Layer]:
     span = layer.at(a, b)
-    for new in _unpack_all(iter((data,)), set(), cuts):
-        if STRETCH.search(new.encode("utf-8", "surrogateescape")):
+    for new in _unpack_all(iter((data,)), (), cuts):
+        if _readable(new.encode("utf-8", "surrogateescape")):
             yield Layer(new, span=span)
 
 
@@ -313,10 +355,12 @@ def _escaped_layers(layer: Layer, cuts: list) -> Iterator[Layer]:
 def _base64_layers(layer: Layer, cuts: list) -> Iterator[Layer]:
     if b"\x01" * (LEAST_BASE64 - 2) not in layer.data.translate(_BASE64_RUN):
         return
-    runs = [(m.start(), m.end()) for m in BASE64.finditer(layer.text)] + [(m.start(), m.end()) for m in WRAPPED.finditer(layer.text)]
-    for a, b in runs:
+    runs = [(m.start(), m.end(), False) for m in BASE64.finditer(layer.text)] + [(m.start(), m.end(), True) for m in WRAPPED.finditer(layer.text)]
+    for a, b, wrapped in runs:
         run = np.frombuffer(layer.text[a:b].encode("ascii"), np.uint8)
-        kept = (run != 61) & (run != 10) & (run != 13)
+        kept = run != 61
+        for m in FOLDS.finditer(layer.text, a, b) if wrapped else ():
+            kept[m.start() - a : m.end() - a] = False
         places, code = (a + np.flatnonzero(kept)).astype(np.int32), run[kept].tobytes()
         del run, kept
         plain = code.translate(_PLAIN)
@@ -332,9 +376,11 @@ def _base64_layers(layer: Layer, cuts: list) -> Iterator[Layer]:
                 continue
             if _unpacker(data) is not None:
                 yield from _packed_layers(layer, data, int(places[at]), b, cuts)
-            if at < 4 and STRETCH.search(data) and layer.span is not None:
+            if at > 3 or not _readable(data):
+                continue
+            if layer.span is not None:
                 yield Layer(data.decode("utf-8", "surrogateescape"), span=layer.span)
-            elif at < 4 and STRETCH.search(data):
+            else:
                 new, own = data.decode("utf-8", "surrogateescape"), places[at : at + size]
                 n = np.arange(len(data), dtype=np.int32)
                 first, last = own[n * 4 // 3], own[np.minimum(((n + 1) * 4 + 2) // 3, size) - 1]
@@ -351,6 +397,11 @@ def _unwrapped(layer: Layer, cuts: list) -> Iterator[Layer]:
     for mark, pattern, decode in (("%", PERCENT, _percent), ("\\&", ESCAPE, _escape)):
         if any(x in layer.text for x in mark) and (new := layer.replaced(pattern, decode)) is not None:
             yield new
+    if "\\" in layer.text and (new := layer.unquoted()) is not None:
+        yield new
+    for at, pattern in enumerate(WIDE) if "\0" in layer.text and _wide(layer.data.translate(_TEXT_RUN)) else ():
+        if (new := layer.replaced(pattern, lambda x, at=at: x[at::2])) is not None:
+            yield new
     yield from _escaped_layers(layer, cuts)
     yield from _base64_layers(layer, cuts)
 
