@@ -8,7 +8,7 @@ from tidepool.llm import fingerprint, queries
 
 def test_likeness_of_texts_of_many_lines(spark):
     texts = [(k, "\n".join(f"{k} {i}" for i in range(70_000))) for k in range(2)] + [(2, "\n".join(f"{0 if i % 2 else 2} {i}" for i in range(70_000)))]
-    v = fingerprint.with_vector(spark.createDataFrame(texts, "k long, text string"), "text", "v").select("k", "v").localCheckpoint()
+    v = fingerprint.with_vector(spark.createDataFrame(texts, "k long, text string"), "text", "v").select("k", "v").cache()
     a, b = v.select(F.col("k").alias("a"), F.col("v").alias("x")), v.select(F.col("k").alias("b"), F.col("v").alias("y"))
     got = {(r.a, r.b): r.n for r in a.crossJoin(b).where("a <= b").select("a", "b", fingerprint.likeness(F.col("x"), F.col("y")).alias("n")).collect()}
     assert all(got[k, k] == 1.0 for k in range(3)) and got[0, 1] < 0.35 and 0.2 < got[0, 2] < 0.8

@@ -32,7 +32,7 @@ LOW = sum(1 << (15 * j) for j in range(4))
 LOW_2, M30 = 1 | 1 << 30, (1 << 30) - 1
 PARAGRAPHS, SENTENCES = r"\n+", r"[.!?]+[ \t]+|\n+"
 #: Documents that lie in one range of ids while each finds the next, about, and ranges at most.
-RANGE, RANGES = 2048, 16_384
+RANGE, RANGES = 256, 16_384
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -47,15 +47,31 @@ def _sum(numbers: Column, value=lambda x: x) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: (a + value(x)).bitwiseAND(F.lit(M60)))
 
 
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column's name that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def with_vector(df: DataFrame, text: str, to: str) -> DataFrame:
-    """Adds column ``to``: struct(paragraphs, wide, sentences, signs) of the column ``text`` (not null)."""
+    """Adds column ``to``: struct(paragraphs, wide, sentences, signs) of the column ``text`` (not null); other columns, whatever their names, stay.
+
+    Of texts of fewer than 2**15 sentences four counts are added up in one number, 15 bits apart, and then set 30 bits apart as those of longer ones."""
     numbers = lambda n: lambda x: F.transform(F.array(F.sha2(x, 256)), lambda d: F.array(*[_number(d, k) for k in range(n)]))[0]
-    df = df.withColumn("_p", F.transform(_parts(F.col(text), PARAGRAPHS), numbers(4)))
-    df = df.withColumn("_s", F.transform(_parts(F.col(text), SENTENCES), numbers(2)))
-    wide = F.array(*[_sum(F.col("_p"), lambda x, k=k: x[k]) for k in range(4)])
-    signs = F.array(*[_sum(F.col("_s"), lambda x, k=k, s=s: F.shiftright(x[k], s).bitwiseAND(F.lit(LOW_2))) for k in range(2) for s in range(30)])
-    vector = F.struct(F.size("_p").cast("long").alias("paragraphs"), wide.alias("wide"), F.size("_s").cast("long").alias("sentences"), signs.alias("signs"))
-    return df.withColumn(to, vector).drop("_p", "_s")
+    p, s, q = (_fresh(df, x) for x in ("_p", "_s", "_q"))
+    kept = df.columns
+    df = df.withColumn(p, F.transform(_parts(F.col(text), PARAGRAPHS), numbers(4)))
+    df = df.withColumn(s, F.transform(_parts(F.col(text), SENTENCES), numbers(2)))
+    added = lambda k, shift, low: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + F.shiftright(x[k], shift).bitwiseAND(F.lit(low)))
+    df = df.withColumn(q, F.when(F.size(s) < 1 << 15, F.array(*[added(k, shift, LOW) for k in range(2) for shift in range(15)])))
+    lane = lambda k, shift, j: F.shiftright(F.col(q)[15 * k + shift], 15 * j).bitwiseAND(F.lit((1 << 15) - 1))
+    few = F.array(*[lane(k, shift % 15, shift // 15) + F.shiftleft(lane(k, shift % 15, shift // 15 + 2), 30) for k in range(2) for shift in range(30)])
+    many = F.array(*[added(k, shift, LOW_2) for k in range(2) for shift in range(30)])
+    wide = F.array(*[_sum(F.col(p), lambda x, k=k: x[k]) for k in range(4)])
+    signs = F.when(F.col(q).isNotNull(), few).otherwise(many)
+    vector = F.struct(F.size(p).cast("long").alias("paragraphs"), wide.alias("wide"), F.size(s).cast("long").alias("sentences"), signs.alias("signs"))
+    return df.withColumn(to, vector).select(*kept, to)
 
 
 def _merge(a: Column, b: Column, sign: int) -> Column:
