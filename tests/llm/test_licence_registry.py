@@ -1,6 +1,8 @@
 from pathlib import Path
 
-from tidepool.llm import license_scan
+import duckdb
+
+from tidepool.llm import license_scan, queries
 
 
 def test_entire_texts_notices_and_null_ids(documents, spark):
@@ -41,3 +43,18 @@ def test_other_registries_repeated_rows_and_ties(documents, spark):
 def test_a_very_long_text(documents):
     long = "word " * 300_000 + "\nReleased under the MIT License.\n" + "more\n\n" * 20_000
     assert license_scan.scan(documents([long])).first().licences == "MIT"
+
+
+def test_sql_of_the_same_registry_over_whole_texts(spark, tmp_path):
+    whole = {p.name: p.read_text() for p in sorted(Path(license_scan.__file__).with_name("licences").iterdir())}
+    texts = [t for k, t in whole.items() if k in ("Apache-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0")]
+    texts += ["a\n\n" + texts[0] + "\n\nb", texts[0].replace("\n", "\r\n"), "x\r\n\r\n" + license_scan._MIT.replace("\n", "\r\n") + "\r\n\r\ny", "Released under CC BY 4.0.", "This project is licensed under the GNU Affero General Public License v3.\nmore", None, "", "no license"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op9_license_scans"])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES["op9_license_scans"](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+    assert sum(r.whole is not None for r in got) >= 6

@@ -81,14 +81,14 @@ def _canonical_sql(text: str) -> str:
 
 
 OP9_SQL = f"""
-WITH known(digest, licence) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in license_scan.digests())}),
+WITH known(digest, licence) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in license_scan.digests(license_scan.registry()))}),
 rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-marked AS (SELECT * FROM rows WHERE regexp_matches(lower(text), '{"|".join(license_scan.MARKERS)}')),
+marked AS (SELECT * FROM rows WHERE regexp_matches(lower(text), '{"|".join(license_scan.MARKS)}')),
 units AS (
   SELECT doc_id, true AS whole, text AS unit FROM marked
-  UNION ALL SELECT doc_id, false, unit FROM (SELECT doc_id, text, unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')) AS unit FROM marked) WHERE contains(unit, chr(10)) AND unit <> text
+  UNION ALL SELECT doc_id, false, unit FROM (SELECT doc_id, text, unnest(regexp_split_to_array(text, '\\r?\\n[ \\t]*\\r?\\n')) AS unit FROM marked) WHERE contains(unit, chr(10)) AND unit <> text
   UNION ALL SELECT doc_id, false, unit FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS unit FROM marked) WHERE unit <> text
-), known_runs(digest, licence, first, blocks) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', {n})" for a, b, c, n in license_scan.runs())}),
+), known_runs(digest, licence, first, blocks) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', {n})" for a, b, c, n in license_scan.runs(license_scan.registry()))}),
 cut AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n[ \\t]*\\r?\\n'), lambda x: {_canonical_sql("x")}), lambda x: x <> '') AS b FROM marked),
 runs AS (
   SELECT c.doc_id, false AS whole, k.licence FROM (SELECT doc_id, b, unnest(generate_series(1, len(b))) AS i FROM cut WHERE len(b) > 2) c JOIN known_runs k ON sha256(c.b[c.i]) = k.first
@@ -187,7 +187,8 @@ orders AS (
   JOIN letters d ON d.l NOT IN (a.l, b.l, c.l) JOIN letters e ON e.l NOT IN (a.l, b.l, c.l, d.l)
 ), docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
 marks AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
-words AS (SELECT *, list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM docs),
+words AS (SELECT *, list_filter(string_split_regex(text, '[ 	-
+]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM docs),
 failing AS (
   SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
     CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
