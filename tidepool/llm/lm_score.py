@@ -52,7 +52,9 @@ LISTED, RARE = 1 << 16, 1 << 17
 #: Documents, about, whose words are counted for the list; it only makes what is shuffled smaller.
 LIST_DOCUMENTS = 4_000
 #: Tokens of a chunk, about; salts over which a bucket's documents are dealt, at most.
-CHUNK, SALTS, SCALE = 2_000_000, 64, 1 << 20
+CHUNK, SALTS, SCALE = 1_000_000, 64, 1 << 20
+#: Tokens of the corpus for each part of the words, about.
+PART = 4_000_000
 #: A bigram is context * ODD + word, modulo 2**64; one of listed words (context * 2**16 + word) * SHORT_ODD, modulo 2**32.
 ODD, SHORT_ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x9E3779B1)
 ODD_BACK, SHORT_BACK = np.uint64(pow(int(ODD), -1, 1 << 64)), np.uint64(pow(int(SHORT_ODD), -1, 1 << 32))
@@ -464,11 +466,12 @@ def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions
     totals = written(_totals(_chunks(own.unionByName(wanted), known, buckets, False), partitions))
-    parts = max(1, partitions // 4)
-    sums_of_words = written(_word_sums(totals, parts))
     tokens_of = np.zeros(2 * buckets, np.int64)
     for r in totals.select("bucket", "tokens").collect():  # one number of each bucket
         tokens_of[r.bucket] = r.tokens
+    # parts of words by the corpus's tokens, so that what a part is asked stays of one size
+    parts = int(max(1, partitions // 4, -(-int(tokens_of.sum()) // PART)))
+    sums_of_words = written(_word_sums(totals, parts))
     salts = np.clip(-(-tokens_of * 2 * buckets // max(1, int(tokens_of.sum()))), 1, SALTS)
     numbers = np.zeros(3, np.int64)
     for r in sums_of_words.where("bucket < 0").select("bits").collect():  # three numbers of each part
