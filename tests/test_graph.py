@@ -1,10 +1,13 @@
 """Paths and components against plain Python on random graphs, chains and stars."""
 
+import math
 import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidepool.functions import texts
 from tidepool.operators import graph
 
 EDGES = "source_id string, target_id string"
@@ -96,3 +99,15 @@ def test_graphs_of_nothing(spark):
     assert graph.components(none).collect() == []
     assert graph.shortest_paths(none, spark.createDataFrame([("a", "b")], "source string, target string"), 3).collect() == []
     assert [tuple(r) for r in graph.neighbours(none, spark.createDataFrame([("a",), ("a",)], "start string"), 2).collect()] == [("a", "a", 0)]
+
+
+def test_a_graph_cleaned_up(spark):
+    now = F.lit("2024-02-01").cast("timestamp")
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    rows = [("a", "Green Tea", 1, day(1)), ("b", "green_tea", 2, day(20)), ("c", "Old", 1, day(1)), ("d", "old but used", 1, day(1)), ("e", "new", 1, day(31)), ("f", "often", 5, day(1)), ("g", None, 1, None)]
+    entities = spark.createDataFrame(rows, "entity_id string, name string, mentions long, last_accessed string").withColumn("last_accessed", F.col("last_accessed").cast("timestamp"))
+    relations = spark.createDataFrame([("a", "b", "x", 0.9), ("b", "f", "x", 0.4), ("a", "f", "x", 0.6), ("d", "f", "x", 0.5), ("c", "f", "x", 0.1), ("f", "zz", "x", 0.9)], "source_id string, target_id string, relation_type string, weight double")
+    alive, left = graph.optimised(entities, relations, texts.name_key(F.col("name")), now)
+    assert sorted((r.entity_id, r.mentions) for r in alive.collect()) == [("a", 3), ("d", 1), ("e", 1), ("f", 5), ("g", 1)]
+    want = lambda pair, mentions, partners, old: min(1.0, max(0.0, 0.7 * pair / mentions * math.log(5 / (1 + partners)) + 0.3 * old))
+    assert {(r.source_id, r.target_id): round(r.weight, 9) for r in left.collect()} == {("a", "f"): round(want(1, 3, 1, 0.6), 9), ("d", "f"): round(want(1, 1, 1, 0.5), 9)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -182,6 +182,24 @@ def merge_entities(relations: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.groupBy("source_id", "target_id", "relation_type").agg(F.max("weight").alias("weight"))
 
 
+def optimised(entities: DataFrame, relations: DataFrame, key: Column, now: Column, days: int = 20, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) after a clean-up: entities of one ``key`` become that of the least id, with all their mentions and the latest access; relations
+    are mapped to it, loops and repetitions dropped (the heaviest stays); entities of one mention at most that weren't used for so many days and
+    have no relation of ``least`` weight go; so do relations with an end that isn't there; the rest is weighed anew. Entities without key stay."""
+    keyed = entities.withColumn("_key", key)
+    first = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.min("entity_id").alias("new"))
+    mapping = cut(keyed.join(first, "_key").where("entity_id <> new").select(F.col("entity_id").alias("old"), "new"))
+    renamed = entities.join(mapping, F.col("entity_id") == F.col("old"), "left").withColumn("entity_id", F.coalesce("new", "entity_id"))
+    merged = renamed.groupBy("entity_id").agg(F.sum("mentions").alias("mentions"), F.max("last_accessed").alias("last_accessed"))
+    mapped = cut(merge_entities(relations, mapping))
+    ends = mapped.where(F.col("weight") >= least).select(F.explode(F.array("source_id", "target_id")).alias("entity_id")).distinct().withColumn("used", F.lit(True))
+    dead = (F.col("mentions") <= 1) & (F.col("last_accessed") < now - F.make_interval(days=F.lit(days))) & F.col("used").isNull()
+    alive = cut(merged.join(ends, "entity_id", "left").where(~F.coalesce(dead, F.lit(False))).drop("used"))
+    for end in ("source_id", "target_id"):
+        mapped = mapped.join(alive.select(F.col("entity_id").alias(end)), end, "left_semi")
+    return alive, relation_weights(mapped, alive)
+
+
 def upsert_relations(old: DataFrame, new: DataFrame, step: float = 0.1) -> DataFrame:
     """A relation that comes again gains ``step`` each time over its first weight."""
     rows = old.select("source_id", "target_id", "relation_type", "weight", F.lit(0).alias("again")).unionByName(new.select("source_id", "target_id", "relation_type", "weight", F.lit(1).alias("again")))

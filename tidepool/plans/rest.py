@@ -110,14 +110,21 @@ def elapsed(spark, sf):
     return tables.sessions(spark, sf).select("session_id", texts.elapsed_label(seconds).alias("label"))
 
 
-@query("G16_optimised_graph")
+@query("G16_optimised_graph", """
+WITH k AS (SELECT *, trim(regexp_replace(translate(lower(name), '_-()', '    '), '\\s+', ' ', 'g')) AS key FROM entities),
+m AS (SELECT entity_id AS old, min(entity_id) OVER (PARTITION BY key) AS new FROM k),
+e AS (SELECT new AS entity_id, sum(mentions) AS mentions, max(last_accessed) AS last_accessed FROM entities JOIN m ON old = entity_id GROUP BY new),
+r AS (SELECT a.new AS source_id, b.new AS target_id, relation_type, max(weight) AS weight FROM relations JOIN m a ON a.old = source_id JOIN m b ON b.old = target_id WHERE a.new <> b.new GROUP BY ALL),
+alive AS (SELECT * FROM e WHERE NOT (mentions <= 1 AND last_accessed < TIMESTAMP '2024-02-01' - INTERVAL 20 DAY AND entity_id NOT IN (SELECT source_id FROM r WHERE weight >= 0.3 UNION ALL SELECT target_id FROM r WHERE weight >= 0.3))),
+s AS (SELECT * FROM r WHERE source_id IN (SELECT entity_id FROM alive) AND target_id IN (SELECT entity_id FROM alive)),
+p AS (SELECT source_id, count(DISTINCT target_id) AS partners FROM s GROUP BY 1), q AS (SELECT source_id, target_id, count(*) AS pair FROM s GROUP BY 1, 2),
+w AS (SELECT s.*, least(1.0, greatest(0.0, 0.7 * q.pair / e.mentions::DOUBLE * ln((SELECT count(*) FROM alive) / (1.0 + p.partners)) + 0.3 * s.weight)) AS new
+  FROM s JOIN p USING (source_id) JOIN q USING (source_id, target_id) JOIN alive e ON e.entity_id = s.source_id)
+SELECT source_id, target_id, relation_type, round(CASE WHEN abs(new - weight) > 0.001 THEN new ELSE weight END, 6) AS weight FROM w""")
 def optimised_graph(spark, sf):
-    """Names merged, relations remapped, dead entities' relations dropped, weights made new."""
-    entities, relations = tables.entities(spark, sf), tables.relations(spark, sf)
-    first = entities.groupBy(texts.name_key(F.col("name")).alias("key")).agg(F.min("entity_id").alias("new"))
-    mapping = entities.select(F.col("entity_id").alias("old"), texts.name_key(F.col("name")).alias("key")).join(first, "key").where("old <> new")
-    merged = graph.merge_entities(relations, mapping)
-    return graph.relation_weights(merged, entities).withColumn("weight", F.round("weight", 6))
+    """Entities of one name merged, relations remapped, dead entities and their relations dropped, weights made new."""
+    _, relations = graph.optimised(tables.entities(spark, sf), tables.relations(spark, sf), texts.name_key(F.col("name")), tables.now())
+    return relations.withColumn("weight", F.round("weight", 6))
 
 
 @query("T02_newest_events", "SELECT user_id, id FROM accesses QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) <= 20")
