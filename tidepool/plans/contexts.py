@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import rules, scores, texts
 from tidepool.operators import graph, selection, similarity, vectors
+from tidepool.plans.graph import EDGES, levels, reached
 from tidepool.plans.registry import query
 from tidepool.plans.rules import quoted
 from tidepool.plans.scoring import COSINE
@@ -96,7 +97,10 @@ def graph_context(spark, sf):
     return graph_text(spark, sf, e, r)
 
 
-@query("G13_graph_query")
+@query("G13_graph_query", f"""
+WITH {EDGES}, named AS (SELECT entity_id AS start FROM entities WHERE lower(name) IN ('nation_3', 'nation_7', 'asia')), {levels('SELECT start FROM named', 4)},
+around AS (SELECT DISTINCT node FROM ({reached(2)})), top AS (SELECT entity_id FROM entities WHERE entity_id IN (SELECT node FROM around) ORDER BY mentions DESC, entity_id LIMIT 5)
+SELECT 'entity' AS kind, entity_id AS what FROM top UNION ALL SELECT 'path', array_to_string(path, '>') FROM ({reached(4)}) WHERE start < node AND node IN (SELECT start FROM named)""")
 def graph_query(spark, sf):
     """The relations and shortest paths between entities that were found in a question, with the entities around them."""
     named = tables.entities(spark, sf).where(F.lower("name").isin("nation_3", "nation_7", "asia")).select(F.col("entity_id").alias("start"))

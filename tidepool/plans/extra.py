@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import dates, rules, scores, texts
 from tidepool.operators import graph, selection, similarity, snapshots, web
+from tidepool.plans.graph import EDGES, levels, reached
 from tidepool.plans.registry import query
 from tidepool.plans.rules import quoted
 from tidepool.plans.scoring import COSINE, DECAYED, with_decay
@@ -140,7 +141,10 @@ def query_scan(spark, sf):
     return near.where("distance < 0.9").withColumn("distance", F.round("distance", 6))
 
 
-@query("J24_path_pairs")
+@query("J24_path_pairs", f"""
+WITH {EDGES}, near AS (SELECT 's:1' AS n UNION SELECT b FROM edges WHERE a = 's:1'), found AS (SELECT n FROM near ORDER BY n LIMIT 11),
+pairs AS (SELECT x.n AS source, y.n AS target FROM found x JOIN found y ON x.n < y.n ORDER BY 1, 2 LIMIT 10), {levels('SELECT DISTINCT source AS start FROM pairs', 3)}
+SELECT source, target, distance, array_to_string(path, '>') AS path FROM ({reached(3)}) JOIN pairs ON source = start AND target = node""")
 def path_pairs(spark, sf):
     found = graph.neighbours(tables.relations(spark, sf), spark.createDataFrame([("s:1",)], "start string"), 1).select(F.col("node").alias("n")).orderBy("n").limit(11)
     pairs = found.crossJoin(F.broadcast(found.withColumnRenamed("n", "m"))).where("n < m").orderBy("n", "m").limit(10).select(F.col("n").alias("source"), F.col("m").alias("target"))  # eleven entities
@@ -182,9 +186,16 @@ def entity_add(spark, sf):
     return tables.entities(spark, sf).groupBy(F.lower("name").alias("key")).agg(F.min("entity_id").alias("entity_id"), kind.alias("entity_type"))
 
 
-@query("G12_keyword_query")
+ASKED = "trade of asia with nation_3 and nation_7".split()
+
+
+@query("G12_keyword_query", f"""
+WITH {EDGES}, w AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{w}')" for k, w in enumerate(w for w in ASKED if len(w) > 2))}) t(place, word)),
+hits AS (SELECT place, entity_id, row_number() OVER (PARTITION BY place ORDER BY mentions DESC, entity_id) AS k FROM w JOIN entities ON contains(lower(name), word)),
+seeds AS (SELECT DISTINCT entity_id AS start FROM (SELECT * FROM hits WHERE k <= 2 ORDER BY place, k LIMIT 3)), {levels('SELECT start FROM seeds', 2)}
+SELECT entity_id, mentions FROM entities WHERE entity_id IN (SELECT node FROM ({reached(2)})) ORDER BY mentions DESC, entity_id LIMIT 5""")
 def keyword_query(spark, sf):
-    found, _ = graph.keyword_query(tables.entities(spark, sf), tables.relations(spark, sf), "trade of asia with nation_3 and nation_7".split())
+    found, _ = graph.keyword_query(tables.entities(spark, sf), tables.relations(spark, sf), ASKED)
     return found.select("entity_id", "mentions")
 
 
