@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions import scores
+from tidepool.functions import blocks, scores
 
 def vector_of(vectors: DataFrame, vec_id: int) -> list[float]:
     """One query vector, as a literal of the plan."""
@@ -144,8 +144,7 @@ def block_ratio(a: Column, b: Column, n: int | None = 500) -> Column:
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, (s or "").lower()[:n], (t or "").lower()[:n]).ratio() for s, t in zip(x, y, strict=True)])
+        cut = lambda column: [(s or "").lower()[:n] for s in column]
+        return pd.Series(blocks.ratios(cut(x), cut(y)))
 
     return ratio(a, b)
