@@ -232,20 +232,20 @@ def module_name(name: Column) -> Column:
 
 
 def decoded(data: Column) -> Column:
-    """Bytes as text: UTF-8, else Korean of code page 949, else Latin-1."""
+    """Bytes as text: UTF-8, else Korean of code page 949, else Latin-1. Spark reads UTF-8; only other bytes go to Python, which knows the code page."""
 
     @F.pandas_udf("string")
-    def text(column):
+    def other(column):
         def one(x):
-            for name in ("utf-8", "cp949", "latin-1"):
-                try:
-                    return bytes(x).decode(name)
-                except UnicodeDecodeError:
-                    pass
+            try:
+                return bytes(x).decode("cp949")
+            except UnicodeDecodeError:
+                return bytes(x).decode("latin-1")
 
         return column.map(lambda x: None if x is None else one(x))
 
-    return text(data)
+    text = F.try_validate_utf8(data.cast("string"))  # null for other bytes
+    return F.coalesce(text, other(F.when(text.isNull(), data)))
 
 
 def colour(text: Column) -> Column:
