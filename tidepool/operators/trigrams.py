@@ -56,7 +56,7 @@ class Index:
         # buckets are hashes of runs, and a frequent run is many rows: these are dealt by their ids too, so no bucket is one task's
         found = found.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "run", "id")
         found.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/runs")
-        rows.withColumn("part", F.floor(F.col(self.id) / width).cast("long")).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/texts")
+        rows.withColumn("part", F.floor(F.col(self.id) / width).cast("long")).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/texts")
         self.spark.createDataFrame([(buckets, width)], "buckets int, width int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/layout")
 
     def posting(self, grams: list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ class Table:
     def _write(self, rows: DataFrame, mode: str) -> None:
         """One file for each part, or several for one of many rows, as adaptive execution finds."""
         rows = rows.withColumn(PART, self.part())
-        rows.repartition(PART).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
+        rows.hint("rebalance", PART).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
 
     def create(self, rows: DataFrame) -> None:
         """Writes a new table. Rows without a key can't be found again, so they are an error."""
