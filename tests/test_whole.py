@@ -96,3 +96,11 @@ def test_every_row_is_there(spark):
     assert set(found) == set(docs)
     some = sorted(docs, key=lambda i: (all(ord(c) < 128 for c in docs[i].text), len(docs[i].text), i))[:4]
     assert all(found[i] == distance(docs[i].text.encode(), (docs[i].lang + docs[i].source + docs[i].text).encode()) for i in some)
+
+
+def test_a_context_is_one_text_of_all_its_lines(spark, tmp_path):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"{t}" * 70) for t in range(7)] + [(2, 0, "user", None), (3, 1, "user", None), (3, 0, "assistant", "b")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r["session_id"]: r["context"] for r in registry.QUERIES["W08_progressive_context"](spark, str(tmp_path)).collect()}
+    cut = [50, 30, 50, 70, 70, 70, 70]
+    assert found == {1: "\n".join(f"{r[2]}: {r[3][:n]}" for r, n in zip(rows, cut, strict=False)), 2: None, 3: "assistant: b"}

@@ -162,12 +162,13 @@ def running_cutoff(spark, sf):
     return selection.within_budget(tables.messages(spark, sf), ["session_id"], ["turn_id"], F.char_length("content"), 600).select("session_id", "turn_id", "total")
 
 
-@query("W08_progressive_context", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC) AS k FROM messages) SELECT session_id, turn_id, role || ': ' || CASE WHEN k <= 4 THEN content WHEN role = 'user' THEN left(content, 50) ELSE left(content, 30) END AS line FROM r")
+@query("W08_progressive_context", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC) AS k FROM messages) SELECT session_id, string_agg(role || ': ' || CASE WHEN k <= 4 THEN content WHEN role = 'user' THEN left(content, 50) ELSE left(content, 30) END, chr(10) ORDER BY turn_id) AS context FROM r GROUP BY session_id")
 def progressive_context(spark, sf):
-    """The lines of each session's context: the last four messages whole, older ones cut; a line is a row."""
+    """Each session's context: the last four messages whole, older ones cut, in lines by turn."""
     k = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn_id")))
     text = F.when(F.col("k") <= 4, F.col("content")).when(F.col("role") == "user", F.substring("content", 1, 50)).otherwise(F.substring("content", 1, 30))
-    return tables.messages(spark, sf).withColumn("k", k).select("session_id", "turn_id", F.concat("role", F.lit(": "), text).alias("line"))
+    rows = tables.messages(spark, sf).withColumn("k", k).select("session_id", "turn_id", F.concat("role", F.lit(": "), text).alias("line"))
+    return rows.groupBy("session_id").agg(F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY turn_id NULLS LAST, line)").alias("context"))
 
 
 @query("W09_most_recent", "SELECT model, id FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts DESC, id DESC) AS k FROM interactions) WHERE k <= 5")
