@@ -29,6 +29,11 @@ def test_encodes_and_decodes_as_the_library(library):
         assert bpe.encoder().automaton.decode(got).decode("utf-8", "replace") == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_tables_of_the_automaton_are_small():
+    """Each worker holds them; one row of 256 places for each inner node of the trie took 63 MB."""
+    assert sum(v.nbytes for v in vars(bpe.encoder().automaton).values() if isinstance(v, np.ndarray)) < 32 << 20
+
+
 def test_words_go_through_both_paths_alike():
     words = [b"hello", b" the", b"aaaaaaa", "é中".encode(), b"=" * 45]
     a = bpe.encoder().automaton

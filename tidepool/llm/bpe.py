@@ -108,7 +108,8 @@ class Automaton:
         self.table, self.state_of, self.class_of = table[:n_states, : (n_classes >> 3) + 1].copy(), state_of, class_of
 
     def _trie(self, tokens: list[int]) -> None:
-        """Bytes to tokens. Only nodes with children have a row of 256 in ``go``; ``row`` of others is 0, which leads nowhere."""
+        """Bytes to tokens. Only nodes with children have a row; ``row`` of others is 0, which leads nowhere. The rows of 256 places, nearly
+        all empty, lie over each other: a row's place of a byte is ``base`` of the row plus the byte, and is its own if it is the ``owner``."""
         nodes: dict[bytes, int] = {b"": 1}
         inner = {b""}
         for k in tokens:
@@ -117,17 +118,42 @@ class Automaton:
                 nodes.setdefault(label[:n], len(nodes) + 1)
                 inner.add(label[: n - 1])
         rows = {label: k + 1 for k, label in enumerate(sorted(inner, key=lambda x: nodes[x]))}
-        self.go = np.zeros((len(rows) + 1, 256), np.int32)
         self.row = np.zeros(len(nodes) + 1, np.int32)
         self.token = np.full(len(nodes) + 1, -1, np.int32)
+        edges = np.zeros((len(nodes) - 1, 3), np.int32)  # row, byte, node
         for label, node in nodes.items():
             if label:
-                self.go[rows[label[:-1]], label[-1]] = node
+                edges[node - 2] = rows[label[:-1]], label[-1], node
             self.row[node] = rows.get(label, 0)
+        row, byte, node = edges[np.argsort(edges[:, 0], kind="stable")].T
+        ends = np.searchsorted(row, np.arange(len(rows) + 2))
+        self.base = np.zeros(len(rows) + 1, np.int32)
+        # rows of several bytes take the first base whose places are all free, those of most bytes first; rows of one byte take what is left
+        size = np.diff(ends)
+        free = (1 << (2 * len(edges) + 512)) - 1
+        for r in np.argsort(-size, kind="stable")[: int((size > 1).sum())].tolist():
+            own = byte[ends[r] : ends[r + 1]].tolist()
+            fits = free
+            for c in own:
+                fits &= free >> c
+            self.base[r] = at = (fits & -fits).bit_length() - 1
+            free ^= sum(1 << c for c in own) << at
+        left = np.unpackbits(np.frombuffer(free.to_bytes(free.bit_length() // 8 + 1, "little"), np.uint8), bitorder="little")
+        single = np.flatnonzero(size == 1)
+        self.base[single] = np.flatnonzero(left[255:])[: len(single)] + 255 - byte[ends[single]]
+        places = self.base[row] + byte
+        self.owner = np.full(int(self.base.max()) + 256, -1, np.int32)
+        self.next = np.zeros(len(self.owner), np.int32)
+        self.owner[places], self.next[places] = row, node
         for k in tokens:
             if self.state_of[k] >= 0:
                 self.token[nodes[self.labels[k]]] = k
 
+    def _node(self, row, byte):
+        """The nodes that the bytes lead to from the rows; 0 is none."""
+        at = self.base[row] + byte
+        return self.next[at] * (self.owner[at] == row)
+
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
@@ -152,7 +178,7 @@ class Automaton:
             w = np.flatnonzero((state[:, j] >= 0) & (size > j))
             row, s = np.full(len(w), start), state[w, j]
             for k in range(j, longest):
-                node = self.go[row, text[w, k]]
+                node = self._node(row, text[w, k])
                 t = self.token[node]
                 if len(hit := np.flatnonzero(t >= 0)):
                     c = self.class_of[t[hit]]
@@ -192,7 +218,7 @@ class Automaton:
         return self._sizes
 
     def _encode_alone(self, word: bytes) -> np.ndarray:
-        go, row_of, token_at, table = self.go, self.row, self.token, self.table
+        row_of, token_at, table = self.row, self.token, self.table
         n = len(word)
         token, state = [-1] * (n + 1), [-1] * (n + 1)
         state[0] = 0
@@ -201,7 +227,7 @@ class Automaton:
                 continue
             row = row_of[1]
             for k in range(j, n):
-                node = go[row, word[k]]
+                node = self._node(row, word[k])
                 if (t := token_at[node]) >= 0:
                     c = self.class_of[t]
                     if table[s, c >> 3] >> (c & 7) & 1:
