@@ -18,6 +18,11 @@ from tidepool.llm.common import cut_lineage
 SALTS = 64
 
 
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Links (u, v) of each row's pairs of columns, in one pass: a union would plan and run all before it once for each pair."""
+    return rows.select(F.inline(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs))))
+
+
 def _least(edges: DataFrame) -> DataFrame:
     """Adds to links (u, v) the least of u and its v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -37,11 +42,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _each(edges, ("u", "v"), ("v", "u"))
         large = _least_of_hubs(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = _least(down)  # links go down to the least node here, which has its hub's links from the other side
-        edges = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = _each(small, ("v", "m"), ("u", "m")).where("u <> v").distinct()
         edges = cut_lineage(edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

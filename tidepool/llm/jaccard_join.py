@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.bpe import batches
-from tidepool.llm.common import cut_lineage, discard, keyed_hashes, mix, small_batches, written
+from tidepool.llm.common import cut_lineage, discard, few_jobs, keyed_hashes, mix, small_batches, written
 from tidepool.llm.components import components
 
 #: The sketch has 2**22 counts: 16 MB while counting, 4 MB when broadcast, for any input.
@@ -132,7 +132,7 @@ def _sketch(rows: DataFrame, k: int) -> np.ndarray:
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
     counts = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint32)
-    for r in rows.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").toLocalIterator():
+    for r in few_jobs(rows.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary")):
         counts[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
     return counts.reshape(-1)
 
@@ -207,17 +207,16 @@ def _candidates(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return kept.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell")).where("shared >= ell").select("a", "b")
 
 
-def _passing(ids: DataFrame, id: str):
-    """A bitmap that has every id (and by chance others): a test that keeps most documents out of a shuffle. Its size is bounded, so at
-    some size of the input it lets everything pass; it never drops an id."""
-    bits = min(FILTER_BITS, max(16, int(np.ceil(np.log2(16 * ids.count() + 1)))))
+def _passing(ids: DataFrame, id: str, bits: int):
+    """A bitmap of 2**bits that has every id (and by chance others): a test that keeps most documents out of a shuffle. It never drops an id."""
     width = 1 << max(0, bits - 12)
 
     def mark(parts):
-        seen = np.zeros(1 << bits, bool)
+        seen = np.zeros(1 << (bits - 3), np.uint8)
         for part in parts:
-            seen[_places(part.column(0).to_numpy(zero_copy_only=False), bits)] = True
-        slices = np.packbits(seen).reshape(-1, width // 8)
+            at = _places(part.column(0).to_numpy(zero_copy_only=False), bits)
+            np.bitwise_or.at(seen, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        slices = seen.reshape(-1, width // 8)
         some = np.flatnonzero(slices.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([slices[k].tobytes() for k in some], pa.binary())], ["slice", "bits"])
 
@@ -225,18 +224,18 @@ def _passing(ids: DataFrame, id: str):
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()]})
 
     bitmap = np.zeros((1 << 12 if bits > 12 else 1, width // 8), np.uint8)
-    for r in ids.select(id).mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInPandas(join, "slice int, bits binary").toLocalIterator():
+    for r in few_jobs(ids.select(id).mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInPandas(join, "slice int, bits binary")):
         bitmap[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    return bits, ids.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
+    return ids.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
 
 
 def _places(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U)) >> U(64 - bits)).astype(np.int64)
 
 
-def _sets(rows: DataFrame, ids: DataFrame, id: str, k: int) -> DataFrame:
+def _sets(rows: DataFrame, ids: DataFrame, id: str, k: int, bits: int) -> DataFrame:
     """(id, set_id) of documents whose id is in the column ``id`` of ``ids``, and maybe of others."""
-    bits, bitmap = _passing(ids, id)
+    bitmap = _passing(ids, id, bits)
 
     def run(parts):
         for part in parts:
@@ -255,7 +254,9 @@ def _sets(rows: DataFrame, ids: DataFrame, id: str, k: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs whose whole sets are similar."""
-    both = pairs.join(_sets(rows, pairs, "b", k), "b").join(_sets(rows, pairs, "a", k), "a")
+    # bounded, so at some size of the input the filters let everything pass
+    bits = min(FILTER_BITS, max(16, int(np.ceil(np.log2(16 * pairs.count() + 1)))))
+    both = pairs.join(_sets(rows, pairs, "b", k, bits), "b").join(_sets(rows, pairs, "a", k, bits), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     both = both.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("n"), common.alias("common"))
     return both.where(F.lit(den) * F.col("common") >= F.lit(num) * (F.col("n") - F.col("common"))).select("a", "b")
