@@ -1,10 +1,13 @@
 """Similarity joins against all pairs of small tables, and how many rows they make."""
 
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidepool.functions import scores
 from tidepool.operators import similarity, vectors
 
 
@@ -73,6 +76,25 @@ def test_candidates_grow_with_the_strings(spark):
     assert few >= 2000 and many < 4.5 * few
 
 
+def test_distances_of_long_strings_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(scores, "LONG", 3)
+    rng = random.Random(8)
+    rows = [(a, b) for _, a, _ in some_strings(5, 40) for _, b, _ in some_strings(6, 12)]
+    rows += [(x + a + y, x + b + y) for a, b in rows[:200] if a is not None and b is not None for x, y in [("é" * rng.randrange(9), "aa日" * rng.randrange(5))]] + [("aaa", "aaaaa"), ("aba", "ababa")]
+    found = spark.createDataFrame(rows, "a string, b string").select("a", "b", scores.byte_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in found] == [None if a is None or b is None else distance(a.encode(), b.encode()) for a, b in rows]
+
+
+def test_distances_of_long_strings_that_are_nearly_alike_take_no_long(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdeé ") for _ in range(100_000)) for _ in range(12)]
+    df = spark.createDataFrame([(t, "fr" + t if k % 2 else t[:50_000] + "#" + t[50_003:]) for k, t in enumerate(texts)], "a string, b string").repartition(4)
+    began = time.time()
+    found = [r.d for r in df.select(scores.byte_distance(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert found.count(2) == 6 and all(2 <= d <= 6 for d in found)
+    assert time.time() - began < 15
+
+
 def some_vectors(seed, n, d=12, clusters=40, apart=0.05):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(clusters, d))

@@ -67,10 +67,31 @@ def cosine(a: Column, b: Column, tiny: float = 1e-10) -> Column:
     return F.when(usable, dot(a, b) / (norms[0] * norms[1])).otherwise(F.lit(0.0))
 
 
+#: Strings of more bytes are compared without what both begin and end with.
+LONG = 256
+
+
 def byte_distance(a: Column, b: Column) -> Column:
-    """Edit distance over UTF-8 bytes. Small distances are looked for first, which takes time in proportion to them and not to both lengths."""
-    x, y = (F.decode(F.encode(x, "UTF-8"), "ISO-8859-1") for x in (a, b))
-    return F.coalesce(*[F.nullif(F.levenshtein(x, y, most), F.lit(-1)) for most in (16, 128, 1024)], F.levenshtein(x, y))
+    """Edit distance over UTF-8 bytes. What both strings begin and end with adds nothing to it, and is left out of long ones; what is left is
+    searched for small distances first. Only what differs costs time in proportion to both lengths."""
+
+    def between(x: Column, y: Column) -> Column:
+        x, y = F.decode(x, "ISO-8859-1"), F.decode(y, "ISO-8859-1")
+        return F.coalesce(*[F.nullif(F.levenshtein(x, y, most), F.lit(-1)) for most in (16, 128, 1024)], F.levenshtein(x, y))
+
+    def alike(x: Column, y: Column, end: bool) -> Column:
+        """How many bytes both begin (or end) with: doubled steps, since what is alike over a length is so over all smaller ones."""
+        cut = lambda s, n: F.substring(s, F.octet_length(s) - n + 1, n) if end else F.substring(s, F.lit(1), n)
+        fits = lambda n: (n <= F.least(F.octet_length(x), F.octet_length(y))) & (cut(x, n) == cut(y, n))
+        return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), lambda n, step: F.when(fits(n + step), n + step).otherwise(n))
+
+    pair = F.array(F.struct(a.cast("binary").alias("x"), b.cast("binary").alias("y")))  # an array of one, so that each step is made once
+    for end in (True, False):
+        pair = F.transform(pair, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), alike(p["x"], p["y"], end).alias("n")))  # noqa: B023
+        left = lambda p, s: F.substring(p[s], F.lit(1) if end else p["n"] + 1, F.octet_length(p[s]) - p["n"]).alias(s)  # noqa: B023, E731
+        pair = F.transform(pair, lambda p: F.struct(left(p, "x"), left(p, "y")))  # noqa: B023
+    rest = F.transform(pair, lambda p: between(p["x"], p["y"]))[0]
+    return F.when(F.greatest(F.octet_length(a), F.octet_length(b)) > LONG, rest).otherwise(between(F.encode(a, "UTF-8"), F.encode(b, "UTF-8")))
 
 
 def string_similarity(a: Column, b: Column) -> Column:
