@@ -190,10 +190,12 @@ def summary(text: Column, title: Column, paragraphs: int = 4, most: int = 500) -
     return F.substring(F.concat_ws("\n", title, F.array_join(F.transform(firsts, strip), " ")), 1, most)
 
 
-def elapsed_label(seconds: Column) -> Column:
-    """Six bands of the time since the last message."""
-    unit = lambda n, word: F.concat(F.floor(seconds / n).cast("string"), F.lit(word))
-    return (
-        F.when(seconds < 30, F.lit("")).when(seconds < 300, F.concat(F.lit("pause of "), unit(60, " minutes"))).when(seconds < 3600, F.concat(F.lit("resumed after "), unit(60, " minutes")))
-        .when(seconds < 21_600, F.concat(F.lit("back after "), unit(3600, " hours"))).when(seconds < 86_400, F.concat(F.lit("new session after "), unit(3600, " hours"))).otherwise(F.concat(F.lit("back after "), unit(86_400, " days")))
-    )
+def elapsed_label(seconds: Column, short: bool = True) -> Column:
+    """Six bands of the time since the last message; without the ``short`` ones of under six hours, all of less than a day is a new session.
+    Units are whole ones, towards zero, so a time to come has negative ones there."""
+    unit = lambda n, word: F.concat((seconds / n).cast("long").cast("string"), F.lit(word))
+    label = F
+    if short:
+        label = F.when(seconds < 30, F.lit("")).when(seconds < 300, F.concat(F.lit("pause of "), unit(60, " minutes"))).when(seconds < 3600, F.concat(F.lit("resumed after "), unit(60, " minutes")))
+        label = label.when(seconds < 21_600, F.concat(F.lit("back after "), unit(3600, " hours")))
+    return label.when(seconds < 86_400, F.concat(F.lit("new session after "), unit(3600, " hours"))).otherwise(F.concat(F.lit("back after "), unit(86_400, " days")))
