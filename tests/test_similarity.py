@@ -57,6 +57,31 @@ def test_near_strings_by_hand(spark, monkeypatch, least, placed):
     assert got == by_hand(rows, least)
 
 
+@pytest.mark.parametrize("least, placed, tile", [(0.6, 128, 7), (0.7, 10, 100), (0.85, 20, 7), (1.0, 128, 7)])
+def test_near_strings_in_tiles_by_hand(spark, monkeypatch, least, placed, tile):
+    monkeypatch.setattr(similarity, "PLACED", placed)
+    monkeypatch.setattr(similarity, "MANY", 2)
+    monkeypatch.setattr(similarity, "TILE", tile)
+    rows = some_strings(int(least * 100) + placed, 120)
+    rows += [(500 + k, f"a name {k:05d}", "p") for k in range(90)] + [(600, "a name \x00", "p"), (601, "a name \x00\x00", "p")]
+    df = spark.createDataFrame(rows, "id long, text string, block string")
+    got = sorted((r.a, r.b, round(r.similarity, 9)) for r in similarity.near_strings(df, "id", "text", least, block="block").collect())
+    assert got == by_hand(rows, least)
+
+
+def test_strings_with_a_common_beginning_make_few_rows(spark):
+    rows = [(0, f"supplier#{7 * k % 100_000:09d}", 18) for k in range(8000)]
+    df = spark.createDataFrame(rows, "block int, x string, m int")
+    began = time.time()
+    found = similarity.similar_strings(df, 0.94)  # one edit: 0.055 of 18
+    assert {(r.x[-5:], r.y[-5:]) for r in found.collect()} == {(x, y) for x, y in _one_digit_apart({r[1][-5:] for r in rows})}
+    assert time.time() - began < 60
+
+
+def _one_digit_apart(numbers):
+    return {(x, y) for x in numbers for k in range(5) for d in "0123456789" for y in [x[:k] + d + x[k + 1 :]] if x < y and y in numbers}
+
+
 def test_near_strings_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, text string")
     assert similarity.near_strings(empty, "id", "text", 0.8).collect() == []

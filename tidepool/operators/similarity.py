@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import blocks, scores
+from tidepool.operators.graph import cut
 
 def vector_of(vectors: DataFrame, vec_id: int) -> list[float]:
     """One query vector, as a literal of the plan."""
@@ -35,11 +38,13 @@ def semantic_query(memories: DataFrame, vectors: DataFrame, vec_id: int, n: int,
 
 #: Strings of more bytes are looked up by parts alone, without their places.
 PLACED = 128
+#: Strings that share a part are paired as rows up to so many pairs, else compared in tiles: of so many strings a side, of so many bytes.
+MANY, TILE, TILE_BYTES = 1 << 16, 4096, 1 << 20
+_PART = ["block", "kind", "i", "part"]
 
 
-def string_candidates(texts: DataFrame, least: float) -> DataFrame:
-    """(block, x, y, m, n) of pairs of different strings that may be similar: ``texts`` has a block, a string x of one character a byte, and
-    its size m; y is the longer one of a pair (of equal sizes the greater), of size n. A pair comes once for each part it shares.
+def _parts(texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Parts that strings x look for, and those that strings y hold: what ``string_candidates`` pairs.
 
     A pair's distance is at most t = (1 - least) * n. Cut the longer string into t + 1 parts: edits can't touch all of them, so one part
     lies in the shorter string as it is, and it can be chosen so that part i has i edits before it (and t - i at most behind it), which
@@ -68,19 +73,115 @@ def string_candidates(texts: DataFrame, least: float) -> DataFrame:
     whole = texts.where(reach > PLACED).withColumn("w", F.explode(widths)).where("w <= m")
     whole = whole.withColumn("q", F.explode(F.sequence(F.lit(1), F.col("m") - F.col("w") + 1))).select("block", "x", "m", (-F.col("w")).alias("kind"), F.lit(0).alias("i"), F.substring("x", F.col("q"), F.col("w")).alias("part"))
 
-    pairs = asked.unionByName(whole).distinct().join(short.unionByName(long), ["block", "kind", "i", "part"])
+    return asked.unionByName(whole).distinct(), short.unionByName(long)
+
+
+def _paired(asked: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    edits = F.floor((1 - least) * F.col("n") + 1e-9)
     apart = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("y")))
-    return pairs.where(apart & (F.col("m") >= F.col("n") - edits(F.col("n")))).select("block", "x", "y", "m", "n")
+    first = F.floor(F.col("n") / (edits + 1)).cast("int")
+    once = (F.col("kind") < 0) | (F.col("i") == 0) | (F.substring("x", F.lit(1), first) != F.substring("y", F.lit(1), first))
+    return asked.join(held, _PART).where(apart & (F.col("m") >= F.col("n") - edits) & once).select("block", "x", "y", "m", "n")
+
+
+def string_candidates(texts: DataFrame, least: float) -> DataFrame:
+    """(block, x, y, m, n) of pairs of different strings that may be similar: ``texts`` has a block, a string x of one character a byte, and
+    its size m; y is the longer one of a pair (of equal sizes the greater), of size n. A pair comes once for each part it shares, but by the first
+    part alone if it shares that one (short strings)."""
+    return _paired(*_parts(texts, least), least)
+
+
+def _tiles(rows: DataFrame, text: str, size: str) -> DataFrame:
+    """Strings that share a part, in order of size and characters, in lists of ``TILE`` at most."""
+    before = Window.partitionBy(*_PART).orderBy(size, text).rowsBetween(Window.unboundedPreceding, 0)
+    share = F.sum(F.greatest(F.lit(1.0), F.col(size) * (TILE / TILE_BYTES))).over(before)
+    return rows.withColumn("tile", F.floor((share - 1) / TILE)).groupBy(*_PART, "tile").agg(F.sort_array(F.collect_list(text)).alias(text + "s")).drop("tile")
+
+
+def _by_size(texts: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    sizes = np.array([len(t) for t in texts])
+    return {int(k): (at := np.flatnonzero(sizes == k), np.frombuffer(b"".join(texts[j] for j in at), np.uint8).reshape(len(at), k)) for k in np.unique(sizes)}
+
+
+def _distances(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Edit distances of all rows of x (of one size) to all of y (of one size, that of x or more); of those over ``most`` only that they are."""
+    (a, m), (b, n) = x.shape, y.shape
+    spare = (most - (n - m)) // 2  # a path of so few edits stays on these diagonals
+    kind = np.int8 if m + n < 120 else np.int16 if m + n < 32_000 else np.int32
+    far = m + n + 1
+    row = {k: np.full((a, b), k if 0 <= k <= n else far, kind) for k in range(-spare, n - m + spare + 1)}
+    other, beside = np.empty((a, b), bool), np.empty((a, b), kind)
+    for i in range(1, m + 1):
+        for k, cell in row.items():
+            j = i + k
+            if not 0 < j <= n:
+                cell.fill(i if j == 0 else far)
+                continue
+            np.not_equal(x[:, i - 1, None], y[None, :, j - 1], out=other)
+            np.add(cell, other.view(np.int8), out=cell)
+            for near in (k + 1, k - 1):
+                if near in row:
+                    np.minimum(cell, np.add(row[near], 1, out=beside), out=cell)
+    return row[n - m]
+
+
+def _tile_pairs(batches, least: float):
+    """(block, x, y, n, d) of the similar pairs of two tiles."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            kind, part, xs, ys = (batch.column(c)[r].as_py() for c in ("kind", "i", "xs", "ys"))
+            rank = {t: k for k, t in enumerate(sorted({*xs, *ys}))}
+            rank_x, rank_y = (np.array([rank[t] for t in side]) for side in (xs, ys))
+            names_x, names_y = pa.array(xs), pa.array(ys)
+            left, right = (_by_size([t.encode("latin-1") for t in side]) for side in (xs, ys))
+            for m, (at_x, x) in left.items():
+                for n, (at_y, y) in right.items():
+                    most = int(np.floor((1 - least) * n + 1e-9))
+                    if not n - most <= m <= n or m == n and rank_x[at_x[0]] >= rank_y[at_y[-1]]:
+                        continue
+                    ends = [x[0], x[-1], y[0], y[-1]]  # in order, so all rows begin as these do
+                    begin = next((k for k in range(m) if len({int(e[k]) for e in ends}) > 1), m)
+                    first = n // (most + 1) if kind > 0 and part > 0 else 0  # pairs that share the first part too meet there
+                    if 0 < first <= begin:
+                        continue
+                    end = next((k for k in range(m - begin) if len({*x[:, m - 1 - k], *y[:, n - 1 - k]}) > 1), m - begin)
+                    u, v = x[:, begin : m - end], np.asfortranarray(y[:, begin : n - end])
+                    step = max(1, (1 << 17) // len(at_y))
+                    for k in range(0, len(at_x), step):
+                        d = _distances(np.asfortranarray(u[k : k + step]), v, most)
+                        p, q = np.nonzero(d <= most)
+                        own = slice(None) if m < n else rank_x[at_x[k + p]] < rank_y[at_y[q]]
+                        p, q = p[own], q[own]
+                        if first:
+                            own = (x[k + p, :first] != y[q, :first]).any(axis=1)
+                            p, q = p[own], q[own]
+                        if len(p):
+                            columns = [batch.column("block").take(pa.array(np.full(len(p), r))), names_x.take(pa.array(at_x[k + p])), names_y.take(pa.array(at_y[q])), pa.array(np.full(len(p), n, np.int32)), pa.array(d[p, q].astype(np.int32))]
+                            yield pa.RecordBatch.from_arrays(columns, names=["block", "x", "y", "n", "d"])
 
 
 def similar_strings(texts: DataFrame, least: float) -> DataFrame:
-    """(block, x, y, similarity) of pairs of different strings (``string_candidates``) whose edit distance leaves ``least`` or more."""
-    pairs = string_candidates(texts, least).distinct()
+    """(block, x, y, similarity) of pairs of different strings whose edit distance leaves ``least`` or more.
+
+    Strings that share a part (``string_candidates``) are paired as rows where these are few. Where many share one, as names with a common
+    beginning do, they are dealt into tiles, and all of two tiles are compared at once, behind what all of them begin with; so no row is
+    made for a pair that isn't similar.
+    """
+    wide = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = cut(texts.repartition(wide))
+    asked, held = _parts(texts, least)
+    counts = asked.groupBy(*_PART).agg(F.count("*").alias("askers")).join(held.groupBy(*_PART).agg(F.count("*").alias("holders")), _PART)
+    many = counts.where(F.col("askers") * F.col("holders") > MANY).select(*_PART)
+    tiles = _tiles(asked.join(many, _PART, "left_semi"), "x", "m").join(_tiles(held.join(many, _PART, "left_semi"), "y", "n"), _PART)
+    tiles = tiles.select("block", "kind", "i", "xs", "ys").repartition(4 * wide)  # those of one part are many tasks
+    kind = texts.schema["block"].dataType.simpleString()
+    close, other = (tiles.where(f"{first} (kind > 0 AND i = 0)").mapInArrow(lambda batches: _tile_pairs(batches, least), f"block {kind}, x string, y string, n int, d int") for first in ("", "NOT"))
+    pairs = _paired(asked.join(many, _PART, "left_anti"), held, least).distinct()
     distance = F
     for most in (8, 16, 32, 64, 128, 256, 1024):  # a distance over what the longest of a range of lengths allows ends early, and is -1
         distance = distance.when(F.col("n") <= most, F.levenshtein("x", "y", int(most * (1 - least)) + 1))
     distance = distance.otherwise(F.levenshtein("x", "y"))
-    pairs = pairs.select("block", "x", "y", "n", distance.alias("d")).where("d >= 0")
+    pairs = pairs.select("block", "x", "y", "n", distance.alias("d")).where("d >= 0").unionByName(other).distinct().unionByName(close)
     return pairs.select("block", "x", "y", (1.0 - F.col("d") / F.col("n")).alias("similarity")).where(F.col("similarity") >= least)
 
 
