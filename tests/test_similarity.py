@@ -62,6 +62,7 @@ def test_near_strings_in_tiles_by_hand(spark, monkeypatch, least, placed, tile):
     monkeypatch.setattr(similarity, "PLACED", placed)
     monkeypatch.setattr(similarity, "MANY", 2)
     monkeypatch.setattr(similarity, "TILE", tile)
+    monkeypatch.setattr(similarity, "LIST", 3)
     rows = some_strings(int(least * 100) + placed, 120)
     rows += [(500 + k, f"a name {k:05d}", "p") for k in range(90)] + [(600, "a name \x00", "p"), (601, "a name \x00\x00", "p")]
     df = spark.createDataFrame(rows, "id long, text string, block string")
@@ -69,6 +70,13 @@ def test_near_strings_in_tiles_by_hand(spark, monkeypatch, least, placed, tile):
     assert got == by_hand(rows, least)
 
 
+def test_rows_of_equal_strings_are_paired_by_lists(spark):
+    df = spark.createDataFrame([(k, ("old plate", "cold plate", "xyz")[k % 3]) for k in range(4500)], "id long, text string")
+    found = similarity.near_strings(df, "id", "text", 0.7, digits=3)
+    n = 1500
+    assert {r.similarity: r.n for r in found.groupBy("similarity").agg(F.count_if(F.col("a") < F.col("b")).alias("n")).collect()} == {1.0: 3 * n * (n - 1) // 2, 0.9: n * n}
+
+
 def test_strings_with_a_common_beginning_make_few_rows(spark):
     rows = [(0, f"supplier#{7 * k % 100_000:09d}", 18) for k in range(8000)]
     df = spark.createDataFrame(rows, "block int, x string, m int")

@@ -196,22 +196,32 @@ def letters_of(rows: DataFrame, text: str, block: str | None = None) -> DataFram
     return found.withColumn("m", F.char_length("x"))
 
 
-def near_strings(rows: DataFrame, id: str, text: str, least: float, block: str | None = None) -> DataFrame:
-    """(a, b, similarity) of pairs a < b whose byte edit distance leaves ``least`` (more than 0, 1 at most) or more, inside ``block`` if one is named.
+#: Rows of one string in a list, about: those of two similar strings are paired list by list.
+LIST = 1024
 
-    Each string of a block is compared once, however many rows have it; then its rows are paired, as many as there are pairs to return. Null
-    texts pair with none, empty ones with each other.
+
+def near_strings(rows: DataFrame, id: str, text: str, least: float, block: str | None = None, digits: int | None = None) -> DataFrame:
+    """(a, b, similarity) of pairs a < b whose byte edit distance leaves ``least`` (more than 0, 1 at most) or more, inside ``block`` if one is
+    named; the similarity is rounded to ``digits``, once for two strings.
+
+    Each string of a block is compared once, however many rows have it; then its rows are paired, as many as there are pairs to return: the
+    rows of a string lie in lists, and pairs of lists are dealt to all tasks, so what is shuffled grows with the rows and not with their
+    pairs, and a task holds two lists. Null texts pair with none, empty ones with each other.
     """
     if not 0 < least <= 1:
         raise ValueError("least lies above 0 and is 1 at most")
     own = rows.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), letters(F.col(text)).alias("x"), (F.col(block) if block else F.lit(0)).alias("block"))
-    copied = own.groupBy("block", "x").count().where("count > 1").select("block", "x")
     near = similar_strings(letters_of(rows, text, block), least)
-    a, b = own.select("block", "x", F.col("id").alias("a")), own.select("block", F.col("x").alias("y"), F.col("id").alias("b"))
-    apart = near.join(a, ["block", "x"]).join(b, ["block", "y"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
-    again = own.join(copied, ["block", "x"], "left_semi")
-    same = again.select("block", "x", F.col("id").alias("a")).join(again.select("block", "x", F.col("id").alias("b")), ["block", "x"]).where("a < b")
-    return apart.where("a < b").unionByName(same.select("a", "b", F.lit(1.0).alias("similarity")))
+    if digits is not None:
+        near = near.withColumn("similarity", F.round("similarity", digits))
+    lists = own.join(own.groupBy("block", "x").agg(F.ceil(F.count("*") / LIST).alias("n")), ["block", "x"]).groupBy("block", "x", F.pmod(F.xxhash64("id"), "n").alias("k")).agg(F.collect_list("id").alias("ids"))
+    a, b = lists.select("block", "x", F.col("k").alias("j"), F.col("ids").alias("a")), lists.select("block", F.col("x").alias("y"), "k", F.col("ids").alias("b"))
+    apart = near.join(a, ["block", "x"]).join(b, ["block", "y"]).select("a", "b", "similarity", F.lit(False).alias("one"))
+    same = a.join(b.withColumnRenamed("y", "x"), ["block", "x"]).where("j <= k AND (j < k OR size(a) > 1)").select("a", "b", F.lit(1.0).alias("similarity"), (F.col("j") == F.col("k")).alias("one"))
+    wide = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = apart.unionByName(same).repartition(8 * wide)
+    pairs = pairs.select(F.explode("a").alias("a"), "b", "similarity", "one").select("a", F.explode("b").alias("b"), "similarity", "one").where(F.when(F.col("one"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def novel(rows: DataFrame, id: str, text: str, n: int = 3) -> DataFrame:

@@ -157,7 +157,7 @@ FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand
 WHERE 1 - levenshtein(a.p_name, b.p_name) / greatest(strlen(a.p_name), strlen(b.p_name))::DOUBLE >= 0.7""")
 def near_duplicate_strings(spark, sf):
     parts = tables.read(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
-    return similarity.near_strings(parts, "p_partkey", "p_name", 0.7, block="p_brand").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return similarity.near_strings(parts, "p_partkey", "p_name", 0.7, block="p_brand", digits=6)
 
 
 @query("W05_top_edges", "SELECT source_id, target_id, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, target_id, relation_type) AS rank FROM relations) WHERE rank <= 10")
