@@ -192,6 +192,16 @@ def test_files(spark, tmp_path):
     assert (one.b, one.s) == ("body\n---\nmore", "x")
 
 
+def test_texts_and_refused_files_of_one_listing(spark, tmp_path):
+    from tidepool.sources import files
+
+    for name, text in (("a/x.md", "é\n\nb\n"), ("b/y.TXT", "c" * 1024), ("b/z.txt", "d" * 1025), ("c.exe", "e"), ("d.exe", "f" * 2000)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    found = {r.path.rsplit("/", 1)[1]: (r.text, r.reason) for r in files.read_or_refused(spark, str(tmp_path), 1).collect()}
+    assert found == {"x.md": ("é\n\nb\n", None), "y.TXT": ("c" * 1024, None), "z.txt": (None, "size"), "c.exe": (None, "suffix"), "d.exe": (None, "suffix")}
+
+
 def test_colours_summaries_and_elapsed_time(spark):
     df = spark.createDataFrame([("#ff8000",), ("#f80",), ("rgb(1, 2, 3)",), ("red-ish",)], "t string")
     assert [r.c for r in df.select(texts.colour(F.col("t")).alias("c")).collect()] == [[255, 128, 0], [255, 136, 0], [1, 2, 3], None]
